@@ -1,8 +1,51 @@
-"""Documents to packed training sequences, in stages."""
+"""Documents to packed training sequences, in stages.
 
-STAGES: list = []
+quality -> exact deduplication -> near deduplication -> mixing -> packing. Each stage works on all that the one before
+kept; all but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from voxframe.llm import exact_dedup, mixing, near_dedup, packing, quality
+from voxframe.llm.shared import publish, scratch
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts."""
+    return quality.accepted(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal texts."""
+    return exact_dedup.survivors(docs)
+
+
+def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return near_dedup.survivors(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents repeated to the sources' target weights, shuffled."""
+    return mixing.mixed_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents placed in training sequences."""
+    return packing.packed(docs)
+
+
+STAGES = [("quality", keep_quality), ("exact_dedup", keep_one_of_equal), ("near_dedup", keep_one_of_near), ("mixing", mix_sources), ("packing", pack_sequences)]
+
+#: Learned scores and packing can't be told in SQL; tests/llm hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each stage's result is written to the shared folder and read again by the next."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = publish(stage(spark, docs, sf_dir), scratch(spark, f"stage-{name}"))
+    return STAGES[-1][1](spark, docs, sf_dir)
