@@ -1,11 +1,738 @@
-"""Registered queries and the SQL that checks them."""
+"""Registered queries and the SQL that checks them.
+
+Each query applies an operator to a view of the tables (see views.py); SQL is for DuckDB. Queries without SQL are
+iterative or learned and are held against brute force in tests.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from voxframe.functions import text as tx
+from voxframe.functions import vectors as vx
+from voxframe.operators import assign, clusters, evaluate, intervals, packing, timeline, windows
+from voxframe.operators.intervals import KEY
+from voxframe.params import Candidates
+from voxframe.plans import views as v
+from voxframe.sources import documents, exports
+from voxframe.streaming import sessions
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# --- candidate regions -------------------------------------------------------------------------------------------
+
+ISLANDS = """, reach as (select *, max(end_ms) over (partition by recording_id order by start_ms, input_index rows between unbounded preceding and 1 preceding) as m from v_seg),
+isl as (select *, sum(case when start_ms - m > 500 then 1 else 0 end) over (partition by recording_id order by start_ms, input_index rows unbounded preceding) as island from reach),
+gaps as (select *, greatest(0, start_ms - max(end_ms) over (partition by recording_id, island order by start_ms, input_index rows between unbounded preceding and 1 preceding)) as gap from isl),
+cand as (select recording_id, island, min(start_ms) as start_ms, max(end_ms) as end_ms, count(*) as segment_count, list(input_index order by start_ms, input_index) as source_segment_indices,
+  coalesce(max(gap), 0) as max_internal_gap_ms, cast(sum(length(text)) as bigint) as text_chars from gaps group by recording_id, island)"""
+
+
+@query(v.oracle("v_seg") + ISLANDS + " select recording_id, printf('asr_candidate_%03d', cast(island as int)) as candidate_id, start_ms, end_ms, segment_count, array_to_string(source_segment_indices, ',') as indices, cast(max_internal_gap_ms as bigint) as max_internal_gap_ms, text_chars from cand")
+def candidate_discovery(spark: SparkSession, sf: str) -> DataFrame:
+    c = windows.candidates(v.segments(spark, sf))
+    return c.select(KEY, "candidate_id", "start_ms", "end_ms", "segment_count", F.array_join(F.transform("source_segment_indices", lambda x: x.cast("string")), ",").alias("indices"), "max_internal_gap_ms", "text_chars")
+
+
+@query(v.oracle("v_seg") + ISLANDS + " select recording_id, start_ms, end_ms, segment_count from cand")
+def candidate_session_window(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.session_candidates(v.segments(spark, sf)).select(KEY, "start_ms", "end_ms", "segment_count")
+
+
+@query(v.oracle("v_hyp") + ISLANDS + """, acc as (select recording_id, count(*) filter (label <> 'unknown') as assigned, count(*) as segments from v_hyp group by 1)
+select recording_id, count(*) as candidates, cast(sum(end_ms - start_ms) as bigint) as speech_ms, any_value(assigned) as assigned, any_value(segments) as segments, round(any_value(assigned) / greatest(1, any_value(segments)), 6) as coverage
+from cand join acc using (recording_id) group by recording_id""")
+def candidate_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    """The flagship: regions of every recording and how many of its segments were attributed."""
+    hyp = v.hypotheses(spark, sf)
+    acc = hyp.groupBy(KEY).agg(F.count_if(F.col("label") != "unknown").alias("assigned"), F.count(F.lit(1)).alias("segments"))
+    per = windows.candidates(hyp).groupBy(KEY).agg(F.count(F.lit(1)).alias("candidates"), F.sum(F.col("end_ms") - F.col("start_ms")).alias("speech_ms"))
+    return per.join(acc, KEY).withColumn("coverage", F.round(F.col("assigned") / F.greatest(F.lit(1), F.col("segments")), 6))
+
+
+@query(v.oracle("v_seg") + """, s as (select recording_id, input_index, case when input_index % 6 = 5 then 'same' else 'seg-' || cast(input_index as varchar) end as id, start_ms, case when input_index % 9 = 8 then start_ms else end_ms end as end_ms, case when input_index % 7 = 6 then 2.0e0 else 0.5e0 end as confidence from v_seg
+  union all select recording_id, input_index + 1000, 'same', start_ms, end_ms, null from v_seg where input_index = 5),
+c as (select *, count(*) over (partition by recording_id, id) as n, 60000 as duration_ms from s)
+select recording_id, input_index, 'duplicate_id' as violation from c where n > 1 union all select recording_id, input_index, 'invalid_range' from c where end_ms <= start_ms
+union all select recording_id, input_index, 'confidence_out_of_range' from c where confidence > 1 union all select recording_id, input_index, 'beyond_audio' from c where end_ms > duration_ms""")
+def segment_validation(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    one = s.select(KEY, "input_index", F.when(F.col("input_index") % 6 == 5, "same").otherwise(F.concat(F.lit("seg-"), F.col("input_index").cast("string"))).alias("id"), "start_ms", F.when(F.col("input_index") % 9 == 8, F.col("start_ms")).otherwise(F.col("end_ms")).alias("end_ms"), F.when(F.col("input_index") % 7 == 6, 2.0).otherwise(0.5).alias("confidence"))
+    two = s.filter("input_index = 5").select(KEY, (F.col("input_index") + 1000).alias("input_index"), F.lit("same").alias("id"), "start_ms", "end_ms", F.lit(None).cast("double").alias("confidence"))
+    return windows.validated(one.unionByName(two), s.select(KEY).distinct().withColumn("duration_ms", F.lit(60000)))
+
+
+@query(v.oracle("v_seg") + " select recording_id, input_index, text = '' as is_empty, end_ms - start_ms >= 1500 as is_inferred from v_seg where text = '' or end_ms - start_ms < 1500")
+def empty_text_and_min_duration(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return s.filter("text = '' or end_ms - start_ms < 1500").select(KEY, "input_index", (F.col("text") == "").alias("is_empty"), (F.col("end_ms") - F.col("start_ms") >= 1500).alias("is_inferred"))
+
+
+# --- window scores -----------------------------------------------------------------------------------------------
+
+SCORED = """, pen as (select *, (duration_ms < 1200) as r1, (speech_ratio < 0.65) as r2, (overlap_ms > 0 or list_contains(flags, 'residual_overlap')) as r3, (change_point_count > 0) as r4, coalesce(loudness_db < -50, true) as r5,
+ case when duration_ms >= 3000 then 0 when duration_ms >= 2000 then 5 when duration_ms >= 1200 then 15 else 0 end
+ + case when speech_ratio >= 0.85 then 0 when speech_ratio >= 0.75 then 8 when speech_ratio >= 0.65 then 18 else 0 end
+ + case when loudness_std_db <= 8 then 0 when loudness_std_db <= 12 then 8 when loudness_std_db <= 16 then 18 else 30 end
+ + case when left_sil < 80 then 3 else 0 end + case when right_sil < 80 then 3 else 0 end
+ + case when list_contains(flags, 'tiny_interval') then 15 else 0 end + case when list_contains(flags, 'low_speech_ratio') then 18 else 0 end + case when list_contains(flags, 'unstable_loudness') then 10 else 0 end as penalty from v_win),
+sc as (select *, round(greatest(0.0e0, 100.0e0 - penalty), 2) as score, r1 or r2 or r3 or r4 or r5 as rejected from pen),
+tiered as (select *, case when rejected then 'rejected' when score >= 80 then 'clean' when score >= 65 then 'usable' when score >= 50 then 'weak' else 'rejected' end as tier,
+ list_filter([case when r1 then 'duration_too_short' end, case when r2 then 'speech_ratio_too_low' end, case when r3 then 'overlap_detected' end, case when r4 then 'speaker_change_detected' end, case when r5 then 'loudness_too_low' end], lambda x: x is not null) as rejects from sc)"""
+
+
+@query(v.oracle("v_win") + SCORED + " select event_id, score, tier, tier in ('clean', 'usable') as accepted, array_to_string(rejects, ',') as reject_reasons from tiered")
+def window_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.scored(v.windows(spark, sf)).select("event_id", "score", "tier", "accepted", F.array_join("reject_reasons", ",").alias("reject_reasons"))
+
+
+@query(v.oracle("v_win") + SCORED + " select tier, count(*) as n from tiered group by 1")
+def window_tier_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.histogram(windows.scored(v.windows(spark, sf)), "tier", "tier")
+
+
+@query(v.oracle("v_win") + SCORED + " select reason, count(*) as n from (select unnest(rejects) as reason from tiered) group by 1")
+def window_reject_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.histogram(windows.scored(v.windows(spark, sf)), "reject_reasons", "reason")
+
+
+@query(v.oracle("v_win") + " select flag, count(*) as n from (select unnest(flags) as flag from v_win) group by 1")
+def window_flag_histogram(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.histogram(v.windows(spark, sf), "flags", "flag")
+
+
+@query(v.oracle("v_win") + SCORED + " select event_id, tier, case tier when 'clean' then 1.0e0 else 0.7e0 end as weight from tiered where tier in ('clean', 'usable')")
+def gold_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.gold(windows.scored(v.windows(spark, sf))).filter("skip_reason is null").select("event_id", "tier", "weight")
+
+
+@query(v.oracle("v_win") + SCORED + " select case when tier in ('clean', 'usable') then 'gold' else 'tier_not_gold' end as outcome, count(*) as n from tiered group by 1")
+def gold_skip_audit(spark: SparkSession, sf: str) -> DataFrame:
+    rows = windows.gold(windows.scored(v.windows(spark, sf)))
+    return windows.histogram(rows.withColumn("outcome", F.coalesce("skip_reason", F.lit("gold"))), "outcome", "outcome")
+
+
+# --- intervals ---------------------------------------------------------------------------------------------------
+
+
+@query(v.oracle("v_seg") + """, m as (select *, max(end_ms) over (partition by recording_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as m from v_seg),
+i as (select *, sum(case when start_ms > m then 1 else 0 end) over (partition by recording_id order by start_ms, end_ms rows unbounded preceding) as island from m)
+select recording_id, min(start_ms) as start_ms, max(end_ms) as end_ms from i group by recording_id, island""")
+def interval_union(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.union(v.segments(spark, sf)).select(KEY, "start_ms", "end_ms")
+
+
+@query(v.oracle("v_seg") + ISLANDS + """ select s.recording_id, s.input_index, printf('asr_candidate_%03d', cast(c.island as int)) as candidate_id, greatest(0, least(s.end_ms, c.end_ms) - greatest(s.start_ms, c.start_ms)) as overlap_ms
+from v_seg s join cand c on s.recording_id = c.recording_id and c.start_ms < s.end_ms and c.end_ms > s.start_ms""")
+def interval_overlap_join(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    pairs = intervals.overlap_join(s.select(KEY, "input_index", "start_ms", "end_ms"), windows.candidates(s).select(KEY, "candidate_id", "start_ms", "end_ms"), bucket_ms=10_000)
+    return pairs.select(KEY, "input_index", "candidate_id", intervals.overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms")).alias("overlap_ms"))
+
+
+@query(v.oracle("v_seg") + " select a.recording_id, a.input_index as a, b.input_index as b, least(a.end_ms, b.end_ms) - greatest(a.start_ms, b.start_ms) as overlap_ms from v_seg a join v_seg b on a.recording_id = b.recording_id and a.input_index < b.input_index and a.start_ms < b.end_ms and b.start_ms < a.end_ms")
+def overlap_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    pairs = intervals.overlap_join(s.select(KEY, F.col("input_index").alias("a"), "start_ms", "end_ms"), s.select(KEY, F.col("input_index").alias("b"), "start_ms", "end_ms"), bucket_ms=10_000)
+    return pairs.filter("a < b").select(KEY, "a", "b", intervals.overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms")).alias("overlap_ms"))
+
+
+@query(v.oracle("v_seg") + """, w as (select *, max(end_ms) over x as latest, arg_max(speaker, end_ms) over x as who from v_seg window x as (partition by recording_id order by start_ms, end_ms, speaker rows between unbounded preceding and 1 preceding))
+select recording_id, coalesce(bool_or(start_ms < latest and speaker <> who), false) as has_overlap from w group by 1""")
+def overlap_sweep_flag(spark: SparkSession, sf: str) -> DataFrame:
+    return intervals.sweep(v.segments(spark, sf))
+
+
+@query(v.oracle("v_seg") + ISLANDS + """, d as (select recording_id, max(end_ms) as duration_ms from v_seg group by 1),
+c as (select cand.recording_id, cand.end_ms, duration_ms, unnest(generate_series(cand.start_ms, cand.end_ms - 1, 5000)) as core_start from cand join d on d.recording_id = cand.recording_id),
+r as (select *, least(end_ms, core_start + 5000) as core_end, greatest(0, core_start - 2500) as rs, least(duration_ms, greatest(0, core_start - 2500) + 10000) as read_end from c)
+select recording_id, core_start, core_end, case when read_end - rs < 10000 and read_end = duration_ms then greatest(0, read_end - 10000) else rs end as read_start, read_end from r""")
+def sliding_inference_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    rows = windows.candidates(s).join(s.groupBy(KEY).agg(F.max("end_ms").alias("duration_ms")), KEY)
+    return intervals.sliding(rows, 10_000, 5_000, F.col("duration_ms")).select(KEY, "core_start", "core_end", "read_start", "read_end")
+
+
+@query(v.oracle("v_frame") + ", c as (select recording_id, min(start_ms) as lo, max(end_ms) as hi from v_frame group by 1), k as (select recording_id, unnest(generate_series(lo, hi - 1, 5000)) as core_start, hi from c) select f.recording_id, k.core_start, count(*) as n_frames from v_frame f join k on f.recording_id = k.recording_id and (f.start_ms + f.end_ms) // 2 >= core_start and (f.start_ms + f.end_ms) // 2 < least(hi, core_start + 5000) group by 1, 2")
+def chunk_core_frames(spark: SparkSession, sf: str) -> DataFrame:
+    f = v.frames(spark, sf)
+    span = f.groupBy(KEY).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    cores = intervals.sliding(span, 10_000, 5_000, F.col("end_ms")).select(KEY, "core_start", F.col("core_start").alias("start_ms"), F.col("core_end").alias("end_ms"))
+    centre = f.select(KEY, F.expr("(start_ms + end_ms) div 2").alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 1)
+    return intervals.overlap_join(centre, cores, bucket_ms=20_000).groupBy(KEY, "core_start").agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+# --- frame timelines ---------------------------------------------------------------------------------------------
+
+BLOCKED = """, st as (select *, sum(case when active >= 2 then 1 else 0 end) over (partition by recording_id order by start_ms) as stretch from v_frame),
+si as (select *, sum(case when active = 0 then end_ms - start_ms else 0 end) over (partition by recording_id, stretch order by start_ms) as silence from st),
+one as (select *, lag(dom) over y as old, lag(end_ms) over y as old_end, lag(silence) over y as old_silence from si where active = 1 window y as (partition by recording_id, stretch order by start_ms)),
+raw as (select recording_id, start_ms - 200 as start_ms, end_ms + 200 as end_ms from v_frame where active >= 2
+ union all select recording_id, greatest(old_end, start_ms) - 200, greatest(old_end, start_ms) + 200 from one where old <> '' and dom <> '' and old <> dom and silence - old_silence <= 500),
+rm as (select *, max(end_ms) over (partition by recording_id order by start_ms, end_ms rows between unbounded preceding and 1 preceding) as m from raw),
+ri as (select *, sum(case when start_ms > m then 1 else 0 end) over (partition by recording_id order by start_ms, end_ms rows unbounded preceding) as island from rm),
+blocked as (select recording_id, min(start_ms) as start_ms, max(end_ms) as end_ms from ri group by recording_id, island)"""
+
+
+@query(v.oracle("v_frame") + ", s as (select *, lag(dom) over (partition by recording_id order by start_ms) as old from v_frame where active = 1 and dom <> '') select recording_id, count(*) filter (old <> dom) as change_points from s group by 1")
+def change_points(spark: SparkSession, sf: str) -> DataFrame:
+    f = timeline.speaker_changes(v.frames(spark, sf))
+    return f.filter("active = 1 and dom <> ''").groupBy(KEY).agg(F.count_if("change").alias("change_points"))
+
+
+@query(v.oracle("v_frame") + BLOCKED + " select * from blocked")
+def blocked_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.blocked(v.frames(spark, sf)).select(KEY, "start_ms", "end_ms")
+
+
+@query(v.oracle("v_frame") + BLOCKED + """, cl as (select f.*, case when active >= 2 or exists (select 1 from blocked b where b.recording_id = f.recording_id and b.start_ms < f.end_ms and b.end_ms > f.start_ms) then 1 else 0 end as closer from v_frame f),
+cs as (select *, sum(closer) over (partition by recording_id order by start_ms) as part from cl),
+cq as (select *, max(case when active = 0 then end_ms end) over (partition by recording_id, part order by start_ms rows between unbounded preceding and 1 preceding) as silent_to from cs where closer = 0),
+cn as (select *, lag(end_ms) over (partition by recording_id, part order by start_ms) as last from cq where active = 1),
+cr as (select *, sum(case when last is null or greatest(start_ms, coalesce(silent_to, 0)) - last > 500 then 1 else 0 end) over (partition by recording_id, part order by start_ms) as run from cn)
+select recording_id, min(start_ms) as start_ms, max(end_ms) as end_ms from cr group by recording_id, part, run""")
+def single_speaker_runs(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.single_speaker_runs(v.frames(spark, sf))
+
+
+@query(v.oracle("v_frame") + """, w as (select *, max(case when active <> 0 then end_ms end) over (partition by recording_id order by start_ms rows between unbounded preceding and 1 preceding) as voiced_before,
+ min(case when active <> 0 then start_ms end) over (partition by recording_id order by start_ms rows between 1 following and unbounded following) as voiced_after, max(end_ms) over (partition by recording_id) as last, min(start_ms) over (partition by recording_id) as first from v_frame)
+select event_id, start_ms - coalesce(voiced_before, first) as left_silence_ms, coalesce(voiced_after, last) - end_ms as right_silence_ms from w""")
+def boundary_silence(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.boundary_silence(v.frames(spark, sf)).select("event_id", "left_silence_ms", "right_silence_ms")
+
+
+@query(v.oracle("v_frame") + ", k as (select distinct recording_id, start_ms // 10000 as w from v_frame) select k.recording_id, w * 10000 as start_ms, cast(coalesce(sum(case when active >= 2 then least(f.end_ms, (w + 1) * 10000) - greatest(f.start_ms, w * 10000) end), 0) as bigint) as overlap_ms from k join v_frame f on f.recording_id = k.recording_id and f.start_ms < (w + 1) * 10000 and f.end_ms > w * 10000 group by 1, 2")
+def overlap_ms_per_window(spark: SparkSession, sf: str) -> DataFrame:
+    f = v.frames(spark, sf)
+    w = f.select(KEY, (F.floor(F.col("start_ms") / 10_000) * 10_000).alias("start_ms")).distinct().withColumn("end_ms", F.col("start_ms") + 10_000)
+    pairs = intervals.overlap_join(w, f.select(KEY, "active", "start_ms", "end_ms"), bucket_ms=10_000)
+    part = F.when(F.col("active") >= 2, intervals.overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))).otherwise(0)
+    return pairs.groupBy(KEY, "start_ms").agg(F.sum(part).alias("overlap_ms"))
+
+
+@query()
+def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames split into single-speaker windows per candidate (here: minutes of a recording)."""
+    f = v.frames(spark, sf)
+    c = f.groupBy(KEY, F.floor(F.col("start_ms") / 60_000).alias("m")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).withColumn("candidate_id", F.format_string("asr_candidate_%03d", "m"))
+    return timeline.built(c, f.drop("event_id")).withColumn("flags", F.array_join("flags", ","))
+
+
+P7 = "select vec_id, list_transform(embedding[1:7]::double[], lambda x: (x + 1) * (case when vec_id % 2 = 0 then 1 else 0.05e0 end)) as p from embeddings"
+
+
+def _shares(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "embeddings")
+    return e.select("vec_id", F.expr("transform(slice(cast(embedding as array<double>), 1, 7), x -> (x + 1) * if(vec_id % 2 = 0, 1D, 0.05D))").alias("p"))
+
+
+@query(f"with t as ({P7}), k as (select *, list_position(p, list_max(p)) - 1 as k from t) select vec_id, [0,1,1,1,2,2,2][k + 1] as active, ['','speaker_0','speaker_1','speaker_2','speaker_0','speaker_0','speaker_1'][k + 1] as dom, round(list_max(p), 6) as confidence from k")
+def powerset_decode(spark: SparkSession, sf: str) -> DataFrame:
+    active, dom, conf = timeline.powerset(F.col("p"))
+    return _shares(spark, sf).select("vec_id", active.alias("active"), dom.alias("dom"), F.round(conf, 6).alias("confidence"))
+
+
+@query(f"with t as ({P7}), e as (select *, list_min(p) >= 0 and list_max(p) <= 1 and list_sum(p) > 0 and list_sum(p) <= 1.2 as shares, list_transform(p, lambda x: exp(x - list_max(p))) as e from t) select vec_id, shares, round(case when shares then p[1] else e[1] / list_sum(e) end, 6) as first, round(case when shares then p[7] else e[7] / list_sum(e) end, 6) as last from e")
+def softmax_rows(spark: SparkSession, sf: str) -> DataFrame:
+    s = vx.softmax_rows(F.col("p"))
+    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
+    shares = (F.array_min("p") >= 0) & (F.array_max("p") <= 1) & (total > 0) & (total <= 1.2)
+    return _shares(spark, sf).select("vec_id", shares.alias("shares"), F.round(s[0], 6).alias("first"), F.round(s[6], 6).alias("last"))
+
+
+@query("""with f as (select user_id as recording_id, -110 + value * 1.0009765625e0 as db from events), k as (select *, db > -90 as kept, db >= -45 as speech from f)
+select recording_id, count(*) filter (kept) as n_kept, count(*) filter (kept and speech) as n_speech, round((count(*) filter (kept and speech)) / greatest(1, count(*) filter (kept)), 4) as speech_ratio,
+round(coalesce(avg(db) filter (kept and speech), avg(db) filter (kept)), 2) as loudness_db, round(coalesce(stddev_pop(db) filter (kept and speech), stddev_pop(db) filter (kept), 0), 4) as loudness_std_db from k group by 1""")
+def loudness_stats(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").select(F.col("user_id").alias(KEY), "value")
+    return timeline.loudness(e, db=-110 + F.col("value") * 1.0009765625)
+
+
+# --- vectors and clusters ----------------------------------------------------------------------------------------
+
+COS = "list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u)) / sqrt(list_dot_product(b.u, b.u))"
+UNIT = ", un as (select recording_id, vec_id, label, weight, start_ms, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) as u from v_gold)"
+PAIRS = f", pr as (select a.recording_id, a.vec_id as i, b.vec_id as j, {COS} as cos, a.weight as wi, b.weight as wj from un a join un b on a.recording_id = b.recording_id and a.vec_id <> b.vec_id), af as (select *, power(greatest(0, least(1, cos)), 2) * sqrt(wi * wj) as affinity from pr), nn as (select *, row_number() over (partition by recording_id, i order by round(affinity, 9) desc, j) as rank from af qualify rank <= 8)"
+CENTRES = """, dm as (select recording_id, label, weight, unnest(u) as x, unnest(range(1, 65)) as dim from un), sm as (select recording_id, label, dim, sum(weight * x) as x from dm group by 1, 2, 3),
+ce as (select recording_id, label, list_transform(list(x order by dim), lambda y: y / sqrt(list_sum(list_transform(list(x), lambda z: z * z)))) as centre from sm group by 1, 2),
+di as (select un.*, centre, list_dot_product(u, centre) as cos, 1 - list_dot_product(u, centre) as distance from un join ce using (recording_id, label)),
+ru as (select *, sum(weight) over (partition by recording_id, label order by distance, vec_id rows unbounded preceding) as run, sum(weight) over (partition by recording_id, label) as total from di),
+qq as (select recording_id, label, min(case when run >= 0.7e0 * total then distance end) as q0, min(case when run >= 0.9e0 * total then distance end) as q1 from ru group by 1, 2),
+me as (select recording_id, label, arg_max(vec_id, (round(cos, 12), -vec_id)) as medoid_id from di group by 1, 2),
+ne as (select a.recording_id, a.label, min(1 - list_dot_product(a.centre, b.centre)) as nearest from ce a join ce b on a.recording_id = b.recording_id and a.label <> b.label group by 1, 2),
+ag as (select recording_id, label, count(*) as sample_count, min(vec_id) as first_id, sum(cos * weight) / sum(weight) as conc, sum(distance * weight) / sum(weight) as intra, sum(weight) as w, sum(distance * weight) as dw from di group by 1, 2),
+an as (select ag.*, q0, q1, medoid_id, nearest, ce.centre as centre, di.u as medoid from ag join qq using (recording_id, label) join me using (recording_id, label) join ce using (recording_id, label) join di on di.recording_id = ag.recording_id and di.vec_id = medoid_id left join ne on ne.recording_id = ag.recording_id and ne.label = ag.label)"""
+
+
+@query(v.oracle("v_gold") + UNIT + PAIRS + " select recording_id, count(*) as n_pairs, round(median(cos), 6) as median_cosine from pr where i < j group by 1")
+def cosine_pairs_median(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.median_cosine(v.gold(spark, sf))
+
+
+@query(v.oracle("v_gold") + UNIT + PAIRS + " select recording_id, i, j, rank, round(affinity, 6) as affinity from nn")
+def knn_neighbors_top8(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.neighbours(v.gold(spark, sf)).withColumn("affinity", F.round("affinity", 6))
+
+
+@query(v.oracle("v_gold") + UNIT + PAIRS + " select recording_id, least(i, j) as src, greatest(i, j) as dst, round(max(affinity), 6) as affinity from nn group by 1, 2, 3")
+def affinity_edges(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.affinity_edges(v.gold(spark, sf)).withColumn("affinity", F.round("affinity", 6))
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(q0, 6) as core, round(q1, 6) as boundary from qq")
+def weighted_quantile_radii(spark: SparkSession, sf: str) -> DataFrame:
+    q = clusters.lower_quantiles(clusters.with_distance(clusters.usable(v.gold(spark, sf))), "distance", (0.7, 0.9))
+    return q.select(KEY, "label", F.round("q0", 6).alias("core"), F.round("q1", 6).alias("boundary"))
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(centre[1], 6) as x1, round(centre[64], 6) as x64 from ce")
+def weighted_centroid(spark: SparkSession, sf: str) -> DataFrame:
+    c = clusters.centres(clusters.usable(v.gold(spark, sf)))
+    return c.select(KEY, "label", F.round(F.col("centre")[0], 6).alias("x1"), F.round(F.col("centre")[63], 6).alias("x64"))
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select * from me")
+def cluster_medoid(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.medoids(clusters.with_distance(clusters.usable(v.gold(spark, sf)))).select(KEY, "label", "medoid_id")
+
+
+ANCHORS = """ select recording_id, label, sample_count, medoid_id, round(intra, 4) as intra_mean_dist, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity_score, round(q0, 4) as core_radius, round(q1, 4) as boundary_radius,
+round(conc, 4) as concentration, round(nearest, 4) as nearest_other_dist, round(nearest - round(intra, 4), 4) as margin from an"""
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + ANCHORS)
+def speaker_anchors(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.anchors(v.gold(spark, sf)).drop("centre", "medoid", "accept_radius", "first_id")
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, count(*) as cluster_count, round(sum(dw) / sum(w), 6) as mean_intra_dist, round(avg(conc), 6) as mean_concentration, round(min(nearest), 6) as min_nearest_other_dist from an group by 1")
+def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.cluster_metrics(v.gold(spark, sf))
+
+
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(nearest, 6) as nearest from ne")
+def nearest_other(spark: SparkSession, sf: str) -> DataFrame:
+    n = clusters.nearest_other(clusters.centres(clusters.usable(v.gold(spark, sf))))
+    return n.select(KEY, "label", F.round("nearest", 6).alias("nearest"))
+
+
+@query(v.oracle("v_gold") + ", f as (select recording_id, label, min(vec_id) as first_id from v_gold group by 1, 2) select recording_id, label, row_number() over (partition by recording_id order by first_id) - 1 as compact from f")
+def label_compaction(spark: SparkSession, sf: str) -> DataFrame:
+    f = v.gold(spark, sf).groupBy(KEY, "label").agg(F.min("vec_id").alias("first_id"))
+    return f.select(KEY, "label", (F.row_number().over(Window.partitionBy(KEY).orderBy("first_id")) - 1).cast("long").alias("compact"))
+
+
+@query(v.oracle("v_gold") + ", f as (select recording_id, label, min(start_ms) as s, min(vec_id) as i from v_gold group by 1, 2) select recording_id, label, 'local_spk_' || cast(row_number() over (partition by recording_id order by s, i) - 1 as varchar) as local_label from f")
+def speaker_relabel(spark: SparkSession, sf: str) -> DataFrame:
+    f = v.gold(spark, sf).groupBy(KEY, "label").agg(F.min("start_ms").alias("first_start"), F.min("vec_id").alias("first_id"))
+    return clusters.relabelled(f).select(KEY, "label", "local_label")
+
+
+@query()
+def nme_speaker_count(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.k_candidates(v.gold(spark, sf)).select(KEY, "k_nme").distinct()
+
+
+@query()
+def spherical_kmeans(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.speakers(v.gold(spark, sf)).select(KEY, "vec_id", "label")
+
+
+@query()
+def k_selection(spark: SparkSession, sf: str) -> DataFrame:
+    return clusters.k_candidates(v.gold(spark, sf))
+
+
+# --- assignment --------------------------------------------------------------------------------------------------
+
+TOP2 = """, sd as (select s.recording_id, s.vec_id, label, first_id, least(1 - list_dot_product(s.u, centre) / sqrt(list_dot_product(s.u, s.u)), 1 - list_dot_product(s.u, medoid) / sqrt(list_dot_product(s.u, s.u)) + 0.02e0) as d, round(q0, 4) as core, round(q1, 4) as boundary,
+ round(nearest - round(intra, 4), 4) as anchor_margin, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity, round(conc, 4) as concentration from v_sent s join an using (recording_id)),
+rk as (select *, row_number() over x as place, coalesce(lead(d) over x, 1.0e0) as d2 from sd window x as (partition by recording_id, vec_id order by round(d, 12), first_id)),
+t2 as (select *, d as d1, greatest(0, d2 - d) as margin, greatest(0, d2 - d) / greatest(d, 0.001e0) as relative from rk where place = 1),
+ba as (select s.*, label, d1, d2, margin, relative, core, boundary, anchor_margin, purity, concentration from v_sent s left join t2 using (recording_id, vec_id)),
+stx as (select *, case when d1 is null then 'none' when d1 <= core + 1e-9 and relative >= 0.35 then 'strong' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.20 then 'normal' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.12 then 'tentative' else 'unknown' end as strict_level from ba),
+stt as (select *, case when strict_level = 'none' then 'missing_segment_embedding' when strict_level in ('strong', 'normal') then 'segment_embedding_' || strict_level when strict_level = 'tentative' then 'inside_accept_radius_tentative' when relative < 0.12 then 'margin_too_low' else 'outside_accept_radius' end as strict_reason,
+ round(case strict_level when 'strong' then least(1.0e0, 0.85e0 + least(0.15e0, 0.08e0 * relative)) when 'normal' then least(0.85e0, 0.65e0 + least(0.2e0, 0.1e0 * relative)) else 0 end, 4) as strict_confidence,
+ case when duration_ms < 2000 or speech_ratio < 0.45e0 or loudness_std_db > 18 or loudness_db < -55 then 'poor' when duration_ms >= 5000 and speech_ratio >= 0.65e0 and loudness_std_db <= 12 then 'good' else 'medium' end as band from stx)"""
+RECALL = """, rd as (select *, case when round(d1, 6) = 0 then 1.0e0 else round(d1, 6) end as rd, round(relative, 6) as rr, round(margin, 6) as rm, greatest(core, boundary) as radius from stt),
+dc as (select *, case when strict_level in ('strong', 'normal') then 'low' when d1 is null or band = 'poor' or rd > 0.70e0 then 'unassigned'
+ when strict_level = 'tentative' and rd <= radius + 1e-9 then 'medium:segment_embedding_tentative_recall'
+ when strict_reason = 'outside_accept_radius' or rd > radius + 1e-9 then case when rd <= 0.62e0 + 1e-9 and rd <= radius + 0.08e0 + 1e-9 and (rr >= 0.10e0 or rm >= 0.04e0) then 'high:segment_embedding_outside_radius_recall' else 'unassigned' end
+ when rd <= 0.62e0 + 1e-9 and (rr >= 0.18e0 or rm >= 0.08e0) then 'medium:segment_embedding_relaxed_margin_recall' when rd <= 0.62e0 + 1e-9 and (rr >= 0.10e0 or rm >= 0.04e0) then 'high:segment_embedding_high_risk_margin_recall' else 'unassigned' end as decision from rd),
+fl as (select *, split_part(decision, ':', 1) as risk_level, split_part(decision, ':', 2) as recall_reason,
+ list_filter([case when decision like '%tentative_recall' then 'tentative_margin' end, case when decision like '%outside_radius%' then 'outside_accept_radius' end, case when decision like '%outside_radius%' or decision like '%margin_recall' then 'relaxed_margin_recall' end,
+ case when rd > 0.42e0 then 'high_distance_recall' end, case when rr < 0.18e0 then 'low_relative_margin' end, case when rm < 0.08e0 then 'small_absolute_margin' end, case when band = 'medium' then 'medium_quality_recall' end, case when speech_ratio < 0.65e0 then 'low_density_recall' end,
+ case when loudness_std_db > 12 then 'unstable_loudness_recall' end, case when loudness_db < -50 then 'low_loudness_recall' end, case when coalesce(anchor_margin < 0.08e0, false) or purity < 0.30e0 or concentration < 0.60e0 then 'weak_speaker_anchor' end], lambda x: x is not null) as flags from dc),
+fin as (select *, len(flags) as n, case when risk_level in ('medium', 'high') then 'recalled' when risk_level = 'low' then strict_level else 'unknown' end as level from fl),
+rec as (select *, round(case when risk_level = 'low' then strict_confidence when risk_level = 'high' then greatest(0.42e0, least(0.58e0, 0.48e0 + least(0.06e0, 0.1e0 * rr) + least(0.03e0, 0.25e0 * rm) - 0.01e0 * greatest(0, n - 2)))
+ when risk_level = 'medium' then greatest(0.52e0, least(0.70e0, 0.58e0 + least(0.07e0, 0.12e0 * rr) + least(0.04e0, 0.25e0 * rm) - 0.01e0 * greatest(0, n - 2))) else 0 end, 4) as confidence,
+ round(case when strict_level = 'strong' then 0.05e0 when strict_level = 'normal' then 0.16e0 when risk_level = 'high' then least(0.85e0, 0.61e0 + 0.03e0 * n) when risk_level = 'medium' then least(0.60e0, 0.36e0 + 0.03e0 * n) else 1.0e0 end, 4) as risk_score from fin)"""
+ALL = v.oracle("v_gold", "v_sent") + UNIT + CENTRES + TOP2
+
+
+def _strict(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.strict(assign.top_two(v.sentences(spark, sf), clusters.anchors(v.gold(spark, sf))))
+
+
+@query(ALL + " select recording_id, vec_id, label, round(d1, 6) as d1, round(d2, 6) as d2, round(margin, 6) as margin, round(relative, 5) as relative from ba")
+def segment_top2(spark: SparkSession, sf: str) -> DataFrame:
+    return _strict(spark, sf).select(KEY, "vec_id", "label", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), F.round("margin", 6).alias("margin"), F.round("relative", 5).alias("relative"))
+
+
+@query(ALL + " select recording_id, vec_id, label, strict_level, strict_reason, strict_confidence from stt")
+def strict_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    return _strict(spark, sf).select(KEY, "vec_id", "label", "strict_level", "strict_reason", "strict_confidence")
+
+
+@query(v.oracle("v_sent") + " select band, count(*) as n from (select case when duration_ms < 2000 or speech_ratio < 0.45e0 or loudness_std_db > 18 or loudness_db < -55 then 'poor' when duration_ms >= 5000 and speech_ratio >= 0.65e0 and loudness_std_db <= 12 then 'good' else 'medium' end as band from v_sent) group by 1")
+def quality_bands(spark: SparkSession, sf: str) -> DataFrame:
+    b, _ = assign.band(F.col("duration_ms"), F.col("speech_ratio"), F.col("loudness_std_db"), F.col("loudness_db"))
+    return windows.histogram(v.sentences(spark, sf).withColumn("band", b), "band", "band")
+
+
+@query(ALL + RECALL + " select recording_id, vec_id, level, risk_level, confidence, risk_score, case when level = 'recalled' then array_to_string(flags, ',') else '' end as flags from rec")
+def recall_assignment(spark: SparkSession, sf: str) -> DataFrame:
+    r = assign.recalled(_strict(spark, sf))
+    return r.select(KEY, "vec_id", "level", "risk_level", "confidence", "risk_score", F.when(F.col("level") == "recalled", F.array_join("flags", ",")).otherwise("").alias("flags"))
+
+
+@query(ALL + RECALL + " select level, count(*) as n, count(*) filter (level <> 'unknown') as assigned from rec group by 1")
+def assignment_levels(spark: SparkSession, sf: str) -> DataFrame:
+    return assign.levels(assign.recalled(_strict(spark, sf)))
+
+
+# --- requests ----------------------------------------------------------------------------------------------------
+
+DEDUPED = """, cl as (select *, least(end_ms, start_ms + 3000) as clip_end, row_number() over (partition by recording_id, start_ms, least(end_ms, start_ms + 3000) order by event_id) as place from v_win)"""
+
+
+def _deduplicated(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.deduplicated(v.windows(spark, sf), Candidates(max_clip_ms=3000), "event_id")
+
+
+@query(v.oracle("v_win") + DEDUPED + " select recording_id, start_ms, clip_end, event_id from cl where place = 1")
+def dedupe_windows(spark: SparkSession, sf: str) -> DataFrame:
+    return _deduplicated(spark, sf).select(KEY, "start_ms", "clip_end", "event_id")
+
+
+@query(v.oracle("v_win") + DEDUPED + " select w.event_id, d.event_id as canonical_id from cl w join (select * from cl where place = 1) d on w.recording_id = d.recording_id and w.start_ms = d.start_ms and w.clip_end = d.clip_end")
+def embedding_alias_join(spark: SparkSession, sf: str) -> DataFrame:
+    canonical = _deduplicated(spark, sf).select(KEY, "start_ms", "clip_end", F.col("event_id").alias("canonical_id"))
+    asked = v.windows(spark, sf).withColumn("clip_end", F.least(F.col("end_ms"), F.col("start_ms") + 3000))
+    return asked.join(canonical, [KEY, "start_ms", "clip_end"]).select("event_id", "canonical_id")
+
+
+@query(v.oracle("v_seg", "v_win") + SCORED + " select recording_id, 'sentence:' || cast(input_index as varchar) as request_id, start_ms, end_ms from v_seg where end_ms - start_ms >= 1500 union all select recording_id, 'gold:' || cast(event_id as varchar), start_ms, end_ms from tiered where tier in ('clean', 'usable')")
+def window_union(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf).filter("end_ms - start_ms >= 1500").select(KEY, F.concat(F.lit("sentence:"), F.col("input_index").cast("string")).alias("request_id"), "start_ms", "end_ms")
+    g = windows.gold(windows.scored(v.windows(spark, sf))).filter("skip_reason is null")
+    return s.unionByName(g.select(KEY, F.concat(F.lit("gold:"), F.col("event_id").cast("string")).alias("request_id"), "start_ms", "end_ms"))
+
+
+def _requests(spark: SparkSession, sf: str) -> DataFrame:
+    w = Window.partitionBy(KEY).orderBy("event_id")
+    return v.windows(spark, sf).select(KEY, "event_id", (F.col("duration_ms") * 4).alias("duration_ms"), (F.col("duration_ms") * 128).alias("n_bytes"), F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(v.oracle("v_win").replace("with ", "with recursive ", 1) + """, p as (select recording_id, row_number() over (partition by recording_id order by event_id) as place, duration_ms * 4 as ms, duration_ms * 128 as sz from v_win),
+b as (select recording_id, place, 0 as batch, 1 as n, ms, sz from p where place = 1
+ union all select p.recording_id, p.place, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then b.batch + 1 else b.batch end, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then 1 else b.n + 1 end,
+ case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then p.ms else b.ms + p.ms end, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then p.sz else b.sz + p.sz end from b join p on p.recording_id = b.recording_id and p.place = b.place + 1)
+select recording_id, place, batch from b""")
+def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.batches(_requests(spark, sf))
+
+
+@query()
+def clip_boundaries(spark: SparkSession, sf: str) -> DataFrame:
+    return packing.clips(v.segments(spark, sf), 3)
+
+
+@query()
+def clip_rebase(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return packing.rebased(s, packing.clips(s, 3))
+
+
+# --- evaluation --------------------------------------------------------------------------------------------------
+
+#: A fixed mapping for the queries that don't search for the best one.
+MAP = "select r.recording_id, m.label, m.speaker from (select distinct recording_id from v_seg) r cross join (values ('local_spk_1', 'user'), ('local_spk_2', 'assistant')) m(label, speaker)"
+FRAMES = f""", names as ({MAP}), hyp as (select h.*, coalesce(n.speaker, h.label) as mapped from v_hyp h left join names n on n.recording_id = h.recording_id and n.label = h.label),
+dur as (select recording_id, max(end_ms) as duration_ms from v_seg group by 1), fr as (select recording_id, unnest(generate_series(0, duration_ms - 1, 100)) + 50 as frame_center from dur),
+col as (select distinct fr.recording_id, frame_center from fr join v_seg s on s.recording_id = fr.recording_id and (abs(frame_center - s.start_ms) <= 250 or abs(frame_center - s.end_ms) <= 250)),
+kept as (select * from fr anti join col using (recording_id, frame_center)),
+act as (select recording_id, frame_center, name, max(r) as in_ref, max(h) as in_hyp from (select k.recording_id, frame_center, speaker as name, 1 as r, 0 as h from kept k join v_seg s on s.recording_id = k.recording_id and start_ms <= frame_center and frame_center < end_ms
+ union all select k.recording_id, frame_center, mapped, 0, 1 from kept k join hyp s on s.recording_id = k.recording_id and label <> 'unknown' and start_ms <= frame_center and frame_center < end_ms) group by 1, 2, 3),
+per as (select recording_id, frame_center, sum(in_ref) as r, sum(in_hyp) as h, sum(in_ref * in_hyp) as b from act group by 1, 2),
+dt as (select recording_id, sum(greatest(0, r - h)) as miss, sum(greatest(0, h - r)) as false_alarm, sum(least(r, h) - b) as confusion, sum(r) as reference_frames from per group by 1),
+der as (select d.recording_id, cast(coalesce(miss, 0) as bigint) as miss, cast(coalesce(false_alarm, 0) as bigint) as false_alarm, cast(coalesce(confusion, 0) as bigint) as confusion, cast(coalesce(reference_frames, 0) as bigint) as reference_frames, round(coalesce((miss + false_alarm + confusion) / greatest(1, reference_frames), 0), 6) as der from dur d left join dt using (recording_id)),
+js as (select recording_id, name, sum(in_ref * in_hyp) as b, count(*) as e from act group by 1, 2),
+jer as (select recording_id, round(avg(1 - coalesce(b, 0) / greatest(1, coalesce(e, 0))), 6) as jer from (select distinct recording_id, speaker as name from v_seg) left join js using (recording_id, name) group by 1),
+ov as (select h.recording_id, h.input_index, s.speaker as truth, sum(least(h.end_ms, s.end_ms) - greatest(h.start_ms, s.start_ms)) as o from hyp h join v_seg s on s.recording_id = h.recording_id and s.start_ms < h.end_ms and s.end_ms > h.start_ms group by 1, 2, 3),
+tr as (select recording_id, input_index, arg_max(truth, (o, truth)) as truth from ov group by 1, 2),
+ac as (select recording_id, count(*) as n, count(*) filter (label <> 'unknown') as a, count(*) filter (label <> 'unknown' and mapped = truth) as c from hyp left join tr using (recording_id, input_index) group by 1),
+acc as (select recording_id, n as segments, round(c / greatest(1, a), 6) as assigned_accuracy, round(a / greatest(1, n), 6) as coverage, round((n - a) / greatest(1, n), 6) as unknown_rate from ac),
+cnt as (select recording_id, count(distinct speaker) as r, count(distinct case when label <> 'unknown' then label end) as h from v_hyp group by 1),
+met as (select recording_id, der, jer, case when r = h then 1.0e0 else 0.0e0 end as speaker_count_exact, cast(abs(r - h) as double) as speaker_count_mae, assigned_accuracy, coverage, unknown_rate from der join jer using (recording_id) join acc using (recording_id) join cnt using (recording_id)),
+mac as (unpivot (select round(avg(der), 6) as der, round(avg(jer), 6) as jer, round(avg(speaker_count_exact), 6) as speaker_count_exact, round(avg(speaker_count_mae), 6) as speaker_count_mae, round(avg(assigned_accuracy), 6) as assigned_accuracy, round(avg(coverage), 6) as coverage, round(avg(unknown_rate), 6) as unknown_rate from met) on columns(*) into name metric value actual)"""
+
+
+def _names(spark: SparkSession, sf: str) -> DataFrame:
+    return v.segments(spark, sf).select(KEY).distinct().select(KEY, F.explode(F.create_map(F.lit("local_spk_1"), F.lit("user"), F.lit("local_spk_2"), F.lit("assistant"))).alias("label", "speaker"))
+
+
+def _mapped(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.mapped(v.hypotheses(spark, sf), _names(spark, sf))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select recording_id, count(*) as n_frames from fr group by 1")
+def eval_frames(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return evaluate.frames(s, s).groupBy(KEY).agg(F.count(F.lit(1)).alias("n_frames"))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select recording_id, frame_center from col")
+def eval_collar(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return evaluate.collared(s).join(evaluate.frames(s, s), [KEY, "frame_center"], "left_semi")
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select * from der")
+def der_terms(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.der_terms(v.segments(spark, sf), _mapped(spark, sf))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select * from jer")
+def jer(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.jer(v.segments(spark, sf), _mapped(spark, sf))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select recording_id, input_index, truth from tr")
+def dominant_reference(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return evaluate.dominant_reference(s, s).filter("truth is not null").select(KEY, "input_index", "truth")
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select * from acc")
+def segment_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.accuracy(_mapped(spark, sf), v.segments(spark, sf))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select * from met")
+def recording_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.recording_metrics(v.segments(spark, sf), v.hypotheses(spark, sf), _names(spark, sf))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select metric, actual from mac")
+def macro_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.macro(evaluate.recording_metrics(v.segments(spark, sf), v.hypotheses(spark, sf), _names(spark, sf)))
+
+
+@query(v.oracle("v_hyp") + FRAMES + """, g(metric, operator, threshold) as (values ('der', '<=', 0.30e0), ('jer', '<=', 0.40e0), ('speaker_count_exact', '>=', 0.80e0), ('speaker_count_mae', '<=', 0.30e0), ('assigned_accuracy', '>=', 0.85e0), ('coverage', '>=', 0.80e0), ('unknown_rate', '<=', 0.20e0))
+select metric, actual, operator, threshold, case when operator = '<=' then actual <= threshold else actual >= threshold end as passed from mac join g using (metric)""")
+def gate_results(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.gates(evaluate.recording_metrics(v.segments(spark, sf), v.hypotheses(spark, sf), _names(spark, sf)))
+
+
+@query(v.oracle("v_hyp") + FRAMES + " select h.recording_id, h.label, s.speaker, count(distinct frame_center) as n from fr join v_hyp h on h.recording_id = fr.recording_id and h.label <> 'unknown' and h.start_ms <= frame_center and frame_center < h.end_ms join v_seg s on s.recording_id = fr.recording_id and s.start_ms <= frame_center and frame_center < s.end_ms group by 1, 2, 3")
+def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.cooccurrence(v.segments(spark, sf), v.hypotheses(spark, sf))
+
+
+@query()
+def optimal_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluate.mapping(v.segments(spark, sf), v.hypotheses(spark, sf))
+
+
+SCENARIOS = """with r as (select recording_id, count(distinct speaker) as n, max(end_ms) as duration_ms from v_seg group by 1), w as (select *, max(end_ms) over x as latest, arg_max(speaker, end_ms) over x as who from v_seg window x as (partition by recording_id order by start_ms, end_ms, speaker rows between unbounded preceding and 1 preceding)),
+o as (select recording_id, coalesce(bool_or(start_ms < latest and speaker <> who), false) as has_overlap from w group by 1),
+t as (select unnest([case when n = 1 then 'single_speaker' when n = 2 then 'two_speaker' else 'multi_speaker' end, case when has_overlap then 'overlap' end]) as scenario from r join o using (recording_id))
+select s.scenario, count(t.scenario) as n, greatest(0, 3 - count(t.scenario)) as missing from (values ('single_speaker'), ('two_speaker'), ('multi_speaker'), ('overlap'), ('noisy_or_far_field')) s(scenario) left join t on t.scenario = s.scenario group by 1"""
+
+
+@query(v.oracle("v_seg") + SCENARIOS.replace("with r as", ", r as", 1))
+def dataset_eligibility(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    n = s.groupBy(KEY).agg(F.count_distinct("speaker").alias("n"), F.max("end_ms").alias("duration_ms")).join(intervals.sweep(s), KEY)
+    tags = F.array_compact(F.array(F.when(F.col("n") == 1, "single_speaker").when(F.col("n") == 2, "two_speaker").otherwise("multi_speaker"), F.when(F.col("has_overlap"), "overlap")))
+    return evaluate.eligibility(n.select(KEY, "duration_ms", tags.alias("scenarios")))
+
+
+# --- documents, exports, tasks -----------------------------------------------------------------------------------
+
+CLOCK = "printf('%02d:%02d:%02d{p}%03d', {x} // 3600000, {x} // 60000 % 60, {x} // 1000 % 60, {x} % 1000)"
+
+
+def _clock(x: str, p: str = ".") -> str:
+    return CLOCK.replace("{x}", x).replace("{p}", p)
+
+
+@query(v.oracle("v_hyp") + f" select recording_id, string_agg('[' || {_clock('start_ms')} || ' - ' || {_clock('end_ms')} || '] [' || label || '] ' || text, chr(10) order by start_ms, input_index) || chr(10) as content from v_hyp group by 1")
+def export_txt(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.txt(v.hypotheses(spark, sf))
+
+
+@query(v.oracle("v_hyp") + f", n as (select *, row_number() over (partition by recording_id order by start_ms, input_index) as k from v_hyp) select recording_id, string_agg(cast(k as varchar) || chr(10) || {_clock('start_ms', ',')} || ' --> ' || {_clock('end_ms', ',')} || chr(10) || '[' || label || '] ' || text || chr(10), chr(10) order by k) as content from n group by 1")
+def export_srt(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.srt(v.hypotheses(spark, sf))
+
+
+@query(v.oracle("v_hyp") + f" select recording_id, 'WEBVTT' || chr(10) || chr(10) || string_agg({_clock('start_ms')} || ' --> ' || {_clock('end_ms')} || chr(10) || '[' || label || '] ' || text || chr(10), chr(10) order by start_ms, input_index) as content from v_hyp group by 1")
+def export_vtt(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.vtt(v.hypotheses(spark, sf))
+
+
+@query()
+def export_json(spark: SparkSession, sf: str) -> DataFrame:
+    return exports.result_json(v.hypotheses(spark, sf))
+
+
+@query(v.oracle("v_seg") + """, t as (select recording_id, input_index, start_ms // 1000 * 1000 as s, end_ms // 1000 * 1000 as e, 40000 as duration_ms, trim(replace(text, chr(10), ' ')) as body, speaker as role, case when input_index % 3 = 0 then speaker || '_overlap_overlap' else speaker end as raw from v_seg),
+r as (select *, case when e <= s then least(duration_ms, s + 1000) else e end as e2 from t)
+select recording_id, row_number() over (partition by recording_id order by input_index) - 1 as source_index, s as start_ms, least(e2, duration_ms) as end_ms, role, regexp_replace(raw, '(?:_overlap)+$', '') as speaker, body as text,
+array_to_string(list_filter([case when e <= s then 'zero_duration_expanded_to_1000ms' end, case when e2 > duration_ms then 'end_clamped_to_audio' end, case when input_index % 3 = 0 then 'overlap_suffix_normalized' end], lambda x: x is not null), ',') as flags,
+case when s >= duration_ms then 'start_out_of_bounds' when least(e2, duration_ms) <= s then 'nonpositive_after_repair' end as dropped from r""")
+def transcript_parse(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    second = lambda c: F.substring(tx.clock(F.col(c)), 1, 8)
+    raw = F.when(F.col("input_index") % 3 == 0, F.concat("speaker", F.lit("_overlap_overlap"))).otherwise(F.col("speaker"))
+    line = F.concat(F.lit("**["), second("start_ms"), F.lit("–"), second("end_ms"), F.lit("] "), F.col("speaker"), F.lit(" · "), raw, F.lit("**\n\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("input_index", line.alias("line")))), lambda x: x["line"]), "")
+    doc = s.groupBy(KEY).agg(F.concat(F.lit("# Transcript\n\n"), text).alias("text")).withColumn("duration_ms", F.lit(40_000).cast("long"))
+    return documents.transcript(doc).select(KEY, F.col("source_index").cast("long").alias("source_index"), "start_ms", "end_ms", "role", "speaker", "text", F.array_join("flags", ",").alias("flags"), "dropped")
+
+
+@query("""with u as (select page_id, replace(url, '://', '://user:pw@') || case when contains(url, '?') or contains(url, '#') then '' else '?api_key=abc&page=2' end as url from pages)
+select page_id, regexp_replace(regexp_replace(url, '^([A-Za-z]+://)[^/?#@]*@', '\\1'), '([?&]api_key=)[^&#]*', '\\1<redacted>') as url from u""")
+def url_redaction(spark: SparkSession, sf: str) -> DataFrame:
+    p = v.table(spark, sf, "pages")
+    url = F.concat(F.replace("url", F.lit("://"), F.lit("://user:pw@")), F.when(F.col("url").contains("?") | F.col("url").contains("#"), "").otherwise("?api_key=abc&page=2"))
+    return p.select("page_id", tx.public_url(url).alias("url"))
+
+
+@query("select page_id, case when page_id % 2 = 0 then '/data/' || cast(page_id as varchar) || '/a.wav' else 'C:\\data\\b' || cast(page_id as varchar) || '.wav' end as path, case when page_id % 2 = 0 then 'a.wav' else 'b' || cast(page_id as varchar) || '.wav' end as name from pages")
+def path_basename(spark: SparkSession, sf: str) -> DataFrame:
+    p = v.table(spark, sf, "pages")
+    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/"), F.col("page_id").cast("string"), F.lit("/a.wav"))).otherwise(F.concat(F.lit("C:\\data\\b"), F.col("page_id").cast("string"), F.lit(".wav")))
+    return p.select("page_id", path.alias("path"), F.when(tx.is_absolute(path), tx.basename(path)).alias("name"))
+
+
+@query("select doc_id, sha256(sha256(text) || ':local:' || lang) as digest from documents")
+def content_digest(spark: SparkSession, sf: str) -> DataFrame:
+    return v.table(spark, sf, "documents").select("doc_id", tx.input_digest(F.col("text"), F.lit("local"), F.col("lang")).alias("digest"))
+
+
+@query(v.oracle("v_task") + ", f as (select *, first_value(input_digest) over w as first_digest, row_number() over w as place from v_task window w as (partition by idempotency_key order by created_at_ms, task_id)) select o_orderkey, case when idempotency_key is null or place = 1 then 'created' when input_digest = first_digest then 'replayed' else 'conflict' end as outcome from f")
+def idempotency_conflicts(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.idempotent(v.tasks(spark, sf)).select("o_orderkey", "outcome")
+
+
+@query(v.oracle("v_task") + " select status, count(*) as n, count(*) filter (cancel_requested_at_ms is not null) as cancel_requested, min(created_at_ms) as oldest_ms from v_task group by 1")
+def task_state_summary(spark: SparkSession, sf: str) -> DataFrame:
+    return v.tasks(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("cancel_requested_at_ms").alias("cancel_requested"), F.min("created_at_ms").alias("oldest_ms"))
+
+
+NOW = 820_000_000_000
+
+
+@query(v.oracle("v_task") + f" select o_orderkey, case when status in ('succeeded', 'failed', 'cancelled') and {NOW} - finished_at_ms >= 86400000 then 'expire' when status = 'expired' and {NOW} - expired_at_ms >= 86400000 then 'delete' else 'keep' end as action from v_task")
+def ttl_cleanup(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.ttl_actions(v.tasks(spark, sf), NOW).select("o_orderkey", "action")
+
+
+@query(v.oracle("v_task") + " select o_orderkey, case when status not in ('queued', 'running') then 'none' when cancel_requested_at_ms is not null then 'cancel' when input_mode = 'cloud_asr' then 'fail:CREDENTIAL_LOST' else 'rerun' end as action from v_task")
+def recovery_classification(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.recovery(v.tasks(spark, sf)).select("o_orderkey", "action")
+
+
+@query("""with e as (select user_id, value, epoch_ms(ts) as ms from events)
+select user_id, count(*) as n, round(median(value), 6) as median_value, round(max(value), 6) as max_value, round((arg_max(value, ms) - arg_min(value, ms)) / nullif((max(ms) - min(ms)) / 3600000.0e0, 0), 4) as slope_per_hour from e group by 1""")
+def soak_percentiles(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").withColumn("at", F.unix_millis(F.col("ts").cast("timestamp")))
+    hours = F.nullif((F.max("at") - F.min("at")) / 3600000.0, F.lit(0.0))
+    return e.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.round(F.median("value"), 6).alias("median_value"), F.round(F.max("value"), 6).alias("max_value"), F.round((F.max_by("value", "at") - F.min_by("value", "at")) / hours, 4).alias("slope_per_hour"))
+
+
+@query(v.oracle("v_seg") + ", t as (select recording_id, unnest(generate_series(0, max(end_ms), 1700)) as t from v_seg group by 1) select t.recording_id, t.t, min(s.input_index) as input_index from t join v_seg s on s.recording_id = t.recording_id and s.start_ms <= t.t and t.t < s.end_ms group by 1, 2")
+def playback_lookup(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    at = s.groupBy(KEY).agg(F.max("end_ms").alias("m")).select(KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"), F.lit(1700).cast("long"))).alias("start_ms")).withColumn("end_ms", F.col("start_ms") + 1)
+    pairs = intervals.overlap_join(at, s.select(KEY, "input_index", "start_ms", "end_ms"), bucket_ms=10_000)
+    return pairs.groupBy(KEY, F.col("start_ms").alias("t")).agg(F.min("input_index").alias("input_index"))
+
+
+# --- streams -----------------------------------------------------------------------------------------------------
+
+SESSIONS = """with e as (select user_id, value, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as old from events),
+s as (select *, sum(case when us - old < 1800000000 then 0 else 1 end) over (partition by user_id order by us rows unbounded preceding) as k from e)
+select user_id, min(us) // 1000 as start_ms, (max(us) + 1800000000) // 1000 as end_ms, count(*) as n_events, round(sum(value), 4) as total from s group by user_id, k"""
+
+
+def _stream(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    """A table as a stream; the pattern names a file as well as a folder."""
+    path = f"{sf}/{name}.parquet"
+    return spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{sf}/{name}.parque[t]")
+
+
+@query(SESSIONS)
+def event_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.event_sessions(v.table(spark, sf, "events"))
+
+
+@query(SESSIONS)
+def stream_sessions(spark: SparkSession, sf: str) -> DataFrame:
+    stream = _stream(spark, sf, "events")
+    return sessions.drained(sessions.event_sessions(stream), spark, "complete", "stream_sessions")
+
+
+@query("select event_type, epoch_ms(time_bucket(interval '1 hour', ts)) as start_ms, count(*) as n_events from events group by 1, 2")
+def stream_tumbling(spark: SparkSession, sf: str) -> DataFrame:
+    stream = _stream(spark, sf, "events")
+    return sessions.drained(sessions.event_windows(stream, "1 hour"), spark, "complete", "stream_tumbling")
+
+
+@query("with w as (select event_type, unnest([epoch_ms(time_bucket(interval '30 minutes', ts)), epoch_ms(time_bucket(interval '30 minutes', ts)) - 1800000]) as start_ms from events) select event_type, start_ms, count(*) as n_events from w group by 1, 2")
+def event_sliding(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.event_windows(v.table(spark, sf, "events"), "1 hour", "30 minutes")
+
+
+def _task_events(rows: DataFrame) -> DataFrame:
+    name = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "click", "started").when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "purchase", "succeeded").otherwise(F.when(F.col("event_id") % 3 == 0, "cancel_requested").otherwise("expired"))
+    return rows.select(F.concat_ws("-", F.col("user_id").cast("string"), (F.col("event_id") % 50).cast("string")).alias("task_id"), name.alias("event"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"), F.col("event_id").alias("seq"))
+
+
+@query()
+def task_state_batch(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.task_states_batch(_task_events(v.table(spark, sf, "events")))
+
+
+@query()
+def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
+    stream = _stream(spark, sf, "events")
+    return sessions.drained(sessions.task_states(_task_events(stream)), spark, "update", "stream_task_state")
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
-def oracle_sql() -> dict:
-    return {}
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
