@@ -11,8 +11,7 @@ so that exp() can't underflow; the sum has the same distribution.
 
 Defined cases: a null source is a source of its own; a source that weights don't name, or of weight 0, is left out; a
 source without any text has rate `epochs`; a null text has size 0; a null doc_id is drawn by its text; rows repeated
-with one doc_id get the same count; an empty table gives an empty result. The result has the columns of docs
-(copy, n_copies, rate and shuffle_key replace columns of such names).
+with one doc_id get the same count; an empty table gives an empty result; no other column's name can clash.
 """
 
 from __future__ import annotations
@@ -49,29 +48,34 @@ def rates(docs: DataFrame, weights: dict[str, float] | None = None, epochs: floa
         sizes = sizes.withColumn("weight", F.pow("size", F.lit(TEMPERATURE)))
     else:
         sizes = sizes.withColumn("weight", F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in weights.items() for x in kv]), F.col("source")), F.lit(0.0)) if weights else F.lit(0.0))
-    total = sizes.agg(F.sum("size").alias("all_size"), F.sum(F.when(F.col("size") > 0, F.col("weight")).otherwise(0.0)).alias("all_weight"))
-    rate = F.when(F.col("size") > 0, F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")).otherwise(F.lit(float(epochs)))
-    # One row joins one row per source.
-    return sizes.join(F.broadcast(total)).select("source", "size", "n_docs", F.coalesce(rate, F.lit(0.0)).alias("rate"))
+    weight = F.when(F.col("size") > 0, F.col("weight")).otherwise(0.0)
+    share = F.col("weight") / sizes.agg(F.sum(weight)).scalar()
+    rate = F.when(F.col("size") > 0, F.lit(epochs) * sizes.agg(F.sum("size")).scalar() * share / F.col("size")).otherwise(F.lit(float(epochs)))
+    return sizes.select("source", "size", "n_docs", F.coalesce(rate, F.lit(0.0)).alias("rate"))
 
 
-def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
-    """Every document as often as drawn, in the order of the shuffle."""
-    names = [c for c in docs.columns if c not in ("copy", "n_copies", "rate", "shuffle_key")]
+def shuffled(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
+    """row (a struct of all columns of docs), copy, n_copies, shuffle_key: every document as often as drawn, shuffled."""
     spark = docs.sparkSession
     # Written first, so that the plan knows its size: Spark broadcasts it if it is small, and splits hot sources if not.
     table = publish(rates(docs.select("source", "text"), weights, epochs).select(F.col("source").alias("of_source"), "rate"), scratch(spark, "rates"))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in names]).alias("row")).join(table, F.col("row.source").eqNullSafe(F.col("of_source")))
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")).join(table, F.col("row.source").eqNullSafe(F.col("of_source")))
     name = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce("row.text", F.lit(""))))
     pieces = F.greatest(F.lit(1), F.ceil(F.col("rate") / PIECE).cast("int"))
     one = poisson(uniform(F.lit(seed), name, F.lit("1")), F.col("rate"))
     many = F.aggregate(F.sequence(F.lit(1), pieces), F.lit(0), lambda n, j: n + poisson(uniform(F.lit(seed), name, j.cast("string")), F.col("rate") / pieces))
     rows = rows.withColumn("n_copies", F.when(F.col("rate") <= PIECE, one).otherwise(many).cast("int")).filter("n_copies > 0")
     copies = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    copies = copies.select("row", F.col("copy"), "n_copies", F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))), 1, 16).alias("shuffle_key"))
-    return copies.orderBy("shuffle_key", "row.doc_id", "copy").select("row.*", "copy", "n_copies", "shuffle_key")
+    key = F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.lit("order"), name, F.col("copy").cast("string"))), 1, 16)
+    return copies.select("row", "copy", "n_copies", key.alias("shuffle_key")).orderBy("shuffle_key", "row.doc_id", "copy")
+
+
+def mixed(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
+    """shuffled() with the columns of docs apart; copy, n_copies and shuffle_key replace columns of such names."""
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("copy", "n_copies", "shuffle_key")]
+    return shuffled(docs, weights, epochs, seed).select(*own, "copy", "n_copies", "shuffle_key")
 
 
 def mixed_documents(docs: DataFrame, weights: dict[str, float] | None = None, epochs: float = 1.0, seed: str = SEED) -> DataFrame:
-    """mixed() with the columns of docs only."""
-    return mixed(docs, weights, epochs, seed).select(*[f"`{c}`" for c in docs.columns])
+    """shuffled() with the columns of docs only."""
+    return shuffled(docs, weights, epochs, seed).select("row.*")
