@@ -65,6 +65,8 @@ def retained(spark: SparkSession, feed_path: str, state_path: str, bytes_per_tri
     session = spark.newSession()
     session.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     session.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Each store would set aside some MB of disk for its logs, which counts where there are many small stores.
+    session.conf.set("spark.sql.streaming.stateStore.rocksdb.allowFAllocate", "false")
     session.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")
     session.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
     schema = spark.read.parquet(feed_path).schema
