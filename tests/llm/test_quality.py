@@ -49,12 +49,12 @@ def test_measures_of_whole_texts():
     """A text's passages don't depend on its neighbours, and a long one is measured to its end."""
     texts = ["One two three", None, "", "a b " * 300_000 + "END!!", "x" * 10]
     together = {}
-    for x, bags in quality.passages(pa.array(texts)):
+    for x, bags in quality.passages(pa.array(texts, pa.string())):
         for i in set(bags.tolist()):
             together[i] = x[bags == i]
     assert sorted(together) == [0, 1, 2, 3, 4]
     for i, t in enumerate(texts):
-        alone = np.concatenate([x for x, _ in quality.passages(pa.array([t]))])
+        alone = np.concatenate([x for x, _ in quality.passages(pa.array([t], pa.string()))])
         assert np.array_equal(alone, together[i])
     assert len(together[3]) >= 600_001 // quality.WORDS
 

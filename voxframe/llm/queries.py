@@ -71,5 +71,17 @@ select doc_id, keep_id, cast(group_size as bigint) as group_size, place = 1 as k
 """
 
 
+#: Holds while no rate exceeds mixing.PIECE, beyond which a count is the sum of several draws.
+SOURCE_MIXING = """
+with s as (select source, coalesce(sum(length(text)), 0) as size from documents group by 1), w as (select *, power(size, 0.7e0) as weight from s),
+r as (select source, case when size > 0 then sum(size) over () * (weight / sum(case when size > 0 then weight else 0 end) over ()) / size else 1.0e0 end as rate from w),
+k as (select source, rate, unnest(range(0, 130)) as k from r), c as (select source, k, sum(exp(-rate + k * ln(rate) - lgamma(k + 1))) over (partition by source order by k) as upto from k),
+d as (select *, cast('0x' || substr(md5('mix-1:' || cast(doc_id as varchar) || ':1'), 1, 13) as bigint) / 4503599627370496.0e0 as u from documents),
+n as (select d.doc_id, d.text, d.lang, d.source, d.n_chars, cast(count(*) as int) as n_copies from d join c on c.source is not distinct from d.source and c.upto <= d.u group by all),
+e as (select *, cast(unnest(range(1, n_copies + 1)) as int) as copy from n)
+select doc_id, text, lang, source, n_chars, copy, n_copies, substr(md5('mix-1:order:' || cast(doc_id as varchar) || ':' || cast(copy as varchar)), 1, 16) as shuffle_key from e
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_exact_dedup": EXACT_DEDUP}
+    return {"op9_source_mixing": SOURCE_MIXING, "op10_exact_dedup": EXACT_DEDUP}
