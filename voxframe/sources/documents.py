@@ -55,7 +55,7 @@ def transcript(raw: DataFrame, text: str = "text", duration: str = "duration_ms"
     bodies = F.slice(F.split(F.col(text), HEADING), 2, F.size(part(1)))
     rows = raw.select("recording_id", duration, F.posexplode(F.arrays_zip(part(1).alias("a"), part(2).alias("b"), part(3).alias("role"), part(4).alias("raw_speaker"), bodies.alias("body"))).alias("source_index", "h"))
     h = [F.col("h").getField(n) for n in ("a", "b", "role", "raw_speaker", "body")] if "a" in rows.schema["h"].dataType.names else [F.col("h").getField(str(i)) for i in range(5)]
-    lines = F.filter(F.transform(F.split(h[4], r"\r?\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(h[4], r"\r?\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
     rows = rows.select("recording_id", F.col(duration).alias("duration_ms"), "source_index", clock_ms(h[0]).alias("start_ms"), clock_ms(h[1]).alias("stated_end"), F.trim(h[2]).alias("role"), h[3].alias("raw_speaker"), without_overlap_suffix(h[3]).alias("speaker"), F.array_join(lines, "\n").alias("text"))
     short = F.col("stated_end") <= F.col("start_ms")
     end = F.when(short, F.least(F.col("duration_ms"), F.col("start_ms") + 1000)).otherwise(F.col("stated_end"))
@@ -95,7 +95,7 @@ PROBE = "recording string, bytes bigint, sha256 string, codec string, duration_m
 
 
 def probed(spark: SparkSession, path: str, min_ms: int = 400, max_ms: int = 4 * 3600 * 1000) -> DataFrame:
-    """WAV files' facts from their headers; error is null for files that may be analysed."""
+    """WAV files' facts from their headers; error is null for files that may be analysed. Spark's source passes over empty files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
