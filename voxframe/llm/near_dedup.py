@@ -9,9 +9,12 @@ adjacent words (`width` words each). Two documents are linked when 100 * |A and
 3. In each bucket the member that shares most buckets with others is the centre, and only pairs with the centre are
    candidates: as many as members, not as their square. Signatures discard what can't reach the threshold, and the
    full sets confirm the rest.
-4. Alternating large-star and small-star gives components. A bucket whose members lie in several components may
-   still hide a link between two of them, so further rounds take another centre there, and a last round compares
-   what is left across components. No link between bucket members is lost.
+4. Alternating large-star and small-star gives components.
+5. A bucket whose members lie in several components may still hide a link between two that are no centre. All nodes
+   of such buckets are joined exactly, across components: of each set the rarest (1 - threshold) * n + 1 shingles are
+   taken, linked sets share one of these, and a match at places i and j allows at most min(n_a - i, n_b - j) common
+   shingles, which drops what can't reach the threshold inside the join. So groups of near-duplicates of any size
+   need no pairs, and no link between members of a bucket is lost.
 
 At the threshold a pair shares a bucket with probability 1 - (1 - 0.8^7)^56 = 1 - 2e-6.
 
@@ -37,7 +40,8 @@ ROWS, BANDS, SEED = 7, 56, 20240229
 TILE = 2048
 #: A pair at the threshold agrees in fewer than this share of ROWS * BANDS minima with probability 1e-9.
 SLACK = 0.12
-ROUNDS = 3
+#: Shingles are ranked by a table of so many counters; the ranking's quality, not the result, depends on it.
+SLOTS = 1 << 20
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers for mixing 64-bit words.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -172,6 +176,48 @@ def linked(percent: int):
     return run
 
 
+def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(members) -> slot, n: how many shingles fall in each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for part in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            x = np.concatenate([np.frombuffer(m.as_buffer(), np.uint64) for m in part.column(0)])
+            total += np.bincount((x % np.uint64(SLOTS)).astype(np.int64), minlength=SLOTS)
+    slots = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(total[slots])], ["slot", "n"])
+
+
+def prefixes(percent: int, often: np.ndarray):
+    """(node, component, members) -> shingle, node, component, n, place: the rarest shingles of each set that others may have."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in (batch.slice(i, 64) for i in range(0, batch.num_rows, 64)):
+                out = []
+                for node, component, x in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
+                    x = np.frombuffer(x.as_buffer(), np.uint64)
+                    n = often[(x % np.uint64(SLOTS)).astype(np.int64)]
+                    order = np.lexsort((x, n))[: len(x) - -(-percent * len(x) // 100) + 1]
+                    place = np.flatnonzero(n[order] > 1)  # a slot used once is no other set's
+                    out.append((x[order[place]].view(np.int64), np.full(len(place), node), np.full(len(place), component), np.full(len(place), len(x)), place))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "node", "component", "n", "place"])
+
+    return run
+
+
+def exact_candidates(nodes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) of nodes (node, component, members) of different components that may be linked; none that is linked is missing."""
+    # At most SLOTS rows of two numbers reach the driver, and as many counters each task.
+    often = np.zeros(SLOTS, np.int64)
+    for r in nodes.select("members").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
+        often[r.slot] = r.n
+    rows = nodes.select("node", "component", "members").mapInArrow(prefixes(percent, np.minimum(often, 2**31 - 1).astype(np.int32)), "shingle long, node long, component long, n long, place long")
+    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "place")]) for k in ("u", "v"))
+    both = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
+    fits = (both * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
+    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+
+
 def components(edges: DataFrame, work: str) -> DataFrame:
     """node, component (the least node reachable) for every node of edges (u, v), by large-star and small-star in turn."""
     spark = edges.sparkSession
@@ -201,57 +247,44 @@ def components(edges: DataFrame, work: str) -> DataFrame:
 def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
-    work = scratch(spark, "near")
+    work, out_path = scratch(spark, "near"), scratch(spark, "near-out")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = publish(docs.mapInArrow(signed(width), "doc_id long, n_shingles long, set_key binary, signature binary, bands array<bigint>"), f"{work}/rows")
     classes = publish(rows.filter("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("node")), f"{work}/classes")
     chosen = rows.join(classes, "set_key").filter("doc_id = node")
     banded = chosen.select("node", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    members = publish(banded.join(shared, "bucket"), f"{work}/members0")
-    reach = members.groupBy("node").agg(F.sum(F.col("members") - 1).alias("reach"))
-    members = publish(members.join(reach, "node").select("bucket", "node", "reach", F.lit(False).alias("centre")), f"{work}/members")
-    signatures = publish(chosen.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("signature").alias("signature")), f"{work}/signatures")
-
-    def confirmed(pairs: DataFrame, name: str) -> DataFrame:
-        """pairs (u, v), distinct -> the linked ones."""
-        signs = pairs.join(signatures.select(F.col("node").alias("u"), F.col("signature").alias("of_u")), "u").join(signatures.select(F.col("node").alias("v"), F.col("signature").alias("of_v")), "v")
-        likely = publish(signs.select("u", "v", "of_u", "of_v").mapInArrow(alike(percent), "u long, v long"), f"{work}/likely{name}")
-        needed = likely.select(F.col("u").alias("node")).union(likely.select("v")).distinct()
-        texts = docs.withColumnRenamed("doc_id", "node").join(needed, "node", "left_semi").select("node", "text")
-        full = publish(texts.mapInArrow(sets(width), "node long, members binary").dropDuplicates(["node", "members"]), f"{work}/sets{name}")
-        pairs = likely.join(full.select(F.col("node").alias("u"), F.col("members").alias("of_u")), "u").join(full.select(F.col("node").alias("v"), F.col("members").alias("of_v")), "v")
-        found = publish(pairs.select("u", "v", "of_u", "of_v").mapInArrow(linked(percent), "u long, v long"), f"{work}/links{name}")
-        remove(spark, f"{work}/sets{name}")
-        return found
-
-    links, joined = None, None
-    for turn in range(ROUNDS + 1):
-        if turn == ROUNDS:  # what no centre has joined is compared across components
-            a, b = (members.select("bucket", F.col("node").alias(n), F.col("component").alias(f"of_{n}"), F.col("centre").alias(f"was_{n}")) for n in ("u", "v"))
-            pairs = a.join(b, "bucket").filter("u < v and of_u <> of_v and not was_u and not was_v").select("u", "v").distinct()
-        else:
-            order = F.struct("reach", (-F.col("node")).alias("less"))
-            best = members.filter("not centre").groupBy("bucket").agg(F.max(order).alias("best")).select("bucket", (-F.col("best.less")).alias("u"))
-            pairs = members.join(best, "bucket").filter("node <> u and not centre").select("u", F.col("node").alias("v"), *(["component"] if turn else []))
-            if turn:
-                pairs = pairs.join(joined.select(F.col("node").alias("u"), F.col("component").alias("of_u")), "u", "left").filter("component <> coalesce(of_u, u)")
-            pairs = pairs.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
-        found = confirmed(publish(pairs, f"{work}/pairs{turn}"), str(turn))
-        links = found if links is None else links.union(found)
-        joined = publish(components(links, f"{work}/stars{turn}"), f"{work}/joined{turn}")
-        if turn == ROUNDS:
-            break
-        # Members of a bucket that has one component, or only one member that was no centre, need no further look.
-        seen = members.join(best, "bucket").select("bucket", "node", "reach", (F.col("centre") | (F.col("node") == F.col("u"))).alias("centre"))
-        seen = seen.join(joined, "node", "left").select("bucket", "node", "reach", "centre", F.coalesce("component", "node").alias("component"))
-        rest = seen.filter("not centre").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
-        members = publish(seen.join(rest.select("bucket"), "bucket", "left_semi"), f"{work}/members{turn + 1}")
-        if members.isEmpty():
-            break
+    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    members = publish(banded.join(shared, "bucket"), f"{work}/members")
+    reach = members.groupBy("node").agg(F.sum(F.col("size") - 1).alias("reach"))
+    best = members.join(reach, "node").groupBy("bucket").agg(F.max(F.struct("reach", (-F.col("node")).alias("less"))).alias("best")).select("bucket", (-F.col("best.less")).alias("centre"))
+    pairs = members.join(best, "bucket").filter("node <> centre").select(F.least("node", "centre").alias("u"), F.greatest("node", "centre").alias("v")).distinct()
+    pairs = publish(pairs, f"{work}/pairs")
+    nodes = members.select("node").distinct()
+    full = publish(docs.withColumnRenamed("doc_id", "node").join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sets(width), "node long, members binary").dropDuplicates(["node", "members"]), f"{work}/sets")
+    signatures = chosen.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("signature").alias("of"))
+
+    def both_sides(pairs: DataFrame, table: DataFrame, value: str) -> DataFrame:
+        for k in ("u", "v"):
+            pairs = pairs.join(table.select(F.col("node").alias(k), F.col(value).alias(f"of_{k}")), k)
+        return pairs.select("u", "v", "of_u", "of_v")
+
+    likely = both_sides(pairs, signatures, "of").mapInArrow(alike(percent), "u long, v long")
+    links = publish(both_sides(publish(likely, f"{work}/likely"), full, "members").mapInArrow(linked(percent), "u long, v long"), f"{work}/links")
+    joined = publish(components(links, f"{work}/stars"), f"{work}/joined")
+
+    # Pairs of two members are tested; of larger buckets those are settled whose members are one component.
+    seen = members.filter("size > 2").join(joined, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("component"))
+    open_ = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
+    rest = publish(seen.join(open_, "bucket", "left_semi").select("node", "component").distinct().join(full, "node"), f"{work}/rest")
+    if not rest.isEmpty():
+        more = publish(exact_candidates(rest, percent), f"{work}/more")
+        found = publish(both_sides(more, full, "members").mapInArrow(linked(percent), "u long, v long"), f"{work}/found")
+        if not found.isEmpty():
+            edges = found.union(joined.filter("node <> component").select("node", "component"))
+            joined = publish(components(edges, f"{work}/stars-again"), f"{work}/joined-again")
     answer = rows.select("doc_id", "n_shingles", "set_key").join(classes.join(joined, "node", "left").select("set_key", F.coalesce("component", "node").alias("component_id")), "set_key", "left")
     answer = answer.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-    out = publish(answer.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), scratch(spark, "near-out"))
+    out = publish(answer.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))), out_path)
     remove(spark, work)
     return out
 
