@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
-from voxframe.operators import assign, clusters, evaluate, intervals, packing, timeline, windows
+from voxframe.operators import assign, clusters, evaluate, intervals, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
 from voxframe.params import Candidates
 from voxframe.plans import views as v
@@ -679,6 +679,101 @@ def playback_lookup(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy(KEY, F.col("start_ms").alias("t")).agg(F.min("input_index").alias("input_index"))
 
 
+# --- requests and small views ------------------------------------------------------------------------------------
+
+REQ = "with q as (select event_id, user_id % 20 as recording_id, (event_id * 7919) % 3000000 as \"offset\", 2 * ((event_id * 104729) % 600000) as length from events)"
+
+
+def _embed(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events")
+    rows = e.select("event_id", (F.col("user_id") % 20).alias(KEY), ((F.col("event_id") * 7919) % 3_000_000).alias("offset"), (2 * ((F.col("event_id") * 104_729) % 600_000)).alias("length"))
+    return requests.embed_status(rows, F.lit(3_200_000))
+
+
+STATUS = REQ + """, s as (select *, case when "offset" + length > 3200000 then 'invalid_boundary' when length // 2 < 6400 then 'too_short' else 'accepted' end as status from q), a as (select *, case when status = 'accepted' then least(length // 2, 480000) end as samples from s)"""
+
+
+@query(STATUS + " select event_id, status, samples from a")
+def embed_request_status(spark: SparkSession, sf: str) -> DataFrame:
+    return _embed(spark, sf).select("event_id", "status", "samples")
+
+
+@query(STATUS + " select event_id, recording_id, row_number() over (partition by recording_id order by samples, event_id) as place from a where status = 'accepted'")
+def length_buckets(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.length_ordered(_embed(spark, sf).filter("status = 'accepted'"), "event_id").select("event_id", KEY, "place")
+
+
+@query("select o_orderkey, epoch_ms(o_orderdate) <= 820000000000 as deadline_exceeded from orders")
+def deadline_drop(spark: SparkSession, sf: str) -> DataFrame:
+    o = v.table(spark, sf, "orders").select("o_orderkey", F.unix_millis(F.col("o_orderdate").cast("timestamp")).alias("deadline_ms"))
+    return requests.within_deadline(o, F.lit(NOW)).select("o_orderkey", "deadline_exceeded")
+
+
+@query(v.oracle("v_frame") + ", r as (select recording_id, start_ms + 250 as s, start_ms + 900 as e from v_frame where event_id % 11 = 0) select event_id, case when exists (select 1 from r where r.recording_id = f.recording_id and r.s < f.end_ms and r.e > f.start_ms) then greatest(2, active) else active end as active from v_frame f")
+def detected_overlap(spark: SparkSession, sf: str) -> DataFrame:
+    f = v.frames(spark, sf)
+    r = f.filter("event_id % 11 = 0").select(KEY, (F.col("start_ms") + 250).alias("start_ms"), (F.col("start_ms") + 900).alias("end_ms"))
+    return requests.with_detected_overlap(f, r).select("event_id", "active")
+
+
+@query("with p as (select vec_id, unnest(embedding[1:6]::double[]) as row, unnest(range(6)) as frame, 900 + vec_id as duration_ms from embeddings) select vec_id, cast(frame as int) as frame, cast(round_even(frame * (duration_ms / 6.0e0), 0) as bigint) as start_ms, cast(round_even((frame + 1) * (duration_ms / 6.0e0), 0) as bigint) as end_ms from p")
+def prediction_frames(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 6).alias("rows"), (900 + F.col("vec_id")).alias("duration_ms"))
+    return requests.prediction_frames(e, F.col("duration_ms")).select("vec_id", "frame", "start_ms", "end_ms")
+
+
+@query("""with m as (select cast(doc_id as varchar) as id, case when doc_id % 3 = 0 then source end as source, case when doc_id % 4 = 0 then lang end as grade, case when doc_id % 5 < 2 then source when doc_id % 5 = 2 then 'other' end as rs, case when doc_id % 7 = 0 then 'en' end as rg from documents)
+select id, coalesce(source, rs, id) as source, coalesce(grade, rg) as grade, case when source <> rs or grade <> rg then 'EVALUATION_PROVENANCE_MISMATCH' end as error from m""")
+def provenance_reconcile(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.table(spark, sf, "documents")
+    m = d.selectExpr("cast(doc_id as string) id", "case when doc_id % 3 = 0 then source end source", "case when doc_id % 4 = 0 then lang end grade", "case when doc_id % 5 < 2 then source when doc_id % 5 = 2 then 'other' end reference_source", "case when doc_id % 7 = 0 then 'en' end reference_grade")
+    return requests.provenance(m)
+
+
+@query("with u as (select user_id, event_type || '-' || cast(event_id % 40 as varchar) as task, max(epoch_us(ts) // 1000) as at_ms from events group by 1, 2) select user_id, task, row_number() over (partition by user_id order by at_ms desc, task) as place from u qualify place <= 20")
+def recent_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").select("user_id", F.concat_ws("-", "event_type", (F.col("event_id") % 40).cast("string")).alias("task"), F.unix_millis(F.col("ts").cast("timestamp")).alias("at_ms"))
+    return requests.recent(e).select("user_id", "task", "place")
+
+
+@query(v.oracle("v_seg") + ", f as (select recording_id, speaker, min((start_ms, input_index)) as first from v_seg group by 1, 2) select recording_id, speaker, (row_number() over (partition by recording_id order by first) - 1) % 6 as colour from f")
+def speaker_colours(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.colours(v.segments(spark, sf))
+
+
+@query("select distinct label as k, vec_id % 9 + 1 as n, array_to_string(list_sort(list_distinct([greatest(1, least(6, n, label - 1)), greatest(1, least(6, n, label)), greatest(1, least(6, n, label + 1))])), ',') as ks from embeddings")
+def candidate_ks(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "embeddings").select(F.col("label").alias("k"), (F.col("vec_id") % 9 + 1).alias("n")).distinct()
+    return requests.candidate_ks(e).withColumn("ks", F.array_join(F.transform("ks", lambda x: x.cast("string")), ","))
+
+
+@query("with w as (select url as path, length(html) as size, sha256(html) as sha from pages), f as (select url as path, length(html) + case when page_id % 10 = 0 then 1 else 0 end as size, sha256(html) as sha from pages where page_id % 13 <> 0) select path, size from w anti join f using (path, size, sha)")
+def file_verification(spark: SparkSession, sf: str) -> DataFrame:
+    p = v.table(spark, sf, "pages")
+    wanted = p.select(F.col("url").alias("path"), F.length("html").cast("long").alias("size"), F.sha2("html", 256).alias("sha256"))
+    found = p.filter("page_id % 13 <> 0").select(F.col("url").alias("path"), (F.length("html") + (F.col("page_id") % 10 == 0).cast("int")).cast("long").alias("size"), F.sha2("html", 256).alias("sha256"))
+    return requests.unverified(wanted, found).select("path", "size")
+
+
+@query(v.oracle("v_seg") + """, w as (select *, max(end_ms) over x as latest, arg_max(speaker, end_ms) over x as who from v_seg window x as (partition by recording_id order by start_ms, end_ms, speaker rows between unbounded preceding and 1 preceding)),
+o as (select recording_id, coalesce(bool_or(start_ms < latest and speaker <> who), false) as has_overlap, count(distinct speaker) as n, bool_or(contains(speaker, 'system')) as marked from w group by 1)
+select recording_id, array_to_string(list_filter([case when n = 1 then 'single_speaker' when n = 2 then 'two_speaker' else 'multi_speaker' end, case when has_overlap then 'overlap' end, case when marked then 'noisy_or_far_field' end], lambda x: x is not null), ',') as scenarios from o""")
+def scenario_tags(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    return requests.scenario_tags(s.withColumn("role", F.col("speaker")), intervals.sweep(s), ("system",)).withColumn("scenarios", F.array_join("scenarios", ","))
+
+
+@query(v.oracle("v_seg") + ", d as (select recording_id, max(end_ms) as duration_ms from v_seg group by 1), c as (select *, unnest(generate_series(0, duration_ms - 1, 30000)) as start_ms from d) select recording_id, start_ms, least(duration_ms, start_ms + 30000) as end_ms from c")
+def pcm_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.segments(spark, sf).groupBy(KEY).agg(F.max("end_ms").alias("duration_ms"))
+    return requests.chunks(d).select(KEY, "start_ms", "end_ms")
+
+
+@query()
+def public_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.public_tasks(v.tasks(spark, sf))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 SESSIONS = """with e as (select user_id, value, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as old from events),
