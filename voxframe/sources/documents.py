@@ -21,6 +21,7 @@ TASK = "task_id string, status string, stage string, created_at_ms bigint, updat
 #: What may be analysed.
 CODECS = ("mp3", "aac", "flac", "vorbis", "opus", "alac", "wmav2")
 CONTAINERS = ("wav", "mp3", "flac", "ogg", "mov", "mp4", "m4a", "3gp", "3g2", "mj2", "aac", "asf", "matroska", "webm", "aiff")
+#: Fixed value: the line before each segment of a transcript.
 HEADING = r"(?m)^\*\*\[(\d{2}:\d{2}:\d{2})[–-](\d{2}:\d{2}:\d{2})\] (.*?) · (.*?)\*\*[ \t]*$"
 
 

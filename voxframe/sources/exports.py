@@ -10,6 +10,10 @@ from voxframe.functions.text import clock
 from voxframe.operators.intervals import KEY
 
 
+#: Fixed value: the format's name.
+RESULT = "voice_analysis_result_v1"
+
+
 def prefix(confidence: bool = False, reason: bool = False, risk: bool = False) -> Column:
     parts = [F.concat(F.lit("["), F.col("label"), F.lit("]"))]
     if confidence:
@@ -49,7 +53,7 @@ def result_json(rows: DataFrame) -> DataFrame:
     """One result document per recording; fields without a value are left out."""
     segment = F.struct(F.col("input_index"), F.struct("start_ms", "end_ms", "text").alias("normalized"), F.struct("label").alias("assignment"))
     ordered = F.array_sort(F.collect_list(F.struct("start_ms", "input_index", segment.alias("segment"))))
-    body = F.to_json(F.struct(F.lit("voice_analysis_result_v1").alias("schema_version"), F.transform(F.first("all"), lambda x: x["segment"]).alias("segments")), {"ignoreNullFields": "true"})
+    body = F.to_json(F.struct(F.lit(RESULT).alias("schema_version"), F.transform(F.first("all"), lambda x: x["segment"]).alias("segments")), {"ignoreNullFields": "true"})
     return rows.groupBy(KEY).agg(ordered.alias("all")).groupBy(KEY).agg(body.alias("content"))
 
 
