@@ -21,10 +21,13 @@ text; an empty table gives an empty result; other columns are never read.
 from __future__ import annotations
 
 import os
+import re
 import string
 import struct
+import unicodedata
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,53 @@ from voxframe.llm.shared import publish, scratch
 
 MAGIC, CHUNK, BLOCK, FILE = b"IDLEVEL1", 8, 512, 16 << 20
 TOKENIZER, END = public_tokenizers.path("word_bpe_49k.json"), 2
-KEPT_WORDS, KEPT_PARTS = 250_000, 600_000
+KEPT = 500_000
+
+
+#: The byte-level alphabet: printable characters of Latin-1 stand for themselves, the others for those from 256 on.
+_SHIFTED = [b for b in range(256) if not (33 <= b <= 126 or 161 <= b <= 172 or b >= 174)]
+ALPHABET = {b: chr(256 + k) for k, b in enumerate(_SHIFTED)}
+LATIN = "\u024f"
+#: A full stop or comma at a word's end that other punctuation may be joined with.
+LONE = re.compile(r"[.,] (?<![a-z0-9\xdf-\xf6\xf8-\xff][.,] )")
+
+
+class Words(dict):
+    """Ids of words, encoded when first asked for.
+
+    When many are kept the table becomes the old one, from which those asked for again move on.
+    """
+
+    def __init__(self, tokenizer: Tokenizer):
+        super().__init__({"": b""})
+        self.tokenizer, self.model, self.old = tokenizer, tokenizer.model, {}
+
+    def renew(self) -> None:
+        if len(self) > KEPT:
+            self.old = dict(self)
+            self.clear()
+            self[""] = b""
+
+    def __missing__(self, word: str) -> bytes:
+        ids = self.old.get(word)
+        self[word] = ids = self.encoded(word) if ids is None else ids
+        return ids
+
+    def encoded(self, word: str) -> bytes:
+        """A word of letters and the ASCII punctuation behind it are parts that the tokenizer never joins. Small Latin letters
+        pass its normaliser and splitter unchanged, so the model alone is asked for them, in its byte-level alphabet."""
+        if word.isascii() and word.isalpha() and word.islower():
+            return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
+        stem = word.rstrip(string.punctuation)
+        if stem.isalpha() and (stem.isascii() or (max(stem) <= LATIN and unicodedata.is_normalized("NFC", stem))):
+            low = stem.lower()
+            if low.isalpha():
+                if len(stem) < len(word):
+                    return self[low] + self[word[len(stem) :]]
+                if low != word:
+                    return self[low]
+                return array("I", [t.id for t in self.model.tokenize(low.encode().decode("latin-1").translate(ALPHABET))]).tobytes()
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 class Encoder:
@@ -48,37 +97,28 @@ class Encoder:
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        self.tokenizer, self.end = Tokenizer.from_file(path), struct.pack("<I", end)
-        self.words: dict[str, bytes] = {"": b""}
-        self.parts: dict[str, bytes] = {}
+        self.words, self.end = Words(Tokenizer.from_file(path)), struct.pack("<I", end)
 
     @staticmethod
-    def split(word: str) -> tuple[str, ...]:
-        """Parts that the tokenizer never joins."""
-        stem = word.rstrip(string.punctuation)
-        if not stem.isalpha() or "Σ" in stem or "İ" in stem:
-            return (word,)
-        stem, tail = stem.lower(), word[len(stem) :]
-        return (stem, tail) if tail else (stem,)
+    def cut(text: str) -> list[str]:
+        """Words that are encoded one by one. In Latin-1 texts words are told apart in small letters only, and full stops and
+        commas behind letters or digits are words of their own: fewer words are to be kept, and the ids are the same. Texts
+        that could hold a special token's string are left as they are."""
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text.replace("\n", " ").split(" ")
+        if "<|" in text:
+            return text.replace("\n", " ").split(" ")
+        text = text.lower().replace("\n", " ")
+        if not LONE.search(text):
+            text = text.replace(". ", " . ").replace(", ", " , ")
+        return text.split(" ")
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        if len(self.words) > KEPT_WORDS:
-            self.words = {"": b""}
-        if len(self.parts) > KEPT_PARTS:
-            self.parts = {}
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        new = {}
-        for words in split:
-            for w in words:
-                if w not in self.words and w not in new:
-                    new[w] = self.split(w)
-        missing = list({p for parts in new.values() for p in parts} - self.parts.keys())
-        for part, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.parts[part] = np.array(e.ids, "<u4").tobytes()
-        for w, parts in new.items():
-            self.words[w] = b"".join([self.parts[p] for p in parts])
+        self.words.renew()
         get = self.words.__getitem__
-        return [b"".join(map(get, words)) + self.end for words in split]
+        return [b"".join(map(get, self.cut(t or ""))) + self.end for t in texts]
 
 
 def build(doc_ids: list, encoded: list[bytes]) -> bytes:
@@ -178,7 +218,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
             return row
 
         for batch in batches:
-            for rows in (batch.slice(i, 256) for i in range(0, batch.num_rows, 256)):
+            for rows in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
                 for doc_id, e in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     held.append(e)
@@ -212,7 +252,8 @@ def documents(files: DataFrame) -> DataFrame:
             for url, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 f = open_file(url)
                 starts = np.concatenate([[0], f.ends[:-1]])
-                crcs = [zlib.crc32(f.document(k).astype("<u4").tobytes()) for k in range(len(f.ends))]
+                ids = memoryview(f.ids(0, f.size).astype("<u4").tobytes())
+                crcs = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), f.ends.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(f.doc_ids, pa.int64()), pa.array(starts + base), pa.array(f.ends - starts), pa.array(crcs, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     # One row per file: a running sum over a few rows.
