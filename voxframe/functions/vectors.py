@@ -36,6 +36,11 @@ def cosine(a: Column, b: Column) -> Column:
     return F.coalesce(F.when(valid(a) & valid(b), dot(a, b) / norm(a) / norm(b)), F.lit(0.0))
 
 
+def unit_cosine(a: Column, b: Column) -> Column:
+    """cosine() of vectors that are of length 1 or null."""
+    return F.coalesce(dot(a, b), F.lit(0.0))
+
+
 def rms_db(power: Column) -> Column:
     """Decibels of a mean square of 16-bit samples."""
     return F.when(power.isNull() | (power <= 0), F.lit(-120.0)).otherwise(20 * F.log10(F.sqrt(power) / 32768))

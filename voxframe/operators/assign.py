@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.functions.vectors import cosine, unit
+from voxframe.functions.vectors import unit, unit_cosine
 from voxframe.operators.intervals import KEY
 from voxframe.params import Assignment, Clusters
 
@@ -15,7 +15,7 @@ def top_two(sentences: DataFrame, anchors: DataFrame, p: Clusters = Clusters())
     anchor), margin and relative margin. A recording has few anchors; rows without a vector or anchor have nulls."""
     s = sentences.withColumn("u", unit(F.col("embedding").cast("array<double>")))
     a = anchors.select(KEY, "label", "first_id", "centre", "medoid", "core_radius", "boundary_radius", "accept_radius", F.col("margin").alias("anchor_margin"), "purity_score", "concentration")
-    distance = F.least(1 - cosine(F.col("u"), F.col("centre")), 1 - cosine(F.col("u"), F.col("medoid")) + p.medoid_slack)
+    distance = F.least(1 - unit_cosine(F.col("u"), F.col("centre")), 1 - unit_cosine(F.col("u"), F.col("medoid")) + p.medoid_slack)
     near = s.filter("u is not null").select(KEY, "vec_id", "u").join(a, KEY).withColumn("d", distance)
     w = Window.partitionBy(KEY, "vec_id").orderBy(F.round("d", 12), "first_id")
     ranked = near.withColumn("place", F.row_number().over(w)).withColumn("d2", F.coalesce(F.lead("d").over(w), F.lit(1.0))).filter("place = 1")
