@@ -38,6 +38,30 @@ def test_copies_of_an_article_stay(spark):
     assert all(t == "Same\nAlways the same text." for t, _ in got.values())
 
 
+def test_the_tree_leaves_articles_whole(spark):
+    page = "<article><h1>{}</h1><p>{}</p>{}</article>"
+    quote = "<blockquote>Only copies say so.</blockquote><ul><li>and this</li></ul>"
+    pages = [(k, "http://renamed.org/", page.format(f"Title {k}", "The same body.", "")) for k in range(2)]
+    pages += [(10 + k, "http://onetitle.org/", page.format("Daily", f"Body {k}.", "")) for k in range(5)]
+    pages += [(20 + k, "http://large.org/", page.format(f"T {k}", f"Body {k}.", "")) for k in range(40)]
+    pages += [(60 + k, "http://large.org/", page.format("Copied", "Copied body.", quote)) for k in range(2)]
+    got = texts(spark, pages)
+    assert [got[k][0] for k in range(2)] == [f"Title {k}\nThe same body." for k in range(2)]
+    assert [got[10 + k][0] for k in range(5)] == [f"Daily\nBody {k}." for k in range(5)]
+    assert [got[60 + k][0] for k in range(2)] == ["Copied\nCopied body.\nOnly copies say so.\nand this"] * 2
+
+
+def test_the_tree_keeps_body_text_without_marks(spark):
+    page = "<html><body><div>Home News</div><h1>{}</h1><p>{}</p>{}</body></html>"
+    pages = [(k, "http://renamed.org/", page.format(f"Title {k}", "The same body.", "")) for k in range(5)]
+    pages += [(20 + k, "http://large.org/", page.format(f"T {k}", f"Body {k}.", "")) for k in range(40)]
+    pages += [(60 + k, "http://large.org/", page.format(f"Copied {k // 2}", "Copied body.", "<blockquote>Only copies say so.</blockquote>")) for k in range(4)]
+    got = texts(spark, pages)
+    assert [got[k][0] for k in range(5)] == [f"Home News\nTitle {k}\nThe same body." for k in range(5)]
+    assert [got[20 + k][0] for k in range(40)] == [f"T {k}\nBody {k}." for k in range(40)]
+    assert [got[60 + k][0] for k in range(4)] == [f"Copied {k // 2}\nCopied body.\nOnly copies say so." for k in range(4)]
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "plain words", "<p>un<p>closed <div>x", "<script>never closed", "<a b='c>d", "a < b & c", "<!-- open", "<p>" * 3000 + "x" + "</p>" * 3000])
 def test_odd_pages(spark, html):
     (text, n), = texts(spark, [(1, None, html)]).values()

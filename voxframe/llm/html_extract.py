@@ -9,13 +9,16 @@ pages that have a node:
                               (the entropy of a text that is spread evenly over c_a of the m pages),
     composite importance    = (1 - g^l) * presentation + g^l * content, l presentations, g = 0.9; both are 1 for m = 1.
 
-So what the pages of a host share is unimportant, what only one page says is important. The tree is never gathered:
-its counts come from an aggregation keyed by host, node and value, so a host may hold any share of all pages.
+So what the pages of a host share is unimportant, what only one page says is important. Pages of a host with the same
+blocks count once. The tree is never gathered: its counts come from an aggregation keyed by host, node and value, so a
+host may hold any share of all pages. A node is low if its importance is below THRESHOLD and SUPPORT pages and the
+SHARE of the host's pages have it: what only a few copies of an article have tells nothing.
 
 From each page these branches go: elements that are boilerplate by their own mark (navigation, footers, asides, forms,
 scripts, advertisements, notices, comments, by tag, role, class or id); all outside `article` or `main`, if the page has
-one; and nodes with an importance below THRESHOLD. If that would leave nothing of an article or main part, all of its
-unmarked blocks stay: copies of one page on a host are still articles. Headings in an article's header stay.
+one, and low nodes, if it has none. So every unmarked block of an article or main part stays: copies of an article with
+another title, or articles of one title, are still articles. Where low nodes are all of a page's paragraphs (without
+paragraphs, all but headings), all unmarked blocks stay. Headings in an article's header stay.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by a line
 break. `br` is white space. Unclosed elements are closed as browsers do for p, li and table parts.
@@ -39,6 +42,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.shared import publish, scratch
 
 GAMMA, THRESHOLD = 0.9, 0.2
+SUPPORT, SHARE = 3, 0.1
 PRESENTATION, CONTENT, PAGE = 0, 1, 2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -69,9 +73,14 @@ def number(text: str) -> int:
 
 def parse(html: str | None) -> tuple[list, list]:
     """Blocks (path, text, marked, in main part) in page order, and nodes (path, presentation)."""
+    return read(html)[:2]
+
+
+def read(html: str | None) -> tuple[list, list, list]:
+    """What parse() gives, and the blocks' tags."""
     html = html or ""
     root = Node("", 0, False, False, False, False)
-    stack, blocks, nodes, parts = [root], [], [], []
+    stack, blocks, nodes, tags, parts = [root], [], [], [], []
 
     def flush() -> None:
         if parts:
@@ -81,6 +90,7 @@ def parse(html: str | None) -> tuple[list, list]:
             if text:
                 n = stack[-1]
                 blocks.append((n.path, text, n.marked or (n.top and not n.heading), n.main))
+                tags.append(n.tag)
 
     def close(to: int) -> None:
         flush()
@@ -149,26 +159,34 @@ def parse(html: str | None) -> tuple[list, list]:
         parent.children.append(label)
         stack.append(Node(tag, number(f"{parent.path}/{label}"), marked, main, parent.top or (tag == "header"), parent.heading or tag in HEADINGS))
     close(1)
-    return blocks, nodes
+    return blocks, nodes, tags
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, html) -> host, node, kind, value: each value of a node once per page."""
+    """(host, html) -> host, page, found: a digest of the page's blocks, and each value of a node once."""
+    kind = pa.list_(pa.struct([("node", pa.int64()), ("kind", pa.int32()), ("value", pa.int64())]))
     for batch in batches:
         for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-            out = []
-            for host, html in zip(rows.column(0).to_pylist(), rows.column(1), strict=True):
+            pages, offsets, out = [], [0], []
+            for html in rows.column(1):
                 blocks, nodes = parse(html.as_py())
                 seen = {(path, PRESENTATION, value) for path, value in nodes} | {(path, CONTENT, number(text)) for path, text, _, _ in blocks}
                 seen |= {(path, PAGE, 0) for path, _, _ in seen}
-                out += [(host, *x) for x in seen]
-            columns = list(zip(*out, strict=True)) or [()] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["host", "node", "kind", "value"])
-
-
-def importance(pages: DataFrame) -> DataFrame:
-    """The merged trees: host, node, pages, presentation, content, importance. pages: host, html."""
-    counts = pages.mapInArrow(features, "host string, node long, kind int, value long").groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
+                out += seen
+                offsets.append(len(out))
+                pages.append(xxhash.xxh3_128_digest("\n".join(f"{path} {text}" for path, text, _, _ in blocks).encode("utf-8", "surrogatepass")))
+            columns = list(zip(*out, strict=True)) or [()] * 3
+            found = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind.value_type, strict=True)], fields=list(kind.value_type))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(pages, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), found)], ["host", "page", "found"])
+
+
+def importance(pages: DataFrame, once: bool = False) -> DataFrame:
+    """The merged trees: host, node, pages, presentation, content, importance. pages: host, html; once: equal pages of a
+    host count as one."""
+    found = pages.mapInArrow(features, "host string, page binary, found array<struct<node: long, kind: int, value: long>>")
+    if once:
+        found = found.dropDuplicates(["host", "page"])
+    counts = found.select("host", F.inline("found")).groupBy("host", "node", "kind", "value").agg(F.count(F.lit(1)).alias("c"))
     of = lambda kind, x: F.sum(F.when(F.col("kind") == kind, x))
     c = F.col("c")
     per_kind = counts.groupBy("host", "node").agg(
@@ -187,11 +205,15 @@ def importance(pages: DataFrame) -> DataFrame:
 
 def main_text(html: str | None, low: frozenset) -> str:
     """The page's text without the branches that go; low: nodes of low importance."""
-    blocks, _ = parse(html)
-    if any(main and not marked for _, _, marked, main in blocks):
-        held = [b for b in blocks if b[3] and not b[2]]
-        return "\n".join(b[1] for b in ([b for b in held if b[0] not in low] or held))
-    return "\n".join(text for path, text, marked, _ in blocks if not marked and path not in low)
+    blocks, _, tags = read(html)
+    held = [k for k, (_, _, marked, main) in enumerate(blocks) if main and not marked]
+    if not held:
+        rest = [k for k, b in enumerate(blocks) if not b[2]]
+        held = [k for k in rest if blocks[k][0] not in low]
+        body = [k for k in rest if tags[k] == "p"] or [k for k in rest if tags[k] not in HEADINGS]
+        if not set(body) & set(held):
+            held = rest
+    return "\n".join(blocks[k][1] for k in held)
 
 
 def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +232,10 @@ def main_texts(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    low = importance(rows.select("host", "html")).filter(F.col("importance") < THRESHOLD).groupBy("host").agg(F.array_sort(F.collect_list("node")).alias("low"))
+    trees = importance(rows.select("host", "html"), once=True)
+    alike = F.collect_list(F.when(F.col("importance") < THRESHOLD, F.struct("node", "pages")))
+    low = trees.groupBy("host").agg(F.max("pages").alias("most"), alike.alias("found"))
+    low = low.select("host", F.expr(f"array_sort(transform(filter(found, x -> x.pages >= {SUPPORT} and x.pages >= {SHARE}D * most), x -> x.node))").alias("low")).filter(F.size("low") > 0)
     # One row per host, written first so that its size is known when Spark picks the join.
     low = publish(low, scratch(spark, "style-trees"))
     return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
