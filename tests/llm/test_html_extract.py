@@ -62,6 +62,36 @@ def test_the_tree_keeps_body_text_without_marks(spark):
     assert [got[60 + k][0] for k in range(4)] == [f"Copied {k // 2}\nCopied body.\nOnly copies say so." for k in range(4)]
 
 
+INNER = "<h1>Title</h1><p>Body.</p>"
+
+
+@pytest.mark.parametrize("wrapped", [
+    "<div class='site has-sidebar'><article>{}</article></div>", "<div id='page' class='no-sidebar'><article>{}</article></div>", "<form id='aspnetForm'><article>{}</article></form>",
+    "<form id='aspnetForm'><div>{}</div></form>", "<article class='post has-comments'>{}</article>", "<div class='widget'><main>{}</main></div>", "<aside><article>{}</article></aside>",
+    "<article class='comment'>{}</article>", "<main><form><article>{}</article></form></main>", "<div class='sidebar'>{}</div>", "<article data-id='comments'>{}</article>", "<header><article>{}</article></header>",
+    "<main><form id='aspnetForm'>{}</form></main>",
+])
+def test_marked_wrappers_keep_their_article(wrapped):
+    nav = "<nav>Home</nav>"
+    assert he.main_text(f"<html><body>{nav}{wrapped.format(INNER)}<footer>End</footer></body></html>", frozenset()) == "Title\nBody."
+
+
+@pytest.mark.parametrize("slug", ["<h2 id='related-work'>S</h2>", "<h2 id='comments'>S</h2>", "<section id='search-methods'>S</section>", "<div class='social-policy'>S</div>", "<p class='notice-period'>S</p>", "<div class='header'>S</div>"])
+def test_slugs_keep_their_section(slug):
+    assert he.main_text(f"<article>{INNER}{slug}</article>", frozenset()) == "Title\nBody.\nS"
+
+
+@pytest.mark.parametrize("gone", ["<div class='comments'>S</div>", "<div class='x comment-list'><article>S</article></div>", "<div id='cookie-notice'>S</div>", "<form>S</form>", "<form class='subscribe'><h1>S</h1></form>", "<aside>S</aside>", "<div class='site-footer'>S</div>", "<aside><article>S</article></aside>", "<div role='navigation'>S</div>"])
+def test_marks_still_remove(gone):
+    assert he.main_text(f"<article>{INNER}{gone}</article>", frozenset()) == "Title\nBody."
+
+
+def test_the_tree_decides_weak_marks(spark):
+    page = "<article><p>Body {k}.</p><div class=post-share>Tell a friend</div><div class=social-policy>Rule {k}</div></article>"
+    got = texts(spark, [(k, "http://weak.org/", page.format(k=k)) for k in range(6)])
+    assert all(got[k][0] == f"Body {k}.\nRule {k}" for k in range(6))
+
+
 @pytest.mark.parametrize("html", [None, "", "   ", "<html></html>", "plain words", "<p>un<p>closed <div>x", "<script>never closed", "<a b='c>d", "a < b & c", "<!-- open", "<p>" * 3000 + "x" + "</p>" * 3000])
 def test_odd_pages(spark, html):
     (text, n), = texts(spark, [(1, None, html)]).values()

@@ -15,16 +15,24 @@ host may hold any share of all pages. A node is low if its importance is below T
 SHARE of the host's pages have it: what only a few copies of an article have tells nothing.
 
 From each page these branches go: elements that are boilerplate by their own mark (navigation, footers, asides, forms,
-scripts, advertisements, notices, comments, by tag, role, class or id); all outside `article` or `main`, if the page has
-one, and low nodes, if it has none. So every unmarked block of an article or main part stays: copies of an article with
-another title, or articles of one title, are still articles. Where low nodes are all of a page's paragraphs (without
-paragraphs, all but headings), all unmarked blocks stay. Headings in an article's header stay.
+scripts, advertisements, notices, comments, by tag, role, class or id; see below); all outside `article` or `main`, if
+the page has one, and low nodes, if it has none. So every unmarked block of an article or main part stays: copies of an
+article with another title, or articles of one title, are still articles. Where low nodes are all of a page's paragraphs
+(without paragraphs, all but headings), all unmarked blocks stay. Headings in an article's header stay.
+
+A class, id or role marks a branch if it is one of WORDS as a whole (`comments`) or a known compound (`comment-list`,
+`site-footer`). Other slugs with such a word (`has-comments`, `related-work`) and `header` mark it weakly: also in an
+article, a weakly marked block goes if its node is low. A heading's id marks nothing. Forms, dialogs, headers and named
+branches that are or hold an article or main (one within another article doesn't count), and forms without such a name
+around an h1 (outside of main parts, any heading or paragraph), aren't marked. Where every article of a page lies in
+marked branches, only the marks inside them count; where nothing at all is left, what is marked by name alone stays
+unless it is low.
 
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by a line
 break. `br` is white space. Unclosed elements are closed as browsers do for p, li and table parts.
 
 Defined cases: null html or html without text gives an empty text and n_chars 0; a url without a host is of the host
-''; repeated rows get equal answers (and count as pages); an empty table gives an empty result; other columns are
+''; repeated rows get equal answers (and count as one page); an empty table gives an empty result; other columns are
 never read. Pages are handled one by one, whole.
 """
 
@@ -46,13 +54,18 @@ SUPPORT, SHARE = 3, 0.1
 PRESENTATION, CONTENT, PAGE = 0, 1, 2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
-ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 #: Elements without text of their own, by their kind.
 BLOCKS = frozenset("html body main article section div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption blockquote pre hr header footer nav aside form fieldset figure figcaption address details summary center hgroup search dialog menu".split())
 RAW = frozenset("script style title textarea noscript template iframe svg math object select xmp noembed noframes audio video canvas".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MARKED = frozenset("head nav footer aside form button menu search dialog".split())
+SPARED = frozenset("form dialog".split())
 WORDS = frozenset("nav navbar navigation menu header footer sidebar aside notice notices cookie cookies consent banner ad ads advert adverts advertisement advertising promo promotion sponsor sponsored form subscribe newsletter comment comments respond disqus reply replies share sharing social related breadcrumb breadcrumbs pagination pager popup modal widget login signup search masthead contentinfo complementary alert".split())
+#: Names that say little, and compounds that say enough.
+LOOSE = frozenset("header".split())
+KNOWN = re.compile(r"(?:site|main|primary|secondary|global|page|top|bottom|left|right)[-_](?:nav|navbar|navigation|menu|footer|sidebar)|(?:" + "|".join(sorted(WORDS - LOOSE)) + r")[-_](?:area|banner|bar|box|buttons?|consent|container|form|icons|links?|list|menu|nav|notice|posts|slot|thread|unit|widget|wrap|wrapper|[0-9]+)")
+WEAK, NAMED, TAGGED = 1, 2, 3
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes the open elements on its right, up to those that hold it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
@@ -60,10 +73,27 @@ HOLD = frozenset("ul ol dl table".split())
 
 
 class Node:
-    __slots__ = ("children", "heading", "main", "marked", "path", "tag", "top")
+    __slots__ = ("children", "heading", "holds", "inner", "main", "mark", "marked", "parent", "path", "spared", "tag", "top")
 
-    def __init__(self, tag: str, path: int, marked: bool, main: bool, top: bool, heading: bool):
-        self.tag, self.path, self.marked, self.main, self.top, self.heading, self.children = tag, path, marked, main, top, heading, []
+    def __init__(self, tag: str, path: int, parent: Node | None = None, mark: int = 0, spared: bool = True):
+        self.tag, self.path, self.parent, self.mark, self.spared, self.children = tag, path, parent, mark, spared, []
+        self.heading, self.main, self.holds = bool(parent) and (parent.heading or tag in HEADINGS), bool(parent) and parent.main, False
+        self.inner, self.marked, self.top = 0, 0, False
+
+    def settle(self) -> None:
+        """Its marks and its ancestors', all and those inside the main part, once it is known what it holds."""
+        mark = 0 if self.holds and self.spared else self.mark
+        self.marked = max(self.parent.marked, mark)
+        self.inner = max(self.parent.inner, mark) if self.parent.main else 0
+        self.top = self.parent.top or (self.tag == "header" and not self.holds)
+
+
+def mark_of(tag: str, marks: dict) -> int:
+    """What an element's class, id and role say."""
+    names = [n for k, v in marks.items() if k != "id" or tag not in HEADINGS for n in v.split()]
+    if any(n in WORDS and n not in LOOSE or KNOWN.fullmatch(n) for n in names):
+        return NAMED
+    return WEAK if any(not WORDS.isdisjoint(re.split(r"[^a-z0-9]+", n)) for n in names) else 0
 
 
 def number(text: str) -> int:
@@ -72,15 +102,17 @@ def number(text: str) -> int:
 
 
 def parse(html: str | None) -> tuple[list, list]:
-    """Blocks (path, text, marked, in main part) in page order, and nodes (path, presentation)."""
-    return read(html)[:2]
+    """Blocks (path, text, marked, in main part) in page order, and nodes (path, presentation); marked: 0, WEAK, NAMED
+    or TAGGED."""
+    blocks, nodes, _ = read(html)
+    return blocks, nodes
 
 
 def read(html: str | None) -> tuple[list, list, list]:
-    """What parse() gives, and the blocks' tags."""
+    """What parse() gives, and the blocks' nodes."""
     html = html or ""
-    root = Node("", 0, False, False, False, False)
-    stack, blocks, nodes, tags, parts = [root], [], [], [], []
+    root = Node("", 0)
+    stack, blocks, nodes, made, parts = [root], [], [], [], []
 
     def flush() -> None:
         if parts:
@@ -88,9 +120,7 @@ def read(html: str | None) -> tuple[list, list, list]:
             parts.clear()
             text = " ".join((unescape(text) if "&" in text else text).split())
             if text:
-                n = stack[-1]
-                blocks.append((n.path, text, n.marked or (n.top and not n.heading), n.main))
-                tags.append(n.tag)
+                blocks.append((stack[-1], text))
 
     def close(to: int) -> None:
         flush()
@@ -152,14 +182,27 @@ def read(html: str | None) -> tuple[list, list, list]:
             continue
         parent = stack[-1]
         marks = {k.lower(): (a or b or c).lower() for k, a, b, c in ATTRIBUTE.findall(attributes)} if "=" in attributes else {}
-        names = set(re.split(r"[^a-z0-9]+", " ".join(marks.values())))
         label = tag + "." + ".".join(sorted(marks.get("class", "").split()))
-        main = parent.main or ((tag in ("article", "main") or marks.get("role") == "main") and not parent.marked)
-        marked = parent.marked or tag in MARKED or (tag not in ("html", "body") and not names.isdisjoint(WORDS)) or (tag == "header" and not parent.main)
+        mark = mark_of(tag, marks) if marks and tag not in ("html", "body") else 0
+        if (tag in MARKED and (tag not in SPARED or mark < NAMED)) or (tag == "header" and not parent.main):
+            mark = TAGGED
         parent.children.append(label)
-        stack.append(Node(tag, number(f"{parent.path}/{label}"), marked, main, parent.top or (tag == "header"), parent.heading or tag in HEADINGS))
+        stack.append(n := Node(tag, number(f"{parent.path}/{label}"), parent, mark, tag in SPARED or tag not in MARKED))
+        made.append(n)
+        if tag in ("article", "main") or marks.get("role") == "main":
+            n.main = True
+            if tag != "article" or not any(x.tag == "article" for x in stack[:-1]):
+                for x in reversed(stack):
+                    if x.holds:
+                        break
+                    x.holds = True
+        elif tag == "h1" or (not n.main and (tag == "p" or tag in HEADINGS)):
+            for x in stack:
+                x.holds |= x.tag == "form" and x.mark == TAGGED
     close(1)
-    return blocks, nodes, tags
+    for n in made:
+        n.settle()
+    return [(n.path, text, TAGGED if n.top and not n.heading else n.marked, n.main) for n, text in blocks], nodes, [n for n, _ in blocks]
 
 
 def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,14 +248,18 @@ def importance(pages: DataFrame, once: bool = False) -> DataFrame:
 
 def main_text(html: str | None, low: frozenset) -> str:
     """The page's text without the branches that go; low: nodes of low importance."""
-    blocks, _, tags = read(html)
-    held = [k for k, (_, _, marked, main) in enumerate(blocks) if main and not marked]
-    if not held:
-        rest = [k for k, b in enumerate(blocks) if not b[2]]
+    blocks, _, at = read(html)
+    held = [k for k, (_, _, marked, main) in enumerate(blocks) if main and marked < NAMED]
+    if held:
+        held = [k for k in held if not (blocks[k][2] == WEAK and blocks[k][0] in low)] or held
+    else:
+        rest = [k for k, (_, _, marked, main) in enumerate(blocks) if marked < NAMED or (main and at[k].inner < NAMED)]
         held = [k for k in rest if blocks[k][0] not in low]
-        body = [k for k in rest if tags[k] == "p"] or [k for k in rest if tags[k] not in HEADINGS]
+        body = [k for k in rest if at[k].tag == "p"] or [k for k in rest if not at[k].heading]
         if not set(body) & set(held):
             held = rest
+        if not rest:
+            held = [k for k, (path, _, marked, _) in enumerate(blocks) if marked < TAGGED and path not in low]
     return "\n".join(blocks[k][1] for k in held)
 
 
