@@ -70,6 +70,21 @@ def test_secrets(spark):
     assert any("entropy_mixed" in r.spans for r in out) and any("entropy_digits" in r.spans for r in out)
 
 
+JOINED = ["id={}", "sha-{}", "build_{}", "AWS_KEY={}", "v1/{}", "{}-x", "é https/v1/{}/end_{} +", "{}"]
+
+
+def test_hexadecimal_parts_of_longer_runs(spark):
+    """Each longest hexadecimal part has the spans that it has alone."""
+    part = "3F8A0C5D91E27B46F0A3C8D5E1B79264"
+    data = [(i, s.format(part, part[::-1])) for i, s in enumerate(JOINED)] + [(90, "id=" + "0" * 40), (91, "key=" + part[:23] + "-" + part[9:]), (92, "example/" + part), (93, "id=" + "31415926535897932384626433832795")]
+    got = {r.doc_id: r.spans for r in ss.report(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    for doc_id, text in data[: len(JOINED)]:
+        digits = [x for x in got[doc_id].split(",") if "digits" in x]
+        assert digits == [f"entropy_digits:{m.start()}:{m.end()}" for m in re.finditer(f"{part}|{part[::-1]}", text)], text
+    # Too even, too short, allowed as a whole, and a number.
+    assert all("digits" not in got[k] for k in (90, 91, 92, 93))
+
+
 def test_hard_cases(spark):
     check(ss.report(clashing(spark)).collect(), [(r[0], r[1]) for r in rows()])
     assert ss.report(frame(spark, [])).collect() == []

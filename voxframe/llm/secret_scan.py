@@ -7,10 +7,10 @@ Patterns, leftmost and non-overlapping per kind; a match that is too short is dr
     hex     [0-9a-f]+, 32 or more
 
 Entropy adds spans. Candidates are runs of 20 or more of [A-Za-z0-9+/_=-]. Two character classes are looked at in each:
-`digits` (hexadecimal) and `mixed` (all of the run's characters). A window of fixed length slides over the run; the
-number of times that each character is in it, and the sum of n * log2(n) over them, are changed by the character that
-comes in and the one that leaves. The entropy of a window of length L is log2(L) - sum / L. Windows at or above the class's
-threshold that overlap or touch are one span, of kind entropy_digits or entropy_mixed. A run that matches an
+`digits` (every longest part that is hexadecimal, whatever it is joined to) and `mixed` (the whole run). A window of
+fixed length slides over each part; the number of times that each character is in it, and the sum of n * log2(n) over
+them, are changed by the character that comes in and the one that leaves. The entropy of a window of length L is log2(L) - sum / L. Windows at or above the class's
+threshold that overlap or touch are one span, of kind entropy_digits or entropy_mixed. A run or a part that matches an
 allow-list pattern gives no entropy spans; pattern matches are never suppressed.
 
 Spans count code points and their ends are exclusive. There is no shuffle. Only texts that hold a match or a candidate
@@ -31,6 +31,8 @@ BASE = ("assign", "access", "hex")
 KINDS = (*BASE, "entropy_digits", "entropy_mixed")
 #: class: (window, threshold in bits, characters it may hold)
 CLASSES = {"entropy_digits": (24, 3.2, "^[0-9a-fA-F]+$"), "entropy_mixed": (20, 3.9, None)}
+#: class: its longest parts of a run; shorter ones hold no window.
+PARTS = {"entropy_digits": "[0-9a-fA-F]{24,}"}
 #: Runs that look random but are not secret: one case of letters only, numbers, UUIDs, paths of words, documented example keys, the alphabet.
 ALLOW = ("^[a-z]+$", "^[A-Z]+$", "^[A-Z]?[a-z]+$", "^[0-9-]+$", "^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$", "^/?([A-Za-z]{2,15}[/_=-])+[A-Za-z]{2,15}/?$", "(?i)example", "(?i)abcdefghij")
 
@@ -81,11 +83,16 @@ def scan(docs: DataFrame, allow: tuple[str, ...] = ALLOW) -> DataFrame:
     # Runs are cut out by one pattern, so that long texts aren't walked once per run.
     cut = f"zip_with(runs, regexp_extract_all(text, '{RUN}', 0), (a, s) -> named_struct('span', a, 's', s))"
     rows = rows.withColumn("runs", F.expr(f"if(size(runs) = 0, array(), filter(transform({cut}, x -> named_struct('at', x.span.start, 's', x.s)), r -> not exists(array(r.s), s -> {allowed})))"))
-    rows = rows.withColumn("runs", F.expr("transform(runs, r -> named_struct('at', r.at, 's', r.s, 'c', filter(split(r.s, ''), c -> c <> ''), 'letters', array_distinct(filter(split(r.s, ''), c -> c <> ''))))"))
+    taken = lambda runs: f"transform({runs}, r -> named_struct('at', r.at, 's', r.s, 'c', filter(split(r.s, ''), c -> c <> ''), 'letters', array_distinct(filter(split(r.s, ''), c -> c <> ''))))"
     found = []
-    for kind, (_, _, only) in CLASSES.items():
-        mine = f"filter(runs, r -> r.s rlike '{only}')" if only else "runs"
-        found.append(F.expr(f"flatten(transform({mine}, r -> {_windows(kind)}))"))
+    for kind in CLASSES:
+        mine = "runs"
+        if part := PARTS.get(kind):
+            spots = _matches("r.s", part, 0, CLASSES[kind][0], 0)
+            cut = f"zip_with({spots}, regexp_extract_all(r.s, '{part}', 0), (a, s) -> named_struct('at', r.at + a.start, 's', s))"
+            mine = f"filter(flatten(transform(filter(runs, r -> r.s rlike '{part}'), r -> {cut})), r -> not exists(array(r.s), s -> {allowed}))"
+        rows = rows.withColumn(f"parts_{kind}", F.expr(taken(mine)))
+        found.append(F.expr(f"flatten(transform(parts_{kind}, r -> {_windows(kind)}))"))
     return rows.select("doc_id", *BASE, F.array_sort(F.concat(*BASE, *found)).alias("spans"))
 
 
