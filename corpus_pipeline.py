@@ -23,8 +23,8 @@ def keep_one_of_equal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
-    return near_dedup.survivors(docs)
+    """One document of each group of near-duplicates, by pairs of adjacent words as in op1."""
+    return near_dedup.survivors(docs, width=2)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

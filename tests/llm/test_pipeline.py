@@ -50,3 +50,15 @@ def test_run(spark):
     assert out.count() > 0 and set(out.columns) == {"doc_id", "piece", "n_tokens", "sequence_id", "capacity", "offset", "text"}
     assert out.filter(F.col("offset") + F.col("n_tokens") > F.col("capacity")).count() == 0
     assert mixing.TEMPERATURE < 1 and max(packing.LENGTHS) == 4096
+
+
+def test_width_of_near_duplicates_is_given(spark, monkeypatch):
+    """The stage and op1 link by two words, whatever the operator's default is."""
+    from voxframe.llm import near_dedup, queries
+
+    seen = []
+    monkeypatch.setattr(near_dedup, "survivors", lambda docs, **given: seen.append(given))
+    monkeypatch.setattr(near_dedup, "near_duplicates", lambda docs, **given: seen.append(given))
+    corpus_pipeline.keep_one_of_near(spark, None, SF)
+    queries.op1_near_dedup(spark, SF)
+    assert seen == [{"width": 2}] * 2
