@@ -73,3 +73,15 @@ def test_documents_fill_their_sequences(spark):
     check(out.collect(), [(r.doc_id, r.text) for r in df.collect()], packing.LENGTHS)
     s = packing.sequences(out).selectExpr("sum(n_tokens) as used", "sum(capacity) as room").first()
     assert s.used / s.room > 0.98
+
+
+def test_small_partitions_fill_their_sequences(spark):
+    data = [(i, " ".join([f"w{i}"] * 20), None, None, 0) for i in range(64)]
+    for with_text in (True, False):
+        out = packing.packed(frame(spark, data).repartition(64, "doc_id"), with_text=with_text)
+        rows = out.collect()
+        room = {r.sequence_id: r.capacity for r in rows}
+        assert sum(r.n_tokens for r in rows) == 64 * 21 and len(rows) == 64
+        assert 64 * 21 / sum(room.values()) > 0.8
+        if with_text:
+            check(rows, [(d[0], d[1]) for d in data], packing.LENGTHS)

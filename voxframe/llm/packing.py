@@ -7,8 +7,13 @@ costs least per token that it can expect to hold, given what remains to be packe
 covers a sequence's fixed cost, padding and attention. In the end every bin shrinks to the least permitted length that
 holds its contents.
 
-Each task packs the pieces of its own partition in windows of at most WINDOW pieces or BYTES bytes of text, so there
-is no shuffle, memory is bounded, and no source or document is hot. A window leaves at most a few bins partly filled.
+Each task packs the pieces of its own partition in windows of at most WINDOW pieces or BYTES bytes of text, so memory is
+bounded and no source or document is hot. Bins filled to less than FULL, a few of each window and most of small
+partitions, are opened again: their pieces are dealt to as few tasks as make full windows, and packed once more. So how
+the table is split costs a few bins per window's worth of such pieces. The first packing is written to the shared folder,
+so that both parts are of the same one.
+
+A token is a word whatever its length, so text without white space is one token and its end mark.
 
 Defined cases: a null or empty text is the end mark alone; a null doc_id is packed like any other; rows that repeat
 are packed as often as they come; an empty table gives an empty result; other columns are never read.
@@ -17,16 +22,19 @@ are packed as often as they come; an empty table gives an empty result; other co
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.shared import publish, scratch
+
 LENGTHS = (256, 512, 1024, 2048, 4096)
 FIXED, SQUARE = 32, 16384
 WINDOW, BYTES = 1 << 15, 24 << 20
+FULL = 0.9
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 
 
@@ -82,39 +90,62 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, with_text: bool
     """Per piece: doc_id, piece, n_tokens, sequence_id, capacity, offset, text."""
     longest = max(lengths)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, turn = TaskContext.get().partitionId(), 0
+    def filled(pieces: Iterable[tuple], prefix: str) -> Iterator[pa.RecordBatch]:
+        turn = 0
 
         def flush(rows: list) -> Iterator[pa.RecordBatch]:
             nonlocal turn
             spots = pack([r[2] for r in rows], lengths)
             order = sorted(range(len(rows)), key=lambda i: spots[i][:2])
-            base = f"{task:07d}-{turn:05d}-"
+            base = f"{prefix}{TaskContext.get().partitionId():07d}-{turn:05d}-"
             turn += 1
+            used: dict[int, int] = {}
+            for r, (k, _, _) in zip(rows, spots, strict=True):
+                used[k] = used.get(k, 0) + r[2]
             for at in range(0, len(order), 2048):
                 part = [(rows[i], spots[i]) for i in order[at : at + 2048]]
-                columns = [pa.array([r[0] for r, _ in part], pa.int64()), pa.array([r[1] for r, _ in part], pa.int32()), pa.array([r[2] for r, _ in part], pa.int32()), pa.array([base + f"{s[0]:06d}" for _, s in part]), pa.array([s[2] for _, s in part], pa.int32()), pa.array([s[1] for _, s in part], pa.int32())]
-                names = ["doc_id", "piece", "n_tokens", "sequence_id", "capacity", "offset"]
+                columns = [pa.array([r[0] for r, _ in part], pa.int64()), pa.array([r[1] for r, _ in part], pa.int32()), pa.array([r[2] for r, _ in part], pa.int32()), pa.array([base + f"{s[0]:06d}" for _, s in part]), pa.array([s[2] for _, s in part], pa.int32()), pa.array([s[1] for _, s in part], pa.int32()), pa.array([used[s[0]] >= FULL * s[2] for _, s in part])]
+                names = ["doc_id", "piece", "n_tokens", "sequence_id", "capacity", "offset", "full"]
                 if with_text:
                     columns.append(pa.array([r[3] for r, _ in part], pa.binary()).cast(pa.string()))
                     names.append("text")
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         rows, held = [], 0
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            for i, text in enumerate(batch.column(1)):
-                for k, (n, raw) in enumerate(pieces(text.as_py(), longest)):
-                    rows.append((ids[i], k, n, raw if with_text else b""))
-                    held += len(raw)
-                    if len(rows) >= WINDOW or held >= BYTES:
-                        yield from flush(rows)
-                        rows, held = [], 0
+        for piece in pieces:
+            rows.append(piece)
+            held += len(piece[3])
+            if len(rows) >= WINDOW or held >= BYTES:
+                yield from flush(rows)
+                rows, held = [], 0
         if rows:
             yield from flush(rows)
 
-    kind = "doc_id long, piece int, n_tokens int, sequence_id string, capacity int, offset int" + ", text string" * with_text
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def cut() -> Iterator[tuple]:
+            for batch in batches:
+                ids = batch.column(0).to_pylist()
+                for i, text in enumerate(batch.column(1)):
+                    for k, (n, raw) in enumerate(pieces(text.as_py(), longest)):
+                        yield ids[i], k, n, raw if with_text else b""
+
+        return filled(cut(), "")
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def read() -> Iterator[tuple]:
+            for batch in batches:
+                texts = batch.column(3).cast(pa.binary()).to_pylist() if with_text else [b""] * batch.num_rows
+                yield from zip(*[batch.column(k).to_pylist() for k in range(3)], texts, strict=True)
+
+        return filled(read(), "r")
+
+    kind = "doc_id long, piece int, n_tokens int, sequence_id string, capacity int, offset int, full boolean" + ", text string" * with_text
+    first = publish(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind), scratch(docs.sparkSession, "packed"))
+    rest = first.filter("not full")
+    n, size = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("text") if with_text else F.lit(0)), F.lit(0))).first()
+    tasks = max(1, -(-n // WINDOW), -(-size // BYTES))
+    rest = rest.select("doc_id", "piece", "n_tokens", *["text"] * with_text).repartition(tasks).mapInArrow(again, kind)
+    return first.filter("full").unionByName(rest).drop("full")
 
 
 def sequences(rows: DataFrame) -> DataFrame:
