@@ -1,19 +1,23 @@
 """Chat formatting in budgeted windows.
 
-A conversation's turns, in order, become training windows of at most `budget` tokens. Prefix sums of the turns'
-tokens choose spans of whole turns; a turn is never cut, and one that exceeds the budget has a window of its own.
-Every window starts with the system turn, if the conversation starts with one, and repeats the last turns of at most
-`history` tokens before its span, so that answers keep their context. The loss mask covers the texts of assistant
-turns in the span only: repeated turns are masked, so each assistant text is a target once.
+A conversation's turns, in order, become training windows of at most `budget` tokens; a turn is never cut. Prefix sums
+of the turns' tokens choose turn-aligned spans: with room = budget - system turn and stride = room - history, a turn
+belongs to the stride in which its first token lies, so at most the last turn of a stride reaches into the next one.
+Where the stride's turns exceed the room, that last turn is a span of its own. Every window starts with the system
+turn, if the conversation starts with one, and repeats the last turns before its span, of at most `history` tokens and
+no more than the budget leaves. So a window exceeds the budget only if one turn, or it and the system turn, do. The
+loss mask covers the texts of assistant turns in the span only: repeated turns are masked, so each assistant text is a
+target once.
 
 A turn is written `### role: text</turn>` and a line break. Inside roles and texts `\\`, `<`, `#` and, in roles, `:`
 are written `\\b`, `\\l`, `\\h`, `\\c`, so no text can hold a mark, and reading them back is exact. A turn's tokens are
 a quarter of its code points, rounded up.
 
-Everything is DataFrame functions. A conversation is gathered in one row, as its windows and sums need all its turns
-in order; different conversations are never gathered together.
+Everything is DataFrame functions, linear in the turns. windows() takes sums over a conversation's ordered rows, which
+Spark sorts and spills, and gathers no more than a window and the history before a turn in one row; a conversation of
+any length is one sorted partition. read_back() has a digest over all of a conversation's text, so it holds that text.
 
-Defined cases: null texts and roles count as empty; a null conv_id is a conversation of its own; turns of one number
+Defined cases: null texts and roles count as empty; all rows of a null conv_id are one conversation; turns of one number
 are ordered by role and text, and repeated rows are turns of their own; an empty table gives an empty result; other
 columns are never read.
 """
@@ -43,32 +47,43 @@ def windows(turns: DataFrame, budget: int = BUDGET, history: int = HISTORY) -> D
     """conv_id, window, text, n_context (turns repeated at its start), n_new, loss (spans of code points in text)."""
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("conv_id", "turn", "role", "text", F.concat(F.lit("### "), escaped(F.col("role"), True), F.lit(": ")).alias("head"), escaped(F.col("text")).alias("body"))
-    whole = F.concat("head", "body", F.lit(CLOSE))
+    rows = rows.withColumn("whole", F.concat("head", "body", F.lit(CLOSE))).withColumn("tokens", F.ceil(F.length("whole") / 4))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
-    rows = rows.withColumn("tokens", F.ceil(F.length(whole) / 4)).withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    rows = rows.withColumn("place", F.row_number().over(order))
-    one = F.struct("place", "upto", "tokens", (F.col("role") == "assistant").alias("target"), (F.col("role") == "system").alias("system"), F.length("head").alias("head"), F.length("body").alias("body"), whole.alias("whole"))
-    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("t"))
-
-    # Spans: a fold over places. spans holds (from, to, history from), 0-based, end exclusive; start and back are the open one's.
-    talks = talks.withColumn("kept", F.expr("cast(t[0].system as int)")).withColumn("fixed", F.expr("if(t[0].system, t[0].tokens, 0)"))
-    before = "if({i} = 0, 0, t[{i} - 1].upto)"
-    back = f"coalesce(filter(sequence(kept, i), k -> {before.format(i='i')} - {before.format(i='k')} <= {history})[0], i)"
-    room = f"t[i].upto - {before.format(i='a.back')} + if(a.back > 0, fixed, 0) > {budget}"
-    fold = f"""aggregate(sequence(0, size(t) - 1),
-        named_struct('start', 0, 'back', 0, 'spans', cast(array() as array<struct<start: int, end: int, back: int>>)),
-        (a, i) -> if(i > a.start and {room},
-            named_struct('start', i, 'back', {back}, 'spans', concat(a.spans, array(named_struct('start', a.start, 'end', i, 'back', a.back)))), a),
-        a -> concat(a.spans, array(named_struct('start', a.start, 'end', size(t), 'back', a.back))))"""
-    talks = talks.withColumn("spans", F.expr(fold))
-    shown = "concat(if(s.back > 0 and kept = 1, slice(t, 1, 1), slice(t, 1, 0)), slice(t, s.back + 1, s.end - s.back))"
-    loss = f"""aggregate({shown},
-        named_struct('at', 0, 'spans', cast(array() as array<struct<start: int, end: int>>)),
-        (a, x) -> named_struct('at', a.at + length(x.whole), 'spans', if(x.target and x.place > s.start,
-            concat(a.spans, array(named_struct('start', a.at + x.head, 'end', a.at + x.head + x.body))), a.spans)),
+    rows = rows.withColumn("place", F.row_number().over(order)).withColumn("first", F.first(F.struct("role", "tokens")).over(order))
+    rows = rows.withColumn("upto", F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    kept = F.when(F.col("first.role") == "system", F.col("first.tokens")).otherwise(0)
+    rows = rows.select("conv_id", "place", "role", "tokens", kept.alias("kept"), (F.col("upto") - F.col("tokens")).alias("at"), F.length("head").alias("head"), F.length("body").alias("body"), "whole")
+
+    # Spans are named by the place of their first turn. A system turn has part in the first span only.
+    room = F.greatest(F.lit(1), F.lit(budget) - F.col("kept"))
+    stride = F.greatest(F.lit(1), room - history)
+    rows = rows.withColumn("stride", F.when(F.col("at") < F.col("kept"), F.lit(0)).otherwise(F.floor((F.col("at") - F.col("kept")) / stride)))
+    own = Window.partitionBy("conv_id", "stride")
+    used = F.sum(F.when(F.col("at") >= F.col("kept"), F.col("tokens")).otherwise(0)).over(own)
+    rows = rows.withColumn("alone", (used > room) & (F.col("place") == F.max("place").over(own)))
+    by_place = Window.partitionBy("conv_id").orderBy("at")
+    changed = F.coalesce(F.lag("stride").over(by_place), F.lit(-1)) != F.col("stride")
+    rows = rows.withColumn("opens", changed | (F.col("alone") & (F.col("place") > 1 + (F.col("kept") > 0).cast("int"))))
+    upto = by_place.rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("window", F.sum(F.col("opens").cast("int")).over(upto) - 1)
+
+    # What may be repeated before a turn: those that start at most `history` tokens before it.
+    turn = F.struct("at", "whole")
+    past = F.collect_list(turn).over(by_place.rangeBetween(-history, -1))
+    system = F.first(F.when(F.col("kept") > 0, F.col("whole"))).over(upto)
+    rows = rows.withColumn("past", F.filter(past, lambda x: x["at"] >= F.col("kept"))).withColumn("system", F.when(F.col("place") > 1, system))
+    rows = rows.withColumn("past", F.when(F.col("opens"), F.col("past"))).withColumn("system", F.when(F.col("opens"), F.col("system")))
+
+    new = F.struct("place", "whole", (F.col("role") == "assistant").alias("target"), "head", "body")
+    spans = rows.groupBy("conv_id", "window").agg(F.array_sort(F.collect_list(new)).alias("t"), F.min("at").alias("at"), F.sum("tokens").alias("used"), F.max("kept").alias("kept"), F.first("past", True).alias("past"), F.first("system", True).alias("system"))
+    left = F.least(F.lit(history), F.lit(budget) - F.col("used") - F.when(F.col("at") >= F.col("kept"), F.col("kept")).otherwise(0))
+    spans = spans.withColumn("from", F.col("at") - left).withColumn("context", F.concat(F.expr("if(system is null, array(), array(system))"), F.expr("transform(array_sort(filter(past, x -> x.at >= from)), x -> x.whole)")))
+    # A window has few turns, so its fold over them is short.
+    loss = """aggregate(t, named_struct('at', aggregate(context, 0, (n, x) -> n + length(x)), 'spans', cast(array() as array<struct<start: int, end: int>>)),
+        (a, x) -> named_struct('at', a.at + length(x.whole), 'spans', if(x.target, concat(a.spans, array(named_struct('start', a.at + x.head, 'end', a.at + x.head + x.body))), a.spans)),
         a -> a.spans)"""
-    made = f"transform(spans, (s, w) -> named_struct('window', w, 'text', array_join(transform({shown}, x -> x.whole), ''), 'n_context', size({shown}) - (s.end - s.start), 'n_new', s.end - s.start, 'loss', {loss}))"
-    return talks.select("conv_id", F.explode(F.expr(made)).alias("w")).select("conv_id", "w.*")
+    text = F.array_join(F.concat("context", F.transform("t", lambda x: x["whole"])), "")
+    return spans.select("conv_id", "window", text.alias("text"), F.size("context").alias("n_context"), F.size("t").alias("n_new"), F.expr(loss).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
