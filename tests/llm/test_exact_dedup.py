@@ -47,10 +47,29 @@ def test_survivors(spark, tmp_path):
         assert kept.count() == len(brute([(r[0], r[1]) for r in rows()]))
 
 
+def test_rows_of_one_file_row(spark, tmp_path):
+    """Exploded rows share a file's row; each is a row of its own all the same."""
+    twice = publish(frame(spark), f"file://{tmp_path}/docs").withColumn("again", F.explode(F.sequence(F.lit(1), F.lit(2))))
+    data = [(r[0], r[1]) for r in rows()] * 2
+    out = exact_dedup.report(twice).collect()
+    assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out), key=str) == expected(data)
+    assert sum(r.kept for r in out) == len(brute(data)) == exact_dedup.survivors(twice).count()
+
+
+def test_later_documents_continue_from_the_state(spark):
+    state, df = scratch(spark, "kept"), frame(spark)
+    data = [(r[0], r[1]) for r in rows()]
+    early = [d for d in data if d[0] is not None and d[0] % 2]
+    for part, known in ((df.filter("doc_id % 2 = 1"), early), (df.filter("doc_id % 2 = 0 or doc_id is null"), data)):
+        out = exact_dedup.report(part, state=state).collect()
+        assert sorted(((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in out), key=str) == expected(known)
+        assert sum(r.kept for r in out) == len(brute(known))
+
+
 def test_state_outlives_a_run(spark):
     """A second run of the stream sees what the first retained."""
     feed, state = scratch(spark, "feed"), scratch(spark, "state")
-    source, _ = exact_dedup.located(frame(spark).select("doc_id", "text"))
+    source = exact_dedup.located(publish(frame(spark).select("doc_id", "text"), scratch(spark, "content")))
     text = F.coalesce("row.text", F.lit(""))
     rows_ = source.select(exact_dedup.sha256(exact_dedup.normalised(text)).alias("digest"), F.length(text).alias("n_points"), F.col("row.doc_id").alias("doc_id"), *exact_dedup.LOCATOR)
     part = publish(rows_, scratch(spark, "all"))

@@ -6,6 +6,11 @@ locator of the row to keep, and how many rows were seen. A digest seen more than
 contents are read again by locator and compared byte for byte, and rows whose digest collides with another content
 are grouped by their content itself.
 
+A locator is the file and row in which a content lies. Only what is read straight from files has one for each row, so
+other frames (an explode repeats locators, a join has none) are written to the shared folder first; a caller that has
+just read its files says stored=True. With `state` given, contents, feed and state stay in that folder, and a later
+call continues from them: its answer covers all rows that were ever given.
+
 Texts are equal when identical after deleting every character of [\\x20\\x09-\\x0D]. Of equal rows the one with the
 most code points in its original text stays, then the smallest doc_id, then the first locator.
 
@@ -16,9 +21,9 @@ other than doc_id and text are never read, so their names can't clash.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,20 +46,10 @@ def rank(points: Column) -> Column:
     return F.struct((-points).alias("less"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *LOCATOR)
 
 
-def located(docs: DataFrame) -> tuple[DataFrame, str | None]:
-    """Each row of docs as a struct, with the file and row in which it lies.
-
-    A frame that isn't read from files is written to the shared folder first; that folder is the second result.
-    """
-
-    def select(frame: DataFrame) -> DataFrame:
-        return frame.select(F.struct(*[frame[f"`{c}`"] for c in frame.columns]).alias("row"), F.col("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1]))
-
-    try:
-        return select(docs), None
-    except AnalysisException:
-        path = scratch(docs.sparkSession, "content")
-        return select(publish(docs, path)), path
+def located(docs: DataFrame) -> DataFrame:
+    """Each row of docs as a struct, with the file and row in which it lies. docs is a scan of files."""
+    row = F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row")
+    return docs.select(row, F.col("_metadata.file_path").alias(LOCATOR[0]), F.col("_metadata.row_index").alias(LOCATOR[1]))
 
 
 def retained(spark: SparkSession, feed_path: str, state_path: str, bytes_per_trigger: int = 1 << 29) -> DataFrame:
@@ -84,20 +79,28 @@ def retained(spark: SparkSession, feed_path: str, state_path: str, bytes_per_tri
     return updates.groupBy("digest").agg(F.max_by(F.struct("best", "n_rows"), "batch").alias("last")).select("digest", "last.best", "last.n_rows")
 
 
-def deduplicate(source: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
+def deduplicate(source: DataFrame, digest: Callable[[Column], Column] = sha256, state: str | None = None, fresh: DataFrame | None = None) -> DataFrame:
     """source: what located() gives. Per row: doc_id, keep_id, group_size, kept, sha and its locator.
 
-    digest is a parameter so that tests can force collisions.
+    digest is a parameter so that tests can force collisions. state: a folder that keeps feed and state for later
+    calls; then fresh holds the rows of source that it hasn't seen.
     """
     spark = source.sparkSession
     work, out_path = scratch(spark, "exact"), scratch(spark, "exact-out")
-    feed_path = f"{work}/feed"
-    source = source.select(F.col("row.doc_id").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), *LOCATOR)
+    held = state or work
+
+    def opened(rows: DataFrame) -> DataFrame:
+        return rows.select(F.col("row.doc_id").alias("doc_id"), F.coalesce("row.text", F.lit("")).alias("text"), *LOCATOR)
+
+    source = opened(source)
     norm = normalised(F.col("text"))
-    feed = publish(source.select(digest(norm).alias("digest"), sha256(norm).alias("sha"), F.length("text").alias("n_points"), "doc_id", *LOCATOR), feed_path)
+    new = opened(fresh) if fresh is not None else source
+    new = new.select(digest(norm).alias("digest"), sha256(norm).alias("sha"), F.length("text").alias("n_points"), "doc_id", *LOCATOR)
+    new.write.mode("append").option("compression", "zstd").parquet(f"{held}/feed")
+    feed = spark.read.schema(new.schema).parquet(f"{held}/feed")
     stays = (F.col("best.at_file") == F.col("at_file")) & (F.col("best.at_row") == F.col("at_row"))
-    state = retained(spark, feed_path, f"{work}/state")
-    joined = publish(feed.join(state, "digest").select("digest", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n_rows").alias("group_size"), stays.alias("kept"), "sha", *LOCATOR), f"{work}/joined")
+    kept = retained(spark, f"{held}/feed", f"{held}/state")
+    joined = publish(feed.join(kept, "digest").select("digest", "doc_id", F.col("best.doc_id").alias("keep_id"), F.col("n_rows").alias("group_size"), stays.alias("kept"), "sha", *LOCATOR), f"{work}/joined")
 
     hits = joined.filter("group_size > 1").select("digest", *LOCATOR)
     contents = source.select("text", *LOCATOR).join(hits, list(LOCATOR)).select("digest", normalised(F.col("text")).alias("norm"))
@@ -113,17 +116,27 @@ def deduplicate(source: DataFrame, digest: Callable[[Column], Column] = sha256)
     return out
 
 
-def report(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> DataFrame:
-    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs."""
-    source, written = located(docs.select("doc_id", "text"))
-    out = deduplicate(source, digest).select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("sha")).alias("text_sha256"))
-    if written:
-        remove(docs.sparkSession, written)
+REPORT = ("doc_id", "keep_id", "group_size", "kept")
+
+
+def report(docs: DataFrame, digest: Callable[[Column], Column] = sha256, stored: bool = False, state: str | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs, or of all docs given with this state."""
+    spark, docs = docs.sparkSession, docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sha = F.lower(F.hex("sha")).alias("text_sha256")
+    if state:
+        path = f"{state}/content/{uuid.uuid4().hex}"
+        fresh = located(publish(docs, path))
+        return deduplicate(located(spark.read.schema(docs.schema).parquet(f"{state}/content/*")), digest, state, fresh).select(*REPORT, sha)
+    if stored:
+        return deduplicate(located(docs), digest).select(*REPORT, sha)
+    path = scratch(spark, "content")
+    out = deduplicate(located(publish(docs, path)), digest).select(*REPORT, sha)
+    remove(spark, path)
     return out
 
 
-def survivors(docs: DataFrame) -> DataFrame:
+def survivors(docs: DataFrame, stored: bool = False) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    source, _ = located(docs)
+    source = located(docs if stored else publish(docs, scratch(docs.sparkSession, "content")))
     gone = deduplicate(source).filter("not kept").select(*LOCATOR)
     return source.join(gone, list(LOCATOR), "left_anti").select("row.*")

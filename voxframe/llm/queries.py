@@ -55,7 +55,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.report(table(spark, sf_dir, "documents"))
+    return exact_dedup.report(table(spark, sf_dir, "documents"), stored=True)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
