@@ -37,7 +37,7 @@ def answer(df):
 
 def test_hard_cases(spark):
     data = [(r[0], r[1]) for r in rows() if r[0] is not None]
-    out = near_dedup.near_duplicates(clashing(spark)).collect()
+    out = near_dedup.near_duplicates(clashing(spark), width=2).collect()
     assert len(out) == len(rows())
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in out if r.doc_id is not None} == brute(data)
     assert all(r.kept == (r.doc_id == r.component_id) for r in out if r.doc_id is not None)
@@ -70,14 +70,41 @@ def test_chains_and_stars(spark):
             data.append((n, " ".join(words)))
             n += 1
     df = spark.createDataFrame(data, "doc_id long, text string")
-    assert answer(near_dedup.near_duplicates(df)) == brute(data)
+    assert answer(near_dedup.near_duplicates(df, width=2)) == brute(data)
 
 
 @pytest.mark.parametrize("table", ["documents"])
 def test_documents(spark, table):
     df = spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet")
     data = [(r.doc_id, r.text) for r in df.collect()]
-    assert answer(near_dedup.near_duplicates(df)) == brute(data)
+    assert answer(near_dedup.near_duplicates(df, width=2)) == brute(data)
+
+
+def template(n, own, sizes=(0,)):
+    """Documents of one template with `own` words each (more by turns of `sizes`), and a few that are nearly alike."""
+    shared = " ".join(f"t{i}" for i in range(170))
+    data = [(k, shared + " " + " ".join(f"o{k}x{j}" for j in range(own + sizes[k % len(sizes)]))) for k in range(n)]
+    return data + [(n + k, data[k][1] + f" more{k}") for k in range(0, n, 7)]
+
+
+@pytest.mark.parametrize("own,sizes", [(24, (0,)), (23, (0, 9, 20, 31)), (12, (0, 12, 30))])
+def test_templates_that_share_buckets(spark, own, sizes):
+    """Too unlike to be linked, or just not: what no centre settles is joined exactly."""
+    data = template(70, own, sizes)
+    df = spark.createDataFrame(data, "doc_id long, text string")
+    for width in (1, 2):
+        assert answer(near_dedup.near_duplicates(df, width=width)) == brute(data, width=width)
+
+
+def test_exact_candidates_lose_no_link(spark, tmp_path, monkeypatch):
+    """Every linked pair is a candidate, with hot shingles split; a template's documents are not."""
+    monkeypatch.setattr(near_dedup, "HOT", 5)
+    data = template(60, 22, (0, 2, 4, 8, 16, 32))
+    made = spark.createDataFrame([(i, i, near_dedup.shingles(t, 1).tobytes()) for i, t in data], "node long, component long, members binary")
+    got = {(r.u, r.v) for r in near_dedup.exact_candidates(made, 80, f"file://{tmp_path}").collect()}
+    sets = {i: set(near_dedup.shingles(t, 1).tolist()) for i, t in data}
+    linked = {(i, k) for i in sets for k in sets if i < k and 100 * len(sets[i] & sets[k]) >= 80 * len(sets[i] | sets[k])}
+    assert linked <= got and len(got) < len(data) ** 2 / 2
 
 
 def test_components(spark, tmp_path):

@@ -1,7 +1,7 @@
 """Near-duplicate detection: MinHash with banding, signature verification, exact confirmation, connected components.
 
-A document's words are the runs of `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; its set holds the distinct pairs of
-adjacent words (`width` words each). Two documents are linked when 100 * |A and B| >= `percent` * |A or B|.
+A document's words are the runs of `[^\\x20\\x09-\\x0D]+` after lower-casing A-Z; its set holds the distinct runs
+of `width` adjacent words. Two documents are linked when 100 * |A and B| >= `percent` * |A or B|.
 
 1. Each text becomes a sorted array of 64-bit shingle hashes; documents with equal arrays form one class, whose
    identifier is its smallest doc_id. Only one document per class goes on, so thousands of copies cost one row.
@@ -11,10 +11,13 @@ adjacent words (`width` words each). Two documents are linked when 100 * |A and
    full sets confirm the rest.
 4. Alternating large-star and small-star gives components.
 5. A bucket whose members lie in several components may still hide a link between two that are no centre. All nodes
-   of such buckets are joined exactly, across components: of each set the rarest (1 - threshold) * n + 1 shingles are
-   taken, linked sets share one of these, and a match at places i and j allows at most min(n_a - i, n_b - j) common
-   shingles, which drops what can't reach the threshold inside the join. So groups of near-duplicates of any size
-   need no pairs, and no link between members of a bucket is lost.
+   of such buckets are joined exactly, across components. With t the threshold, two linked sets share one of the
+   rarest (1 - t) * n + 1 shingles of the larger (it looks up) with the rarest (1 - 2t / (1 + t)) * n + 1 of the smaller
+   (it is found). The second is so short that in documents of one template, which are too unlike to be linked, it holds
+   none of the template's shingles. The join's key is the shingle and the band of the found set's size; a match at
+   places i and j allows at most min(n_a - i, n_b - j) common shingles, which drops what can't reach the threshold
+   inside the join. Shingles with many found sets are split by salt. So groups of near-duplicates of any size need no
+   pairs, and no link between members of a bucket is lost.
 
 At the threshold a pair shares a bucket with probability 1 - (1 - 0.8^7)^56 = 1 - 2e-6.
 
@@ -42,6 +45,8 @@ TILE = 2048
 SLACK = 0.12
 #: Shingles are ranked by a table of so many counters; the ranking's quality, not the result, depends on it.
 SLOTS = 1 << 20
+#: Sets found by one shingle that a task looks through.
+HOT = 1000
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Odd multipliers for mixing 64-bit words.
 MIX = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
@@ -60,7 +65,7 @@ class Words(dict):
 WORDS = Words()
 
 
-def shingles(text: str | None, width: int = 2) -> np.ndarray:
+def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split() parts at [\x20\x09-\x0D]
     if not words:
@@ -188,7 +193,8 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def prefixes(percent: int, often: np.ndarray):
-    """(node, component, members) -> shingle, node, component, n, place: the rarest shingles of each set that others may have."""
+    """(node, component, members) -> shingle, node, component, n, place, found: the rarest shingles of each set that others
+    may have; found: it may be the smaller set's."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -199,23 +205,34 @@ def prefixes(percent: int, often: np.ndarray):
                     n = often[(x % np.uint64(SLOTS)).astype(np.int64)]
                     order = np.lexsort((x, n))[: len(x) - -(-percent * len(x) // 100) + 1]
                     place = np.flatnonzero(n[order] > 1)  # a slot used once is no other set's
-                    out.append((x[order[place]].view(np.int64), np.full(len(place), node), np.full(len(place), component), np.full(len(place), len(x)), place))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "node", "component", "n", "place"])
+                    short = len(x) - -(-2 * percent * len(x) // (100 + percent)) + 1
+                    out.append((x[order[place]].view(np.int64), np.full(len(place), node), np.full(len(place), component), np.full(len(place), len(x)), place, place < short))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], ["shingle", "node", "component", "n", "place", "found"])
 
     return run
 
 
-def exact_candidates(nodes: DataFrame, percent: int) -> DataFrame:
+def exact_candidates(nodes: DataFrame, percent: int, work: str) -> DataFrame:
     """Pairs (u, v) of nodes (node, component, members) of different components that may be linked; none that is linked is missing."""
     # At most SLOTS rows of two numbers reach the driver, and as many counters each task.
     often = np.zeros(SLOTS, np.int64)
     for r in nodes.select("members").mapInArrow(counted, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toLocalIterator():
         often[r.slot] = r.n
-    rows = nodes.select("node", "component", "members").mapInArrow(prefixes(percent, np.minimum(often, 2**31 - 1).astype(np.int32)), "shingle long, node long, component long, n long, place long")
-    a, b = (rows.select("shingle", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "component", "n", "place")]) for k in ("u", "v"))
+    kind = "shingle long, node long, component long, n long, place long, found boolean"
+    rows = publish(nodes.select("node", "component", "members").mapInArrow(prefixes(percent, np.minimum(often, 2**31 - 1).astype(np.int32)), kind), f"{work}/prefixes")
+    # Linked sets' sizes differ by the threshold at most, so the smaller one's band is the larger one's or the next below.
+    band = F.floor(F.log("n") / F.lit(float(np.log(100 / percent)))).cast("int")
+    found = rows.filter("found").select("shingle", band.alias("band"), *[F.col(c).alias(f"{c}_v") for c in ("node", "component", "n", "place")])
+    looking = rows.select("shingle", F.explode(F.array(band, band - 1)).alias("band"), *[F.col(c).alias(f"{c}_u") for c in ("node", "component", "n", "place")])
+    hot = publish(found.groupBy("shingle", "band").agg(F.count(F.lit(1)).alias("k")).filter(F.col("k") > HOT).select("shingle", "band", F.ceil(F.col("k") / HOT).cast("int").alias("parts")), f"{work}/hot")
+    key, parts = ["shingle", "band"], F.coalesce("parts", F.lit(1))
+    found = found.join(hot, key, "left").withColumn("salt", F.pmod(F.xxhash64("node_v"), parts).cast("int")).drop("parts")
+    looking = looking.join(hot, key, "left").withColumn("salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
     both = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
-    fits = (both * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))) & (F.col("node_u") < F.col("node_v")) & (F.col("component_u") != F.col("component_v"))
-    return a.join(b, (a["shingle"] == b["shingle"]) & fits).select(F.col("node_u").alias("u"), F.col("node_v").alias("v")).distinct()
+    smaller = (F.col("n_v") < F.col("n_u")) | ((F.col("n_v") == F.col("n_u")) & (F.col("node_v") < F.col("node_u")))
+    fits = smaller & (both * (100 + percent) >= percent * (F.col("n_u") + F.col("n_v"))) & (F.col("component_u") != F.col("component_v"))
+    pairs = looking.join(found, [*key, "salt"]).filter(fits)
+    return pairs.select(F.least("node_u", "node_v").alias("u"), F.greatest("node_u", "node_v").alias("v")).distinct()
 
 
 def components(edges: DataFrame, work: str) -> DataFrame:
@@ -244,7 +261,7 @@ def components(edges: DataFrame, work: str) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(now.select("v", "v").distinct())
 
 
-def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept."""
     spark = docs.sparkSession
     work, out_path = scratch(spark, "near"), scratch(spark, "near-out")
@@ -277,7 +294,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     open_ = seen.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high")
     rest = publish(seen.join(open_, "bucket", "left_semi").select("node", "component").distinct().join(full, "node"), f"{work}/rest")
     if not rest.isEmpty():
-        more = publish(exact_candidates(rest, percent), f"{work}/more")
+        more = publish(exact_candidates(rest, percent, f"{work}/exact"), f"{work}/more")
         found = publish(both_sides(more, full, "members").mapInArrow(linked(percent), "u long, v long"), f"{work}/found")
         if not found.isEmpty():
             edges = found.union(joined.filter("node <> component").select("node", "component"))
@@ -289,7 +306,7 @@ def near_duplicates(docs: DataFrame, width: int = 2, percent: int = 80) -> DataF
     return out
 
 
-def survivors(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
+def survivors(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs of which one per component stays, with all their columns; rows without a doc_id stay."""
     gone = near_duplicates(docs, width, percent).filter("not kept").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
