@@ -1,7 +1,7 @@
 """Quality scores by attention-based multiple-instance learning.
 
-A document is a bag of passages (runs of 64 words). Every passage of the whole text is encoded from measures of its
-bytes and words; a gated attention learned from document labels weighs the encodings, and the weighted sum is scored:
+A document is a bag of passages (runs of 64 words). Every passage of the whole text is encoded from 16 measures of its
+bytes and words, and from the words themselves (their shares in SLOTS hash slots); a gated attention learned from document labels weighs the encodings, and the weighted sum is scored:
 
     h_k = relu(x_k W + b),  a = softmax_k(w . (tanh(h_k V) * sigmoid(h_k U))),  score = sigmoid(c . sum_k a_k h_k + c0)
 
@@ -12,7 +12,8 @@ crc32(doc_id as text) mod 4 is not 2. lang, source and doc_id are no inputs of a
 Defined cases: a null text counts as empty; an empty text is a bag of one passage without words; a null doc_id is not
 held out; labels that are null or without a document are ignored; with no labels of one class every score is the
 share of label 1 (0.5 without labels); rows that repeat get equal scores; an empty table gives an empty result.
-Texts of over PART bytes are measured part by part, so memory is bounded by a part.
+Texts of over PART bytes are measured part by part; a part ends where a passage does, so passages don't depend on PART.
+For the fit a document gives at most PASSAGES of its passages, evenly spaced, and a doc_id one row; scores use all.
 """
 
 from __future__ import annotations
@@ -25,10 +26,11 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-WORDS, PART, SAMPLE, THRESHOLD = 64, 1 << 20, 2000, 0.7
+WORDS, PART, SAMPLE, PASSAGES, THRESHOLD = 64, 1 << 20, 2000, 512, 0.7
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 16, 8, 300, 0.02, 1e-3, 7
 SPACE, LOWER, UPPER, DIGIT, SYMBOL, BAR, CALL, POINT, OTHER = range(9)
-N_FEATURES = 16
+N_MEASURES, SLOTS = 16, 16
+N_FEATURES = N_MEASURES + SLOTS
 
 
 def _classes() -> np.ndarray:
@@ -85,7 +87,7 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
             per_word[k] = total[ends] - total[starts]
     size = np.add.reduceat(length, heads)
     shares = [c / size for c in (counts[0], *counts[2:])]
-    again = np.concatenate([[False], (word[1:] == word[:-1]) & (text[1:] == text[:-1])])
+    again = np.concatenate([[False], (word[1:] == word[:-1]) & (passage[1:] == passage[:-1])])
     key = np.sort((passage.astype(np.uint64) << np.uint64(36)) | (word >> np.uint64(28)))
     new = np.concatenate([[True], key[1:] != key[:-1]])
     distinct = np.bincount((key[new] >> np.uint64(36)).astype(np.int64), minlength=len(heads))
@@ -94,6 +96,8 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
     spread = np.sqrt(np.maximum(0, np.add.reduceat(length**2, heads) / n - mean**2))
     each = lambda flags: np.add.reduceat(flags.astype(np.float64), heads) / n
     x = np.stack([np.log1p(n) / 5, mean / 10, spread / 10, *shares, each(again), 1 - distinct / n, each(last == SYMBOL), each(last == CALL), each((per_word[UPPER] > 1) & (per_word[LOWER] == 0)), each((length == 1) & (last == BAR))], axis=1)
+    slot = np.bincount(passage * SLOTS + (word >> np.uint64(60)).astype(np.int64), minlength=len(heads) * SLOTS).reshape(-1, SLOTS)
+    x = np.concatenate([x, slot / n[:, None]], axis=1)
     bags = text[heads]
     empty = np.setdiff1d(np.arange(n_texts), bags)
     x, bags = np.concatenate([x, np.zeros((len(empty), x.shape[1]))]), np.concatenate([bags, empty])
@@ -115,12 +119,20 @@ def passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         if high - low <= PART:
             x, bags = measures(data[low:high], offsets[at : to + 1] - low)
         else:  # one long text
-            cuts = [low]
-            while high - cuts[-1] > PART:
-                piece = CLASS[data[cuts[-1] : cuts[-1] + PART]]
-                spaces = np.flatnonzero(piece == SPACE)
-                cuts.append(cuts[-1] + (int(spaces[-1]) + 1 if len(spaces) else PART))
-            parts = [measures(data[a:b], np.array([0, b - a]))[0] for a, b in zip(cuts, [*cuts[1:], high], strict=True)]
+            parts, start, room = [], low, PART
+            while start < high:
+                end = min(high, start + room)
+                if end < high:
+                    solid = CLASS[data[start : end + 1]] != SPACE
+                    words = np.flatnonzero(solid & ~np.concatenate([[False], solid[:-1]]))
+                    whole = (len(words) - 1) // WORDS * WORDS  # the last word may go on
+                    if whole <= 0:
+                        room *= 2
+                        continue
+                    end = start + int(words[whole])
+                if end < high or (CLASS[data[start:end]] != SPACE).any() or not parts:
+                    parts.append(measures(data[start:end], np.array([0, end - start]))[0])
+                start, room = end, PART
             x = np.concatenate(parts)
             bags = np.zeros(len(x), np.int64)
         yield x, bags + at
@@ -146,29 +158,39 @@ def forward(model: dict, x: np.ndarray, bags: np.ndarray) -> dict:
     return {"x": x, "pre": pre, "h": h, "t": t, "s": s, "a": a, "z": z, "heads": heads, "group": group, "p": 1 / (1 + np.exp(-np.clip(z @ model["c"] + model["c0"], -30, 30)))}
 
 
-def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray) -> dict:
-    """Full-batch Adam on the logarithmic loss; labels by bag."""
+def gradients(model: dict, x: np.ndarray, bags: np.ndarray, labels: np.ndarray) -> dict:
+    """Of the mean logarithmic loss, by parameter."""
+    f = forward(model, x, bags)
+    d = (f["p"] - labels) / len(labels)
+    g = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
+    dz = (d[:, None] * model["c"])[f["group"]]
+    da = (dz * f["h"]).sum(axis=1)
+    de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["heads"])[f["group"]])
+    gate = f["t"] * f["s"]
+    g["w"] = gate.T @ de
+    dg = de[:, None] * model["w"]
+    dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * gate * (1 - f["s"])
+    g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
+    dh = dz * f["a"][:, None] + dt @ model["V"].T + ds @ model["U"].T
+    dh *= f["pre"] > 0
+    g["W"], g["b"] = f["x"].T @ dh, dh.sum(axis=0)
+    return g
+
+
+def start(x: np.ndarray) -> dict:
+    """A model to begin with, for passages of x's width and spread."""
     rng = np.random.default_rng(SEED)
     mean, scale = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-3)
     draw = lambda *shape: rng.normal(0, 1 / np.sqrt(shape[0]), shape)
-    model = {"mean": mean, "scale": scale, "W": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "w": draw(ATTENTION), "c": draw(HIDDEN), "c0": np.zeros(1)}
-    names = ("W", "b", "V", "U", "w", "c", "c0")
+    return {"mean": mean, "scale": scale, "W": draw(x.shape[1], HIDDEN), "b": np.zeros(HIDDEN), "V": draw(HIDDEN, ATTENTION), "U": draw(HIDDEN, ATTENTION), "w": draw(ATTENTION), "c": draw(HIDDEN), "c0": np.zeros(1)}
+
+
+def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray) -> dict:
+    """Full-batch Adam on the logarithmic loss; labels by bag."""
+    model, names = start(x), ("W", "b", "V", "U", "w", "c", "c0")
     m, v = ({k: np.zeros_like(model[k]) for k in names} for _ in range(2))
     for step in range(1, STEPS + 1):
-        f = forward(model, x, bags)
-        d = (f["p"] - labels) / len(labels)
-        g = {"c": f["z"].T @ d, "c0": d.sum(keepdims=True)}
-        dz = (d[:, None] * model["c"])[f["group"]]
-        da = (dz * f["h"]).sum(axis=1)
-        de = f["a"] * (da - np.add.reduceat(f["a"] * da, f["heads"])[f["group"]])
-        gate = f["t"] * f["s"]
-        g["w"] = gate.T @ de
-        dg = de[:, None] * model["w"]
-        dt, ds = dg * f["s"] * (1 - f["t"] ** 2), dg * gate * (1 - f["s"])
-        g["V"], g["U"] = f["h"].T @ dt, f["h"].T @ ds
-        dh = dz * f["a"][:, None] + dt @ model["V"].T + ds @ model["U"].T
-        dh *= f["pre"] > 0
-        g["W"], g["b"] = f["x"].T @ dh, dh.sum(axis=0)
+        g = gradients(model, x, bags, labels)
         for k in names:
             grad = g[k] + DECAY * model[k] * (k not in ("b", "c0"))
             m[k] = 0.9 * m[k] + 0.1 * grad
@@ -189,13 +211,16 @@ def train(docs: DataFrame, labels: DataFrame) -> dict:
         for batch in batches:
             for x, bags in passages(batch.column(1)):
                 heads = np.append(_bags(bags), len(bags))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(bags[heads[:-1]])), pa.array([x[i:j].tobytes() for i, j in zip(heads[:-1], heads[1:], strict=True)], pa.binary())], ["quality", "x"])
+                spread = [x[i + np.arange(min(j - i, PASSAGES)) * (j - i) // min(j - i, PASSAGES)].tobytes() for i, j in zip(heads[:-1], heads[1:], strict=True)]
+                of = pa.array(bags[heads[:-1]])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(of), batch.column(2).take(of), pa.array(spread, pa.binary())], ["doc_id", "quality", "x"])
 
     known = labels.filter("doc_id is not null and quality is not null").filter(~held_out()).select("doc_id", F.col("quality").cast("int").alias("quality")).dropDuplicates(["doc_id"])
     order = (F.xxhash64("doc_id"), F.col("doc_id"))
     sample = known.filter("quality = 1").orderBy(*order).limit(SAMPLE).union(known.filter("quality = 0").orderBy(*order).limit(SAMPLE))
     # At most 2 * SAMPLE rows of two numbers are broadcast.
-    rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("quality", "text").mapInArrow(featured, "quality int, x binary").collect()
+    known = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("doc_id", "text", "quality")
+    rows = known.mapInArrow(featured, "doc_id long, quality int, x binary").groupBy("doc_id").agg(F.min(F.struct("quality", "x")).alias("r")).orderBy("doc_id").select("r.*").collect()
     y = np.array([r.quality for r in rows], float)
     if len(set(y)) < 2:
         return {"share": float(y.mean()) if len(y) else 0.5}
