@@ -5,7 +5,9 @@ archive at `archiveBytes` and makes archives visible only when the whole write c
 of `rangeBytes` over the archives from their sizes alone; a task lists the archive's central directory, takes the
 members whose header starts in its range, and streams them as Arrow batches of at most BATCH bytes. Each member is
 read and checked by itself at its own offset, and read again at that offset on an error, up to `attempts` times;
-after that the task fails, or with `onError=record` the row says why and has no content.
+after that the task fails, or with `onError=record` the row says why and has no content. A directory is listed again
+in the same way; one that stays unreadable is one such row, of the range in which the archive starts. Members stored or
+deflated by other writers are read; other compressions are errors. Each write has a pending folder of its own.
 
 A document is stored as a grey-scale PNG image, 64 samples of 8 bits a row: its text as UTF-8, filled with zero bytes
 to a positive multiple of 64.
@@ -62,15 +64,19 @@ class Source:
             self.file = self.fs.open_input_file(self.path)
         return self.file
 
-    def listing(self) -> list[tuple[int, int, str, int, int]]:
-        """(header's offset, end, name, size, CRC) by offset, from the central directory."""
-        with zipfile.ZipFile(self.open()) as z:
-            entries, directory = sorted(z.infolist(), key=lambda e: e.header_offset), z.start_dir
-        self.file = None
+    def listing(self, again: bool) -> list[tuple]:
+        """(header's offset, end, name, size, CRC, method) by offset, from the central directory."""
+        try:
+            with zipfile.ZipFile(self.open(again)) as z:
+                entries, directory = sorted(z.infolist(), key=lambda e: e.header_offset), z.start_dir
+        except (zipfile.BadZipFile, ValueError, struct.error) as e:
+            raise OSError(f"no readable directory: {e}") from e
+        finally:
+            self.file = None
         ends = [e.header_offset for e in entries[1:]] + [directory]
-        return [(e.header_offset, end, e.filename, e.compress_size, e.CRC) for e, end in zip(entries, ends, strict=True)]
+        return [(e.header_offset, end, e.filename, e.compress_size, e.CRC, e.compress_type) for e, end in zip(entries, ends, strict=True)]
 
-    def member(self, start: int, end: int, size: int, crc: int, again: bool) -> bytes:
+    def member(self, start: int, end: int, size: int, crc: int, method: int, again: bool) -> bytes:
         """A member's content by its offset; an error if it isn't what the directory says."""
         file = self.open(again)
         file.seek(start)
@@ -79,11 +85,31 @@ class Source:
             raise OSError("no member at this offset")
         name, extra = struct.unpack("<HH", raw[26:30])
         content = raw[30 + name + extra : 30 + name + extra + size]
-        if len(content) != size or zlib.crc32(content) != crc:
+        if len(content) != size:
+            raise OSError("the content ends too early")
+        if method == zipfile.ZIP_DEFLATED:
+            try:
+                content = zlib.decompress(content, -15)
+            except zlib.error as e:
+                raise OSError(f"the content isn't deflated: {e}") from e
+        elif method != zipfile.ZIP_STORED:
+            raise OSError(f"compression {method} isn't read")
+        if zlib.crc32(content) != crc:
             raise OSError("the content doesn't match its checksum")
         return content
 
 
+def tried(attempts: int, work) -> tuple:
+    """(what work(again) gives, tries, None), or (None, tries, what went wrong at last)."""
+    error = None
+    for n in range(attempts):
+        try:
+            return work(n > 0), n + 1, None
+        except OSError as e:
+            error = f"{type(e).__name__}: {e}"
+    return None, attempts, error
+
+
 class ArchiveReader(DataSourceReader):
     def __init__(self, options: dict):
         self.path, self.span = options["path"], int(options.get("rangebytes", 32 << 20))
@@ -99,19 +125,20 @@ class ArchiveReader(DataSourceReader):
         if not partition.archive:
             return
         source, rows, held = Source(partition.archive), [], 0
-        for start, end, name, size, crc in source.listing():
+        listed, tries, error = tried(self.attempts, source.listing)
+        if listed is None:
+            if not self.record:
+                raise OSError(f"{partition.archive}: {error}")
+            if partition.start == 0:
+                yield batch([(partition.archive, None, None, None, tries, error)])
+            return
+        for start, end, name, size, crc, method in listed:
             if not partition.start <= start < partition.end:
                 continue
-            content, error, tries = None, None, 0
-            while content is None and tries < self.attempts:
-                tries += 1
-                try:
-                    content = source.member(start, end, size, crc, tries > 1)
-                except OSError as e:
-                    error = f"{type(e).__name__}: {e}"
+            content, tries, error = tried(self.attempts, lambda again, of=(start, end, size, crc, method): source.member(*of, again))
             if content is None and not self.record:
                 raise OSError(f"{partition.archive} at {start}: {error}")
-            rows.append((partition.archive, start, name, content, tries, error if content is None else None))
+            rows.append((partition.archive, start, name, content, tries, error))
             held += len(content or b"")
             if held >= BATCH:
                 yield batch(rows)
@@ -128,10 +155,11 @@ def batch(rows: list) -> pa.RecordBatch:
 class ArchiveWriter(DataSourceArrowWriter):
     def __init__(self, options: dict):
         self.path, self.most = options["path"], int(options.get("archivebytes", 64 << 20))
+        self.pending = f"_pending-{uuid.uuid4().hex}"  # made on the driver, the same in all tasks of this write
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         system, path = fs.FileSystem.from_uri(self.path)
-        system.create_dir(f"{path}/_pending", recursive=True)
+        system.create_dir(f"{path}/{self.pending}", recursive=True)
         done, archive, out, size = [], None, None, 0
 
         def close():
@@ -145,7 +173,7 @@ class ArchiveWriter(DataSourceArrowWriter):
             for name, content in zip(rows.column("name"), rows.column("content"), strict=True):
                 if archive is None:
                     done.append(f"{uuid.uuid4().hex}.zip")
-                    out = system.open_output_stream(f"{path}/_pending/{done[-1]}")
+                    out = system.open_output_stream(f"{path}/{self.pending}/{done[-1]}")
                     archive = zipfile.ZipFile(out, "w", zipfile.ZIP_STORED)
                 raw = content.as_py()
                 archive.writestr(zipfile.ZipInfo(name.as_py()), raw)
@@ -158,14 +186,14 @@ class ArchiveWriter(DataSourceArrowWriter):
     def commit(self, messages: list) -> None:
         system, path = fs.FileSystem.from_uri(self.path)
         for name in (n for m in messages if m for n in m.archives):
-            system.move(f"{path}/_pending/{name}", f"{path}/{name}")
-        if system.get_file_info(f"{path}/_pending").type == fs.FileType.Directory:
-            system.delete_dir(f"{path}/_pending")  # what lost tasks left
+            system.move(f"{path}/{self.pending}/{name}", f"{path}/{name}")
+        if system.get_file_info(f"{path}/{self.pending}").type == fs.FileType.Directory:
+            system.delete_dir(f"{path}/{self.pending}")  # what lost tasks left
 
     def abort(self, messages: list) -> None:
         system, path = fs.FileSystem.from_uri(self.path)
-        if system.get_file_info(f"{path}/_pending").type == fs.FileType.Directory:
-            system.delete_dir(f"{path}/_pending")
+        if system.get_file_info(f"{path}/{self.pending}").type == fs.FileType.Directory:
+            system.delete_dir(f"{path}/{self.pending}")
 
 
 class MediaArchive(DataSource):
