@@ -14,9 +14,12 @@ SETTING = "spark.checkpoint.dir"
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; where the session names none (tests), a temporary one is set."""
+    """The cluster's shared folder. Where the session names none, a temporary one is set in local mode, as in tests; on a
+    cluster that would be another folder on each machine, so it is an error."""
     root = spark.conf.get(SETTING, None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError(f"set {SETTING} to a folder that driver and executors share")
         root = "file://" + tempfile.mkdtemp(prefix="shared-")
         spark.conf.set(SETTING, root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -41,3 +44,8 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for path in paths:
         target = jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that operators have left in the shared folder: tables, archives and files that results were read from."""
+    remove(spark, f"{shared_root(spark)}/work")
