@@ -3,25 +3,37 @@ from collections import defaultdict
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from texts import clashing, frame, rows
+from tokenizers import Tokenizer
 from voxframe.llm import packing
 
+WHOLE = Tokenizer.from_file(packing.TOKENIZER)
+
 
 def brute(sizes, lengths):
-    """The same rule by looking at every open bin."""
-    lengths, rest, bins, placed = sorted(set(lengths)), sum(sizes), [], [None] * len(sizes)
-    for i in sorted(range(len(sizes)), key=lambda i: (-sizes[i], i)):
+    """The same rule by looking at every open bin and every piece that is left."""
+    lengths, bins, placed = sorted(set(lengths)), [], [None] * len(sizes)
+    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+
+    def price(c, size, left):
+        used = size
+        for x in left:  # largest first
+            if used + x <= c:
+                used += x
+        return packing.cost(min(k for k in lengths if k >= used)) / used
+
+    for at, i in enumerate(order):
         fits = [b for b in bins if b["room"] >= sizes[i]]
         if fits:
             least = min(b["room"] for b in fits)
             b = max((b for b in fits if b["room"] == least), key=lambda b: b["touched"])
         else:
-            c = min((c for c in lengths if c >= sizes[i]), key=lambda c: (packing.cost(c) / min(c, rest), c))
+            left = [sizes[k] for k in order[at + 1 :]]
+            c = min((c for c in lengths if c >= sizes[i]), key=lambda c: (price(c, sizes[i], left), c))
             b = {"n": len(bins), "room": c, "used": 0, "touched": 0}
             bins.append(b)
         placed[i] = (b["n"], b["used"])
         b["room"] -= sizes[i]
         b["used"] += sizes[i]
-        rest -= sizes[i]
         b["touched"] = max(x["touched"] for x in bins) + 1
     return [(k, at, min(c for c in lengths if c >= bins[k]["used"])) for k, at in placed]
 
@@ -32,6 +44,13 @@ def test_best_fit_by_brute_force(sizes, lengths):
     assert packing.pack(sizes, lengths) == brute(sizes, lengths)
 
 
+def test_the_capacity_follows_what_remains():
+    """A piece of 300 opens another bin where pieces of 210 remain than where pieces of 240 do."""
+    of = lambda *rest: packing.opened(300, packing.Remaining(list(rest)), packing.LENGTHS)
+    assert (of(*[210] * 50), of(*[241, 240, 240]), of()) == (512, 1024, 512)
+    assert of(*[230] * 9) == 1024
+
+
 def check(out, data, lengths):
     docs, bins = defaultdict(list), defaultdict(list)
     for r in out:
@@ -48,10 +67,12 @@ def check(out, data, lengths):
         texts[doc_id].append(text or "")
     for doc_id, held in docs.items():
         want = texts[doc_id]
-        assert sum(r.n_tokens for r in held) == sum(len(t.encode().split()) + 1 for t in want)
+        ids = [[*WHOLE.encode(t, add_special_tokens=False).ids, packing.END] for t in want]
+        assert sum(r.n_tokens for r in held) == sum(map(len, ids))
+        assert all(len(r.ids) == r.n_tokens for r in held)
         if len(want) == 1:
             held.sort(key=lambda r: r.piece)
-            assert "".join(r.text for r in held) == want[0]
+            assert [i for r in held for i in r.ids] == ids[0]
             assert all(r.n_tokens == max(lengths) for r in held[:-1])
     assert set(docs) == set(texts) - {None}
 
@@ -76,12 +97,13 @@ def test_documents_fill_their_sequences(spark):
 
 
 def test_small_partitions_fill_their_sequences(spark):
-    data = [(i, " ".join([f"w{i}"] * 20), None, None, 0) for i in range(64)]
-    for with_text in (True, False):
-        out = packing.packed(frame(spark, data).repartition(64, "doc_id"), with_text=with_text)
+    data = [(i, " ".join(["word"] * 20), None, None, 0) for i in range(64)]
+    for with_ids in (True, False):
+        out = packing.packed(frame(spark, data).repartition(64, "doc_id"), with_ids=with_ids)
         rows = out.collect()
+        n = sum(r.n_tokens for r in rows) / 64
         room = {r.sequence_id: r.capacity for r in rows}
-        assert sum(r.n_tokens for r in rows) == 64 * 21 and len(rows) == 64
-        assert 64 * 21 / sum(room.values()) > 0.8
-        if with_text:
+        assert len(rows) == 64
+        assert 64 * n / sum(room.values()) > 0.8
+        if with_ids:
             check(rows, [(d[0], d[1]) for d in data], packing.LENGTHS)

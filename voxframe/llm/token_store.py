@@ -201,7 +201,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, encoder = TaskContext.get().partitionId(), _encoder(tokenizer, end)
+        part, whole = TaskContext.get().partitionId(), encoder(tokenizer, end)
         system, folder = fs.FileSystem.from_uri(path)
         system.create_dir(folder, recursive=True)
         count, ids, held, size = 0, [], [], 0
@@ -219,7 +219,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
 
         for batch in batches:
             for rows in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
-                for doc_id, e in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist()), strict=True):
+                for doc_id, e in zip(rows.column(0).to_pylist(), whole.encode(rows.column(1).to_pylist()), strict=True):
                     ids.append(doc_id)
                     held.append(e)
                     size += len(e) // 4
@@ -237,7 +237,7 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
 _ENCODERS: dict = {}
 
 
-def _encoder(path: str, end: int) -> Encoder:
+def encoder(path: str, end: int) -> Encoder:
     """One for each Python worker, so that what it keeps serves later tasks."""
     if (path, end) not in _ENCODERS:
         _ENCODERS[path, end] = Encoder(path, end)
