@@ -1,24 +1,33 @@
 """Main text of pages by a site style tree.
 
 The pages of a host are merged into one tree, whose nodes are the paths of block elements (tag and class at each
-step). A node's presentation is the sequence of its child elements, its content the text of its blocks. Over the m
-pages that have a node:
+step). A node's presentation is the sequence of its child elements (repeated items of a list or table count once), its
+content the text of its blocks. Over the m pages that have a node:
 
     presentation importance = - sum_i p_i log_m p_i over its presentations,
     content importance      = 1 - mean_a log_m(c_a) over its distinct texts, c_a the number of pages that have text a
                               (the entropy of a text that is spread evenly over c_a of the m pages),
     composite importance    = (1 - g^l) * presentation + g^l * content, l presentations, g = 0.9; both are 1 for m = 1.
 
-So what the pages of a host share is unimportant, what only one page says is important. Pages of a host with the same
-blocks count once. The tree is never gathered: its counts come from an aggregation keyed by host, node and value, so a
-host may hold any share of all pages. A node is low if its importance is below THRESHOLD and SUPPORT pages and the
-SHARE of the host's pages have it: what only a few copies of an article have tells nothing.
-
-From each page these branches go: elements that are boilerplate by their own mark (navigation, footers, asides, forms,
-scripts, advertisements, notices, comments, by tag, role, class or id; see below); all outside `article` or `main`, if
-the page has one, and low nodes, if it has none. So every unmarked block of an article or main part stays: copies of an
-article with another title, or articles of one title, are still articles. Where low nodes are all of a page's paragraphs
-(without paragraphs, all but headings), all unmarked blocks stay. Headings in an article's header stay.
+So what the pages of a host share is unimportant; a branch that only one page fills so, or whose make-up changes from
+page to page, is important. Pages of a host with the same blocks count once. The tree is never gathered: its counts
+come from an aggregation keyed by host, node and value, so a host may hold any share of all pages. Only nodes that
+SUPPORT pages and the SHARE of the host's pages have are judged, as what only a few copies of an article have tells
+nothing. A node is low if its composite importance is below THRESHOLD. It is high if the presentation's part of it,
+(1 - g^l) * presentation, is at least HIGH: an article's paragraphs, quotes and lists follow each other differently on
+each page, whereas menus, advertisements and footers are laid out alike however their texts change.
+
+Which blocks of a page stay:
+
+1. The tree finds the main part: the page's blocks in high branches, and its h1. Where an `article` or `main` holds or
+   lies in such a branch, it is taken whole; the tag also stands where it lies apart from them, and where the tree is
+   silent, as on a host of few pages or of articles that are all laid out alike.
+2. From it low nodes go, but no unmarked block of an article or main: copies of an article with another title, or
+   articles of one title, are still articles. Without any main part all but low nodes stays; where low nodes are all of a
+   page's paragraphs (without paragraphs, all but headings), all unmarked blocks stay.
+3. Marks break ties inside the main part: elements that are boilerplate by their own mark (navigation, footers, asides,
+   forms, advertisements, notices, comments, by tag, role, class or id; see below) go, as the tree can't tell a reader's
+   comments from an article: both are new on every page. Headings in an article's header stay.
 
 A class, id or role marks a branch if it is one of WORDS as a whole (`comments`) or a known compound (`comment-list`,
 `site-footer`). Other slugs with such a word (`has-comments`, `related-work`) and `header` mark it weakly: also in an
@@ -31,6 +40,8 @@ unless it is low.
 Text: character references are decoded, white space within a block becomes one space, blocks are joined by a line
 break. `br` is white space. Unclosed elements are closed as browsers do for p, li and table parts.
 
+A host's judged nodes are in one row, at most 1 / SHARE times as many as a page of it has on average.
+
 Defined cases: null html or html without text gives an empty text and n_chars 0; a url without a host is of the host
 ''; repeated rows get equal answers (and count as one page); an empty table gives an empty result; other columns are
 never read. Pages are handled one by one, whole.
@@ -49,7 +60,7 @@ from pyspark.sql import functions as F
 
 from voxframe.llm.shared import publish, scratch
 
-GAMMA, THRESHOLD = 0.9, 0.2
+GAMMA, THRESHOLD, HIGH = 0.9, 0.2, 0.4
 SUPPORT, SHARE = 3, 0.1
 PRESENTATION, CONTENT, PAGE = 0, 1, 2
 
@@ -70,6 +81,8 @@ HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: A start tag closes the open elements on its right, up to those that hold it.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 HOLD = frozenset("ul ol dl table".split())
+#: Elements whose repeated children are items.
+LISTS = HOLD | frozenset("thead tbody tfoot tr menu".split())
 
 
 class Node:
@@ -125,7 +138,8 @@ def read(html: str | None) -> tuple[list, list, list]:
     def close(to: int) -> None:
         flush()
         for n in stack[to:]:
-            nodes.append((n.path, number(" ".join(n.children))))
+            children = [c for c, old in zip(n.children, [None, *n.children]) if c != old] if n.tag in LISTS else n.children
+            nodes.append((n.path, number(" ".join(children))))
         del stack[to:]
 
     at, length = 0, len(html)
@@ -224,8 +238,8 @@ def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def importance(pages: DataFrame, once: bool = False) -> DataFrame:
-    """The merged trees: host, node, pages, presentation, content, importance. pages: host, html; once: equal pages of a
-    host count as one."""
+    """The merged trees: host, node, pages, presentation, content, importance, style (the presentation's part of it).
+    pages: host, html; once: equal pages of a host count as one."""
     found = pages.mapInArrow(features, "host string, page binary, found array<struct<node: long, kind: int, value: long>>")
     if once:
         found = found.dropDuplicates(["host", "page"])
@@ -243,17 +257,32 @@ def importance(pages: DataFrame, once: bool = False) -> DataFrame:
     rows = per_kind.select("host", "node", "pages", "l0", F.coalesce(presentation, F.lit(1.0)).alias("presentation"), content.alias("content"))
     weight = F.pow(F.lit(GAMMA), F.coalesce("l0", F.lit(1)))
     # Where the node holds only elements, its parts are judged instead.
-    return rows.withColumn("importance", (1 - weight) * F.col("presentation") + weight * F.col("content")).drop("l0")
+    style = F.when(F.col("pages") == 1, 0.0).otherwise((1 - weight) * F.col("presentation"))
+    return rows.withColumn("importance", (1 - weight) * F.col("presentation") + weight * F.col("content")).withColumn("style", style).drop("l0")
 
 
-def main_text(html: str | None, low: frozenset) -> str:
-    """The page's text without the branches that go; low: nodes of low importance."""
+def main_text(html: str | None, low: frozenset = frozenset(), high: frozenset = frozenset(), marks: bool = True) -> str:
+    """The page's text without the branches that go; low, high: nodes of low and of high importance. marks: False takes
+    the tree's word alone, so tests can tell what it finds by itself."""
     blocks, _, at = read(html)
+    if not marks:
+        blocks = [(path, text, 0, False) for path, text, _, _ in blocks]
+    inside: dict[int, bool] = {}
+
+    def in_high(n: Node) -> bool:
+        if id(n) not in inside:
+            inside[id(n)] = bool(n.parent) and (n.path in high or in_high(n.parent))
+        return inside[id(n)]
+
+    part = [k for k in range(len(blocks)) if high and in_high(at[k])]
     held = [k for k, (_, _, marked, main) in enumerate(blocks) if main and marked < NAMED]
-    if held:
+    if held:  # the tree's main part as far as it is an article, and the whole article
         held = [k for k in held if not (blocks[k][2] == WEAK and blocks[k][0] in low)] or held
     else:
         rest = [k for k, (_, _, marked, main) in enumerate(blocks) if marked < NAMED or (main and at[k].inner < NAMED)]
+        part = [k for k in rest if k in set(part)]
+        if part:
+            rest = [k for k in rest if k in set(part) or at[k].tag == "h1"]
         held = [k for k in rest if blocks[k][0] not in low]
         body = [k for k in rest if at[k].tag == "p"] or [k for k in rest if not at[k].heading]
         if not set(body) & set(held):
@@ -263,26 +292,36 @@ def main_text(html: str | None, low: frozenset) -> str:
     return "\n".join(blocks[k][1] for k in held)
 
 
-def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(page_id, url, html, low) -> page_id, url, text, n_chars."""
-    for batch in batches:
-        for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-            texts, sets = [], {}
-            for html, low in zip(rows.column(2), rows.column(3), strict=True):
-                key = tuple(low.as_py() or ())
-                texts.append(main_text(html.as_py(), sets.setdefault(key, frozenset(key))))
-            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+def extract(marks: bool):
+    """(page_id, url, html, low, high) -> page_id, url, text, n_chars."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
+                texts, sets = [], {}
+                for html, low, high in zip(rows.column(2), rows.column(3), rows.column(4), strict=True):
+                    nodes = [sets.setdefault(key, frozenset(key)) for key in (tuple(x.as_py() or ()) for x in (low, high))]
+                    texts.append(main_text(html.as_py(), *nodes, marks))
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+
+    return run
+
+
+def judged(trees: DataFrame) -> DataFrame:
+    """Per host that has any: its low and its high nodes. Nodes are picked before they are gathered, so a row is short."""
+    most = trees.groupBy("host").agg(F.max("pages").alias("most"))
+    known = trees.join(most, "host").filter((F.col("pages") >= SUPPORT) & (F.col("pages") >= SHARE * F.col("most")))
+    known = known.withColumn("low", F.col("importance") < THRESHOLD).withColumn("high", F.col("style") >= HIGH).filter("low or high")
+    of = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("node")))).alias(c)
+    return known.groupBy("host").agg(of("low"), of("high"))
 
 
-def main_texts(pages: DataFrame) -> DataFrame:
+def main_texts(pages: DataFrame, marks: bool = True) -> DataFrame:
     """Per row of pages: page_id, url, text, n_chars."""
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
-    trees = importance(rows.select("host", "html"), once=True)
-    alike = F.collect_list(F.when(F.col("importance") < THRESHOLD, F.struct("node", "pages")))
-    low = trees.groupBy("host").agg(F.max("pages").alias("most"), alike.alias("found"))
-    low = low.select("host", F.expr(f"array_sort(transform(filter(found, x -> x.pages >= {SUPPORT} and x.pages >= {SHARE}D * most), x -> x.node))").alias("low")).filter(F.size("low") > 0)
-    # One row per host, written first so that its size is known when Spark picks the join.
-    low = publish(low, scratch(spark, "style-trees"))
-    return rows.join(low, "host", "left").select("page_id", "url", "html", "low").mapInArrow(extract, "page_id long, url string, text string, n_chars long")
+    # One row per host, written first so that its size is known when Spark picks the join; a hot host's pages can be
+    # split, as the other side has one row for it.
+    nodes = publish(judged(importance(rows.select("host", "html"), once=True)), scratch(spark, "style-trees"))
+    return rows.join(nodes, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(extract(marks), "page_id long, url string, text string, n_chars long")
