@@ -9,10 +9,11 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from voxframe import params
 from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
-from voxframe.operators import assign, clusters, evaluate, intervals, packing, timeline, windows
+from voxframe.operators import assign, clusters, evaluate, intervals, models, packing, timeline, windows
 from voxframe.plans import catalogue, views
 from voxframe.sources import documents, exports
 from voxframe.streaming import sessions
@@ -141,14 +142,48 @@ def test_clusters_of_separable_speakers(spark):
 
 
 def test_lanczos_agrees_with_the_dense_spectrum():
+    """Also where the least value is there several times, as in a graph of separate parts."""
     rng = np.random.default_rng(0)
-    x = np.concatenate([np.eye(32)[10 * i] + 0.1 * rng.normal(size=(40, 32)) for i in range(3)])
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
-    graph = np.maximum(x @ x.T, 0) ** 2
-    np.fill_diagonal(graph, 0)
-    dense = clusters.spectrum(graph, 6)
-    sparse = clusters.spectrum(graph, 6, params.Clusters(dense_limit=10))
-    assert np.allclose(dense[:4], sparse[:4], atol=1e-6)
+    for noise in (0.1, 0.0):
+        x = np.concatenate([np.eye(32)[10 * i] + noise * rng.normal(size=(40, 32)) + 1e-3 * rng.normal(size=(40, 32)) * (np.arange(32) // 10 == i) for i in range(3)])
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        near = clusters.top_neighbours(x, np.ones(len(x)), 5)
+        dense = clusters.spectrum(*near, 6)
+        sparse = clusters.spectrum(*near, 6, params.Clusters(dense_limit=10))
+        assert np.allclose(dense[:5], sparse[:5], atol=1e-6)
+        assert (dense[:3] < 1e-9).all() or noise
+
+
+def test_neighbours_and_median_by_brute_force(monkeypatch):
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    rng = np.random.default_rng(4)
+    for n in (2, 3, 30, 31):
+        x, w = rng.normal(size=(n, 6)), rng.uniform(0.2, 1, n)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        cos = x @ x.T
+        assert clusters.middle_cosine(x) == pytest.approx(np.median(cos[np.triu_indices(n, 1)]))
+        base = np.maximum(cos, 0) ** 2 * np.sqrt(w[:, None] * w)
+        np.fill_diagonal(base, 0)
+        near, value = clusters.top_neighbours(x, w, min(5, n - 1))
+        assert np.allclose(value, -np.sort(-base, axis=1)[:, : value.shape[1]]) and np.allclose(np.take_along_axis(base, near, axis=1), value)
+
+
+def test_kmeans_takes_the_best_of_its_starts():
+    rng = np.random.default_rng(8)
+    x = np.concatenate([np.eye(8)[i] + 0.05 * rng.normal(size=(12, 8)) for i in (0, 3, 5)])
+    labels = clusters.spherical_kmeans(x, np.ones(len(x)), 3)
+    assert labels.tolist() == [0] * 12 + [1] * 12 + [2] * 12
+    assert clusters.spherical_kmeans(x, np.ones(len(x)), 1).tolist() == [0] * 36
+    assert len(set(clusters.spherical_kmeans(x[:2], np.ones(2), 5).tolist())) == 2
+
+
+def test_centres_by_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    rows = [(1 + i % 2, i, i % 3, rng.normal(size=5).tolist(), float(rng.uniform(0.1, 1))) for i in range(60)]
+    df = spark.createDataFrame(rows, "recording_id long, vec_id long, label int, embedding array<double>, weight double").repartition(5)
+    for r in clusters.centres(clusters.usable(df)).collect():
+        mine = [np.array(x[3]) / np.linalg.norm(x[3]) * x[4] for x in rows if (x[0], x[2]) == (r.recording_id, r.label)]
+        assert np.allclose(r.centre, sum(mine) / np.linalg.norm(sum(mine)))
 
 
 def test_lower_quantile(spark):
@@ -167,8 +202,13 @@ def test_an_anchor_takes_its_segment(spark):
     s = s.withColumn("speech_ratio", F.lit(0.9)).withColumn("loudness_std_db", F.lit(None).cast("double")).withColumn("loudness_db", F.lit(None).cast("double"))
     got = {r.vec_id: r for r in assign.recalled(assign.strict(assign.top_two(s, clusters.anchors(gold)))).collect()}
     assert got[0].level in ("strong", "normal") and got[0].risk_level == "low"
-    assert (got[1].level, got[1].reason, got[1].risk_score) == ("unknown", "no_candidate_speaker", 1.0)
-    assert (got[2].level, got[2].reason) == ("unknown", "distance_over_hard_cap")
+    assert (got[1].level, got[1].reason, got[1].flags, got[1].risk_score, got[1].reject_reason) == ("unknown", "missing_segment_embedding", ["no_embedding"], 1.0, "no_candidate_speaker")
+    assert (got[2].level, got[2].reason, got[2].flags, got[2].reject_reason) == ("unknown", "margin_too_low", ["low_relative_margin"], "distance_over_hard_cap")
+    none = assign.recalled(assign.strict(assign.top_two(s, clusters.anchors(gold.filter("false"))))).orderBy("vec_id").collect()
+    assert [(r.reason, r.flags, r.level) for r in none] == [("no_gold_window_speakers", ["no_anchor_speaker"], "unknown"), ("missing_segment_embedding", ["no_embedding"], "unknown"), ("no_gold_window_speakers", ["no_anchor_speaker"], "unknown")]
+    made = {r.vec_id: json.loads(r.a) for r in assign.records(assign.recalled(assign.strict(assign.top_two(s, clusters.anchors(gold))))).select("vec_id", F.to_json("assignment").alias("a")).collect()}
+    assert made[1]["evidence"] == {"duration_ms": 2000, "quality": {"speech_ratio": 0.9}} and made[1]["risk"] == {"score": 1.0, "level": "unassigned", "flags": ["no_embedding"]}
+    assert made[0]["status"] == "assigned" and made[0]["evidence"]["speaker_is_reliable"] and "quality_band" not in made[0]["evidence"]
 
 
 def test_perfect_attribution(spark):
@@ -236,9 +276,66 @@ def test_bisection_isolates_the_bad_item():
 
 
 def test_boundaries():
-    starts = [(20_000, True), (40_000, True), (41_000, False)]
-    assert packing.boundaries(starts, 60_000, 3) == [0, 20_000, 40_000, 60_000]
-    assert packing.boundaries([], 60_000, 2) == [0, 30_000, 60_000]
+    of = lambda starts, *more: packing.cuts(np.array([a for a, _ in starts], int), np.array([c for _, c in starts], bool), *more)
+    assert of([(20_000, True), (40_000, True), (41_000, False)], 60_000, 3) == [0, 20_000, 40_000, 60_000]
+    assert of([], 60_000, 2) == [0, 30_000, 60_000]
+    assert of([(28_000, True), (32_000, True), (30_000, False)], 60_000, 2) == [0, 28_000, 60_000]  # clean ones first, of equals the earlier
+    assert of([(30_000, False)], 60_000, 2) == [0, 30_000, 60_000] and of([(1, True)], 60_000, 1) == [0, 60_000]
+
+
+def test_a_cut_by_trying_every_start():
+    rng = random.Random(11)
+    for _ in range(200):
+        duration, parts = rng.randrange(1000, 400_000), rng.randrange(2, 5)
+        starts = [(rng.randrange(duration), rng.random() < 0.5) for _ in range(rng.randrange(8))]
+        at = packing.cuts(np.array([a for a, _ in starts], int), np.array([c for _, c in starts], bool), duration, parts)
+        least = min(30_000, duration // max(2, 3 * parts))
+        for k in range(1, parts):
+            goal, low, high = duration * k // parts, at[k - 1] + least, duration - least * (parts - k)
+            reach = [a for a, _ in starts if low <= a <= high]
+            clean = [a for a, c in starts if c and low <= a <= high]
+            pool = clean or reach
+            assert at[k] == (min(pool, key=lambda a: (abs(a - goal), a)) if pool else max(low, min(high, goal)))
+
+
+def test_inference_isolates_what_fails(spark):
+    rows = [(1, i, [float(i)] * (1 + i % 3), 16_000 * (1 + i % 3), 5 if i == 4 else 100) for i in range(40)]
+    df = spark.createDataFrame(rows, "recording_id long, request long, samples array<double>, n_samples long, deadline_ms long")
+
+    def model():
+        def call(batch):
+            if any(x[0] == 7 for x in batch):
+                raise RuntimeError
+            return [[x.sum()] for x in batch]
+
+        return call
+
+    got = {r.request: (r.status, r.result) for r in packing.inferred(df, model, 5).collect()}
+    assert len(got) == 40 and got[4] == ("deadline_exceeded", None) and got[7] == ("inference_failed", None)
+    assert all(got[i] == ("success", [float(i * (1 + i % 3))]) for i in range(40) if i not in (4, 7))
+    sizes = packing.inferred(df, model, 5).filter("batch is not null").groupBy("batch").count().collect()
+    assert max(r["count"] for r in sizes) <= 16
+
+    vectors = {r.request: (r.status, r.embedding) for r in models.embeddings(df, model, 5).collect()}
+    assert vectors[0] == ("inference_failed", None) and vectors[1] == ("success", [1.0])
+
+
+def test_segmentation_by_a_model(spark):
+    """Two chunks with cores of 100 ms; the model tells silence, a speaker and a pair from the sample's value."""
+    rows = [(1, 0, 200, 0, 100, [0.0, 1.0, 1.0, 4.0]), (1, 0, 200, 100, 200, [0.0, 1.0, 1.0, 4.0]), (2, 0, 200, 0, 200, [9.0])]
+    df = spark.createDataFrame(rows, "recording_id long, read_start long, read_end long, core_start long, core_end long, samples array<double>")
+
+    def model():
+        def call(x):
+            if x[0] == 9:
+                raise RuntimeError
+            return np.eye(7)[x.astype(int)] * 8
+
+        return call
+
+    got = models.segmentation(df, model).orderBy("recording_id", "start_ms").collect()
+    assert [(r.recording_id, r.start_ms, r.end_ms, r.active, r.dom) for r in got] == [(1, 0, 50, 0, ""), (1, 50, 100, 1, "speaker_0"), (1, 100, 150, 1, "speaker_0"), (1, 150, 200, 2, "speaker_0")]
+    assert all(0.9 < r.confidence <= 1 for r in got)
 
 
 TRANSCRIPT = """# Record
@@ -248,11 +345,12 @@ TRANSCRIPT = """# Record
  hello
   there
 
-**[00:00:05–00:00:20] role · B**
+**[00:00:05–00:00:20] ASR混合 · speaker_B**
 
 clamped
+**[00:00:06–00:00:07] role · Somebody**
 
-**[00:00:11–00:00:12] role · B**
+**[00:00:11–00:00:12] role · speaker_B**
 
 gone
 """
@@ -262,7 +360,7 @@ def test_transcript_repairs(spark):
     df = spark.createDataFrame([(1, TRANSCRIPT, 10_000)], "recording_id long, text string, duration_ms long")
     a, b, c = documents.transcript(df).orderBy("source_index").collect()
     assert (a.start_ms, a.end_ms, a.speaker, a.text, a.flags) == (1000, 2000, "speaker_SPEAKER_00", "hello\nthere", ["zero_duration_expanded_to_1000ms", "overlap_suffix_normalized"])
-    assert (b.end_ms, b.flags, b.dropped) == (10_000, ["end_clamped_to_audio"], None)
+    assert (b.end_ms, b.flags, b.dropped) == (10_000, ["end_clamped_to_audio", "ambiguous_semantic_role"], None) and b.text == "clamped\n**[00:00:06–00:00:07] role · Somebody**"
     assert c.dropped == "start_out_of_bounds"
 
 
@@ -299,21 +397,102 @@ def test_audio(spark, tmp_path):
     (tmp_path / "d.wav").write_bytes(b"")
     (tmp_path / "e.wav").write_bytes(b"nonsense")
     rows = {r.recording[-5]: r for r in documents.probed(spark, f"file://{tmp_path}/*.wav").collect()}
-    assert {k: (r.duration_ms, r.error) for k, r in rows.items()} == {"a": (1000, None), "b": (1000, None), "c": (200, "AUDIO_TOO_SHORT"), "e": (None, "AUDIO_UNREADABLE")}
+    assert {k: (r.duration_ms, r.error) for k, r in rows.items()} == {"a": (1000, None), "b": (1000, None), "c": (200, "AUDIO_DURATION_LIMIT"), "e": (None, "AUDIO_PROBE_FAILED")}
+    assert {r.error for r in documents.probed(spark, f"file://{tmp_path}/a.wav", max_bytes=100).collect()} == {"AUDIO_SIZE_LIMIT"}
     frames = documents.power_frames(spark, f"file://{tmp_path}/[ab].wav").toPandas()
     assert len(frames) == 66 and np.allclose(frames["power"], 8000**2 / 2, rtol=0.1)
     got = timeline.loudness(spark.createDataFrame(frames[["recording", "power"]]), ("recording",)).toPandas()
     assert got["speech_ratio"].tolist() == [1.0, 1.0] and np.allclose(got["loudness_db"], 20 * np.log10(8000 / np.sqrt(2) / 32768), atol=0.1)
     cut = spark.createDataFrame([(x.tobytes(),)], "pcm binary").select(documents.pcm_range(F.col("pcm"), F.lit(100), F.lit(200)).alias("p"), documents.pcm_range(F.col("pcm"), F.lit(990), F.lit(5000)).alias("q")).first()
     assert bytes(cut.p) == x[1600:3200].tobytes() and len(cut.q) == 320
+    wanted = spark.createDataFrame([(f"file://{tmp_path}/{n}.wav", a, b) for n, a, b in (("a", 100, 200), ("b", 990, 5000), ("c", 500, 600), ("e", 0, 10), ("z", 0, 10))], "path string, start_ms long, end_ms long")
+    got = {r.path[-5]: (None if r.pcm is None else bytes(r.pcm), r.error) for r in documents.regions(wanted).collect()}
+    assert got == {"a": (x[1600:3200].tobytes(), None), "b": (x[15_840:].tobytes(), None), "c": (b"", None), "e": (None, "AUDIO_UNREADABLE"), "z": (None, "AUDIO_UNREADABLE")}
+    clips = documents.rendered(wanted.filter("path like '%a.wav'")).select(F.lit("clips/a.wav").alias("path"), "content")
+    listed = exports.write_files(clips, f"file://{tmp_path}/made").first()
+    assert (tmp_path / "made/clips/a.wav").stat().st_size == listed.bytes and documents.pcm((tmp_path / "made/clips/a.wav").read_bytes()).tobytes() == x[1600:3200].tobytes()
+    with pytest.raises(Exception, match="PATH_OUTSIDE_ROOT"):
+        exports.write_files(clips.withColumn("path", F.lit("../x")), f"file://{tmp_path}/made")
+
+
+def test_samples_as_numbers(spark):
+    x = np.array([0, 1, -1, 32767, -32768, 256, -257], "<i2")
+    r = spark.createDataFrame([(x.tobytes(),), (b"",)], "b binary").select(vx.int16_samples(F.col("b")).alias("v")).collect()
+    assert r[0].v == (x / 32768).tolist() and r[1].v == []
+
+
+def test_codecs(spark):
+    ok = lambda codec, container: spark.range(1).select(documents.allowed(F.lit(codec), F.lit(container))).first()[0]
+    assert ok("pcm_s16le", "wav") and ok("amr_nb", "mov,mp4,m4a") and ok("opus", "matroska,webm")
+    assert not ok("alac", "mov,mp4") and not ok("wmav2", "asf") and not ok("mp3", "aiff")
+
+
+def test_checked_documents(spark, tmp_path):
+    good = {"schema_version": "voice_analysis_input_v1", "segments": [{"id": "a", "start_ms": 0, "end_ms": 5, "text": "x", "confidence": 0.5, "extra": 1}]}
+    one = good["segments"][0]
+    cases = {"good": good, "bare": {"segments": [one]}, "root": good | {"more": 1}, "version": good | {"schema_version": "v2"}, "none": good | {"segments": []}, "twice": good | {"segments": [one, one]}, "range": good | {"segments": [one | {"end_ms": 0}]}, "sure": good | {"segments": [one | {"confidence": 2}]}, "list": [1]}
+    for name, doc in cases.items():
+        (tmp_path / f"{name}.json").write_text(json.dumps(doc))
+    (tmp_path / "text.json").write_text("no JSON")
+    got = {r.recording.rsplit("/", 1)[1][:-5]: r.error for r in documents.checked_documents(spark, f"file://{tmp_path}/*.json").collect()}
+    assert {k for k, e in got.items() if e is None} == {"good", "bare"} and set(got.values()) == {None, "SEGMENTS_INVALID"}
+
+
+def test_datasets_are_written_once(spark, tmp_path):
+    rows = [("r_001", "src", 0, 5000, 0, 0, 900, 0, 900, "hi", "role", "speaker_a_overlap", "speaker_a", ["overlap_suffix_normalized"]), ("r_001", "src", 0, 5000, 1, 1000, 2000, 1000, 2000, "yo", "role", "speaker_b", "speaker_b", [])]
+    made = exports.samples(spark.createDataFrame(rows, "sample_id string, source_id string, clip_start long, clip_end long, source_index int, start_ms long, end_ms long, source_start_ms long, source_end_ms long, text string, role string, raw_speaker string, speaker string, flags array<string>"), "weak_auto")
+    tags = spark.createDataFrame([("r_001", ["two_speaker"])], "sample_id string, scenarios array<string>")
+    clips = spark.createDataFrame([("r_001", b"RIFF")], "sample_id string, content binary")
+    root = f"file://{tmp_path}/set"
+    assert exports.write_dataset(made, tags, clips, "weak_auto", root).count() == 3
+    document = json.loads((tmp_path / "set/samples/r_001/input.json").read_text())
+    assert [s["id"] for s in document["segments"]] == ["r_001_seg_00000", "r_001_seg_00001"] and document["segments"][0]["reference_speaker"] == "speaker_a"
+    line = json.loads(next((tmp_path / "set/manifest").glob("*.txt")).read_text())
+    assert line["reference_path"] == "samples/r_001/reference.json" and line["scenarios"] == ["two_speaker"]
+    with pytest.raises(ValueError, match="already exists"):
+        exports.write_dataset(made, tags, clips, "weak_auto", root)
+    assert exports.write_dataset(made, tags, clips, "weak_auto", root, force=True).count() == 3
+    tasks = spark.createDataFrame([("0" * 32, "queued", None)], "task_id string, status string, stage string")
+    exports.write_files(exports.task_files(tasks), f"file://{tmp_path}/tasks")
+    assert [(r.task_id, r.status) for r in documents.task_facts(spark, f"file://{tmp_path}/tasks").collect()] == [("0" * 32, "queued")]
+
+
+@pytest.mark.parametrize(("url", "want"), [
+    ("https://u:p@Host.COM:8080/x?a=1&api_key=2&b=c d#f", "https://host.com:8080/x?a=1&api_key=%3Credacted%3E&b=c+d#f"), ("http://h?x", "http://h?x="), ("http://[::1]:80/p", "http://[::1]:80/p"),
+    ("http://h:x/", "<redacted-url>"), ("http://h:99999/", "<redacted-url>"), ("http://h/?", "http://h/"), ("http://h/?My_Token=%41*~&&y", "http://h/?My_Token=%3Credacted%3E&y="), ("http://h/?q=%41*~", "http://h/?q=A%2A~"),
+])
+def test_public_urls(spark, url, want):
+    assert spark.range(1).select(tx.public_url(F.lit(url))).first()[0] == want
+
+
+def test_profiles_and_configurations():
+    p = params.timeline_of({"speech_window_candidate": {"edge_trim_ms": 0, "min_trimmed_ms": 900}, "clean_window": {"max_join_gap_ms": 700}})
+    assert (p.edge_trim_ms, p.tiny_ms, p.join_gap_ms, p.low_ratio) == (200, 900, 700, 0.75)
+    base = {"schema_version": 1, "algorithm": {"profile_id": "a"}, "runtime": {"temporary_root": "/t", "n": 1}}
+    full = params.load_config(base, {"runtime": {"n": 2}})
+    assert full["runtime"] == {"temporary_root": "/t", "n": 2}
+    assert params.snapshot(full, lambda x: "shown")["runtime"] == "shown"
+    for bad, overlay, code in ((base, {"algorithm": {}}, "LOCKED"), ({"schema_version": 2}, None, "INVALID")):
+        with pytest.raises(ValueError, match=code):
+            params.load_config(bad, overlay)
+
+
+def test_long_recordings_stay_linear(spark):
+    """Silence and batches of one long recording."""
+    n = 60_000
+    f = spark.range(n).selectExpr("1L recording_id", "id * 100 start_ms", "id * 100 + 100 end_ms", "int(id % 997 = 0) active", "'' dom")
+    r = timeline.boundary_silence(f).selectExpr("sum(left_silence_ms) a", "sum(right_silence_ms) b", "max(left_silence_ms) m").first()
+    assert r.m == 99_600 and r.a > 0 and r.b > 0
+    w = spark.range(n).selectExpr("1L recording_id", "id place", "4000L duration_ms", "128000L n_bytes")
+    assert packing.batches(w).selectExpr("max(batch) m", "count(1) n").first()[:] == (n // 15 - 1, n)
 
 
 def test_text_functions(spark):
     row = spark.range(1).select(
         tx.clock(F.lit(3_600_000 * 101 + 61_005)).alias("a"), tx.clock_ms(F.lit("01:02:03")).alias("b"), tx.without_overlap_suffix(F.lit("x_overlap_overlap")).alias("c"),
-        tx.public_url(F.lit("https://u:p@h/x?a=1&api_key=2#f")).alias("d"), tx.redacted("audio_path", F.lit("/a/b.wav")).alias("e"), tx.redacted("access_token", F.lit("q")).alias("f"), tx.redacted("note", F.lit("C:\\x\\y")).alias("g"), tx.is_task_id(F.lit("0" * 32)).alias("h"),
+        tx.basename(F.lit("/a/b/")).alias("d"), tx.basename(F.lit("/")).alias("e"), tx.redacted("access_token", F.lit("q"), StringType()).alias("f"), tx.redacted("note", F.lit("C:\\x\\y"), StringType()).alias("g"), tx.is_task_id(F.lit("0" * 32)).alias("h"),
     ).first()
-    assert tuple(row) == ("101:01:01.005", 3_723_000, "x", "https://h/x?a=1&api_key=<redacted>#f", "b.wav", "<redacted>", "y", True)
+    assert tuple(row) == ("101:01:01.005", 3_723_000, "x", "b", "<path>", "<redacted>", "y", True)
 
 
 def test_vectors(spark):

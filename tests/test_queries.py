@@ -18,7 +18,7 @@ def db():
 
 
 def values(df: pd.DataFrame) -> list:
-    cell = lambda x: None if x is None or x is pd.NA or x != x else float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    cell = lambda x: None if x is None or x is pd.NA or x != x else float(x) + 0.0 if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted((tuple(map(cell, row)) for row in df[sorted(df.columns)].astype(object).values.tolist()), key=str)
 
 

@@ -6,12 +6,15 @@ reference: recording_id, start_ms, end_ms, speaker. hypothesis: the same and lab
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voxframe.operators.intervals import KEY, framed, overlap_ms
+from voxframe.operators.intervals import KEY, framed, overlap_join, overlap_ms, union
 from voxframe.params import Evaluation
 
+#: Frames in a bucket of the joins of turns.
+BUCKET = 600
+
 
 def frames(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """Frames of every recording up to its last end."""
@@ -34,11 +37,19 @@ def collared(reference: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     return _centres(around, p).select(KEY, "frame_center").distinct()
 
 
+def _spans(rows: DataFrame, p: Evaluation, *columns: str) -> DataFrame:
+    """Intervals as numbers of frames: those whose centre lies in [start_ms, end_ms) are start_ms to end_ms - 1."""
+    index = lambda c: F.greatest(F.lit(0), F.ceil((F.col(c) - p.frame_ms // 2) / p.frame_ms)).cast("long").alias(c)
+    return rows.select(KEY, *columns, index("start_ms"), index("end_ms")).filter("end_ms > start_ms")
+
+
 def cooccurrence(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
-    """Frames that a hypothesis label and a reference speaker share, collar or not."""
-    r = _centres(reference, p).select(KEY, "frame_center", "speaker").distinct()
-    h = _centres(hypothesis.filter(F.col("label") != p.unknown), p).select(KEY, "frame_center", "label").distinct()
-    return h.join(r, [KEY, "frame_center"]).groupBy(KEY, "label", "speaker").agg(F.count(F.lit(1)).alias("n"))
+    """How many frames a hypothesis label and a reference speaker share, collar or not: the overlaps of their merged turns."""
+    r = union(_spans(reference, p, "speaker"), (KEY, "speaker")).drop("island")
+    h = union(_spans(hypothesis.filter(F.col("label") != p.unknown), p, "label"), (KEY, "label")).drop("island")
+    pairs = overlap_join(h, r, BUCKET)
+    shared = overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
+    return pairs.groupBy(KEY, "label", "speaker").agg(F.sum(shared).alias("n"))
 
 
 def best_mapping(counts: dict[tuple[str, str], int], labels: list[str], speakers: list[str]) -> dict[str, str]:
@@ -87,33 +98,41 @@ def mapped(hypothesis: DataFrame, names: DataFrame) -> DataFrame:
 
 
 def activity(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
-    """Who speaks in each frame outside the collar: one row per frame and name, in_ref, in_hyp. hypothesis has mapped."""
-    r = _centres(reference, p).select(KEY, "frame_center", F.col("speaker").alias("name"), F.lit(1).alias("r"), F.lit(0).alias("h"))
-    h = _centres(hypothesis.filter(F.col("label") != p.unknown), p).select(KEY, "frame_center", F.col("mapped").alias("name"), F.lit(0).alias("r"), F.lit(1).alias("h"))
-    rows = r.union(h).groupBy(KEY, "frame_center", "name").agg(F.max("r").alias("in_ref"), F.max("h").alias("in_hyp"))
-    return rows.join(collared(reference, p), [KEY, "frame_center"], "left_anti")
+    """Who speaks outside the collar: one row per stretch of frames in which nothing changes and name: frames (how many),
+    in_ref, in_hyp. Rows follow the turns, not the hours. hypothesis has mapped."""
+    r = _spans(reference, p, "speaker").select(KEY, "start_ms", "end_ms", F.col("speaker").alias("name"), F.lit(1).alias("r"), F.lit(0).alias("h"))
+    h = _spans(hypothesis.filter(F.col("label") != p.unknown), p, "mapped").select(KEY, "start_ms", "end_ms", F.col("mapped").alias("name"), F.lit(0).alias("r"), F.lit(1).alias("h"))
+    edge = reference.select(KEY, F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
+    collar = union(_spans(edge.select(KEY, (F.col("at") - p.collar_ms).alias("start_ms"), (F.col("at") + p.collar_ms + 1).alias("end_ms")), p)).drop("island")
+    turns = r.union(h)
+    points = turns.select(KEY, "start_ms", "end_ms").union(collar.select(KEY, "start_ms", "end_ms")).select(KEY, F.explode(F.array("start_ms", "end_ms")).alias("start_ms")).distinct()
+    pieces = points.withColumn("end_ms", F.lead("start_ms").over(Window.partitionBy(KEY).orderBy("start_ms"))).filter("end_ms is not null")
+    met = overlap_join(overlap_join(pieces, collar, BUCKET, "left_anti"), turns, BUCKET)
+    rows = met.groupBy(KEY, "start_ms", "end_ms", "name").agg(F.max("r").alias("in_ref"), F.max("h").alias("in_hyp"))
+    return rows.withColumn("frames", F.col("end_ms") - F.col("start_ms"))
 
 
 def der_terms(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """Per recording: miss, false_alarm, confusion, reference_frames, der."""
-    per = activity(reference, hypothesis, p).groupBy(KEY, "frame_center").agg(F.sum("in_ref").alias("r"), F.sum("in_hyp").alias("h"), F.sum(F.col("in_ref") * F.col("in_hyp")).alias("both"))
-    sums = per.groupBy(KEY).agg(F.sum(F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("miss"), F.sum(F.greatest(F.lit(0), F.col("h") - F.col("r"))).alias("false_alarm"), F.sum(F.least("r", "h") - F.col("both")).alias("confusion"), F.sum("r").alias("reference_frames"))
+    per = activity(reference, hypothesis, p).groupBy(KEY, "start_ms", "frames").agg(F.sum("in_ref").alias("r"), F.sum("in_hyp").alias("h"), F.sum(F.col("in_ref") * F.col("in_hyp")).alias("both"))
+    total = lambda x: F.sum(x * F.col("frames"))
+    sums = per.groupBy(KEY).agg(total(F.greatest(F.lit(0), F.col("r") - F.col("h"))).alias("miss"), total(F.greatest(F.lit(0), F.col("h") - F.col("r"))).alias("false_alarm"), total(F.least("r", "h") - F.col("both")).alias("confusion"), total(F.col("r")).alias("reference_frames"))
     out = reference.select(KEY).distinct().join(sums, KEY, "left").na.fill(0)
     return out.withColumn("der", F.round((F.col("miss") + F.col("false_alarm") + F.col("confusion")) / F.greatest(F.lit(1), F.col("reference_frames")), 6))
 
 
 def jer(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """Per recording: the mean over reference speakers of 1 - shared / joint frames; 1 for a speaker without frames."""
-    per = activity(reference, hypothesis, p).groupBy(KEY, "name").agg(F.sum(F.col("in_ref") * F.col("in_hyp")).alias("both"), F.count(F.lit(1)).alias("either"))
+    per = activity(reference, hypothesis, p).groupBy(KEY, "name").agg(F.sum(F.col("in_ref") * F.col("in_hyp") * F.col("frames")).alias("both"), F.sum("frames").alias("either"))
     rows = reference.select(KEY, F.col("speaker").alias("name")).distinct().join(per, [KEY, "name"], "left").na.fill(0)
     return rows.groupBy(KEY).agg(F.round(F.avg(1 - F.col("both") / F.greatest(F.lit(1), F.col("either"))), 6).alias("jer"))
 
 
 def dominant_reference(hypothesis: DataFrame, reference: DataFrame) -> DataFrame:
     """Per segment (recording_id, input_index) the reference speaker it overlaps most; of equals the later name; null without overlap."""
-    r = reference.select(KEY, F.col("start_ms").alias("r_start"), F.col("end_ms").alias("r_end"), F.col("speaker").alias("truth"))
-    pairs = hypothesis.select(KEY, "input_index", "start_ms", "end_ms").join(r, KEY).filter("r_start < end_ms and r_end > start_ms")
-    sums = pairs.groupBy(KEY, "input_index", "truth").agg(F.sum(overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("r_start"), F.col("r_end"))).alias("shared"))
+    r = reference.select(KEY, "start_ms", "end_ms", F.col("speaker").alias("truth"))
+    pairs = overlap_join(hypothesis.select(KEY, "input_index", "start_ms", "end_ms"), r)
+    sums = pairs.groupBy(KEY, "input_index", "truth").agg(F.sum(overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))).alias("shared"))
     best = sums.groupBy(KEY, "input_index").agg(F.max(F.struct("shared", "truth")).alias("b")).filter("b.shared > 0")
     return hypothesis.join(best.select(KEY, "input_index", F.col("b.truth").alias("truth")), [KEY, "input_index"], "left")
 
@@ -166,3 +185,39 @@ def eligibility(recordings: DataFrame, p: Evaluation = Evaluation()) -> DataFram
     return needed.join(counts, "scenario", "left").select("scenario", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.greatest(F.lit(0), p.per_scenario - F.coalesce("n", F.lit(0))).cast("long").alias("missing"))
 
 
+
+
+def dataset(recordings: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
+    """One row on a dataset: its counts, durations, scenarios and grades, why it isn't eligible, and whether it is sufficient.
+
+    recordings: id, status (scored or failed), source, grade, scenarios, duration_ms. Scenarios of rows that failed count;
+    sources and grades count where the reference could be read (source isn't null), durations where the row was scored.
+    """
+    needed = dict.fromkeys(p.scenarios, p.per_scenario)
+    counts = recordings.select(F.explode("scenarios").alias("s")).groupBy("s").agg(F.count(F.lit(1)).alias("n")).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("s", "n")))))
+    own = recordings.agg(
+        F.count(F.lit(1)).alias("recording_count"), F.count_distinct("source").alias("independent_recording_count"), F.count_if(F.col("status") == "scored").alias("scored_recording_count"),
+        F.coalesce(F.sum(F.when(F.col("status") == "scored", F.col("duration_ms"))), F.lit(0)).alias("total_duration_ms"),
+        F.array_sort(F.collect_set(F.when(F.col("source").isNotNull() & (F.col("grade") != ""), F.col("grade")))).alias("annotation_grades"),
+    )
+    rows = own.withColumn("scenario_counts", F.coalesce(counts.scalar(), F.expr("cast(map() as map<string, bigint>)")))
+    deficit = lambda name, n: F.lit(n) - F.coalesce(F.col("scenario_counts")[name], F.lit(0))
+    missing = F.map_from_entries(F.array_compact(F.array(*[F.when(deficit(name, n) > 0, F.struct(F.lit(name).alias("key"), deficit(name, n).cast("long").alias("value"))) for name, n in needed.items()])))
+    few = F.col("independent_recording_count") < p.min_recordings
+    weak = F.exists("annotation_grades", lambda g: g.startswith("weak_"))
+    reasons = F.array_compact(F.array(F.when(few, "insufficient_independent_recordings"), F.when(weak, "weak_reference_annotations")))
+    rows = rows.withColumn("missing_scenarios", missing).withColumn("eligibility_reasons", reasons).withColumn("formal_gate_eligible", F.size("eligibility_reasons") == 0)
+    return rows.withColumn("sufficient", ~few & (F.col("total_duration_ms") >= p.min_minutes * 60_000) & (F.size("missing_scenarios") == 0) & ~weak)
+
+
+def report(recordings: DataFrame, metrics: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
+    """One row: status, dataset, metrics, gates of an evaluation. An insufficient dataset is no verdict; a recording that
+    couldn't be scored fails it, as does a gate. metrics: recording_metrics() of the recordings that were scored."""
+    g = gates(metrics, p).filter("actual is not null").agg(F.struct(
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric", "actual")))).alias("metrics"),
+        F.array_sort(F.collect_list(F.struct("metric", "actual", "operator", "threshold", "passed"))).alias("gates"), F.coalesce(F.bool_and("passed"), F.lit(False)).alias("all_passed"),
+    ))
+    rows = dataset(recordings, p).withColumn("g", g.scalar()).select("*", "g.*")
+    status = F.when(~F.col("sufficient"), "insufficient_dataset").when(F.col("scored_recording_count") < F.col("recording_count"), "failed").when(F.col("all_passed"), "passed").otherwise("failed")
+    facts = ("recording_count", "independent_recording_count", "scored_recording_count", "total_duration_ms", "scenario_counts", "missing_scenarios", "annotation_grades", "formal_gate_eligible", "eligibility_reasons")
+    return rows.select(F.lit(1).alias("schema_version"), status.alias("status"), F.struct(*facts).alias("dataset"), "metrics", "gates")

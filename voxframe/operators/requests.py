@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.intervals import KEY, overlap_join
@@ -19,6 +19,78 @@ def embed_status(windows: DataFrame, total_bytes: Column, min_ms: int = 400, max
     return windows.withColumn("status", status).withColumn("samples", F.when(F.col("status") == "accepted", F.least(n, F.lit(max_ms * rate // 1000))))
 
 
+KINDS = ("sentence", "gold")
+
+
+def request_errors(requests: DataFrame, windows: DataFrame, now_ms: int, model: str, rate: int = 16_000) -> DataFrame:
+    """Requests with the first of their errors: code (400 or 504) and detail, null for those that may run.
+
+    requests: request_id, sample_rate, expected_model_version, deadline_ms; windows: request_id, window_id, offset, length
+    (bytes), kind. An id must be given once in a request, offsets and lengths hold whole 16-bit samples.
+    """
+    odd = (F.col("offset") < 0) | (F.col("length") <= 0) | (F.col("offset") % 2 != 0) | (F.col("length") % 2 != 0) | ~F.col("kind").isin(*KINDS) | (F.length("window_id") == 0) | (F.length("window_id") > 200)
+    ids = windows.groupBy("request_id", "window_id").agg(F.count(F.lit(1)).alias("n"), F.bool_or(F.coalesce(odd, F.lit(True))).alias("odd"))
+    per = ids.groupBy("request_id").agg(F.bool_or("odd").alias("odd"), F.max("n").alias("most"))
+    rows = requests.join(per, "request_id", "left")
+    invalid = F.col("most").isNull() | F.col("odd") | (F.length("request_id") == 0) | (F.length("request_id") > 200) | F.coalesce(F.col("deadline_ms") <= 0, F.lit(True))
+    detail = (
+        F.when(invalid, "invalid metadata").when(F.coalesce(F.col("sample_rate") != rate, F.lit(True)), f"sample_rate must be {rate}").when(F.coalesce(F.col("expected_model_version") != model, F.lit(True)), "model version mismatch")
+        .when(F.col("deadline_ms") <= now_ms, "request deadline exceeded").when(F.col("most") > 1, "duplicate window_id")
+    )
+    code = F.when(detail == "request deadline exceeded", 504).when(detail.isNotNull(), 400)
+    return rows.select(*requests.columns, code.alias("code"), detail.alias("detail"))
+
+
+def answer_status(answers: DataFrame, now_ms: Column) -> DataFrame:
+    """Adds status to requests with started_ms and finished_ms: a request whose deadline had passed when it would have begun was
+    not inferred; one that finished late counts as late, whatever it found."""
+    status = F.when(F.col("started_ms").isNull() & (now_ms >= F.col("deadline_ms")), "expired_before_inference").when(F.col("finished_ms") >= F.col("deadline_ms"), "deadline_exceeded").when(F.col("finished_ms").isNull(), "pending").otherwise("success")
+    return answers.withColumn("status", status)
+
+
+def refine_errors(answers: DataFrame) -> DataFrame:
+    """Adds error and retryable to answers of the refinement (ready boolean, outcome: ok, timeout or unreachable, http int, body),
+    at now_ms with deadline_ms."""
+    v = F.try_parse_json("body")
+    error = (
+        F.when((F.col("outcome") == "timeout") & (F.col("now_ms") >= F.col("deadline_ms")), "DEADLINE_EXCEEDED").when(F.col("outcome") == "timeout", "WINDOW_REFINE_TIMEOUT")
+        .when((F.col("outcome") != "ok") | ~F.col("ready"), "WINDOW_REFINE_UNAVAILABLE").when(F.col("http") == 401, "WINDOW_REFINE_AUTH").when((F.col("http") != 200) | v.isNull(), "WINDOW_REFINE_PROTOCOL")
+        .when(~F.coalesce(F.try_variant_get(v, "$.success", "boolean"), F.lit(False)), "WINDOW_REFINE_INFERENCE")
+        .when(~F.coalesce(F.schema_of_variant(F.try_variant_get(v, "$.speech_window_candidates", "variant")).startswith("ARRAY"), F.lit(False)), "WINDOW_REFINE_PROTOCOL")
+    )
+    return answers.withColumn("error", error).withColumn("retryable", F.when(error.isNotNull(), ~error.isin("WINDOW_REFINE_AUTH")))
+
+
+def client_ordered(windows: DataFrame) -> DataFrame:
+    """Adds place: by clipped duration, start, end and id, as requests are sent."""
+    w = Window.partitionBy(KEY).orderBy(F.col("end_ms") - F.col("start_ms"), "start_ms", "end_ms", "request_id")
+    return windows.withColumn("place", F.row_number().over(w))
+
+
+def load_fixture(spark: SparkSession, long: int = 52, short: int = 10, seconds: tuple[int, int] = (4, 3)) -> DataFrame:
+    """Windows of a load test, of two lengths, one after the other: window_id, offset, length (bytes), kind."""
+    rows = spark.range(long + short).select("id", (F.when(F.col("id") < long, seconds[0]).otherwise(seconds[1]) * 32_000).cast("long").alias("length"))
+    offset = F.when(F.col("id") < long, F.col("id") * seconds[0]).otherwise(long * seconds[0] + (F.col("id") - long) * seconds[1]) * 32_000
+    return rows.select(F.concat(F.lit("window:"), F.col("id").cast("string")).alias("window_id"), offset.cast("long").alias("offset"), "length", F.when(F.col("id") % 2 == 1, "sentence").otherwise("gold").alias("kind"))
+
+
+def load_report(calls: DataFrame, windows: int) -> DataFrame:
+    """Per run of a load test: requests, windows a second, median and largest latency. calls: run, started_ms, finished_ms, ok."""
+    elapsed = (F.max("finished_ms") - F.min("started_ms")) / 1000
+    latency = F.when(F.col("ok"), (F.col("finished_ms") - F.col("started_ms")) / 1000)
+    return calls.groupBy("run").agg(
+        F.count_if("ok").alias("requests_succeeded"), F.round(elapsed, 2).alias("elapsed_seconds"), F.round(F.when(elapsed > 0, F.count_if("ok") * windows / elapsed).otherwise(0.0), 3).alias("windows_per_second"),
+        F.round(F.median(latency), 3).alias("latency_p50_seconds"), F.round(F.max(latency), 3).alias("latency_max_seconds"),
+    )
+
+
+def embedded(results: DataFrame, aliases: DataFrame) -> DataFrame:
+    """Every request's vector through its canonical window, in request order: aliases (request, canonical), results (canonical,
+    embedding, status). A window without a result is missing_result."""
+    rows = aliases.join(results.select("canonical", "embedding", F.col("status").alias("found")), "canonical", "left")
+    return rows.withColumn("status", F.coalesce("found", F.lit("missing_result"))).drop("found")
+
+
 def within_deadline(requests: DataFrame, now_ms: Column) -> DataFrame:
     """Adds deadline_exceeded: at the deadline it is too late."""
     return requests.withColumn("deadline_exceeded", now_ms >= F.col("deadline_ms"))
@@ -36,8 +108,13 @@ def with_detected_overlap(frames: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def prediction_frames(predictions: DataFrame, duration: Column) -> DataFrame:
-    """Rows of a prediction (array `rows`) spread evenly over its duration: frame, start_ms, end_ms, row."""
+    """Rows of a prediction (array `rows`): frame, start_ms, end_ms, row. They lie where the model says (arrays `starts` and `ends`
+    in seconds, if there are such columns and they aren't null), else evenly over the duration."""
     step = F.greatest(F.lit(1.0), duration / F.size("rows"))
+    if {"starts", "ends"} <= set(predictions.columns):
+        rows = prediction_frames(predictions.withColumnsRenamed({"starts": "_starts", "ends": "_ends"}), duration)
+        given = lambda c, own: F.when(F.col(c).isNotNull() & F.col("_ends").isNotNull(), F.bround(F.col(c)[F.col("frame")] * 1000).cast("long")).otherwise(F.col(own))
+        return rows.withColumns({"start_ms": given("_starts", "start_ms"), "end_ms": given("_ends", "end_ms")}).drop("_starts", "_ends")
     return predictions.withColumn("step", step).select("*", F.posexplode("rows").alias("frame", "row")).withColumn("start_ms", F.bround(F.col("frame") * F.col("step")).cast("long")).withColumn("end_ms", F.bround((F.col("frame") + 1) * F.col("step")).cast("long")).drop("rows", "step")
 
 

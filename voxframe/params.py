@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import asdict, dataclass, field, replace
 
 
 @dataclass(frozen=True)
@@ -46,6 +46,17 @@ class Timeline:
     speech_db: float = -45.0
 
 
+def timeline_of(profile: dict) -> Timeline:
+    """A request's profile over the defaults: values that are missing or 0 don't count, and the join gap falls back from the
+    candidate's section to the clean window's."""
+    own, clean = (profile.get(k) if isinstance(profile.get(k), dict) else {} for k in ("speech_window_candidate", "clean_window"))
+    d = Timeline()
+    return replace(
+        d, edge_trim_ms=int(own.get("edge_trim_ms") or d.edge_trim_ms), tiny_ms=int(own.get("min_trimmed_ms") or d.tiny_ms), join_gap_ms=int(own.get("max_join_gap_ms") or clean.get("max_join_gap_ms") or d.join_gap_ms),
+        low_ratio=float(own.get("min_speech_ratio") or d.low_ratio), unstable_db=float(own.get("max_loudness_std_db") or d.unstable_db),
+    )
+
+
 @dataclass(frozen=True)
 class Clusters:
     """Neighbour counts, selection weights, limits."""
@@ -54,6 +65,7 @@ class Clusters:
     max_k: int = 6
     one_speaker_cosine: float = 0.62
     dense_limit: int = 1024
+    lanczos_steps: int = 40
     concentration_weight: float = 0.85
     nearest_weight: float = 0.75
     intra_weight: float = 0.95
@@ -147,3 +159,22 @@ def merged(base: dict, overlay: dict, locked: tuple = ()) -> dict:
     for k, v in overlay.items():
         out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
+
+
+#: Sections that an overlay may change.
+OVERRIDABLE = ("components", "exports", "failure_policy", "input", "runtime")
+
+
+def load_config(base: dict, overlay: dict | None = None) -> dict:
+    """base (which needs schema_version 1 and a section algorithm) with an overlay, which may name OVERRIDABLE sections only."""
+    if int(base.get("schema_version") or 0) != 1 or not isinstance(base.get("algorithm"), dict):
+        raise ValueError("CONFIG_INVALID")
+    if extra := sorted(set(overlay or {}) - set(OVERRIDABLE)):
+        raise ValueError(f"CONFIG_LOCKED_OVERRIDE: {', '.join(extra)}")
+    return merged(base, overlay or {})
+
+
+def snapshot(config: dict, public) -> dict:
+    """What a result says about its configuration: digests, and the overridable sections as public(value) shows them."""
+    sections = {k: public(config[k]) for k in OVERRIDABLE if k in config}
+    return {"schema_version": config["schema_version"], "effective_digest": canonical_digest(config), "algorithm_digest": canonical_digest(config["algorithm"]), **sections}

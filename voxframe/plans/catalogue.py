@@ -20,6 +20,7 @@ from voxframe.plans import views as v
 from voxframe.sources import documents, exports
 from voxframe.streaming import sessions
 
+NOW = 820_000_000_000
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -227,12 +228,69 @@ def overlap_ms_per_window(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.groupBy(KEY, "start_ms").agg(F.sum(part).alias("overlap_ms"))
 
 
-@query()
-def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
-    """Frames split into single-speaker windows per candidate (here: minutes of a recording)."""
+#: Frames by candidate (here: the minutes of a recording), as if each were a recording of its own.
+OWN = ", own as (select recording_id * 1000000 + start_ms // 60000 as recording_id, start_ms, end_ms, active, dom, power from (select f.*, case when e.event_id % 7 = 0 then 0.0e0 else e.value * e.value * 1000 end as power from v_frame f join events e using (event_id)))"
+RUNS = """, cl as (select f.*, case when active >= 2 or exists (select 1 from blocked b where b.recording_id = f.recording_id and b.start_ms < f.end_ms and b.end_ms > f.start_ms) then 1 else 0 end as closer from own f),
+cs as (select *, sum(closer) over (partition by recording_id order by start_ms) as part from cl),
+cq as (select *, max(case when active = 0 then end_ms end) over (partition by recording_id, part order by start_ms rows between unbounded preceding and 1 preceding) as silent_to from cs where closer = 0),
+cn as (select *, lag(end_ms) over (partition by recording_id, part order by start_ms) as last from cq where active = 1),
+cr as (select *, sum(case when last is null or greatest(start_ms, coalesce(silent_to, 0)) - last > 500 then 1 else 0 end) over (partition by recording_id, part order by start_ms) as run from cn),
+runs as (select recording_id, min(start_ms) as start_ms, max(end_ms) as end_ms from cr group by recording_id, part, run),
+met as (select r.recording_id, r.start_ms, r.end_ms, f.start_ms as fs, f.end_ms as fe, f.active, f.dom, case when f.power <= 0 then -120 else 20 * log10(sqrt(f.power) / 32768) end as db from runs r join own f on f.recording_id = r.recording_id and f.start_ms < r.end_ms and f.end_ms > r.start_ms),
+ch as (select recording_id, start_ms, count(*) filter (old <> dom) as changes from (select *, lag(dom) over (partition by recording_id, start_ms order by fs) as old from met where active = 1 and dom <> '') group by 1, 2),
+st as (select recording_id, start_ms, any_value(end_ms) as end_ms, cast(coalesce(sum(case when active >= 2 then least(fe, end_ms) - greatest(fs, start_ms) end), 0) as bigint) as overlap_ms,
+ round(count(*) filter (db >= -45) / greatest(1, count(*) filter (db > -90)), 4) as ratio, round(coalesce(avg(db) filter (db >= -45), avg(db) filter (db > -90)), 2) as loud, round(coalesce(stddev_pop(db) filter (db >= -45), stddev_pop(db) filter (db > -90), 0), 4) as dev from met group by 1, 2),
+ed as (select r.recording_id, r.start_ms, r.start_ms - coalesce(max(case when f.active > 0 and f.end_ms <= r.start_ms then f.end_ms end), min(case when f.end_ms <= r.start_ms then f.start_ms end), r.start_ms) as lsil,
+ coalesce(min(case when f.active > 0 and f.start_ms >= r.end_ms then f.start_ms end), max(case when f.start_ms >= r.end_ms then f.end_ms end), r.end_ms) - r.end_ms as rsil from runs r join own f on f.recording_id = r.recording_id group by r.recording_id, r.start_ms, r.end_ms),
+win as (select st.*, coalesce(changes, 0) as changes, lsil, rsil, row_number() over (partition by st.recording_id // 1000000 order by printf('asr_candidate_%03d', cast(st.recording_id % 1000000 as int)), st.start_ms) - 1 as k from st left join ch using (recording_id, start_ms) join ed using (recording_id, start_ms))"""
+
+
+def _minutes(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Candidates, frames and their powers."""
     f = v.frames(spark, sf)
     c = f.groupBy(KEY, F.floor(F.col("start_ms") / 60_000).alias("m")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms")).withColumn("candidate_id", F.format_string("asr_candidate_%03d", "m"))
-    return timeline.built(c, f.drop("event_id")).withColumn("flags", F.array_join("flags", ","))
+    value = v.table(spark, sf, "events").select("event_id", "value")
+    power = f.join(value, "event_id").select(KEY, "start_ms", "end_ms", F.when(F.col("event_id") % 7 == 0, 0.0).otherwise(F.col("value") * F.col("value") * 1000).alias("power"))
+    return c, f.drop("event_id"), power
+
+
+@query(v.oracle("v_frame") + OWN + BLOCKED.replace("v_frame", "own") .replace(", st as", ", sx as").replace("from st)", "from sx)") + RUNS + """ select recording_id // 1000000 as recording_id, printf('speech_window_%03d', cast(k as int)) as window_id, start_ms, end_ms, end_ms - start_ms as duration_ms, overlap_ms, cast(changes as int) as change_point_count, lsil as boundary_left_silence_ms, rsil as boundary_right_silence_ms, ratio as speech_ratio, loud as loudness_db, dev as loudness_std_db,
+array_to_string(list_filter([case when end_ms - start_ms < 1200 then 'tiny_interval' end, case when ratio < 0.75 then 'low_speech_ratio' end, case when overlap_ms > 0 then 'residual_overlap' end, case when changes > 0 then 'residual_speaker_change' end, case when dev > 10 then 'unstable_loudness' end], lambda x: x is not null), ',') as flags from win""")
+def candidate_windows(spark: SparkSession, sf: str) -> DataFrame:
+    """Frames split into single-speaker windows per candidate, with all that scoring needs."""
+    rows = timeline.built(*_minutes(spark, sf)).withColumn("flags", F.array_join("flags", ","))
+    return rows.select(KEY, "window_id", "start_ms", "end_ms", "duration_ms", "overlap_ms", "change_point_count", "boundary_left_silence_ms", "boundary_right_silence_ms", "speech_ratio", "loudness_db", "loudness_std_db", "flags")
+
+
+EVENTS = BLOCKED.replace("v_frame", "own")
+
+
+@query(v.oracle("v_frame") + OWN + EVENTS + ", ev as (select recording_id // 1000000 as recording_id, 'blocked_interval' as reason from blocked union all select distinct recording_id, 'no_segmentation_frames' from v_frame) select recording_id, reason, count(*) as n from ev group by 1, 2")
+def split_event_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Each recording also has one candidate without frames."""
+    return timeline.event_counts(timeline.split_events(*_with_empty(spark, sf)))
+
+
+@query(v.oracle("v_frame") + OWN + EVENTS + """, ev as (select recording_id // 1000000 as recording_id, printf('asr_candidate_%03d', cast(recording_id % 1000000 as int)) as candidate_id, 'blocked_interval' as reason, start_ms from blocked union all select distinct recording_id, 'asr_candidate_none', 'no_segmentation_frames', null from v_frame)
+select recording_id, candidate_id, reason, start_ms from ev qualify row_number() over (partition by recording_id order by candidate_id, start_ms nulls first) <= 120""")
+def split_events_first(spark: SparkSession, sf: str) -> DataFrame:
+    return timeline.first_events(timeline.split_events(*_with_empty(spark, sf))).select(KEY, "candidate_id", "reason", "start_ms")
+
+
+def _with_empty(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    c, f, _ = _minutes(spark, sf)
+    none = f.select(KEY).distinct().select(KEY, F.lit(-2000).cast("long").alias("start_ms"), F.lit(-1000).cast("long").alias("end_ms"), F.lit("asr_candidate_none").alias("candidate_id"))
+    return c.select(KEY, "start_ms", "end_ms", "candidate_id").unionByName(none), f
+
+
+@query(v.oracle("v_frame") + OWN + EVENTS + RUNS.split(",\nmet as")[0] + """, n as (select recording_id, count(*) as n from runs group by 1), c as (select distinct recording_id from own)
+select c.recording_id // 1000000 as recording_id, printf('asr_candidate_%03d', cast(c.recording_id % 1000000 as int)) as candidate_id, case when c.recording_id % 5 = 0 then 'inference_failed' when n > 0 then 'success' else 'empty' end as status, case when c.recording_id % 5 = 0 then 0 else coalesce(n, 0) end as window_count from c left join n using (recording_id)
+union all select distinct recording_id, 'asr_candidate_none', 'empty', 0 from v_frame""")
+def candidate_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Every fifth candidate's inference fails and spoils no other."""
+    c, f = _with_empty(spark, sf)
+    failed = c.filter("candidate_id <> 'asr_candidate_none'").filter((F.col(KEY) * 1_000_000 + F.substring("candidate_id", 15, 9).try_cast("long")) % 5 == 0).select(KEY, "candidate_id", F.lit("RuntimeError").alias("error"))
+    return timeline.candidate_results(c, timeline.built(c, f), failed).drop("error")
 
 
 P7 = "select vec_id, list_transform(embedding[1:7]::double[], lambda x: (x + 1) * (case when vec_id % 2 = 0 then 1 else 0.05e0 end)) as p from embeddings"
@@ -249,12 +307,10 @@ def powerset_decode(spark: SparkSession, sf: str) -> DataFrame:
     return _shares(spark, sf).select("vec_id", active.alias("active"), dom.alias("dom"), F.round(conf, 6).alias("confidence"))
 
 
-@query(f"with t as ({P7}), e as (select *, list_min(p) >= 0 and list_max(p) <= 1 and list_sum(p) > 0 and list_sum(p) <= 1.2 as shares, list_transform(p, lambda x: exp(x - list_max(p))) as e from t) select vec_id, shares, round(case when shares then p[1] else e[1] / list_sum(e) end, 6) as first, round(case when shares then p[7] else e[7] / list_sum(e) end, 6) as last from e")
+@query(f"with t as ({P7}), e as (select *, bool_and(list_min(p) >= 0 and list_max(p) <= 1 and list_sum(p) > 0 and list_sum(p) <= 1.2) over (partition by vec_id % 40) as shares, list_transform(p, lambda x: exp(x - list_max(p))) as e from t) select vec_id, shares, round(case when shares then p[1] else e[1] / list_sum(e) end, 6) as first, round(case when shares then p[7] else e[7] / list_sum(e) end, 6) as last from e")
 def softmax_rows(spark: SparkSession, sf: str) -> DataFrame:
-    s = vx.softmax_rows(F.col("p"))
-    total = F.aggregate("p", F.lit(0.0), lambda a, x: a + x)
-    shares = (F.array_min("p") >= 0) & (F.array_max("p") <= 1) & (total > 0) & (total <= 1.2)
-    return _shares(spark, sf).select("vec_id", shares.alias("shares"), F.round(s[0], 6).alias("first"), F.round(s[6], 6).alias("last"))
+    rows = vx.softmax_rows(_shares(spark, sf).withColumn("chunk", F.col("vec_id") % 40), "p", ("chunk",))
+    return rows.select("vec_id", "shares", F.round(F.col("p")[0], 6).alias("first"), F.round(F.col("p")[6], 6).alias("last"))
 
 
 @query("""with f as (select user_id as recording_id, -110 + value * 1.0009765625e0 as db from events), k as (select *, db > -90 as kept, db >= -45 as speech from f)
@@ -268,7 +324,7 @@ def loudness_stats(spark: SparkSession, sf: str) -> DataFrame:
 # --- vectors and clusters ----------------------------------------------------------------------------------------
 
 COS = "list_dot_product(a.u, b.u) / sqrt(list_dot_product(a.u, a.u)) / sqrt(list_dot_product(b.u, b.u))"
-UNIT = ", un as (select recording_id, vec_id, label, weight, start_ms, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) as u from v_gold)"
+UNIT = ", un as (select recording_id, vec_id, label, weight, start_ms, duration_ms, loudness_db, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u))) as u from v_gold)"
 PAIRS = f", pr as (select a.recording_id, a.vec_id as i, b.vec_id as j, {COS} as cos, a.weight as wi, b.weight as wj from un a join un b on a.recording_id = b.recording_id and a.vec_id <> b.vec_id), af as (select *, power(greatest(0, least(1, cos)), 2) * sqrt(wi * wj) as affinity from pr), nn as (select *, row_number() over (partition by recording_id, i order by round(affinity, 9) desc, j) as rank from af qualify rank <= 8)"
 CENTRES = """, dm as (select recording_id, label, weight, unnest(u) as x, unnest(range(1, 65)) as dim from un), sm as (select recording_id, label, dim, sum(weight * x) as x from dm group by 1, 2, 3),
 ce as (select recording_id, label, list_transform(list(x order by dim), lambda y: y / sqrt(list_sum(list_transform(list(x), lambda z: z * z)))) as centre from sm group by 1, 2),
@@ -277,7 +333,7 @@ ru as (select *, sum(weight) over (partition by recording_id, label order by dis
 qq as (select recording_id, label, min(case when run >= 0.7e0 * total then distance end) as q0, min(case when run >= 0.9e0 * total then distance end) as q1 from ru group by 1, 2),
 me as (select recording_id, label, arg_max(vec_id, (round(cos, 12), -vec_id)) as medoid_id from di group by 1, 2),
 ne as (select a.recording_id, a.label, min(1 - list_dot_product(a.centre, b.centre)) as nearest from ce a join ce b on a.recording_id = b.recording_id and a.label <> b.label group by 1, 2),
-ag as (select recording_id, label, count(*) as sample_count, min(vec_id) as first_id, sum(cos * weight) / sum(weight) as conc, sum(distance * weight) / sum(weight) as intra, sum(weight) as w, sum(distance * weight) as dw from di group by 1, 2),
+ag as (select recording_id, label, count(*) as sample_count, min(vec_id) as first_id, sum(cos * weight) / sum(weight) as conc, sum(distance * weight) / sum(weight) as intra, sum(weight) as w, sum(distance * weight) as dw, cast(sum(duration_ms) as bigint) as speech_ms, round(avg(loudness_db), 2) as mean_loudness_db, min(start_ms) as first_start_ms from di group by 1, 2),
 an as (select ag.*, q0, q1, medoid_id, nearest, ce.centre as centre, di.u as medoid from ag join qq using (recording_id, label) join me using (recording_id, label) join ce using (recording_id, label) join di on di.recording_id = ag.recording_id and di.vec_id = medoid_id left join ne on ne.recording_id = ag.recording_id and ne.label = ag.label)"""
 
 
@@ -296,7 +352,7 @@ def affinity_edges(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.affinity_edges(v.gold(spark, sf)).withColumn("affinity", F.round("affinity", 6))
 
 
-@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(q0, 6) as core, round(q1, 6) as boundary from qq")
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(q0, 6) + 0.0e0 as core, round(q1, 6) + 0.0e0 as boundary from qq")
 def weighted_quantile_radii(spark: SparkSession, sf: str) -> DataFrame:
     q = clusters.lower_quantiles(clusters.with_distance(clusters.usable(v.gold(spark, sf))), "distance", (0.7, 0.9))
     return q.select(KEY, "label", F.round("q0", 6).alias("core"), F.round("q1", 6).alias("boundary"))
@@ -313,8 +369,8 @@ def cluster_medoid(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.medoids(clusters.with_distance(clusters.usable(v.gold(spark, sf)))).select(KEY, "label", "medoid_id")
 
 
-ANCHORS = """ select recording_id, label, sample_count, medoid_id, round(intra, 4) as intra_mean_dist, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity_score, round(q0, 4) as core_radius, round(q1, 4) as boundary_radius,
-round(conc, 4) as concentration, round(nearest, 4) as nearest_other_dist, round(nearest - round(intra, 4), 4) as margin from an"""
+ANCHORS = """ select recording_id, label, sample_count, medoid_id, round(intra, 4) + 0.0e0 as intra_mean_dist, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity_score, round(q0, 4) + 0.0e0 as core_radius, round(q1, 4) + 0.0e0 as boundary_radius,
+round(conc, 4) as concentration, round(nearest, 4) + 0.0e0 as nearest_other_dist, round(nearest - round(intra, 4), 4) + 0.0e0 as margin, speech_ms, mean_loudness_db, first_start_ms from an"""
 
 
 @query(v.oracle("v_gold") + UNIT + CENTRES + ANCHORS)
@@ -322,7 +378,7 @@ def speaker_anchors(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.anchors(v.gold(spark, sf)).drop("centre", "medoid", "accept_radius", "first_id")
 
 
-@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, count(*) as cluster_count, round(sum(dw) / sum(w), 6) as mean_intra_dist, round(avg(conc), 6) as mean_concentration, round(min(nearest), 6) as min_nearest_other_dist from an group by 1")
+@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, count(*) as cluster_count, round(sum(dw) / sum(w), 6) + 0.0e0 as mean_intra_dist, round(avg(conc), 6) as mean_concentration, round(min(nearest), 6) as min_nearest_other_dist from an group by 1")
 def cluster_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.cluster_metrics(v.gold(spark, sf))
 
@@ -363,12 +419,12 @@ def k_selection(spark: SparkSession, sf: str) -> DataFrame:
 # --- assignment --------------------------------------------------------------------------------------------------
 
 TOP2 = """, sd as (select s.recording_id, s.vec_id, label, first_id, least(1 - list_dot_product(s.u, centre) / sqrt(list_dot_product(s.u, s.u)), 1 - list_dot_product(s.u, medoid) / sqrt(list_dot_product(s.u, s.u)) + 0.02e0) as d, round(q0, 4) as core, round(q1, 4) as boundary,
- round(nearest - round(intra, 4), 4) as anchor_margin, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity, round(conc, 4) as concentration from v_sent s join an using (recording_id)),
+ round(nearest - round(intra, 4), 4) as anchor_margin, round(greatest(0, least(1, conc * (1 - q1))), 4) as purity, round(conc, 4) as concentration from v_sent s join an using (recording_id) where s.u is not null),
 rk as (select *, row_number() over x as place, coalesce(lead(d) over x, 1.0e0) as d2 from sd window x as (partition by recording_id, vec_id order by round(d, 12), first_id)),
 t2 as (select *, d as d1, greatest(0, d2 - d) as margin, greatest(0, d2 - d) / greatest(d, 0.001e0) as relative from rk where place = 1),
-ba as (select s.*, label, d1, d2, margin, relative, core, boundary, anchor_margin, purity, concentration from v_sent s left join t2 using (recording_id, vec_id)),
-stx as (select *, case when d1 is null then 'none' when d1 <= core + 1e-9 and relative >= 0.35 then 'strong' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.20 then 'normal' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.12 then 'tentative' else 'unknown' end as strict_level from ba),
-stt as (select *, case when strict_level = 'none' then 'missing_segment_embedding' when strict_level in ('strong', 'normal') then 'segment_embedding_' || strict_level when strict_level = 'tentative' then 'inside_accept_radius_tentative' when relative < 0.12 then 'margin_too_low' else 'outside_accept_radius' end as strict_reason,
+ba as (select s.*, label, d1, d2, margin, relative, core, boundary, anchor_margin, purity, concentration, s.u is not null as has_vector, s.recording_id in (select recording_id from an) as has_anchors from v_sent s left join t2 using (recording_id, vec_id)),
+stx as (select *, case when d1 is null then 'unknown' when d1 <= core + 1e-9 and relative >= 0.35 then 'strong' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.20 then 'normal' when d1 <= greatest(core, boundary) + 1e-9 and relative >= 0.12 then 'tentative' else 'unknown' end as strict_level from ba),
+stt as (select *, case when not has_vector then 'missing_segment_embedding' when not has_anchors then 'no_gold_window_speakers' when strict_level in ('strong', 'normal') then 'segment_embedding_' || strict_level when strict_level = 'tentative' then 'inside_accept_radius_tentative' when relative < 0.12 then 'margin_too_low' else 'outside_accept_radius' end as strict_reason,
  round(case strict_level when 'strong' then least(1.0e0, 0.85e0 + least(0.15e0, 0.08e0 * relative)) when 'normal' then least(0.85e0, 0.65e0 + least(0.2e0, 0.1e0 * relative)) else 0 end, 4) as strict_confidence,
  case when duration_ms < 2000 or speech_ratio < 0.45e0 or loudness_std_db > 18 or loudness_db < -55 then 'poor' when duration_ms >= 5000 and speech_ratio >= 0.65e0 and loudness_std_db <= 12 then 'good' else 'medium' end as band from stx)"""
 RECALL = """, rd as (select *, case when round(d1, 6) = 0 then 1.0e0 else round(d1, 6) end as rd, round(relative, 6) as rr, round(margin, 6) as rm, greatest(core, boundary) as radius from stt),
@@ -376,10 +432,15 @@ dc as (select *, case when strict_level in ('strong', 'normal') then 'low' when
  when strict_level = 'tentative' and rd <= radius + 1e-9 then 'medium:segment_embedding_tentative_recall'
  when strict_reason = 'outside_accept_radius' or rd > radius + 1e-9 then case when rd <= 0.62e0 + 1e-9 and rd <= radius + 0.08e0 + 1e-9 and (rr >= 0.10e0 or rm >= 0.04e0) then 'high:segment_embedding_outside_radius_recall' else 'unassigned' end
  when rd <= 0.62e0 + 1e-9 and (rr >= 0.18e0 or rm >= 0.08e0) then 'medium:segment_embedding_relaxed_margin_recall' when rd <= 0.62e0 + 1e-9 and (rr >= 0.10e0 or rm >= 0.04e0) then 'high:segment_embedding_high_risk_margin_recall' else 'unassigned' end as decision from rd),
-fl as (select *, split_part(decision, ':', 1) as risk_level, split_part(decision, ':', 2) as recall_reason,
+fm as (select *, split_part(decision, ':', 1) as risk_level, split_part(decision, ':', 2) as recall_reason,
  list_filter([case when decision like '%tentative_recall' then 'tentative_margin' end, case when decision like '%outside_radius%' then 'outside_accept_radius' end, case when decision like '%outside_radius%' or decision like '%margin_recall' then 'relaxed_margin_recall' end,
  case when rd > 0.42e0 then 'high_distance_recall' end, case when rr < 0.18e0 then 'low_relative_margin' end, case when rm < 0.08e0 then 'small_absolute_margin' end, case when band = 'medium' then 'medium_quality_recall' end, case when speech_ratio < 0.65e0 then 'low_density_recall' end,
- case when loudness_std_db > 12 then 'unstable_loudness_recall' end, case when loudness_db < -50 then 'low_loudness_recall' end, case when coalesce(anchor_margin < 0.08e0, false) or purity < 0.30e0 or concentration < 0.60e0 then 'weak_speaker_anchor' end], lambda x: x is not null) as flags from dc),
+ case when loudness_std_db > 12 then 'unstable_loudness_recall' end, case when loudness_db < -50 then 'low_loudness_recall' end, case when coalesce(anchor_margin < 0.08e0, false) or purity < 0.30e0 or concentration < 0.60e0 then 'weak_speaker_anchor' end], lambda x: x is not null) as more from dc),
+fl as (select *, case when risk_level in ('medium', 'high') then more when risk_level = 'low' then []::varchar[] else case strict_reason when 'missing_segment_embedding' then ['no_embedding'] when 'no_gold_window_speakers' then ['no_anchor_speaker']
+ when 'outside_accept_radius' then ['outside_accept_radius'] when 'margin_too_low' then ['low_relative_margin'] else []::varchar[] end end as flags,
+ case when risk_level in ('medium', 'high') then recall_reason else strict_reason end as reason, case when risk_level = 'low' then 'first_pass' when risk_level = 'unassigned' then 'unknown' else 'recall' end as source,
+ case when risk_level <> 'unassigned' then null when d1 is null then 'no_candidate_speaker' when duration_ms < 2000 then 'duration_too_short_for_recall' when speech_ratio < 0.45e0 then 'speech_ratio_too_low_for_recall' when loudness_std_db > 18 then 'loudness_too_unstable_for_recall'
+  when loudness_db < -55 then 'loudness_too_low_for_recall' when rd > 0.70e0 then 'distance_over_hard_cap' when strict_reason = 'outside_accept_radius' or rd > radius + 1e-9 then 'outside_accept_radius_too_far' else 'no_clear_top1_preference' end as reject_reason from fm),
 fin as (select *, len(flags) as n, case when risk_level in ('medium', 'high') then 'recalled' when risk_level = 'low' then strict_level else 'unknown' end as level from fl),
 rec as (select *, round(case when risk_level = 'low' then strict_confidence when risk_level = 'high' then greatest(0.42e0, least(0.58e0, 0.48e0 + least(0.06e0, 0.1e0 * rr) + least(0.03e0, 0.25e0 * rm) - 0.01e0 * greatest(0, n - 2)))
  when risk_level = 'medium' then greatest(0.52e0, least(0.70e0, 0.58e0 + least(0.07e0, 0.12e0 * rr) + least(0.04e0, 0.25e0 * rm) - 0.01e0 * greatest(0, n - 2))) else 0 end, 4) as confidence,
@@ -391,7 +452,7 @@ def _strict(spark: SparkSession, sf: str) -> DataFrame:
     return assign.strict(assign.top_two(v.sentences(spark, sf), clusters.anchors(v.gold(spark, sf))))
 
 
-@query(ALL + " select recording_id, vec_id, label, round(d1, 6) as d1, round(d2, 6) as d2, round(margin, 6) as margin, round(relative, 5) as relative from ba")
+@query(ALL + " select recording_id, vec_id, label, round(d1, 6) + 0.0e0 as d1, round(d2, 6) + 0.0e0 as d2, round(margin, 6) + 0.0e0 as margin, round(relative, 5) + 0.0e0 as relative from ba")
 def segment_top2(spark: SparkSession, sf: str) -> DataFrame:
     return _strict(spark, sf).select(KEY, "vec_id", "label", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), F.round("margin", 6).alias("margin"), F.round("relative", 5).alias("relative"))
 
@@ -407,10 +468,40 @@ def quality_bands(spark: SparkSession, sf: str) -> DataFrame:
     return windows.histogram(v.sentences(spark, sf).withColumn("band", b), "band", "band")
 
 
-@query(ALL + RECALL + " select recording_id, vec_id, level, risk_level, confidence, risk_score, case when level = 'recalled' then array_to_string(flags, ',') else '' end as flags from rec")
+@query(ALL + RECALL + " select recording_id, vec_id, level, source, reason, reject_reason, risk_level, confidence, risk_score, array_to_string(flags, ',') as flags from rec")
 def recall_assignment(spark: SparkSession, sf: str) -> DataFrame:
     r = assign.recalled(_strict(spark, sf))
-    return r.select(KEY, "vec_id", "level", "risk_level", "confidence", "risk_score", F.when(F.col("level") == "recalled", F.array_join("flags", ",")).otherwise("").alias("flags"))
+    return r.select(KEY, "vec_id", "level", "source", "reason", "reject_reason", "risk_level", "confidence", "risk_score", F.array_join("flags", ",").alias("flags"))
+
+
+@query(ALL + RECALL + """ select recording_id, vec_id, case when source = 'unknown' then 'unknown' else cast(label as varchar) end as label, case when source = 'unknown' then 'unknown' else 'assigned' end as status, source, level, reason, confidence, risk_score, risk_level, array_to_string(flags, ',') as flags,
+cast(label as varchar) as candidate, round(d1, 6) + 0.0e0 as best_distance, round(d2, 6) + 0.0e0 as second_distance, case when d1 is not null then strict_level end as strict_level, case when source = 'recall' then band end as quality_band, duration_ms, speech_ratio from rec""")
+def assignment_records(spark: SparkSession, sf: str) -> DataFrame:
+    a = assign.records(assign.recalled(_strict(spark, sf))).select(KEY, "vec_id", "assignment.*")
+    e = F.col("evidence")
+    return a.select(
+        KEY, "vec_id", "label", "status", "source", "level", "reason", "confidence", F.col("risk.score").alias("risk_score"), F.col("risk.level").alias("risk_level"), F.array_join("risk.flags", ",").alias("flags"),
+        e["candidate_speaker"].alias("candidate"), e["best_distance"].alias("best_distance"), e["second_distance"].alias("second_distance"), e["strict_assignment_level"].alias("strict_level"), e["quality_band"].alias("quality_band"), e["duration_ms"].alias("duration_ms"), e["quality"]["speech_ratio"].alias("speech_ratio"),
+    )
+
+
+@query(ALL + RECALL + """, rj as (select recording_id, string_agg(reject_reason || '=' || cast(n as varchar), ',' order by reject_reason) as rejected from (select recording_id, reject_reason, count(*) as n from rec where reject_reason is not null group by 1, 2) group by 1)
+select rec.recording_id, count(*) as segment_count, count(*) filter (source <> 'unknown') as assigned_count, count(*) filter (source = 'unknown') as unknown_count, count(*) filter (source <> 'first_pass') as input_unknown_count, count(*) filter (source = 'recall') as recalled_count, any_value(rejected) as rejected from rec left join rj using (recording_id) group by 1""")
+def assignment_audit(spark: SparkSession, sf: str) -> DataFrame:
+    a = assign.audit(assign.recalled(_strict(spark, sf)))
+    return a.withColumn("rejected", F.array_join(F.transform(F.map_entries("rejected"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
+
+
+@query("select * from (values ('medium_min_duration_ms', 2000.0e0), ('medium_min_speech_ratio', 0.45e0), ('medium_max_loudness_std_db', 18.0e0), ('min_loudness_db', -55.0e0), ('good_min_duration_ms', 5000.0e0), ('good_min_speech_ratio', 0.65e0), ('good_max_loudness_std_db', 12.0e0), ('soft_relative_margin', 0.18e0), ('soft_margin', 0.08e0), ('high_risk_relative_margin', 0.10e0), ('high_risk_margin', 0.04e0), ('accept_radius_slack', 0.08e0), ('soft_max_distance', 0.62e0), ('hard_max_distance', 0.70e0), ('risk_distance', 0.42e0)) t(name, value)")
+def recall_thresholds(spark: SparkSession, sf: str) -> DataFrame:
+    return spark.createDataFrame([(k, float(x)) for k, x in assign.thresholds().items()], "name string, value double")
+
+
+@query(v.oracle("v_seg") + ", q as (select recording_id, input_index, (input_index % 10) / 10.0e0 as speech_ratio, -60.0e0 + input_index as loudness_db from v_seg where input_index % 3 <> 0) select s.recording_id, s.input_index, q.speech_ratio, q.loudness_db from v_seg s left join q using (recording_id, input_index)")
+def segment_quality_join(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    q = s.filter("input_index % 3 <> 0").selectExpr(KEY, "input_index", "(input_index % 10) / 10D speech_ratio", "-60D + input_index loudness_db", "0D loudness_std_db")
+    return assign.with_quality(s.select(KEY, "input_index"), q).drop("loudness_std_db")
 
 
 @query(ALL + RECALL + " select level, count(*) as n, count(*) filter (level <> 'unknown') as assigned from rec group by 1")
@@ -460,17 +551,72 @@ def batch_packing(spark: SparkSession, sf: str) -> DataFrame:
     return packing.batches(_requests(spark, sf))
 
 
-@query()
+CLIPS = """, s0 as (select *, lag(end_ms) over (partition by recording_id order by start_ms, input_index) as old from v_seg), d as (select recording_id, max(end_ms) as dur from v_seg group by 1),
+p as (select recording_id, start_ms as pt, bool_or(old <= start_ms) as clean from s0 where old is not null group by 1, 2), l as (select *, least(30000, dur // 9) as least_ms from d),
+c1 as (select l.*, coalesce(x.clean, x.every, greatest(least_ms, least(dur - 2 * least_ms, dur // 3))) as a from l left join (select p.recording_id, arg_min(pt, (abs(pt - dur // 3), pt)) filter (clean) as clean, arg_min(pt, (abs(pt - dur // 3), pt)) as every from p join l using (recording_id) where pt between least_ms and dur - 2 * least_ms group by 1) x using (recording_id)),
+c2 as (select c1.*, coalesce(x.clean, x.every, greatest(a + least_ms, least(dur - least_ms, dur * 2 // 3))) as b from c1 left join (select p.recording_id, arg_min(pt, (abs(pt - dur * 2 // 3), pt)) filter (clean) as clean, arg_min(pt, (abs(pt - dur * 2 // 3), pt)) as every from p join c1 using (recording_id) where pt between a + least_ms and dur - least_ms and pt <> a group by 1) x using (recording_id)),
+clips as (select recording_id, 0 as clip, 0 as start_ms, a as end_ms from c2 union all select recording_id, 1, a, b from c2 union all select recording_id, 2, b, dur from c2)"""
+REBASED = CLIPS + """, rb as (select s.recording_id, clip, input_index, greatest(0, s.start_ms - c.start_ms) as start_ms, least(c.end_ms - c.start_ms, s.end_ms - c.start_ms) as end_ms from v_seg s join clips c on c.recording_id = s.recording_id and (s.start_ms + s.end_ms) // 2 >= c.start_ms and (s.start_ms + s.end_ms) // 2 < c.end_ms)"""
+
+
+@query(v.oracle("v_seg") + CLIPS + " select recording_id, cast(clip as int) as clip, cast(start_ms as bigint) as start_ms, end_ms from clips")
 def clip_boundaries(spark: SparkSession, sf: str) -> DataFrame:
     return packing.clips(v.segments(spark, sf), 3)
 
 
-@query()
+@query(v.oracle("v_seg") + REBASED + " select recording_id, cast(clip as int) as clip, input_index, start_ms, end_ms from rb where end_ms > start_ms")
 def clip_rebase(spark: SparkSession, sf: str) -> DataFrame:
     s = v.segments(spark, sf)
     return packing.rebased(s, packing.clips(s, 3))
 
 
+@query(v.oracle("v_seg") + REBASED + """ select 'r_' || cast(recording_id as varchar) || '_p' || cast(clip + 1 as varchar) as sample_id, count(*) as segment_count, count(distinct speaker) as speaker_count, count(*) filter (input_index % 3 = 0) as overlap_suffix_count, true as valid,
+min('r_' || cast(recording_id as varchar) || '_p' || cast(clip + 1 as varchar) || '_seg_' || printf('%05d', input_index)) as first_id from (select rb.*, v.speaker from rb join v_seg v using (recording_id, input_index) where rb.end_ms > rb.start_ms) group by 1""")
+def dataset_samples(spark: SparkSession, sf: str) -> DataFrame:
+    """Input and reference documents of a dataset's clips, told by their facts and the first id that the input document holds."""
+    s = v.segments(spark, sf)
+    cuts = packing.clips(s, 3)
+    bounds = cuts.select(KEY, "clip", F.col("start_ms").alias("clip_start"), F.col("end_ms").alias("clip_end"))
+    own = s.select(KEY, "input_index", F.col("start_ms").alias("source_start_ms"), F.col("end_ms").alias("source_end_ms"), "text", "speaker")
+    rows = packing.rebased(s, cuts).join(bounds, [KEY, "clip"]).join(own, [KEY, "input_index"])
+    flags = F.when(F.col("input_index") % 3 == 0, F.array(F.lit("overlap_suffix_normalized"))).otherwise(F.expr("cast(array() as array<string>)"))
+    rows = rows.select(F.format_string("r_%d_p%d", KEY, F.col("clip") + 1).alias("sample_id"), F.col(KEY).alias("source_id"), "clip_start", "clip_end", F.col("input_index").alias("source_index"), "start_ms", "end_ms", "source_start_ms", "source_end_ms", "text", F.col("speaker").alias("role"), F.col("speaker").alias("raw_speaker"), "speaker", flags.alias("flags"))
+    made = exports.samples(rows, "weak_automatic_reviewed")
+    ids = F.transform(F.from_json("input", "segments array<struct<id: string>>")["segments"], lambda x: x["id"])
+    return made.select("sample_id", "segment_count", "speaker_count", "overlap_suffix_count", "valid", F.array_min(ids).alias("first_id"))
+
+
+@query(v.oracle("v_win").replace("with ", "with recursive ", 1) + """, p as (select recording_id, row_number() over (partition by recording_id order by event_id) as place, duration_ms * 4 as ms, duration_ms * 128 as sz from v_win),
+b as (select recording_id, place, 0 as batch, 1 as n, ms, sz, sz as own from p where place = 1
+ union all select p.recording_id, p.place, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then b.batch + 1 else b.batch end, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then 1 else b.n + 1 end,
+ case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then p.ms else b.ms + p.ms end, case when b.n >= 16 or b.ms + p.ms > 60000 or b.sz + p.sz > 33554432 then p.sz else b.sz + p.sz end, p.sz from b join p on p.recording_id = b.recording_id and p.place = b.place + 1)
+select recording_id, place, batch, sz - own as "offset" from b""")
+def batch_offsets(spark: SparkSession, sf: str) -> DataFrame:
+    r = _requests(spark, sf)
+    return packing.with_offsets(packing.batches(r).join(r.select(KEY, "place", "n_bytes"), [KEY, "place"])).select(KEY, "place", "batch", "offset")
+
+
+@query("""with q as (select vec_id % 5 as recording_id, vec_id as request, list_transform(embedding[1:8]::double[], lambda x: round(x, 3)) as samples, vec_id % 11 = 0 as late, vec_id % 17 = 0 as bad from embeddings)
+select recording_id, request, case when late then 'deadline_exceeded' when bad then 'inference_failed' else 'success' end as status, case when not late and not bad then round(list_sum(samples), 6) + 0.0e0 end as first, case when not late and not bad then round(list_max(samples), 6) + 0.0e0 end as second from q""")
+def inference(spark: SparkSession, sf: str) -> DataFrame:
+    """Batches of like lengths through a stand-in for a model; late requests and those at fault spoil no other."""
+    e = v.table(spark, sf, "embeddings").selectExpr("vec_id % 5 recording_id", "vec_id request", "transform(slice(cast(embedding as array<double>), 1, 8), x -> if(vec_id % 17 = 0, cast('NaN' as double), round(x, 3))) samples", "16000 * (1 + vec_id % 9) n_samples", f"if(vec_id % 11 = 0, {NOW}, {NOW} + 1) deadline_ms")
+
+    def model():
+        import numpy as np
+
+        def call(batch: list) -> list:
+            x = np.array(batch)
+            if np.isnan(x).any():
+                raise ValueError("not a number")
+            return np.stack([x.sum(axis=1), x.max(axis=1)], axis=1).tolist()
+
+        return call
+
+    rows = packing.inferred(e, model, NOW)
+    return rows.select(KEY, "request", "status", (F.round(F.col("result")[0], 6) + 0.0).alias("first"), (F.round(F.col("result")[1], 6) + 0.0).alias("second"))
+
+
 # --- evaluation --------------------------------------------------------------------------------------------------
 
 #: A fixed mapping for the queries that don't search for the best one.
@@ -557,11 +703,45 @@ def cooccurrence(spark: SparkSession, sf: str) -> DataFrame:
     return evaluate.cooccurrence(v.segments(spark, sf), v.hypotheses(spark, sf))
 
 
-@query()
+MAPPING = """, n as (select h.recording_id, h.label, s.speaker, count(distinct frame_center) as n from fr join v_hyp h on h.recording_id = fr.recording_id and h.label <> 'unknown' and h.start_ms <= frame_center and frame_center < h.end_ms join v_seg s on s.recording_id = fr.recording_id and s.start_ms <= frame_center and frame_center < s.end_ms group by 1, 2, 3),
+ls as (select recording_id, list_sort(list(distinct label) filter (label <> 'unknown')) as hs from v_hyp group by 1), rs as (select recording_id, list_sort(list(distinct speaker)) as rs from v_seg group by 1),
+sd as (select recording_id, len(hs) < len(rs) as flipped, case when len(hs) < len(rs) then rs else hs end as a, case when len(hs) < len(rs) then hs else rs end as b from ls join rs using (recording_id) where len(hs) > 0),
+op as (select sd.*, x.j as j1, y.j as j2, z.j as j3 from sd, range(4) x(j), range(4) y(j), range(4) z(j) where x.j <= len(b) and y.j <= len(b) and z.j <= len(b) and (len(a) >= 2 or y.j = len(b)) and (len(a) >= 3 or z.j = len(b))
+ and (x.j = len(b) or x.j <> y.j) and (x.j = len(b) or x.j <> z.j) and (y.j = len(b) or y.j <> z.j) and (x.j < len(b))::int + (y.j < len(b))::int + (z.j < len(b))::int = len(b)),
+pr as (select recording_id, j1, j2, j3, unnest([{'a': a[1], 'b': b[j1 + 1]}, {'a': a[2], 'b': b[j2 + 1]}, {'a': a[3], 'b': b[j3 + 1]}], recursive := true) , flipped from op),
+pn as (select recording_id, j1, j2, j3, case when flipped then b else a end as label, case when flipped then a else b end as speaker from pr where a is not null and b is not null),
+tt as (select pn.recording_id, j1, j2, j3, sum(coalesce(n, 0)) as total from pn left join n using (recording_id, label, speaker) group by 1, 2, 3, 4),
+bs as (select * from tt qualify row_number() over (partition by recording_id order by total desc, j1, j2, j3) = 1)"""
+
+
+@query(v.oracle("v_hyp") + FRAMES + MAPPING + " select pn.recording_id, label, speaker from pn join bs using (recording_id, j1, j2, j3)")
 def optimal_mapping(spark: SparkSession, sf: str) -> DataFrame:
+    """At most three names a side in these views, so SQL can try all mappings."""
     return evaluate.mapping(v.segments(spark, sf), v.hypotheses(spark, sf))
 
 
+REPORT = """, rc as (select recording_id as id, case when recording_id % 9 = 8 then 'failed' else 'scored' end as status, case when recording_id % 10 = 7 then null else 'src-' || cast(recording_id % 40 as varchar) end as source, case when recording_id % 6 = 1 then 'weak_auto' when recording_id % 6 = 2 then '' else 'gold' end as grade,
+ ['two_speaker', case when recording_id % 3 = 0 then 'overlap' else 'single_speaker' end] as scenarios, max(end_ms) * 20 as duration_ms from v_seg group by 1),
+sc as (select s, count(*) as n from (select unnest(scenarios) as s from rc) group by 1), need as (select s, greatest(0, 3 - coalesce(n, 0)) as k from (values ('single_speaker'), ('two_speaker'), ('multi_speaker'), ('overlap'), ('noisy_or_far_field')) q(s) left join sc using (s)),
+ds as (select count(*) as recording_count, count(distinct source) as independent, count(*) filter (status = 'scored') as scored, coalesce(sum(duration_ms) filter (status = 'scored'), 0) as total_ms, coalesce(bool_or(grade like 'weak_%') filter (source is not null), false) as weak, array_to_string(list_sort(list(distinct grade) filter (source is not null and grade <> '')), ',') as grades from rc)
+select case when independent < 20 or total_ms < 3600000 or weak or (select sum(k) from need) > 0 then 'insufficient_dataset' else 'failed' end as status, recording_count, independent as independent_recording_count, scored as scored_recording_count, cast(total_ms as bigint) as total_duration_ms, grades,
+array_to_string(list_filter([case when independent < 20 then 'insufficient_independent_recordings' end, case when weak then 'weak_reference_annotations' end], lambda x: x is not null), ',') as reasons, (select string_agg(s || '=' || cast(k as varchar), ',' order by s) from need where k > 0) as missing, (select actual from mac where metric = 'der') as der, (select count(*) from mac) as n_gates from ds"""
+
+
+@query(v.oracle("v_hyp") + FRAMES.replace("from der join jer using (recording_id)", "from (select * from der where recording_id % 9 <> 8) der join jer using (recording_id)") + REPORT)
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf)
+    rows = s.groupBy(KEY).agg((F.max("end_ms") * 20).alias("duration_ms")).selectExpr(
+        f"{KEY} id", f"if({KEY} % 9 = 8, 'failed', 'scored') status", f"if({KEY} % 10 = 7, null, concat('src-', {KEY} % 40)) source", f"case {KEY} % 6 when 1 then 'weak_auto' when 2 then '' else 'gold' end grade",
+        f"array('two_speaker', if({KEY} % 3 = 0, 'overlap', 'single_speaker')) scenarios", "duration_ms",
+    )
+    metrics = evaluate.recording_metrics(s, v.hypotheses(spark, sf), _names(spark, sf)).filter(f"{KEY} % 9 <> 8")
+    r = evaluate.report(rows, metrics)
+    d = F.col("dataset")
+    missing = F.array_join(F.array_sort(F.transform(F.map_entries(d["missing_scenarios"]), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string")))), ",")
+    return r.select("status", *[d[c].alias(c) for c in ("recording_count", "independent_recording_count", "scored_recording_count", "total_duration_ms")], F.array_join(d["annotation_grades"], ",").alias("grades"), F.array_join(d["eligibility_reasons"], ",").alias("reasons"), missing.alias("missing"), F.col("metrics")["der"].alias("der"), F.size("gates").cast("long").alias("n_gates"))
+
+
 SCENARIOS = """with r as (select recording_id, count(distinct speaker) as n, max(end_ms) as duration_ms from v_seg group by 1), w as (select *, max(end_ms) over x as latest, arg_max(speaker, end_ms) over x as who from v_seg window x as (partition by recording_id order by start_ms, end_ms, speaker rows between unbounded preceding and 1 preceding)),
 o as (select recording_id, coalesce(bool_or(start_ms < latest and speaker <> who), false) as has_overlap from w group by 1),
 t as (select unnest([case when n = 1 then 'single_speaker' when n = 2 then 'two_speaker' else 'multi_speaker' end, case when has_overlap then 'overlap' end]) as scenario from r join o using (recording_id))
@@ -600,49 +780,136 @@ def export_vtt(spark: SparkSession, sf: str) -> DataFrame:
     return exports.vtt(v.hypotheses(spark, sf))
 
 
-@query()
+@query(v.oracle("v_hyp") + """ select recording_id, '{"schema_version":"voice_analysis_result_v1","segments":[' || string_agg('{"input_index":' || cast(input_index as varchar) || ',"normalized":{"start_ms":' || cast(start_ms as varchar) || ',"end_ms":' || cast(end_ms as varchar) || case when text is null then '' else ',"text":' || cast(to_json(text) as varchar) end || '},"assignment":{"label":"' || label || '"}}', ',' order by start_ms, input_index) || ']}' as content from v_hyp group by 1""")
 def export_json(spark: SparkSession, sf: str) -> DataFrame:
     return exports.result_json(v.hypotheses(spark, sf))
 
 
-@query(v.oracle("v_seg") + """, t as (select recording_id, input_index, start_ms // 1000 * 1000 as s, end_ms // 1000 * 1000 as e, 40000 as duration_ms, trim(replace(text, chr(10), ' ')) as body, speaker as role, case when input_index % 3 = 0 then speaker || '_overlap_overlap' else speaker end as raw from v_seg),
+@query(v.oracle("v_hyp") + f" select recording_id, string_agg('[' || {_clock('start_ms')} || ' - ' || {_clock('end_ms')} || '] [' || label || '] [confidence=' || printf('%.4f', (input_index % 4) / 4.0e0) || '] [reason=' || case when input_index % 2 = 0 then 'r' else '' end || '] [risk=low] ' || text, chr(10) order by start_ms, input_index) || chr(10) as content from v_hyp group by 1")
+def export_txt_prefixes(spark: SparkSession, sf: str) -> DataFrame:
+    rows = v.hypotheses(spark, sf).withColumn("confidence", (F.col("input_index") % 4) / 4.0).withColumn("reason", F.when(F.col("input_index") % 2 == 0, "r")).withColumn("risk_level", F.lit("low"))
+    return exports.txt(rows, confidence=True, reason=True, risk=True)
+
+
+@query(v.oracle("v_hyp") + f" select recording_id, string_agg('[' || {_clock('start_ms')} || ' - ' || {_clock('end_ms')} || '] [' || label || '] ' || text, chr(10) order by start_ms, input_index) || chr(10) as content from v_hyp group by 1")
+def export_from_result(spark: SparkSession, sf: str) -> DataFrame:
+    """Text from the JSON documents, which are what every other format goes by."""
+    return exports.txt(exports.from_result(exports.result_json(v.hypotheses(spark, sf))))
+
+
+@query(v.oracle("v_seg") + """ select recording_id, '{"schema_version":"voice_analysis_failure_v1","status":"failed","error":{"code":"AUDIO_DURATION_LIMIT","stage":"audio_probe","message":"' || cast(max(end_ms) as varchar) || ' ms","retryable":false}}' as content from v_seg group by 1 having max(end_ms) > 20000""")
+def export_failure(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.segments(spark, sf).groupBy(KEY).agg(F.max("end_ms").alias("ms")).filter("ms > 20000")
+    return exports.failures(d.select(KEY, F.lit("AUDIO_DURATION_LIMIT").alias("code"), F.lit("audio_probe").alias("stage"), F.concat(F.col("ms").cast("string"), F.lit(" ms")).alias("message"), F.lit(False).alias("retryable")))
+
+
+@query("""select doc_id, case when strlen(content) <= 3000 then content end as content, case when strlen(content) > 3000 then 'SEGMENTS_TOO_LARGE' end as error from (select doc_id, '{"id":' || cast(doc_id as varchar) || case when source is null or doc_id % 2 = 0 then '' else ',"source":"' || source || '"' end || ',"n":[' || coalesce(array_to_string(range(n_chars // 4), ','), '') || ']}' as content from (select doc_id, source, cast(n_chars as bigint) as n_chars from documents))""")
+def canonical_documents(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.table(spark, sf, "documents").selectExpr("doc_id", "named_struct('id', doc_id, 'source', if(doc_id % 2 = 0, null, source), 'n', if(n_chars div 4 > 0, sequence(0L, cast(n_chars div 4 as bigint) - 1), cast(array() as array<bigint>))) document")
+    return exports.canonical(d, most=3000)
+
+
+@query(v.oracle("v_seg") + """ select recording_id, '{"schema_version":"x","n":' || cast(count(*) as varchar) || case when recording_id % 2 = 0 then ',"transcript_source":{"kind":"cloud","segments":' || cast(count(*) as varchar) || '}' else '' end || '}' as content from v_seg group by 1""")
+def transcript_source(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.segments(spark, sf).groupBy(KEY).agg(F.count(F.lit(1)).alias("n")).withColumn("content", F.concat(F.lit('{"schema_version":"x","n":'), F.col("n").cast("string"), F.lit("}")))
+    source = F.when(F.col(KEY) % 2 == 0, F.to_json(F.struct(F.lit("cloud").alias("kind"), F.col("n").alias("segments"))))
+    return exports.with_source(d, source).drop("n")
+
+
+@query(v.oracle("v_seg") + """, t as (select recording_id, input_index, start_ms // 1000 * 1000 as s, end_ms // 1000 * 1000 as e, 40000 as duration_ms, trim(replace(text, chr(10), ' ')) as body, case when input_index % 5 = 4 then 'ASR混合' else speaker end as role, 'speaker_' || speaker || case when input_index % 3 = 0 then '_overlap_overlap' else '' end as raw from v_seg),
 r as (select *, case when e <= s then least(duration_ms, s + 1000) else e end as e2 from t)
 select recording_id, row_number() over (partition by recording_id order by input_index) - 1 as source_index, s as start_ms, least(e2, duration_ms) as end_ms, role, regexp_replace(raw, '(?:_overlap)+$', '') as speaker, body as text,
-array_to_string(list_filter([case when e <= s then 'zero_duration_expanded_to_1000ms' end, case when e2 > duration_ms then 'end_clamped_to_audio' end, case when input_index % 3 = 0 then 'overlap_suffix_normalized' end], lambda x: x is not null), ',') as flags,
+array_to_string(list_filter([case when e <= s then 'zero_duration_expanded_to_1000ms' end, case when e2 > duration_ms then 'end_clamped_to_audio' end, case when input_index % 3 = 0 then 'overlap_suffix_normalized' end, case when role = 'ASR混合' then 'ambiguous_semantic_role' end], lambda x: x is not null), ',') as flags,
 case when s >= duration_ms then 'start_out_of_bounds' when least(e2, duration_ms) <= s then 'nonpositive_after_repair' end as dropped from r""")
 def transcript_parse(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.transcript(_transcripts(spark, sf)).select(KEY, F.col("source_index").cast("long").alias("source_index"), "start_ms", "end_ms", "role", "speaker", "text", F.array_join("flags", ",").alias("flags"), "dropped")
+
+
+def _transcripts(spark: SparkSession, sf: str) -> DataFrame:
     s = v.segments(spark, sf)
     second = lambda c: F.substring(tx.clock(F.col(c)), 1, 8)
-    raw = F.when(F.col("input_index") % 3 == 0, F.concat("speaker", F.lit("_overlap_overlap"))).otherwise(F.col("speaker"))
-    line = F.concat(F.lit("**["), second("start_ms"), F.lit("–"), second("end_ms"), F.lit("] "), F.col("speaker"), F.lit(" · "), raw, F.lit("**\n\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\n"))
+    raw = F.concat(F.lit("speaker_"), "speaker", F.when(F.col("input_index") % 3 == 0, "_overlap_overlap").otherwise(""))
+    role = F.when(F.col("input_index") % 5 == 4, "ASR混合").otherwise(F.col("speaker"))
+    line = F.concat(F.lit("**["), second("start_ms"), F.lit("–"), second("end_ms"), F.lit("] "), role, F.lit(" · "), raw, F.lit("**\n\n"), F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\n\n"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("input_index", line.alias("line")))), lambda x: x["line"]), "")
-    doc = s.groupBy(KEY).agg(F.concat(F.lit("# Transcript\n\n"), text).alias("text")).withColumn("duration_ms", F.lit(40_000).cast("long"))
-    return documents.transcript(doc).select(KEY, F.col("source_index").cast("long").alias("source_index"), "start_ms", "end_ms", "role", "speaker", "text", F.array_join("flags", ",").alias("flags"), "dropped")
+    head = F.concat(F.lit("# Transcript\n\n- 转写段数："), F.count(F.lit(1)).cast("string"), F.lit("\n\n"))
+    return s.groupBy(KEY).agg(F.concat(head, text).alias("text")).withColumn("duration_ms", F.lit(40_000).cast("long"))
+
+
+TRANSCRIPT = """, t as (select recording_id, input_index, start_ms // 1000 * 1000 as s, end_ms // 1000 * 1000 as e, 40000 as duration_ms from v_seg),
+r as (select *, case when e <= s then least(duration_ms, s + 1000) else e end as e2 from t), q as (select *, case when s >= duration_ms then 'start' when least(e2, duration_ms) <= s then 'nonpositive' end as dropped from r)"""
 
 
-@query("""with u as (select page_id, replace(url, '://', '://user:pw@') || case when contains(url, '?') or contains(url, '#') then '' else '?api_key=abc&page=2' end as url from pages)
-select page_id, regexp_replace(regexp_replace(url, '^([A-Za-z]+://)[^/?#@]*@', '\\1'), '([?&]api_key=)[^&#]*', '\\1<redacted>') as url from u""")
+@query(v.oracle("v_seg") + TRANSCRIPT + """ select recording_id, count(*) as declared_segment_count, count(*) as parsed_heading_count, count(*) filter (dropped is null) as usable_segment_count, count(*) filter (dropped is not null) as dropped_out_of_bounds_count, count(*) filter (dropped = 'start') as dropped_start_out_of_bounds_count,
+count(*) filter (dropped = 'nonpositive') as dropped_nonpositive_after_repair_count, count(*) filter (dropped is null and e <= s) as zero_duration_repair_count, count(*) filter (dropped is null and input_index % 3 = 0) as overlap_suffix_count, count(*) filter (dropped is null and input_index % 5 = 4) as ambiguous_role_count,
+true as declared_count_matches, count(*) filter (dropped is null) = count(*) as usable_count_matches_declared from q group by 1""")
+def transcript_audit(spark: SparkSession, sf: str) -> DataFrame:
+    raw = _transcripts(spark, sf)
+    return documents.transcript_audit(raw, documents.transcript(raw))
+
+
+@query("""with u as (select page_id, replace(url, '://', '://user:pw@') || case when contains(url, '?') or contains(url, '#') then '' else '?api_key=abc&page=2' end as url from pages),
+p as (select page_id, regexp_extract(url, '^(https?)://(?:[^/?#]*@)?([^/?#]*)([^?#]*)(?:[?]([^#]*))?(?:#(.*))?$', ['scheme', 'host', 'path', 'query', 'frag']) as x from u)
+select page_id, x.scheme || '://' || lower(x.host) || x.path || case when x.query <> '' then '?' || regexp_replace(x.query, '(^|&)api_key=[^&]*', '\\1api_key=%3Credacted%3E') else '' end || case when x.frag <> '' then '#' || x.frag else '' end as url from p""")
 def url_redaction(spark: SparkSession, sf: str) -> DataFrame:
     p = v.table(spark, sf, "pages")
     url = F.concat(F.replace("url", F.lit("://"), F.lit("://user:pw@")), F.when(F.col("url").contains("?") | F.col("url").contains("#"), "").otherwise("?api_key=abc&page=2"))
     return p.select("page_id", tx.public_url(url).alias("url"))
 
 
-@query("select page_id, case when page_id % 2 = 0 then '/data/' || cast(page_id as varchar) || '/a.wav' else 'C:\\data\\b' || cast(page_id as varchar) || '.wav' end as path, case when page_id % 2 = 0 then 'a.wav' else 'b' || cast(page_id as varchar) || '.wav' end as name from pages")
+@query("""select page_id, '<redacted>' as api_token, cast(page_id as varchar) || '.wav' as audio_path, case when page_id % 2 = 0 then '<path>' else 'models' end as model_root, '<redacted>' as passwd, 'b.txt' as deep, 'kept text' as note,
+case when page_id % 3 = 0 then 'x' else 'plain' end as listed, '<redacted>' as keyed, 'free' as other, page_id as number from pages""")
+def redaction(spark: SparkSession, sf: str) -> DataFrame:
+    """Structs, arrays and maps of secrets and paths, in their public form."""
+    p = v.table(spark, sf, "pages").selectExpr(
+        "page_id", "url api_token", "concat('/data/', page_id, '.wav') audio_path", "if(page_id % 2 = 0, '/', 'C:/a/models/') model_root",
+        "named_struct('db', named_struct('passwd', page_id, 'file', 'D:\\\\a\\\\b.txt'), 'note', 'kept text') nested", "array(named_struct('v', if(page_id % 3 = 0, '/x', 'plain'))) items", "map('my_secret', 'q', 'other', 'free') extras", "page_id number",
+    )
+    r = tx.redacted_frame(p)
+    return r.select("page_id", "api_token", "audio_path", "model_root", "nested.db.passwd", F.col("nested.db.file").alias("deep"), "nested.note", F.col("items")[0]["v"].alias("listed"), F.col("extras")["my_secret"].alias("keyed"), F.col("extras")["other"].alias("other"), "number")
+
+
+@query("select page_id, case page_id % 3 when 0 then '/data/' || cast(page_id as varchar) || '/a.wav' when 1 then 'C:\\data\\b' || cast(page_id as varchar) || '.wav' else '/data/folder/' end as path, case page_id % 3 when 0 then 'a.wav' when 1 then 'b' || cast(page_id as varchar) || '.wav' else 'folder' end as name from pages")
 def path_basename(spark: SparkSession, sf: str) -> DataFrame:
     p = v.table(spark, sf, "pages")
-    path = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/data/"), F.col("page_id").cast("string"), F.lit("/a.wav"))).otherwise(F.concat(F.lit("C:\\data\\b"), F.col("page_id").cast("string"), F.lit(".wav")))
+    path = F.when(F.col("page_id") % 3 == 0, F.concat(F.lit("/data/"), F.col("page_id").cast("string"), F.lit("/a.wav"))).when(F.col("page_id") % 3 == 1, F.concat(F.lit("C:\\data\\b"), F.col("page_id").cast("string"), F.lit(".wav"))).otherwise("/data/folder/")
     return p.select("page_id", path.alias("path"), F.when(tx.is_absolute(path), tx.basename(path)).alias("name"))
 
 
+@query("select doc_id, case doc_id % 4 when 0 then null when 1 then 'JSON_NOT_OBJECT' else 'JSON_INVALID' end as error, case when doc_id % 4 = 0 then doc_id end as id from documents where doc_id % 4 <> 3 union all select doc_id, 'JSON_NOT_OBJECT', null from documents where doc_id % 4 = 3")
+def strict_json(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.table(spark, sf, "documents").selectExpr("doc_id", "case doc_id % 4 when 0 then concat('{\"id\": ', doc_id, '}') when 1 then concat('[', doc_id, ']') when 2 then '{\"id\": ' else concat('\"', doc_id, '\"') end body")
+    value, error = tx.strict_object(F.col("body"))
+    return d.select("doc_id", error.alias("error"), F.try_variant_get(value, "$.id", "bigint").alias("id"))
+
+
 @query("select doc_id, sha256(sha256(text) || ':local:' || lang) as digest from documents")
 def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     return v.table(spark, sf, "documents").select("doc_id", tx.input_digest(F.col("text"), F.lit("local"), F.col("lang")).alias("digest"))
 
 
-@query(v.oracle("v_task") + ", f as (select *, first_value(input_digest) over w as first_digest, row_number() over w as place from v_task window w as (partition by idempotency_key order by created_at_ms, task_id)) select o_orderkey, case when idempotency_key is null or place = 1 then 'created' when input_digest = first_digest then 'replayed' else 'conflict' end as outcome from f")
+@query(v.oracle("v_task") + """, r as (select o_orderkey as request_id, case when o_orderkey % 4 <> 0 then 'key-' || cast(o_custkey as varchar) end as k, cast((o_orderkey + 1) % 3 as varchar) as d from orders),
+f as (select idempotency_key as k, arg_min(task_id, (created_at_ms, task_id)) as found_task, arg_min(input_digest, (created_at_ms, task_id)) as digest from v_task where idempotency_key is not null and status <> 'expired' group by 1)
+select request_id, case when f.found_task is null then 'created' when digest = d then 'replayed' else 'conflict' end as outcome, found_task from r left join f using (k)""")
 def idempotency_conflicts(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.idempotent(v.tasks(spark, sf)).select("o_orderkey", "outcome")
+    r = v.table(spark, sf, "orders").selectExpr("o_orderkey request_id", "case when o_orderkey%4<>0 then concat('key-', cast(o_custkey as string)) end idempotency_key", "cast((o_orderkey+1)%3 as string) input_digest")
+    return sessions.idempotent(r, v.tasks(spark, sf)).select("request_id", "outcome", "found_task")
+
+
+@query(v.oracle("v_task") + " select count(*) filter (status <> 'expired') as retained, count(*) filter (status = 'failed') as failed, count(*) filter (status in ('queued', 'running')) as active, count(*) filter (status in ('queued', 'running')) < 1 as accepts from v_task")
+def task_occupancy(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.occupancy(v.tasks(spark, sf))
+
+
+@query(v.oracle("v_task") + """, a as (select *, case when status in ('succeeded', 'failed', 'cancelled') and 820000000000 - finished_at_ms >= 86400000 then 'expire' when status = 'expired' and 820000000000 - expired_at_ms >= 86400000 then 'delete' else 'keep' end as action from v_task)
+select task_id, case when action = 'expire' then 'expired' else status end as status, created_at_ms, case when action = 'expire' then null else finished_at_ms end as finished_at_ms, case when action = 'expire' then 820000000000 else expired_at_ms end as expired_at_ms, case when action = 'expire' then null else input_mode end as input_mode from a where action <> 'delete'""")
+def cleaned_tasks(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.cleaned(v.tasks(spark, sf), NOW).select("task_id", "status", "created_at_ms", "finished_at_ms", "expired_at_ms", "input_mode")
+
+
+@query(v.oracle("v_task") + " select o_orderkey, row_number() over (order by created_at_ms, task_id) as turn from v_task where status in ('queued', 'running') and cancel_requested_at_ms is null and input_mode <> 'cloud_asr'")
+def recovery_order(spark: SparkSession, sf: str) -> DataFrame:
+    return sessions.recovery_order(v.tasks(spark, sf)).select("o_orderkey", "turn")
 
 
 @query(v.oracle("v_task") + " select status, count(*) as n, count(*) filter (cancel_requested_at_ms is not null) as cancel_requested, min(created_at_ms) as oldest_ms from v_task group by 1")
@@ -650,7 +917,6 @@ def task_state_summary(spark: SparkSession, sf: str) -> DataFrame:
     return v.tasks(spark, sf).groupBy("status").agg(F.count(F.lit(1)).alias("n"), F.count("cancel_requested_at_ms").alias("cancel_requested"), F.min("created_at_ms").alias("oldest_ms"))
 
 
-NOW = 820_000_000_000
 
 
 @query(v.oracle("v_task") + f" select o_orderkey, case when status in ('succeeded', 'failed', 'cancelled') and {NOW} - finished_at_ms >= 86400000 then 'expire' when status = 'expired' and {NOW} - expired_at_ms >= 86400000 then 'delete' else 'keep' end as action from v_task")
@@ -769,11 +1035,72 @@ def pcm_chunks(spark: SparkSession, sf: str) -> DataFrame:
     return requests.chunks(d).select(KEY, "start_ms", "end_ms")
 
 
-@query()
+@query(v.oracle("v_task") + """ select task_id, '{"task_id":"' || task_id || '","status":"' || status || '","created_at_ms":' || cast(created_at_ms as varchar) || ',"finished_at_ms":' || cast(finished_at_ms as varchar) || ',"expired_at_ms":' || cast(expired_at_ms as varchar) || ',"input_mode":"' || input_mode || '"}' as task from v_task""")
 def public_tasks(spark: SparkSession, sf: str) -> DataFrame:
     return requests.public_tasks(v.tasks(spark, sf))
 
 
+@query("""with r as (select o_orderkey as id, case when o_orderkey % 7 = 0 then 8000 else 16000 end as rate, case when o_orderkey % 11 = 0 then 'v0' else 'v1' end as model, case when o_orderkey % 5 = 0 then 820000000000 else 820000000001 end as deadline, 1 + o_orderkey % 3 as n from orders)
+select id, case when id % 13 = 0 then 400 when rate <> 16000 then 400 when model <> 'v1' then 400 when deadline <= 820000000000 then 504 when id % 17 = 0 and n > 1 then 400 end as code,
+case when id % 13 = 0 then 'invalid metadata' when rate <> 16000 then 'sample_rate must be 16000' when model <> 'v1' then 'model version mismatch' when deadline <= 820000000000 then 'request deadline exceeded' when id % 17 = 0 and n > 1 then 'duplicate window_id' end as detail from r""")
+def request_errors(spark: SparkSession, sf: str) -> DataFrame:
+    o = v.table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderkey").cast("string").alias("request_id"))
+    r = o.withColumns({"sample_rate": F.when(F.col("id") % 7 == 0, 8000).otherwise(16_000), "expected_model_version": F.when(F.col("id") % 11 == 0, "v0").otherwise("v1"), "deadline_ms": F.when(F.col("id") % 5 == 0, NOW).otherwise(NOW + 1)})
+    w = o.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), 1 + F.col("id") % 3))).selectExpr("request_id", "if(id % 17 = 0, 'same', concat('w', k)) window_id", "(k - 1) * 2000 offset", "if(id % 13 = 0, 1999, 2000) length", "if(k % 2 = 0, 'gold', 'sentence') kind")
+    return requests.request_errors(r, w, NOW, "v1").select("id", "code", "detail")
+
+
+@query("""with a as (select o_orderkey as id, 820000000000 + o_orderkey % 3 - 1 as deadline, case when o_orderkey % 4 <> 0 then 819999999990 end as s, case when o_orderkey % 4 in (1, 2) then 819999999998 + o_orderkey % 5 end as f from orders)
+select id, case when s is null and 820000000000 >= deadline then 'expired_before_inference' when f >= deadline then 'deadline_exceeded' when f is null then 'pending' else 'success' end as status from a""")
+def answer_status(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.table(spark, sf, "orders").selectExpr("o_orderkey id", f"{NOW} + o_orderkey % 3 - 1 deadline_ms", f"if(o_orderkey % 4 <> 0, {NOW} - 10, null) started_ms", f"if(o_orderkey % 4 in (1, 2), {NOW} - 2 + o_orderkey % 5, null) finished_ms")
+    return requests.answer_status(a, F.lit(NOW)).select("id", "status")
+
+
+@query("""with a as (select o_orderkey as id, o_orderkey % 9 as k from orders) select id, case k when 0 then 'DEADLINE_EXCEEDED' when 1 then 'WINDOW_REFINE_TIMEOUT' when 2 then 'WINDOW_REFINE_UNAVAILABLE' when 3 then 'WINDOW_REFINE_AUTH' when 4 then 'WINDOW_REFINE_PROTOCOL' when 5 then 'WINDOW_REFINE_PROTOCOL' when 6 then 'WINDOW_REFINE_INFERENCE' when 7 then 'WINDOW_REFINE_PROTOCOL' end as error,
+case when k = 3 then false when k < 8 then true end as retryable from a""")
+def refine_errors(spark: SparkSession, sf: str) -> DataFrame:
+    a = v.table(spark, sf, "orders").selectExpr(
+        "o_orderkey id", "o_orderkey % 9 <> 2 ready", "if(o_orderkey % 9 < 2, 'timeout', 'ok') outcome", "case o_orderkey % 9 when 3 then 401 when 4 then 502 else 200 end http", "10L now_ms", "if(o_orderkey % 9 = 0, 10L, 11L) deadline_ms",
+        """case o_orderkey % 9 when 5 then 'no JSON' when 6 then '{"success": false}' when 7 then '{"success": true, "speech_window_candidates": 1}' else '{"success": true, "speech_window_candidates": []}' end body""",
+    )
+    return requests.refine_errors(a).select("id", "error", "retryable")
+
+
+@query(v.oracle("v_seg") + ", q as (select recording_id, 'sentence:' || cast(input_index as varchar) as id, start_ms, least(end_ms, start_ms + 3000) as end_ms from v_seg) select recording_id, id as request_id, row_number() over (partition by recording_id order by end_ms - start_ms, start_ms, end_ms, id) as place from q")
+def client_order(spark: SparkSession, sf: str) -> DataFrame:
+    s = v.segments(spark, sf).select(KEY, F.concat(F.lit("sentence:"), F.col("input_index").cast("string")).alias("request_id"), "start_ms", F.least(F.col("end_ms"), F.col("start_ms") + 3000).alias("end_ms"))
+    return requests.client_ordered(s).select(KEY, "request_id", "place")
+
+
+@query("""with i as (select range as i, case when range < 52 then 128000 else 96000 end as length from range(62)) select 'window:' || cast(i as varchar) as window_id, cast(coalesce(sum(length) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", cast(length as bigint) as length, case when i % 2 = 1 then 'sentence' else 'gold' end as kind from i""")
+def load_fixture(spark: SparkSession, sf: str) -> DataFrame:
+    return requests.load_fixture(spark)
+
+
+@query("""with c as (select user_id % 5 as run, epoch_ms(ts) as s, epoch_ms(ts) + 200 + event_id % 1800 as f, event_id % 13 <> 0 as ok from events)
+select run, count(*) filter (ok) as requests_succeeded, round((max(f) - min(s)) / 1000.0e0, 2) as elapsed_seconds, round(case when max(f) > min(s) then count(*) filter (ok) * 62 / ((max(f) - min(s)) / 1000.0e0) else 0 end, 3) as windows_per_second, round(median((f - s) / 1000.0e0) filter (ok), 3) as latency_p50_seconds, round(max((f - s) / 1000.0e0) filter (ok), 3) as latency_max_seconds from c group by 1""")
+def load_report(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").select((F.col("user_id") % 5).alias("run"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("started_ms"))
+    return requests.load_report(e.select("run", "started_ms", (F.col("started_ms") + 200 + F.col("event_id") % 1800).alias("finished_ms"), (F.col("event_id") % 13 != 0).alias("ok")), 62)
+
+
+@query(v.oracle("v_win") + DEDUPED + """, res as (select event_id as canonical, score from (select event_id, duration_ms % 7 as score from cl where place = 1) where event_id % 6 <> 0)
+select w.event_id as request, d.event_id as canonical, case when r.canonical is null then 'missing_result' else 'success' end as status, r.score from cl w join (select * from cl where place = 1) d on w.recording_id = d.recording_id and w.start_ms = d.start_ms and w.clip_end = d.clip_end left join res r on r.canonical = d.event_id""")
+def embedded_requests(spark: SparkSession, sf: str) -> DataFrame:
+    """Every request finds the vector of the window that stood for it, or says that there is none."""
+    canonical = _deduplicated(spark, sf)
+    aliases = embedding_alias_join(spark, sf).select(F.col("event_id").alias("request"), F.col("canonical_id").alias("canonical"))
+    results = canonical.filter("event_id % 6 <> 0").selectExpr("event_id canonical", "array(cast(duration_ms % 7 as double)) embedding", "'success' status")
+    return requests.embedded(results, aliases).select("request", "canonical", "status", F.col("embedding")[0].cast("long").alias("score"))
+
+
+@query()
+def nme_audit(spark: SparkSession, sf: str) -> DataFrame:
+    """The gaps and eigenvalues behind each recording's number of speakers."""
+    return clusters.estimates(v.gold(spark, sf)).select(KEY, "k_nme", "method", F.round("median_cosine", 6).alias("median_cosine"), F.size("gaps").alias("n_gaps"), F.size("eigenvalues").alias("n_eigenvalues"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 SESSIONS = """with e as (select user_id, value, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as old from events),
@@ -822,7 +1149,7 @@ def task_state_batch(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     stream = _stream(spark, sf, "events")
-    return sessions.drained(sessions.task_states(_task_events(stream)), spark, "update", "stream_task_state")
+    return sessions.drained(sessions.task_states(_task_events(stream)), spark, "update", "stream_task_state", ("task_id",))
 
 
 def queries() -> dict[str, Query]:

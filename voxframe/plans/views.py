@@ -24,8 +24,8 @@ SQL = {
         case when event_id%23=0 then ['tiny_interval','unstable_loudness'] when event_id%19=0 then ['residual_overlap'] when event_id%17=0 then ['low_speech_ratio'] else []::varchar[] end flags,
         (event_id%7)*1000 start_ms, (event_id%7)*1000 + 500+(event_id*37)%5000 end_ms
         from (select *, cast(regexp_extract(props,'([0-9]+)',1) as int) k from events) t""",
-    "v_gold": """select vec_id%5 recording_id, vec_id, label, embedding::double[] u, case when vec_id%3=0 then 0.7e0 else 1.0e0 end weight, 1000+(vec_id*37)%5000 start_ms from embeddings where label<6 and vec_id%7<4""",
-    "v_sent": """select vec_id%5 recording_id, vec_id, embedding::double[] u, 1000+(vec_id*97)%7000 duration_ms, 0.4e0+(vec_id%60)/100.0e0 speech_ratio, (vec_id%20)*1.0e0 loudness_std_db, -60.0e0+vec_id%40 loudness_db from embeddings where label<6 and vec_id%7>=4""",
+    "v_gold": """select vec_id%5+5*(label//5) recording_id, vec_id, label, embedding::double[] u, case when vec_id%3=0 then 0.7e0 else 1.0e0 end weight, 1000+(vec_id*37)%5000 start_ms, 1000+(vec_id*53)%4000 duration_ms, case when vec_id%11=0 then null else -60.0e0+vec_id%37 end loudness_db from embeddings where vec_id%7<4""",
+    "v_sent": """select vec_id%5+5*(label//5) + case when vec_id%41=0 then 1000 else 0 end recording_id, vec_id, case when vec_id%23=0 then null else embedding::double[] end u, 1000+(vec_id*97)%7000 duration_ms, 0.4e0+(vec_id%60)/100.0e0 speech_ratio, (vec_id%20)*1.0e0 loudness_std_db, -60.0e0+vec_id%40 loudness_db from embeddings where vec_id%7>=4""",
     "v_task": """select lower(md5(cast(o_orderkey as varchar))) task_id, o_orderkey, case o_orderstatus when 'F' then case when o_orderkey%3=0 then 'failed' else 'succeeded' end when 'O' then case when o_orderkey%2=0 then 'queued' else 'running' end else case when o_orderkey%2=0 then 'cancelled' else 'expired' end end status,
         epoch_ms(o_orderdate) created_at_ms, epoch_ms(o_orderdate) + 60000 finished_at_ms, epoch_ms(o_orderdate) + 120000 expired_at_ms,
         case when o_orderkey%13=0 then epoch_ms(o_orderdate) + 30000 end cancel_requested_at_ms, case when o_orderkey%5=0 then 'cloud_asr' else 'segments' end input_mode,
@@ -70,11 +70,13 @@ def windows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def gold(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("label<6 and vec_id%7<4").selectExpr("vec_id%5 recording_id", "vec_id", "label", "cast(embedding as array<double>) embedding", "case when vec_id%3=0 then 0.7D else 1.0D end weight", "1000+(vec_id*37)%5000 start_ms")
+    """Four sevenths of all vectors as gold windows; a recording holds five labels at most."""
+    return table(spark, sf, "embeddings").filter("vec_id%7<4").selectExpr("vec_id%5+5*(label div 5) recording_id", "vec_id", "label", "cast(embedding as array<double>) embedding", "case when vec_id%3=0 then 0.7D else 1.0D end weight", "1000+(vec_id*37)%5000 start_ms", "1000+(vec_id*53)%4000 duration_ms", "case when vec_id%11=0 then null else -60.0D+vec_id%37 end loudness_db")
 
 
 def sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "embeddings").filter("label<6 and vec_id%7>=4").selectExpr("vec_id%5 recording_id", "vec_id", "cast(embedding as array<double>) embedding", "1000+(vec_id*97)%7000 duration_ms", "0.4D+(vec_id%60)/100.0D speech_ratio", "(vec_id%20)*1.0D loudness_std_db", "-60.0D+vec_id%40 loudness_db")
+    """All other vectors as sentences; some have no vector, some lie in recordings without anchors."""
+    return table(spark, sf, "embeddings").filter("vec_id%7>=4").selectExpr("vec_id%5+5*(label div 5) + if(vec_id%41=0, 1000, 0) recording_id", "vec_id", "if(vec_id%23=0, null, cast(embedding as array<double>)) embedding", "1000+(vec_id*97)%7000 duration_ms", "0.4D+(vec_id%60)/100.0D speech_ratio", "(vec_id%20)*1.0D loudness_std_db", "-60.0D+vec_id%40 loudness_db")
 
 
 def tasks(spark: SparkSession, sf: str) -> DataFrame:

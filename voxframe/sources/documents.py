@@ -9,6 +9,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,11 +20,28 @@ SEGMENT = "struct<id: string, start_ms: bigint, end_ms: bigint, text: string, co
 DOCUMENT = f"schema_version string, metadata map<string, string>, segments array<{SEGMENT}>"
 MANIFEST = "id string, reference_path string, result_path string, audio_path string, segments_path string, scenarios array<string>, source_recording_id string, annotation_grade string"
 TASK = "task_id string, status string, stage string, created_at_ms bigint, updated_at_ms bigint, finished_at_ms bigint, expired_at_ms bigint, cancel_requested_at_ms bigint, idempotency_key string, input_digest string, input_mode string"
-#: What may be analysed.
-CODECS = ("mp3", "aac", "flac", "vorbis", "opus", "alac", "wmav2")
-CONTAINERS = ("wav", "mp3", "flac", "ogg", "mov", "mp4", "m4a", "3gp", "3g2", "mj2", "aac", "asf", "matroska", "webm", "aiff")
-#: Fixed value: the line before each segment of a transcript.
-HEADING = r"(?m)^\*\*\[(\d{2}:\d{2}:\d{2})[–-](\d{2}:\d{2}:\d{2})\] (.*?) · (.*?)\*\*[ \t]*$"
+#: What may be analysed, besides codecs that begin with pcm_.
+CODECS = ("aac", "amr_nb", "amr_wb", "flac", "mp3", "opus", "vorbis")
+CONTAINERS = ("3g2", "3gp", "aac", "amr", "flac", "m4a", "matroska", "mj2", "mov", "mp3", "mp4", "ogg", "wav", "wave", "webm")
+#: Fixed value: the line before each segment of a transcript; other bold lines are text.
+HEADING = r"(?m)^\*\*\[(\d{2}:\d{2}:\d{2})[–-](\d{2}:\d{2}:\d{2})\] (.+?) · (speaker_[A-Za-z0-9_]+)\*\*\s*$"
+DECLARED = r"(?m)^- 转写段数：(\d+)\s*$"
+AMBIGUOUS = "ASR混合|未分离"
+#: The version of a segment document, and what its root may hold.
+INPUT, ROOT = "voice_analysis_input_v1", ("schema_version", "segments", "metadata")
+
+
+def checked_documents(spark: SparkSession, path: str) -> DataFrame:
+    """One row per JSON document: recording (the file), body, error. SEGMENTS_INVALID: no JSON object, a root key or version that
+    isn't known, no segment, or a segment that breaks a rule of its own (see windows.validated for all of them by name)."""
+    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("recording"), F.col("value").alias("body"))
+    s = F.from_json("body", DOCUMENT)
+    broken = F.exists(s["segments"], lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True)) | F.coalesce(x["start_ms"] < 0, F.lit(True)) | F.coalesce(x["end_ms"] <= x["start_ms"], F.lit(True)) | x["text"].isNull() | ~F.coalesce(x["confidence"].between(0, 1), F.lit(True)))
+    ids = F.transform(s["segments"], lambda x: x["id"])
+    keys = F.json_object_keys("body")
+    fine = keys.isNotNull() & (F.size(F.array_except(keys, F.array(*[F.lit(k) for k in ROOT]))) == 0) & F.coalesce(F.coalesce(s["schema_version"], F.lit(INPUT)) == INPUT, F.lit(False))
+    fine = fine & F.coalesce(F.size(s["segments"]) > 0, F.lit(False)) & ~F.coalesce(broken, F.lit(True)) & F.coalesce(F.size(F.array_distinct(ids)) == F.size(ids), F.lit(False))
+    return rows.withColumn("error", F.when(~F.coalesce(fine, F.lit(False)), "SEGMENTS_INVALID"))
 
 
 def segment_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -60,11 +79,27 @@ def transcript(raw: DataFrame, text: str = "text", duration: str = "duration_ms"
     rows = rows.select("recording_id", F.col(duration).alias("duration_ms"), "source_index", clock_ms(h[0]).alias("start_ms"), clock_ms(h[1]).alias("stated_end"), F.trim(h[2]).alias("role"), h[3].alias("raw_speaker"), without_overlap_suffix(h[3]).alias("speaker"), F.array_join(lines, "\n").alias("text"))
     short = F.col("stated_end") <= F.col("start_ms")
     end = F.when(short, F.least(F.col("duration_ms"), F.col("start_ms") + 1000)).otherwise(F.col("stated_end"))
-    flags = F.array_compact(F.array(F.when(short, "zero_duration_expanded_to_1000ms"), F.when(end > F.col("duration_ms"), "end_clamped_to_audio"), F.when(F.col("speaker") != F.col("raw_speaker"), "overlap_suffix_normalized")))
+    flags = F.array_compact(F.array(F.when(short, "zero_duration_expanded_to_1000ms"), F.when(end > F.col("duration_ms"), "end_clamped_to_audio"), F.when(F.col("speaker") != F.col("raw_speaker"), "overlap_suffix_normalized"), F.when(F.col("role").rlike(AMBIGUOUS), "ambiguous_semantic_role")))
     rows = rows.withColumn("flags", flags).withColumn("end_ms", F.least(end, F.col("duration_ms")))
     return rows.withColumn("dropped", F.when(F.col("start_ms") >= F.col("duration_ms"), "start_out_of_bounds").when(F.col("end_ms") <= F.col("start_ms"), "nonpositive_after_repair")).drop("stated_end")
 
 
+def transcript_audit(raw: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+    """Per recording: the declared number of segments, those found, usable and dropped, and how many were repaired. rows: what
+    transcript() gives for raw."""
+    declared = raw.select("recording_id", F.nullif(F.regexp_extract(F.col(text), DECLARED, 1), F.lit("")).cast("long").alias("declared_segment_count"))
+    kept = F.col("dropped").isNull()
+    flagged = lambda name: F.count_if(kept & F.array_contains("flags", name))
+    counts = rows.groupBy("recording_id").agg(
+        F.count(F.lit(1)).alias("parsed_heading_count"), F.count_if(kept).alias("usable_segment_count"), F.count_if(~kept).alias("dropped_out_of_bounds_count"),
+        F.count_if(F.col("dropped") == "start_out_of_bounds").alias("dropped_start_out_of_bounds_count"), F.count_if(F.col("dropped") == "nonpositive_after_repair").alias("dropped_nonpositive_after_repair_count"),
+        flagged("zero_duration_expanded_to_1000ms").alias("zero_duration_repair_count"), flagged("overlap_suffix_normalized").alias("overlap_suffix_count"), flagged("ambiguous_semantic_role").alias("ambiguous_role_count"),
+    )
+    out = declared.join(counts, "recording_id", "left").na.fill(0, [c for c in counts.columns if c != "recording_id"])
+    same = lambda c: F.coalesce(F.col("declared_segment_count") == F.col(c), F.lit(False))
+    return out.withColumn("declared_count_matches", same("parsed_heading_count")).withColumn("usable_count_matches_declared", same("usable_segment_count"))
+
+
 def normalised_asr(rows: DataFrame) -> DataFrame:
     """Sentences of a recogniser (recording_id, pos, begin_time/time or start_time/end_time, text, id) as segments."""
     start = F.coalesce("begin_time", "start_time", F.lit(0)).cast("long")
@@ -95,33 +130,59 @@ def allowed(codec: Column, containers: Column) -> Column:
 PROBE = "recording string, bytes bigint, sha256 string, codec string, duration_ms bigint, rate int, channels int, error string"
 
 
-def probed(spark: SparkSession, path: str, min_ms: int = 400, max_ms: int = 4 * 3600 * 1000) -> DataFrame:
-    """WAV files' facts from their headers; error is null for files that may be analysed. Spark's source passes over empty files."""
+def probed(spark: SparkSession, path: str, min_ms: int = 400, max_ms: int = 4 * 3600 * 1000, max_bytes: int = 1 << 30) -> DataFrame:
+    """WAV files' facts from their content, whatever they are called; error is null for files that may be analysed. Files of over
+    max_bytes are not read. Spark's source passes over empty files."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             out = []
             for name, content, size, digest in zip(frame["path"], frame["content"], frame["length"], frame["sha256"], strict=True):
                 codec, ms, rate, channels, error = None, None, None, None, None
+                if size > max_bytes:
+                    out.append((name, size, None, None, None, None, None, "AUDIO_SIZE_LIMIT"))
+                    continue
                 try:
                     with wave.open(io.BytesIO(content)) as w:
                         rate, channels, codec = w.getframerate(), w.getnchannels(), f"pcm_s{8 * w.getsampwidth()}le"
                         ms = int(round(1000 * w.getnframes() / rate))
-                    error = "AUDIO_TOO_SHORT" if ms < min_ms else "AUDIO_TOO_LONG" if ms > max_ms else None
+                    error = None if min_ms <= ms <= max_ms else "AUDIO_DURATION_LIMIT"
                 except (wave.Error, EOFError):
-                    error = "AUDIO_EMPTY" if not size else "AUDIO_UNREADABLE"
+                    error = "AUDIO_EMPTY" if not size else "AUDIO_PROBE_FAILED"
                 out.append((name, size, digest, codec, ms, rate, channels, error))
             yield pd.DataFrame(out, columns=[c.split()[0] for c in PROBE.split(", ")]).astype({"duration_ms": "Int64", "rate": "Int32", "channels": "Int32"})
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content", "length", F.sha2("content", 256).alias("sha256"))
+    content = F.when(F.col("length") <= max_bytes, F.col("content"))
+    files = spark.read.format("binaryFile").load(path).select("path", content.alias("content"), "length", F.sha2(content, 256).alias("sha256"))
     return files.mapInPandas(run, PROBE)
 
 
-def pcm(content: bytes, rate: int = 16_000) -> np.ndarray:
-    """A WAV file as mono 16-bit samples at rate: 8 and 32 bits are scaled, stereo is averaged, of more channels the first is taken."""
-    with wave.open(io.BytesIO(content)) as w:
-        width, channels, own = w.getsampwidth(), w.getnchannels(), w.getframerate()
-        raw = w.readframes(w.getnframes())
+def wav_layout(file) -> tuple[int, int, int, int, int]:
+    """(rate, channels, bytes a sample, where the samples start, their bytes) of an open WAV file, from its chunks' headers."""
+    file.seek(0, 2)
+    end = file.tell()
+    file.seek(0)
+    head = file.read(12)
+    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
+        raise ValueError("AUDIO_UNREADABLE")
+    form = None
+    while len(head := file.read(8)) == 8:
+        name, size = head[:4], int.from_bytes(head[4:], "little")
+        if name == b"fmt ":
+            body = file.read(size)
+            form = (int.from_bytes(body[4:8], "little"), int.from_bytes(body[2:4], "little"), int.from_bytes(body[14:16], "little") // 8)
+        elif name == b"data":
+            if form is None or not all(form):
+                break
+            at = file.tell()
+            return (*form, at, min(size, end - at))
+        else:
+            file.seek(size + size % 2, 1)
+    raise ValueError("AUDIO_UNREADABLE")
+
+
+def samples(raw: bytes, width: int, channels: int, own: int, rate: int) -> np.ndarray:
+    """Raw samples as mono 16-bit ones at rate: 8 and 32 bits are scaled, stereo is averaged, of more channels the first is taken."""
     x = (np.frombuffer(raw, np.uint8).astype(np.int32) - 128) << 8 if width == 1 else np.frombuffer(raw, "<i2").astype(np.int32) if width == 2 else np.frombuffer(raw, "<i4") >> 16
     x = x.reshape(-1, channels)
     x = x.sum(axis=1) // 2 if channels == 2 else x[:, 0]
@@ -131,6 +192,61 @@ def pcm(content: bytes, rate: int = 16_000) -> np.ndarray:
     return np.clip(x, -32768, 32767).astype(np.int16)
 
 
+def pcm(content: bytes, rate: int = 16_000) -> np.ndarray:
+    """A WAV file's samples, mono 16-bit at rate."""
+    with wave.open(io.BytesIO(content)) as w:
+        return samples(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate(), rate)
+
+
+def regions(wanted: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Adds pcm (16-bit mono samples at rate) and error to wanted: path, start_ms, end_ms and more columns. Only the region's bytes
+    are read, clamped to the file; a file that is no WAV or can't be opened is AUDIO_UNREADABLE and spoils no other."""
+
+    def read(path: str, start_ms: int, end_ms: int) -> bytes:
+        system, name = fs.FileSystem.from_uri(path)
+        with system.open_input_file(name) as f:
+            own, channels, width, at, size = wav_layout(f)
+            step, last = width * channels, size // (width * channels)
+            a, b = (max(0, min(last, ms * own // 1000)) for ms in (start_ms, end_ms))
+            f.seek(at + a * step)
+            return samples(f.read(max(0, b - a) * step), width, channels, own, rate).tobytes()
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            found = []
+            for path, a, b in zip(frame["path"], frame["start_ms"], frame["end_ms"], strict=True):
+                try:
+                    found.append((read(path, int(a), int(b)), None))
+                except (OSError, ValueError, pa.ArrowException):
+                    found.append((None, "AUDIO_UNREADABLE"))
+            yield frame.assign(pcm=[f[0] for f in found], error=[f[1] for f in found])
+
+    kinds = ", ".join(f"`{c}` {t}" for c, t in wanted.dtypes)
+    return wanted.mapInPandas(run, f"{kinds}, pcm binary, error string")
+
+
+def wav_bytes(pcm: bytes, rate: int = 16_000) -> bytes:
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(1)
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(pcm)
+    return out.getvalue()
+
+
+def rendered(clips: DataFrame, rate: int = 16_000) -> DataFrame:
+    """Each clip (path, start_ms, end_ms and more columns) as a WAV file of its own: content in place of pcm."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            yield frame.assign(content=[None if x is None else wav_bytes(x, rate) for x in frame["pcm"]]).drop(columns="pcm")
+
+    rows = regions(clips, rate)
+    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "pcm")
+    return rows.mapInPandas(run, f"{kinds}, content binary")
+
+
 def power_frames(spark: SparkSession, path: str, frame_ms: int = 30) -> DataFrame:
     """Mean squares of whole frames of WAV files: recording, frame_no, start_ms, power."""
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -9,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from voxframe.operators.intervals import KEY
 from voxframe.params import Tasks
@@ -41,10 +44,37 @@ def event_windows(events: DataFrame, length: str, hop: str | None = None, late:
     return rows.groupBy("event_type", F.window("at", length, hop).alias("w")).agg(F.count(F.lit(1)).alias("n_events")).select("event_type", F.unix_millis("w.start").alias("start_ms"), "n_events")
 
 
-def drained(stream: DataFrame, spark: SparkSession, mode: str, name: str) -> DataFrame:
-    """All that a stream gives for what its source holds now, from a memory sink."""
-    stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start().awaitTermination()
-    return spark.table(name)
+def drained(stream: DataFrame, spark: SparkSession, mode: str, name: str, keys: tuple[str, ...] = ()) -> DataFrame:
+    """All that a stream gives for what its source holds now, as Parquet in the shared folder, which keeps its checkpoint too.
+
+    In complete mode the last micro-batch is the answer; in update mode the last row of each key is. A micro-batch that
+    is run again replaces its own files.
+    """
+    path = f"{shared_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/n={number}")
+
+    query = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{path}/checkpoint").trigger(availableNow=True).foreachBatch(keep).start()
+    query.awaitTermination()
+    schema = StructType([*stream.schema.fields, StructField("_batch", IntegerType())])
+    if query.lastProgress is None:  # the source holds nothing
+        return spark.createDataFrame([], stream.schema)
+    rows = spark.read.schema(schema).parquet(f"{path}/out" if mode == "complete" else f"{path}/out/n=*")
+    if keys:
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "_batch").alias("last")).select("last.*")
+    return rows.select(*stream.columns)
+
+
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share; a temporary one in local mode where the session names none."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="streams-")
+        spark.conf.set("spark.checkpoint.dir", root)
+    return root.rstrip("/")
 
 
 #: What happens to tasks; a terminal state never changes, and a cancel request beats success.
@@ -118,7 +148,7 @@ def task_states_batch(events: DataFrame, p: Tasks = Tasks()) -> DataFrame:
 def ttl_actions(tasks: DataFrame, now_ms: int, p: Tasks = Tasks()) -> DataFrame:
     """What a clean-up does: finished tasks expire after the time to live, expired ones are deleted after it again."""
     terminal = F.col("status").isin(*p.terminal)
-    old = lambda c: now_ms - F.col(c) >= p.ttl_ms
+    old = lambda c: now_ms - F.coalesce(*[F.col(x) for x in (c, "updated_at_ms") if x in tasks.columns], F.lit(now_ms)) >= p.ttl_ms
     action = F.when(terminal & old("finished_at_ms"), "expire").when((F.col("status") == "expired") & old("expired_at_ms"), "delete").otherwise("keep")
     return tasks.withColumn("action", action)
 
@@ -130,9 +160,42 @@ def recovery(tasks: DataFrame) -> DataFrame:
     return tasks.withColumn("action", action)
 
 
-def idempotent(tasks: DataFrame) -> DataFrame:
-    """Requests by idempotency key, in order of created_at_ms: the first creates, the same input replays it, another conflicts."""
-    w = Window.partitionBy("idempotency_key").orderBy("created_at_ms", "task_id")
-    rows = tasks.withColumn("first_digest", F.first("input_digest").over(w)).withColumn("place", F.row_number().over(w))
-    outcome = F.when(F.col("idempotency_key").isNull() | (F.col("place") == 1), "created").when(F.col("input_digest") == F.col("first_digest"), "replayed").otherwise("conflict")
-    return rows.withColumn("outcome", outcome).drop("first_digest", "place")
+def idempotent(requests: DataFrame, tasks: DataFrame) -> DataFrame:
+    """Adds outcome and found_task to requests (idempotency_key, input_digest): the first task of the key that isn't expired is
+    replayed if its input is the same and conflicts if not; without such a task, or without a key, one is created.
+
+    tasks: task_id, idempotency_key, input_digest, status, created_at_ms. Requests without a key take no part in the join.
+    """
+    order = F.struct("created_at_ms", "task_id")
+    known = tasks.filter("idempotency_key is not null and status <> 'expired'").groupBy("idempotency_key").agg(F.min_by(F.struct("task_id", F.col("input_digest").alias("digest")), order).alias("known"))
+    rows = requests.filter("idempotency_key is not null").join(known, "idempotency_key", "left")
+    outcome = F.when(F.col("known").isNull(), "created").when(F.col("known.digest") == F.col("input_digest"), "replayed").otherwise("conflict")
+    rows = rows.select(*requests.columns, outcome.alias("outcome"), F.col("known.task_id").alias("found_task"))
+    new = requests.filter("idempotency_key is null").select("*", F.lit("created").alias("outcome"), F.lit(None).cast("string").alias("found_task"))
+    return rows.unionByName(new)
+
+
+#: Fixed value: the schema of a task's facts.
+TASK_SCHEMA = "voice_analysis_task_v1"
+
+
+def cleaned(tasks: DataFrame, now_ms: int, p: Tasks = Tasks()) -> DataFrame:
+    """The task facts that a clean-up leaves: deleted ones are gone, those that expire keep their id and times only."""
+    rows = ttl_actions(tasks, now_ms, p).filter("action <> 'delete'")
+    expire, kept = F.col("action") == "expire", ("task_id", "created_at_ms")
+    fields = [F.col(f"`{c}`") if c in kept else F.when(~expire, F.col(f"`{c}`")).alias(c) for c in tasks.columns if c not in ("status", "updated_at_ms", "expired_at_ms")]
+    stamp = lambda c: F.when(expire, F.lit(now_ms)).otherwise(F.col(c) if c in tasks.columns else F.lit(None).cast("long")).alias(c)
+    return rows.select(*fields, F.when(expire, "expired").otherwise(F.col("status")).alias("status"), stamp("updated_at_ms"), stamp("expired_at_ms"))
+
+
+def occupancy(tasks: DataFrame, slots: int = 1) -> DataFrame:
+    """One row: tasks retained (not expired), failed, running or queued, and whether a slot is free."""
+    active = F.count_if(F.col("status").isin("queued", "running"))
+    return tasks.agg(F.count_if(F.col("status") != "expired").alias("retained"), F.count_if(F.col("status") == "failed").alias("failed"), active.alias("active"), (active < slots).alias("accepts"))
+
+
+def recovery_order(tasks: DataFrame) -> DataFrame:
+    """The tasks that a restart runs again, one after the other: back in the queue, oldest first."""
+    again = recovery(tasks).filter("action = 'rerun'")
+    turn = F.row_number().over(Window.orderBy("created_at_ms", "task_id"))
+    return again.withColumn("status", F.lit("queued")).withColumn("turn", turn).drop("action")
