@@ -1,3 +1,4 @@
+from array import array
 from collections import defaultdict
 
 from hypothesis import given, settings
@@ -69,10 +70,10 @@ def check(out, data, lengths):
         want = texts[doc_id]
         ids = [[*WHOLE.encode(t, add_special_tokens=False).ids, packing.END] for t in want]
         assert sum(r.n_tokens for r in held) == sum(map(len, ids))
-        assert all(len(r.ids) == r.n_tokens for r in held)
+        assert all(len(r.ids) == 4 * r.n_tokens for r in held)
         if len(want) == 1:
             held.sort(key=lambda r: r.piece)
-            assert [i for r in held for i in r.ids] == ids[0]
+            assert array("I", b"".join(bytes(r.ids) for r in held)).tolist() == ids[0]
             assert all(r.n_tokens == max(lengths) for r in held[:-1])
     assert set(docs) == set(texts) - {None}
 

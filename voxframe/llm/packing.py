@@ -23,7 +23,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -109,7 +108,7 @@ def pack(sizes: list[int], lengths: tuple[int, ...] = LENGTHS) -> list[tuple[int
 
 
 def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, with_ids: bool = True, tokenizer: str = TOKENIZER, end: int = END) -> DataFrame:
-    """Per piece: doc_id, piece, n_tokens, sequence_id, capacity, offset, ids (of the piece, in order)."""
+    """Per piece: doc_id, piece, n_tokens, sequence_id, capacity, offset, ids (little-endian unsigned 32-bit)."""
     longest = max(lengths)
     names = ["doc_id", "piece", "n_tokens", "sequence_id", "capacity", "offset", "full", *["ids"] * with_ids]
 
@@ -129,8 +128,7 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, with_ids: bool =
                 part = [(rows[i], spots[i]) for i in order[at : at + 2048]]
                 columns = [pa.array([r[0] for r, _ in part], pa.int64()), pa.array([r[1] for r, _ in part], pa.int32()), pa.array([r[2] for r, _ in part], pa.int32()), pa.array([base + f"{s[0]:06d}" for _, s in part]), pa.array([s[2] for _, s in part], pa.int32()), pa.array([s[1] for _, s in part], pa.int32()), pa.array([used[s[0]] >= FULL * s[2] for _, s in part])]
                 if with_ids:
-                    ends = np.cumsum([0, *(r[2] for r, _ in part)])
-                    columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(r[3] for r, _ in part), "<i4"))))
+                    columns.append(pa.array([r[3] for r, _ in part], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names)
 
         rows, held = [], 0
@@ -158,15 +156,12 @@ def packed(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, with_ids: bool =
     def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def read() -> Iterator[tuple]:
             for batch in batches:
-                ids = [b""] * batch.num_rows
-                if with_ids:
-                    values, ends = batch.column(3).values.to_numpy(), batch.column(3).offsets.to_pylist()
-                    ids = [values[a:b].tobytes() for a, b in zip(ends, ends[1:])]
+                ids = batch.column(3).to_pylist() if with_ids else [b""] * batch.num_rows
                 yield from zip(*[batch.column(k).to_pylist() for k in range(3)], ids, strict=True)
 
         return filled(read(), "r")
 
-    kind = "doc_id long, piece int, n_tokens int, sequence_id string, capacity int, offset int, full boolean" + ", ids array<int>" * with_ids
+    kind = "doc_id long, piece int, n_tokens int, sequence_id string, capacity int, offset int, full boolean" + ", ids binary" * with_ids
     first = publish(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, kind), scratch(docs.sparkSession, "packed"))
     rest = first.filter("not full")
     n, size = rest.agg(F.count(F.lit(1)), F.coalesce(F.sum("n_tokens"), F.lit(0)) * (4 * with_ids)).first()
