@@ -168,6 +168,30 @@ def test_neighbours_and_median_by_brute_force(monkeypatch):
         assert np.allclose(value, -np.sort(-base, axis=1)[:, : value.shape[1]]) and np.allclose(np.take_along_axis(base, near, axis=1), value)
 
 
+def test_blocks_of_vectors_against_all_pairs(spark, monkeypatch):
+    """Copies tie, a recording of one vector has no pair, null and zero vectors and those without weight have no part."""
+    monkeypatch.setattr(clusters, "BLOCK", 7)
+    rng = np.random.default_rng(6)
+    rows = [(r, 100 * r + i, rng.normal(size=5).tolist(), float(rng.uniform(0.2, 1))) for r, n in ((1, 1), (2, 2), (3, 9), (4, 40)) for i in range(n)]
+    rows += [(4, 500 + i, rows[20][2], rows[20][3]) for i in range(12)]
+    unusable = [(4, 600, None, 1.0), (4, 601, [0.0] * 5, 1.0), (4, 602, [1.0] * 5, 0.0)]
+    df = spark.createDataFrame(rows + unusable, "recording_id long, vec_id long, embedding array<double>, weight double")
+    near, median = {}, {}
+    for r in (2, 3, 4):
+        ids, x, w = zip(*[(i, np.array(e) / np.linalg.norm(e), w) for rec, i, e, w in rows if rec == r], strict=True)
+        cos = np.stack(x) @ np.stack(x).T
+        median[r] = (len(x) * (len(x) - 1) // 2, round(float(np.median(cos[np.triu_indices(len(x), 1)])), 6))
+        value = np.maximum(cos, 0) ** 2 * np.sqrt(np.outer(w, w))
+        for a, i in enumerate(ids):
+            best = sorted((-round(float(value[a, b]), 9), j) for b, j in enumerate(ids) if b != a)[:8]
+            near |= {(r, i, rank): (j, round(-v, 6)) for rank, (v, j) in enumerate(best, 1)}
+    got = {(r.recording_id, r.i, r["rank"]): (r.j, round(r.affinity, 6)) for r in clusters.neighbours(df).collect()}
+    assert got.keys() == near.keys() and all(got[k] == pytest.approx(near[k]) for k in near)
+    got = {r.recording_id: (r.n_pairs, r.median_cosine) for r in clusters.median_cosine(df).collect()}
+    assert got.keys() == median.keys() and all(got[r] == pytest.approx(median[r]) for r in median)
+    assert clusters.neighbours(df.limit(0)).count() == clusters.median_cosine(df.limit(0)).count() == 0
+
+
 def test_kmeans_takes_the_best_of_its_starts():
     rng = np.random.default_rng(8)
     x = np.concatenate([np.eye(8)[i] + 0.05 * rng.normal(size=(12, 8)) for i in (0, 3, 5)])
