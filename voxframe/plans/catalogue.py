@@ -6,9 +6,10 @@ iterative or learned and are held against brute force in tests.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voxframe.functions import text as tx
@@ -1101,6 +1102,158 @@ def nme_audit(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.estimates(v.gold(spark, sf)).select(KEY, "k_nme", "method", F.round("median_cosine", 6).alias("median_cosine"), F.size("gaps").alias("n_gaps"), F.size("eigenvalues").alias("n_eigenvalues"))
 
 
+# --- files -------------------------------------------------------------------------------------------------------
+
+
+def _folder(spark: SparkSession, name: str) -> str:
+    """A new folder below the shared one."""
+    return f"{sessions.shared_root(spark)}/files/{name}-{uuid.uuid4().hex}"
+
+
+def _documents(spark: SparkSession, sf: str) -> str:
+    """Segment documents, one file a recording, five of six at fault in ways of their own; the pattern that names them."""
+    end = F.expr("case when recording_id % 6 = 5 and input_index = 0 then start_ms else end_ms end")
+    name = F.when(F.col(KEY) % 6 != 4, F.concat(F.lit("s"), F.col("input_index").cast("string"))).otherwise("s")
+    part = F.struct("input_index", F.struct(name.alias("id"), "start_ms", end.alias("end_ms"), F.coalesce("text", F.lit("")).alias("text")).alias("s"))
+    d = v.segments(spark, sf).groupBy(KEY).agg(F.to_json(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"])).alias("segments"))
+    head = F.when(F.col(KEY) % 6 == 1, '{"extra":1,').when(F.col(KEY) % 6 == 2, '{"schema_version":"other",').otherwise('{"schema_version":"voice_analysis_input_v1",')
+    body = F.concat(head, F.lit('"segments":'), "segments", F.when(F.col(KEY) % 6 == 3, "").otherwise("}"))
+    root = _folder(spark, "documents")
+    exports.write_files(d.select(F.concat(F.col(KEY).cast("string"), F.lit(".json")).alias("path"), F.encode(body, "utf-8").alias("content")), root)
+    return f"{root}/*.json"
+
+
+def _number(column: str) -> Column:
+    return F.regexp_extract(column, r"([0-9]+)\.[a-z]+$", 1).cast("long").alias(KEY)
+
+
+@query("select conv_id as recording_id, case when conv_id % 6 in (1, 2, 3, 5) or (conv_id % 6 = 4 and count(*) > 1) then 'SEGMENTS_INVALID' end as error from conversations group by 1")
+def document_errors(spark: SparkSession, sf: str) -> DataFrame:
+    """Root keys, versions, damaged JSON, repeated ids and ranges without length."""
+    return documents.checked_documents(spark, _documents(spark, sf)).select(_number("recording"), "error")
+
+
+@query(v.oracle("v_seg") + " select recording_id, row_number() over (partition by recording_id order by input_index) - 1 as input_index, start_ms, case when recording_id % 6 = 5 and input_index = 0 then start_ms else end_ms end as end_ms, coalesce(text, '') as text from v_seg where recording_id % 6 <> 3")
+def document_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """What is no JSON has no segments; other faults are for document_errors to tell."""
+    return documents.segment_documents(spark, _documents(spark, sf)).select(_number("recording"), F.col("input_index").cast("long").alias("input_index"), "start_ms", "end_ms", "text")
+
+
+@query("select 'r' || cast(conv_id as varchar) as id, 'ref/' || cast(conv_id as varchar) || '.json' as reference_path, case when conv_id % 2 = 0 then 'overlap,two_speaker' else '' end as scenarios, case when conv_id % 4 = 1 then 'gold' end as annotation_grade from conversations where conv_id % 3 <> 0 group by conv_id")
+def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """Each third line is blank."""
+    c = v.table(spark, sf, "conversations").select("conv_id").distinct()
+    scenarios = F.when(F.col("conv_id") % 2 == 0, F.array(F.lit("overlap"), F.lit("two_speaker"))).otherwise(F.array().cast("array<string>"))
+    line = F.struct(F.concat(F.lit("r"), F.col("conv_id").cast("string")).alias("id"), F.concat(F.lit("ref/"), F.col("conv_id").cast("string"), F.lit(".json")).alias("reference_path"), scenarios.alias("scenarios"), F.when(F.col("conv_id") % 4 == 1, "gold").alias("annotation_grade"))
+    root = _folder(spark, "manifest")
+    c.select(F.when(F.col("conv_id") % 3 == 0, " \t").otherwise(F.to_json(line)).alias("value")).write.text(root)
+    return documents.manifest(spark, root).select("id", "reference_path", F.array_join("scenarios", ",").alias("scenarios"), "annotation_grade")
+
+
+@query("select md5(cast(conv_id as varchar)) as task_id, case when conv_id % 2 = 0 then 'queued' else 'failed' end as status, conv_id * 1000 as created_at_ms, case when conv_id % 3 = 0 then conv_id * 1000 + 1 end as finished_at_ms from conversations where conv_id % 5 <> 0 group by conv_id")
+def task_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Task facts written and read again; every fifth file is damaged."""
+    t = v.table(spark, sf, "conversations").select("conv_id").distinct().selectExpr("md5(cast(conv_id as string)) task_id", "if(conv_id % 2 = 0, 'queued', 'failed') status", "conv_id * 1000 created_at_ms", "if(conv_id % 3 = 0, conv_id * 1000 + 1, null) finished_at_ms")
+    damaged = F.regexp_extract(F.decode("content", "utf-8"), r'"created_at_ms":([0-9]+)', 1).cast("long") % 5000 == 0
+    root = _folder(spark, "tasks")
+    exports.write_files(exports.task_files(t).withColumn("content", F.when(damaged, F.encode(F.lit('{"task_id": '), "utf-8")).otherwise(F.col("content"))), root)
+    return documents.task_facts(spark, root).select("task_id", "status", "created_at_ms", "finished_at_ms")
+
+
+WAV = """with t as (select conv_id as id, encode(coalesce(text, '')) || case when strlen(coalesce(text, '')) % 2 = 1 then unhex('00') else unhex('') end as data, encode('no audio' || cast(conv_id as varchar)) as other from conversations where turn = 0),
+n as (select *, octet_length(data) as n from t), f as (select id, n, data, case when id % 4 = 0 then other else unhex('52494646' || printf('%02x%02x0000', (n + 36) & 255, (n + 36) >> 8) || '57415645666d74201000000001000100e8030000d007000002001000' || '64617461' || printf('%02x%02x0000', n & 255, n >> 8)) || data end as content from n)"""
+
+
+def _wavs(spark: SparkSession, sf: str) -> DataFrame:
+    """The first turn of each recording as the samples of a WAV file, 1000 a second; every fourth is no audio."""
+    two = lambda x: F.expr(f"unhex(format_string('%02x%02x0000', ({x}) & 255, shiftright({x}, 8)))")
+    known = lambda x: F.unhex(F.lit(x))
+    c = v.table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    c = c.withColumn("data", F.when(F.octet_length("data") % 2 == 1, F.concat("data", known("00"))).otherwise(F.col("data"))).withColumn("n", F.octet_length("data"))
+    wav = F.concat(known("52494646"), two("n + 36"), known("57415645666d74201000000001000100e8030000d00700000200100064617461"), two("n"), "data")
+    content = F.when(F.col("conv_id") % 4 == 0, F.encode(F.concat(F.lit("no audio"), F.col("conv_id").cast("string")), "utf-8")).otherwise(wav)
+    return c.select("conv_id", F.concat(F.col("conv_id").cast("string"), F.lit(".wav")).alias("path"), content.alias("content"))
+
+
+@query(WAV + """ select id as recording_id, octet_length(content) as bytes, sha256(content) as sha256, case when id % 4 > 0 then 'pcm_s16le' end as codec, case when id % 4 > 0 then n // 2 end as duration_ms, case when id % 4 > 0 then 1000 end as rate, case when id % 4 > 0 then 1 end as channels,
+case when id % 4 = 0 then 'AUDIO_PROBE_FAILED' when n // 2 < 400 then 'AUDIO_DURATION_LIMIT' end as error from f""")
+def audio_probe(spark: SparkSession, sf: str) -> DataFrame:
+    root = _folder(spark, "audio")
+    exports.write_files(_wavs(spark, sf), root)
+    return documents.probed(spark, f"{root}/*.wav").select(_number("recording"), "bytes", "sha256", "codec", "duration_ms", "rate", "channels", "error")
+
+
+@query(WAV + """, r as (select *, least(n // 2, (id * 7) % 300) as a, least(n // 2, (id * 7) % 300 + 50 + (id * 13) % 400) as b from f)
+select id as recording_id, case when id % 4 > 0 then 2 * (b - a) end as bytes, case when id % 4 > 0 then sha256(unhex(substr(hex(data), 4 * a + 1, 4 * (b - a)))) end as sha256, case when id % 4 = 0 then 'AUDIO_UNREADABLE' end as error from r""")
+def audio_regions(spark: SparkSession, sf: str) -> DataFrame:
+    """Byte ranges of WAV files; what is no WAV spoils no other."""
+    root = _folder(spark, "regions")
+    exports.write_files(_wavs(spark, sf), root)
+    wanted = _wavs(spark, sf).select(F.col("conv_id").alias(KEY), F.concat(F.lit(f"{root}/"), "path").alias("path"), ((F.col("conv_id") * 7) % 300).alias("start_ms"), ((F.col("conv_id") * 7) % 300 + 50 + (F.col("conv_id") * 13) % 400).alias("end_ms"))
+    return documents.regions(wanted, rate=1000).select(KEY, F.octet_length("pcm").alias("bytes"), F.sha2("pcm", 256).alias("sha256"), "error")
+
+
+@query("""with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, doc_id % 40 as a, doc_id % 40 + doc_id % 60 as b from documents), r as (select *, least(length(h) // 2, 32 * a) as x, least(length(h) // 2, 32 * b) as y from t)
+select doc_id, y - x as bytes, sha256(substr(h, 2 * x + 1, 2 * (y - x))) as digest from r""")
+def pcm_ranges(spark: SparkSession, sf: str) -> DataFrame:
+    d = v.table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("pcm"), (F.col("doc_id") % 40).alias("a"), (F.col("doc_id") % 40 + F.col("doc_id") % 60).alias("b"))
+    d = d.select("doc_id", documents.pcm_range(F.col("pcm"), F.col("a"), F.col("b")).alias("part"))
+    return d.select("doc_id", F.octet_length("part").cast("long").alias("bytes"), F.sha2(F.hex("part"), 256).alias("digest"))
+
+
+@query("""with t as (select event_id, case event_id % 7 when 0 then 'mp3' when 1 then 'pcm_s24le' when 2 then 'alac' when 3 then 'amr_nb' when 4 then 'wmav2' when 5 then 'opus' end as codec, case event_id % 5 when 0 then 'mov,mp4,m4a,3gp' when 1 then 'asf' when 2 then 'wav' when 3 then 'avi,matroska' else 'aiff' end as containers from events)
+select event_id, codec, containers, (codec in ('aac', 'amr_nb', 'amr_wb', 'flac', 'mp3', 'opus', 'vorbis') or starts_with(codec, 'pcm_')) and list_has_any(string_split(containers, ','), ['3g2', '3gp', 'aac', 'amr', 'flac', 'm4a', 'matroska', 'mj2', 'mov', 'mp3', 'mp4', 'ogg', 'wav', 'wave', 'webm']) as allowed from t""")
+def media_allow_list(spark: SparkSession, sf: str) -> DataFrame:
+    e = v.table(spark, sf, "events").selectExpr("event_id", "case event_id % 7 when 0 then 'mp3' when 1 then 'pcm_s24le' when 2 then 'alac' when 3 then 'amr_nb' when 4 then 'wmav2' when 5 then 'opus' end codec", "case event_id % 5 when 0 then 'mov,mp4,m4a,3gp' when 1 then 'asf' when 2 then 'wav' when 3 then 'avi,matroska' else 'aiff' end containers")
+    return e.withColumn("allowed", documents.allowed(F.col("codec"), F.col("containers")))
+
+
+@query(v.oracle("v_seg") + """ select recording_id, input_index % 2 as block, row_number() over (partition by recording_id, input_index % 2 order by input_index) - 1 as at, start_ms as begin_time, end_ms as end_time, text, speaker from v_seg""")
+def asr_flatten(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer's sentences of two channels."""
+    sentence = F.struct("input_index", F.col("start_ms").alias("begin_time"), F.col("end_ms").alias("end_time"), "text", "speaker")
+    of = lambda k: F.array_sort(F.collect_list(F.when(F.col("input_index") % 2 == k, sentence)))
+    answers = v.segments(spark, sf).groupBy(KEY).agg(*[of(k).alias(f"s{k}") for k in (0, 1)])
+    body = F.to_json(F.struct(F.array(*[F.struct(F.lit(k).alias("channel_id"), F.col(f"s{k}").alias("sentence_list")) for k in (0, 1)]).alias("flash_result")))
+    rows = documents.flattened_flash(answers.select(KEY, body.alias("body")))
+    return rows.select(KEY, F.col("pos.block").cast("long").alias("block"), F.col("pos.at").cast("long").alias("at"), "begin_time", "end_time", "text", "speaker")
+
+
+@query(v.oracle("v_seg") + """, r as (select recording_id, input_index, text, case when input_index % 7 = 6 then 0 else start_ms end as start_ms, case when input_index % 4 <> 1 then end_ms when input_index % 3 = 0 then end_ms + 5 end as e, case when input_index % 5 > 1 then 'x' || cast(input_index as varchar) end as given from v_seg)
+select recording_id, coalesce(given, 'asr-' || cast(row_number() over (partition by recording_id order by input_index) as varchar)) as id, start_ms, coalesce(e, start_ms) as end_ms, text, case when coalesce(e, start_ms) <= start_ms then 'ASR_RESULT_INVALID' end as violation from r""")
+def asr_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Times under either name or none, ids that are missing or empty."""
+    rows = v.segments(spark, sf).selectExpr(
+        "recording_id", "input_index pos", "text", "case when input_index % 7 <> 6 and input_index % 3 <> 0 then start_ms end begin_time", "case when input_index % 7 <> 6 then start_ms end start_time", "case when input_index % 4 <> 1 then end_ms end time",
+        "case when input_index % 3 = 0 then end_ms + 5 end end_time", "case when input_index % 5 = 0 then null when input_index % 5 = 1 then '' else concat('x', input_index) end id",
+    )
+    return documents.normalised_asr(rows)
+
+
+@query(v.oracle("v_seg") + " select recording_id, input_index, row_number() over (partition by recording_id order by start_ms, input_index) as ordinal from v_seg")
+def segment_ordinals(spark: SparkSession, sf: str) -> DataFrame:
+    return windows.ordinals(v.segments(spark, sf)).select(KEY, "input_index", F.col("ordinal").cast("long").alias("ordinal"))
+
+
+@query("select event_id, round(case when event_id % 9 = 0 or value is null or value <= 0 then -120.0e0 else 20 * log10(sqrt(value * 1000) / 32768) end, 6) as db from events")
+def rms_levels(spark: SparkSession, sf: str) -> DataFrame:
+    power = F.when(F.col("event_id") % 9 == 0, 0.0).otherwise(F.col("value") * 1000)
+    return v.table(spark, sf, "events").select("event_id", F.round(vx.rms_db(power), 6).alias("db"))
+
+
+@query("""with t as (select doc_id, md5(coalesce(text, '')) as h from documents) select doc_id, list_sum(list_transform(range(8), lambda i: (i + 1) * (((cast('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2) as bigint) + 32768) % 65536) - 32768) / 32768.0e0)) as weighed from t""")
+def int16_floats(spark: SparkSession, sf: str) -> DataFrame:
+    samples = vx.int16_samples(F.unhex(F.md5(F.coalesce("text", F.lit("")))))
+    return v.table(spark, sf, "documents").select("doc_id", vx.total(F.transform(samples, lambda x, i: x * (i + 1))).alias("weighed"))
+
+
+@query("select doc_id, doc_id % 4 = 0 as legal from documents")
+def task_ids(spark: SparkSession, sf: str) -> DataFrame:
+    h = F.md5(F.coalesce("text", F.lit("")))
+    name = F.when(F.col("doc_id") % 4 == 0, h).when(F.col("doc_id") % 4 == 1, F.substring(h, 1, 31)).when(F.col("doc_id") % 4 == 2, F.concat(F.lit("../"), h))
+    return v.table(spark, sf, "documents").select("doc_id", tx.is_task_id(name).alias("legal"))
+
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 SESSIONS = """with e as (select user_id, value, epoch_us(ts) as us, lag(epoch_us(ts)) over (partition by user_id order by ts) as old from events),

@@ -52,7 +52,7 @@ def segment_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a JSONL manifest; blank lines are skipped, lines without id or reference_path raise."""
-    rows = spark.read.text(path).filter(F.trim("value") != "").select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
+    rows = spark.read.text(path).filter(F.col("value").rlike(r"\S")).select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
     whole = F.assert_true(F.col("id").isNotNull() & F.col("reference_path").isNotNull(), "a manifest line needs id and reference_path")
     return rows.filter(whole.isNull())
 
@@ -144,7 +144,7 @@ def probed(spark: SparkSession, path: str, min_ms: int = 400, max_ms: int = 4 *
                     continue
                 try:
                     with wave.open(io.BytesIO(content)) as w:
-                        rate, channels, codec = w.getframerate(), w.getnchannels(), f"pcm_s{8 * w.getsampwidth()}le"
+                        rate, channels, codec = w.getframerate(), w.getnchannels(), "pcm_u8" if w.getsampwidth() == 1 else f"pcm_s{8 * w.getsampwidth()}le"
                         ms = int(round(1000 * w.getnframes() / rate))
                     error = None if min_ms <= ms <= max_ms else "AUDIO_DURATION_LIMIT"
                 except (wave.Error, EOFError):
