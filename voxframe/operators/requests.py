@@ -126,7 +126,7 @@ def provenance(manifest: DataFrame) -> DataFrame:
     unlike = lambda a, b: F.col(a).isNotNull() & (F.col(a) != "") & F.col(b).isNotNull() & (F.col(b) != "") & (F.col(a) != F.col(b))
     blank = lambda c: F.nullif(F.col(c), F.lit(""))
     error = F.when(unlike("source", "reference_source") | unlike("grade", "reference_grade"), "EVALUATION_PROVENANCE_MISMATCH")
-    return manifest.select("id", F.coalesce(blank("source"), blank("reference_source"), F.col("id")).alias("source"), F.coalesce(blank("grade"), F.col("reference_grade")).alias("grade"), error.alias("error"))
+    return manifest.select("id", F.coalesce(blank("source"), blank("reference_source"), F.col("id").cast("string")).alias("source"), F.coalesce(blank("grade"), F.col("reference_grade")).alias("grade"), error.alias("error"))
 
 
 def public_tasks(tasks: DataFrame) -> DataFrame:

@@ -17,6 +17,7 @@ from voxframe.functions import vectors as vx
 from voxframe.operators import assign, clusters, evaluate, intervals, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
 from voxframe.params import Candidates
+from voxframe.plans import analysis
 from voxframe.plans import views as v
 from voxframe.sources import documents, exports
 from voxframe.streaming import sessions
@@ -1102,6 +1103,26 @@ def nme_audit(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.estimates(v.gold(spark, sf)).select(KEY, "k_nme", "method", F.round("median_cosine", 6).alias("median_cosine"), F.size("gaps").alias("n_gaps"), F.size("eigenvalues").alias("n_eigenvalues"))
 
 
+# --- the whole way -----------------------------------------------------------------------------------------------
+
+
+@query()
+def analyzed_segments(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations from segments to attributed segments; a stand-in for a model gives each window a vector of its speaker."""
+    s = v.segments(spark, sf)
+    frames = s.select(KEY, "start_ms", "end_ms", F.lit(1).alias("active"), F.col("speaker").alias("dom"))
+    power = s.filter("dur_ms >= 30").select(KEY, F.explode(F.sequence("start_ms", F.col("end_ms") - 30, F.lit(30).cast("long"))).alias("start_ms")).distinct().select(KEY, "start_ms", (F.col("start_ms") + 30).alias("end_ms"), F.lit(4e6).alias("power"))
+
+    def embed(asked: DataFrame) -> DataFrame:
+        said = intervals.overlap_join(asked.select(KEY, "request", "start_ms", "end_ms"), s.select(KEY, "start_ms", "end_ms", "speaker"))
+        shared = intervals.overlap_ms(F.col("start_ms"), F.col("end_ms"), F.col("right_start_ms"), F.col("right_end_ms"))
+        most = said.groupBy(KEY, "request", "start_ms").agg(F.max(F.struct(shared.alias("ms"), "speaker"))["speaker"].alias("who"))
+        near = F.lit(0.02) * (F.col("start_ms") % 7)
+        return most.select(KEY, "request", F.lit("success").alias("status"), F.when(F.col("who") == "user", F.array(F.lit(1.0), near, F.lit(0.0))).otherwise(F.array(near, F.lit(0.0), F.lit(1.0))).alias("embedding"))
+
+    return analysis.analyze(s, frames, power, embed).segments.select(KEY, "input_index", "label", "confidence", "reason", "risk_level")
+
+
 # --- files -------------------------------------------------------------------------------------------------------
 
 
