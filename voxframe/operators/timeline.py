@@ -6,6 +6,8 @@ start_ms. `over` names the columns that make one timeline; a candidate's frames
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -114,17 +116,19 @@ def own_frames(candidates: DataFrame, frames: DataFrame) -> DataFrame:
 OVER = (KEY, "candidate_id")
 
 
-def built(candidates: DataFrame, frames: DataFrame, power: DataFrame | None = None, p: Timeline = Timeline()) -> DataFrame:
+def built(candidates: DataFrame, frames: DataFrame, power: DataFrame | None = None, p: Timeline = Timeline(), keep: Callable[[DataFrame, str], DataFrame] = lambda rows, name: rows) -> DataFrame:
     """Windows of each candidate: its single-speaker runs clamped to it, with overlap, changes, boundary silence, loudness and
     flags, and a window_id over all candidates of a recording in order.
 
     candidates: recording_id, candidate_id, start_ms, end_ms. power: 30 ms frames (recording_id, start_ms, end_ms, power)
-    of the audio; without it the loudness is unknown: ratio 0, no decibels, deviation 0.
+    of the audio; without it the loudness is unknown: ratio 0, no decibels, deviation 0. keep(rows, name) may write what is read
+    several times and give what it wrote.
     """
-    own = own_frames(candidates, frames)
+    own = keep(own_frames(candidates, frames), "own_frames")
     c = candidates.select(*OVER, F.col("start_ms").alias("c_start"), F.col("end_ms").alias("c_end"))
     runs = single_speaker_runs(own, p, OVER).join(c, list(OVER))
     runs = runs.select(*OVER, F.col("start_ms").alias("raw_start_ms"), F.col("end_ms").alias("raw_end_ms"), F.greatest("start_ms", "c_start").alias("start_ms"), F.least("end_ms", "c_end").alias("end_ms"))
+    runs = keep(runs, "runs")
     # Frames by window: those that it meets, for overlap and changes; a window's key is its candidate and raw start.
     keyed = runs.select(F.concat_ws("|", F.col(KEY).cast("string"), "candidate_id").alias("line"), "raw_start_ms", "start_ms", "end_ms")
     mine = own.select(F.concat_ws("|", F.col(KEY).cast("string"), "candidate_id").alias("line"), "start_ms", "end_ms", "active", "dom")

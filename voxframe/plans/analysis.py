@@ -78,8 +78,8 @@ def analyze(segments: DataFrame, frames: DataFrame, power: DataFrame, embed: Cal
         rows.write.parquet(f"{work}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
 
-    regions = windows.candidates(segments, p.candidates)
-    built = timeline.built(regions, frames, power, p.timeline)
+    regions = kept(windows.candidates(segments, p.candidates), "candidates")
+    built = timeline.built(regions, frames, power, p.timeline, kept)
     if failures is not None:
         built = built.join(failures.select(KEY, "candidate_id"), [KEY, "candidate_id"], "left_anti")
     scored = kept(windows.gold(windows.scored(built, p.scoring), p.scoring), "windows")
