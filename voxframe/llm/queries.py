@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voxframe.llm import chat, exact_dedup, html_extract, media, mixing, near_dedup, packing, quality, secret_scan, token_store
+from voxframe.llm import chat, exact_dedup, fill_middle, fingerprints, html_extract, media, mixing, near_dedup, packing, quality, secret_scan, token_store, whitening
 from voxframe.llm.shared import publish, scratch
 
 
@@ -58,8 +58,20 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"), stored=True)
 
 
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.report(table(spark, sf_dir, "documents"))
+
+
+def op12_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fill_middle.report(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_near_dedup, op2_media_columns, op3_secret_scan, op4_best_fit_packing, op5_html_extract, op6_quality, op7_token_store, op8_chat_format, op9_source_mixing, op10_exact_dedup)
+    found = (op1_near_dedup, op2_media_columns, op3_secret_scan, op4_best_fit_packing, op5_html_extract, op6_quality, op7_token_store, op8_chat_format, op9_source_mixing, op10_exact_dedup, op11_fingerprints, op12_fill_middle, op13_whitening)
     return {f.__name__: f for f in found}
 
 
@@ -83,5 +95,19 @@ select doc_id, text, lang, source, n_chars, copy, n_copies, substr(md5('mix-1:or
 """
 
 
+#: By code points; the ranks come from the first 32 hexadecimal digits of a digest.
+FILL_MIDDLE = """
+with h as (select doc_id, coalesce(text, '') as t, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as x from documents),
+d as (select doc_id, t, cast(length(t) as bigint) as n, cast('0x' || substr(x, 1, 8) as bigint) as h1, cast('0x' || substr(x, 9, 8) as bigint) as h2,
+      cast('0x' || substr(x, 17, 8) as bigint) as h3, cast('0x' || substr(x, 25, 8) as bigint) as h4 from h),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as lo, greatest(h1 % (n + 1), h2 % (n + 1)) as hi,
+      case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from d),
+p as (select *, substr(t, 1, lo) as prefix, substr(t, lo + 1, hi - lo) as middle, substr(t, hi + 1) as suffix from c)
+select doc_id, n, form, case when form <> 'plain' then lo end as prefix_chars, case when form <> 'plain' then hi - lo end as middle_chars,
+       sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+       sha256(t) as restored_sha256 from p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op9_source_mixing": SOURCE_MIXING, "op10_exact_dedup": EXACT_DEDUP}
+    return {"op9_source_mixing": SOURCE_MIXING, "op10_exact_dedup": EXACT_DEDUP, "op12_fill_middle": FILL_MIDDLE}
