@@ -127,7 +127,8 @@ class Packing:
 
 @dataclass(frozen=True)
 class Tasks:
-    ttl_ms: int = 24 * 3600 * 1000
+    retention_ms: int = 24 * 3600 * 1000
+    expired_metadata_ms: int = 24 * 3600 * 1000
     terminal: tuple = ("succeeded", "failed", "cancelled")
 
 

@@ -7,8 +7,6 @@ iterative or learned and are held against brute force in tests.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,26 +14,15 @@ from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
 from voxframe.operators import assign, clusters, evaluate, intervals, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
-from voxframe.params import Candidates
+from voxframe.params import Candidates, Tasks
 from voxframe.plans import analysis
+from voxframe.plans import task_queries
 from voxframe.plans import views as v
+from voxframe.plans.registry import oracle_sql, queries, query
 from voxframe.sources import documents, exports
 from voxframe.streaming import sessions
 
 NOW = 820_000_000_000
-Query = Callable[[SparkSession, str], DataFrame]
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[f.__name__] = f
-        if sql:
-            _SQL[f.__name__] = sql
-        return f
-
-    return add
 
 
 # --- candidate regions -------------------------------------------------------------------------------------------
@@ -903,10 +890,23 @@ def task_occupancy(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.occupancy(v.tasks(spark, sf))
 
 
-@query(v.oracle("v_task") + """, a as (select *, case when status in ('succeeded', 'failed', 'cancelled') and 820000000000 - finished_at_ms >= 86400000 then 'expire' when status = 'expired' and 820000000000 - expired_at_ms >= 86400000 then 'delete' else 'keep' end as action from v_task)
+#: Tasks of which some have no time of an end, of expiry or of a change.
+KEPT = Tasks(retention_ms=3 * 86_400_000, expired_metadata_ms=40 * 86_400_000)
+CLEANING = """, k as (select * replace (case when o_orderkey % 5 = 0 then null when o_orderkey % 5 = 1 then 0 else finished_at_ms end as finished_at_ms, case when o_orderkey % 3 = 0 then null else expired_at_ms end as expired_at_ms), case when o_orderkey % 7 > 1 then created_at_ms + 90000 end as updated_at_ms from v_task),
+a as (select *, case when status in ('succeeded', 'failed', 'cancelled') and 820000000000 - coalesce(nullif(finished_at_ms, 0), updated_at_ms, 820000000000) >= 259200000 then 'expire' when status = 'expired' and 820000000000 - coalesce(expired_at_ms, 820000000000) >= 3456000000 then 'delete' else 'keep' end as action from k)"""
+
+
+def _kept(spark: SparkSession, sf: str) -> DataFrame:
+    key = F.col("o_orderkey")
+    return v.tasks(spark, sf).withColumns({
+        "finished_at_ms": F.when(key % 5 == 1, 0).when(key % 5 > 1, F.col("finished_at_ms")), "expired_at_ms": F.when(key % 3 > 0, F.col("expired_at_ms")), "updated_at_ms": F.when(key % 7 > 1, F.col("created_at_ms") + 90_000),
+    })
+
+
+@query(v.oracle("v_task") + CLEANING + """
 select task_id, case when action = 'expire' then 'expired' else status end as status, created_at_ms, case when action = 'expire' then null else finished_at_ms end as finished_at_ms, case when action = 'expire' then 820000000000 else expired_at_ms end as expired_at_ms, case when action = 'expire' then null else input_mode end as input_mode from a where action <> 'delete'""")
 def cleaned_tasks(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.cleaned(v.tasks(spark, sf), NOW).select("task_id", "status", "created_at_ms", "finished_at_ms", "expired_at_ms", "input_mode")
+    return sessions.cleaned(_kept(spark, sf), NOW, KEPT).select("task_id", "status", "created_at_ms", "finished_at_ms", "expired_at_ms", "input_mode")
 
 
 @query(v.oracle("v_task") + " select o_orderkey, row_number() over (order by created_at_ms, task_id) as turn from v_task where status in ('queued', 'running') and cancel_requested_at_ms is null and input_mode <> 'cloud_asr'")
@@ -921,9 +921,9 @@ def task_state_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 
 
-@query(v.oracle("v_task") + f" select o_orderkey, case when status in ('succeeded', 'failed', 'cancelled') and {NOW} - finished_at_ms >= 86400000 then 'expire' when status = 'expired' and {NOW} - expired_at_ms >= 86400000 then 'delete' else 'keep' end as action from v_task")
+@query(v.oracle("v_task") + CLEANING + " select o_orderkey, action from a")
 def ttl_cleanup(spark: SparkSession, sf: str) -> DataFrame:
-    return sessions.ttl_actions(v.tasks(spark, sf), NOW).select("o_orderkey", "action")
+    return sessions.ttl_actions(_kept(spark, sf), NOW, KEPT).select("o_orderkey", "action")
 
 
 @query(v.oracle("v_task") + " select o_orderkey, case when status not in ('queued', 'running') then 'none' when cancel_requested_at_ms is not null then 'cancel' when input_mode = 'cloud_asr' then 'fail:CREDENTIAL_LOST' else 'rerun' end as action from v_task")
@@ -1326,9 +1326,4 @@ def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.drained(sessions.task_states(_task_events(stream)), spark, "update", "stream_task_state", ("task_id",))
 
 
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+__all__ = ["oracle_sql", "queries", "task_queries"]

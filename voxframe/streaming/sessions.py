@@ -88,7 +88,7 @@ def next_state(state: dict[str, Any] | None, event: str, at_ms: int, p: Tasks =
     s["n_events"] += 1
     s["created_at_ms"] = min(s["created_at_ms"], at_ms)
     done = s["status"] in p.terminal
-    if event == "expired" and done and at_ms - s["finished_at_ms"] >= p.ttl_ms:
+    if event == "expired" and done and at_ms - s["finished_at_ms"] >= p.retention_ms:
         s["status"] = "expired"
     elif done or s["status"] == "expired":
         pass
@@ -132,7 +132,7 @@ def task_states_batch(events: DataFrame, p: Tasks = Tasks()) -> DataFrame:
         active = ~done & (a["status"] != "expired")
         ends = x["event"].isin("succeeded", "failed")
         status = (
-            F.when((x["event"] == "expired") & done & (x["at_ms"] - a["finished_at_ms"] >= p.ttl_ms), "expired").when(~active, a["status"])
+            F.when((x["event"] == "expired") & done & (x["at_ms"] - a["finished_at_ms"] >= p.retention_ms), "expired").when(~active, a["status"])
             .when((x["event"] == "cancel_requested") & (a["status"] == "queued"), "cancelled").when(x["event"] == "started", "running")
             .when(ends & a["cancel_requested"], "cancelled").when(ends, x["event"]).otherwise(a["status"])
         )
@@ -146,10 +146,11 @@ def task_states_batch(events: DataFrame, p: Tasks = Tasks()) -> DataFrame:
 
 
 def ttl_actions(tasks: DataFrame, now_ms: int, p: Tasks = Tasks()) -> DataFrame:
-    """What a clean-up does: finished tasks expire after the time to live, expired ones are deleted after it again."""
-    terminal = F.col("status").isin(*p.terminal)
-    old = lambda c: now_ms - F.coalesce(*[F.col(x) for x in (c, "updated_at_ms") if x in tasks.columns], F.lit(now_ms)) >= p.ttl_ms
-    action = F.when(terminal & old("finished_at_ms"), "expire").when((F.col("status") == "expired") & old("expired_at_ms"), "delete").otherwise("keep")
+    """What a clean-up does: finished tasks expire p.retention_ms after their end, or else their last change; expired ones are
+    deleted p.expired_metadata_ms after they expired. A time that is absent, null or 0 is the present."""
+    age = lambda *names: now_ms - F.coalesce(*[F.nullif(c, F.lit(0)) for c in names if c in tasks.columns], F.lit(now_ms))
+    ended = F.col("status").isin(*p.terminal) & (age("finished_at_ms", "updated_at_ms") >= p.retention_ms)
+    action = F.when(ended, "expire").when((F.col("status") == "expired") & (age("expired_at_ms") >= p.expired_metadata_ms), "delete").otherwise("keep")
     return tasks.withColumn("action", action)
 
 
