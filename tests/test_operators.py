@@ -15,7 +15,7 @@ from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
 from voxframe.operators import assign, clusters, evaluate, intervals, models, packing, timeline, windows
 from voxframe.plans import catalogue, views
-from voxframe.sources import documents, exports
+from voxframe.sources import audio, documents, exports
 from voxframe.streaming import sessions
 
 SEG = "recording_id long, input_index long, start_ms long, end_ms long, text string, confidence double"
@@ -420,21 +420,21 @@ def test_audio(spark, tmp_path):
             w.writeframes(np.ascontiguousarray(data).tobytes())
     (tmp_path / "d.wav").write_bytes(b"")
     (tmp_path / "e.wav").write_bytes(b"nonsense")
-    rows = {r.recording[-5]: r for r in documents.probed(spark, f"file://{tmp_path}/*.wav").collect()}
-    assert {k: (r.duration_ms, r.error) for k, r in rows.items()} == {"a": (1000, None), "b": (1000, None), "c": (200, "AUDIO_DURATION_LIMIT"), "e": (None, "AUDIO_PROBE_FAILED")}
-    assert {r.error for r in documents.probed(spark, f"file://{tmp_path}/a.wav", max_bytes=100).collect()} == {"AUDIO_SIZE_LIMIT"}
-    frames = documents.power_frames(spark, f"file://{tmp_path}/[ab].wav").toPandas()
+    rows = {r.recording[-5]: r for r in audio.probed(spark, f"file://{tmp_path}/*.wav").collect()}
+    assert {k: (r.duration_ms, r.error) for k, r in rows.items()} == {"a": (1000, None), "b": (1000, None), "c": (200, "AUDIO_DURATION_LIMIT"), "d": (None, "AUDIO_EMPTY"), "e": (None, "AUDIO_PROBE_FAILED")}
+    assert {r.error for r in audio.probed(spark, f"file://{tmp_path}/a.wav", max_bytes=100).collect()} == {"AUDIO_SIZE_LIMIT"}
+    frames = audio.power_frames(spark, f"file://{tmp_path}/[ab].wav").toPandas()
     assert len(frames) == 66 and np.allclose(frames["power"], 8000**2 / 2, rtol=0.1)
     got = timeline.loudness(spark.createDataFrame(frames[["recording", "power"]]), ("recording",)).toPandas()
     assert got["speech_ratio"].tolist() == [1.0, 1.0] and np.allclose(got["loudness_db"], 20 * np.log10(8000 / np.sqrt(2) / 32768), atol=0.1)
-    cut = spark.createDataFrame([(x.tobytes(),)], "pcm binary").select(documents.pcm_range(F.col("pcm"), F.lit(100), F.lit(200)).alias("p"), documents.pcm_range(F.col("pcm"), F.lit(990), F.lit(5000)).alias("q")).first()
+    cut = spark.createDataFrame([(x.tobytes(),)], "pcm binary").select(audio.pcm_range(F.col("pcm"), F.lit(100), F.lit(200)).alias("p"), audio.pcm_range(F.col("pcm"), F.lit(990), F.lit(5000)).alias("q")).first()
     assert bytes(cut.p) == x[1600:3200].tobytes() and len(cut.q) == 320
     wanted = spark.createDataFrame([(f"file://{tmp_path}/{n}.wav", a, b) for n, a, b in (("a", 100, 200), ("b", 990, 5000), ("c", 500, 600), ("e", 0, 10), ("z", 0, 10))], "path string, start_ms long, end_ms long")
-    got = {r.path[-5]: (None if r.pcm is None else bytes(r.pcm), r.error) for r in documents.regions(wanted).collect()}
+    got = {r.path[-5]: (None if r.pcm is None else bytes(r.pcm), r.error) for r in audio.regions(wanted).collect()}
     assert got == {"a": (x[1600:3200].tobytes(), None), "b": (x[15_840:].tobytes(), None), "c": (b"", None), "e": (None, "AUDIO_UNREADABLE"), "z": (None, "AUDIO_UNREADABLE")}
-    clips = documents.rendered(wanted.filter("path like '%a.wav'")).select(F.lit("clips/a.wav").alias("path"), "content")
+    clips = audio.rendered(wanted.filter("path like '%a.wav'")).select(F.lit("clips/a.wav").alias("path"), "content")
     listed = exports.write_files(clips, f"file://{tmp_path}/made").first()
-    assert (tmp_path / "made/clips/a.wav").stat().st_size == listed.bytes and documents.pcm((tmp_path / "made/clips/a.wav").read_bytes()).tobytes() == x[1600:3200].tobytes()
+    assert (tmp_path / "made/clips/a.wav").stat().st_size == listed.bytes and audio.pcm((tmp_path / "made/clips/a.wav").read_bytes()).tobytes() == x[1600:3200].tobytes()
     with pytest.raises(Exception, match="PATH_OUTSIDE_ROOT"):
         exports.write_files(clips.withColumn("path", F.lit("../x")), f"file://{tmp_path}/made")
 

@@ -14,12 +14,12 @@ from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
 from voxframe.operators import assign, clusters, evaluate, intervals, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
-from voxframe.params import Candidates, Tasks
+from voxframe.params import Candidates, Tasks, Timeline
 from voxframe.plans import analysis
 from voxframe.plans import task_queries
 from voxframe.plans import views as v
 from voxframe.plans.registry import oracle_sql, queries, query
-from voxframe.sources import documents, exports
+from voxframe.sources import audio, documents, exports
 from voxframe.streaming import sessions
 
 NOW = 820_000_000_000
@@ -1181,44 +1181,73 @@ def task_facts(spark: SparkSession, sf: str) -> DataFrame:
     return documents.task_facts(spark, root).select("task_id", "status", "created_at_ms", "finished_at_ms")
 
 
-WAV = """with t as (select conv_id as id, encode(coalesce(text, '')) || case when strlen(coalesce(text, '')) % 2 = 1 then unhex('00') else unhex('') end as data, encode('no audio' || cast(conv_id as varchar)) as other from conversations where turn = 0),
-n as (select *, octet_length(data) as n from t), f as (select id, n, data, case when id % 4 = 0 then other else unhex('52494646' || printf('%02x%02x0000', (n + 36) & 255, (n + 36) >> 8) || '57415645666d74201000000001000100e8030000d007000002001000' || '64617461' || printf('%02x%02x0000', n & 255, n >> 8)) || data end as content from n)"""
+WAV = """with t as (select conv_id as id, encode(string_agg(coalesce(text, ''), '' order by turn, coalesce(text, ''))) as data, encode('no audio' || cast(conv_id as varchar)) as other from conversations group by 1),
+e as (select id, other, data || case when octet_length(data) % 2 = 1 then unhex('00') else unhex('') end as data from t), n as (select *, octet_length(data) as n from e),
+f as (select id, n, data, case when id % 4 = 0 then other else unhex('52494646' || printf('%02x%02x%02x%02x', (n + 36) & 255, ((n + 36) >> 8) & 255, ((n + 36) >> 16) & 255, (n + 36) >> 24) || '57415645666d74201000000001000100e8030000d007000002001000' || '64617461' || printf('%02x%02x%02x%02x', n & 255, (n >> 8) & 255, (n >> 16) & 255, n >> 24)) || data end as content from n)"""
 
 
 def _wavs(spark: SparkSession, sf: str) -> DataFrame:
-    """The first turn of each recording as the samples of a WAV file, 1000 a second; every fourth is no audio."""
-    two = lambda x: F.expr(f"unhex(format_string('%02x%02x0000', ({x}) & 255, shiftright({x}, 8)))")
+    """All turns of a conversation as the samples of a WAV file, 1000 a second; every fourth is no audio."""
+    size = lambda x: F.expr(f"unhex(format_string('%02x%02x%02x%02x', ({x}) & 255, shiftright({x}, 8) & 255, shiftright({x}, 16) & 255, shiftright({x}, 24)))")
     known = lambda x: F.unhex(F.lit(x))
-    c = v.table(spark, sf, "conversations").filter("turn = 0").select("conv_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    turns = F.array_sort(F.collect_list(F.struct("turn", F.coalesce("text", F.lit("")).alias("text"))))
+    c = v.table(spark, sf, "conversations").groupBy("conv_id").agg(F.encode(F.array_join(F.transform(turns, lambda x: x["text"]), ""), "utf-8").alias("data"))
     c = c.withColumn("data", F.when(F.octet_length("data") % 2 == 1, F.concat("data", known("00"))).otherwise(F.col("data"))).withColumn("n", F.octet_length("data"))
-    wav = F.concat(known("52494646"), two("n + 36"), known("57415645666d74201000000001000100e8030000d00700000200100064617461"), two("n"), "data")
+    wav = F.concat(known("52494646"), size("n + 36"), known("57415645666d74201000000001000100e8030000d00700000200100064617461"), size("n"), "data")
     content = F.when(F.col("conv_id") % 4 == 0, F.encode(F.concat(F.lit("no audio"), F.col("conv_id").cast("string")), "utf-8")).otherwise(wav)
     return c.select("conv_id", F.concat(F.col("conv_id").cast("string"), F.lit(".wav")).alias("path"), content.alias("content"))
 
 
+def _written(spark: SparkSession, sf: str, name: str) -> tuple[str, DataFrame]:
+    """The folder of the WAV files, and their conversations with each file's place."""
+    root = _folder(spark, name)
+    listed = exports.write_files(_wavs(spark, sf), root)
+    return root, listed.select(F.regexp_extract("path", "([0-9]+)[.]wav", 1).cast("long").alias(KEY), F.concat(F.lit(f"{root}/"), "path").alias("path"))
+
+
 @query(WAV + """ select id as recording_id, octet_length(content) as bytes, sha256(content) as sha256, case when id % 4 > 0 then 'pcm_s16le' end as codec, case when id % 4 > 0 then n // 2 end as duration_ms, case when id % 4 > 0 then 1000 end as rate, case when id % 4 > 0 then 1 end as channels,
 case when id % 4 = 0 then 'AUDIO_PROBE_FAILED' when n // 2 < 400 then 'AUDIO_DURATION_LIMIT' end as error from f""")
 def audio_probe(spark: SparkSession, sf: str) -> DataFrame:
-    root = _folder(spark, "audio")
-    exports.write_files(_wavs(spark, sf), root)
-    return documents.probed(spark, f"{root}/*.wav").select(_number("recording"), "bytes", "sha256", "codec", "duration_ms", "rate", "channels", "error")
+    root, _ = _written(spark, sf, "audio")
+    return audio.probed(spark, f"{root}/*.wav").select(_number("recording"), "bytes", "sha256", "codec", "duration_ms", "rate", "channels", "error")
 
 
-@query(WAV + """, r as (select *, least(n // 2, (id * 7) % 300) as a, least(n // 2, (id * 7) % 300 + 50 + (id * 13) % 400) as b from f)
+@query(WAV + """, r as (select *, least(n // 2, (id * 7) % 300) as a, least(n // 2, (id * 7) % 300 + 50 + (id * 13) % 4000) as b from f)
 select id as recording_id, case when id % 4 > 0 then 2 * (b - a) end as bytes, case when id % 4 > 0 then sha256(unhex(substr(hex(data), 4 * a + 1, 4 * (b - a)))) end as sha256, case when id % 4 = 0 then 'AUDIO_UNREADABLE' end as error from r""")
 def audio_regions(spark: SparkSession, sf: str) -> DataFrame:
     """Byte ranges of WAV files; what is no WAV spoils no other."""
-    root = _folder(spark, "regions")
-    exports.write_files(_wavs(spark, sf), root)
-    wanted = _wavs(spark, sf).select(F.col("conv_id").alias(KEY), F.concat(F.lit(f"{root}/"), "path").alias("path"), ((F.col("conv_id") * 7) % 300).alias("start_ms"), ((F.col("conv_id") * 7) % 300 + 50 + (F.col("conv_id") * 13) % 400).alias("end_ms"))
-    return documents.regions(wanted, rate=1000).select(KEY, F.octet_length("pcm").alias("bytes"), F.sha2("pcm", 256).alias("sha256"), "error")
+    _, files = _written(spark, sf, "regions")
+    wanted = files.select(KEY, "path", ((F.col(KEY) * 7) % 300).alias("start_ms"), ((F.col(KEY) * 7) % 300 + 50 + (F.col(KEY) * 13) % 4000).alias("end_ms"))
+    return audio.regions(wanted, rate=1000).select(KEY, F.octet_length("pcm").alias("bytes"), F.sha2("pcm", 256).alias("sha256"), "error")
+
+
+POWERS = WAV + """, h as (select id, n // 60 as frames, hex(data) as h from f where id % 4 > 0), w as (select id, unnest(range(0, frames)) as k, h from h), c as (select id, k, substr(h, 120 * k + 1, 120) as h from w),
+p as (select id as recording_id, k as frame_no, k * 30 as start_ms, list_sum(list_transform(range(0, 30), lambda i: power(((cast('0x' || substr(h, 4 * i + 3, 2) || substr(h, 4 * i + 1, 2) as bigint) + 32768) % 65536) - 32768, 2))) / 30 as power from c)"""
+
+
+@query(POWERS + " select * from p where start_ms >= 90")
+def audio_powers(spark: SparkSession, sf: str) -> DataFrame:
+    """Powers of frames by byte ranges; the filter reaches the bytes that are read."""
+    root, _ = _written(spark, sf, "powers")
+    rows = audio.power_frames(spark, f"{root}/*.wav", rate=1000, skip_unreadable=True).filter("start_ms >= 90")
+    return rows.select(_number("recording"), "frame_no", "start_ms", "power")
+
+
+@query(POWERS + """, levels as (select recording_id, case when power <= 0 then -120 else 20 * log10(sqrt(power) / 32768) end as db from p), k as (select *, db > -90 as kept, db >= -2.3 as speech from levels)
+select recording_id, count(*) filter (kept) as n_kept, count(*) filter (kept and speech) as n_speech, round((count(*) filter (kept and speech)) / greatest(1, count(*) filter (kept)), 4) as speech_ratio,
+round(coalesce(avg(db) filter (kept and speech), avg(db) filter (kept)), 2) as loudness_db, round(coalesce(stddev_pop(db) filter (kept and speech), stddev_pop(db) filter (kept), 0), 4) as loudness_std_db from k group by 1""")
+def audio_loudness(spark: SparkSession, sf: str) -> DataFrame:
+    """Loudness of whole recordings from their files' frames."""
+    root, _ = _written(spark, sf, "loudness")
+    rows = audio.power_frames(spark, f"{root}/*.wav", rate=1000, skip_unreadable=True).select(_number("recording").alias(KEY), "power")
+    return timeline.loudness(rows, p=Timeline(speech_db=-2.3))
 
 
 @query("""with t as (select doc_id, hex(encode(coalesce(text, ''))) as h, doc_id % 40 as a, doc_id % 40 + doc_id % 60 as b from documents), r as (select *, least(length(h) // 2, 32 * a) as x, least(length(h) // 2, 32 * b) as y from t)
 select doc_id, y - x as bytes, sha256(substr(h, 2 * x + 1, 2 * (y - x))) as digest from r""")
 def pcm_ranges(spark: SparkSession, sf: str) -> DataFrame:
     d = v.table(spark, sf, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("pcm"), (F.col("doc_id") % 40).alias("a"), (F.col("doc_id") % 40 + F.col("doc_id") % 60).alias("b"))
-    d = d.select("doc_id", documents.pcm_range(F.col("pcm"), F.col("a"), F.col("b")).alias("part"))
+    d = d.select("doc_id", audio.pcm_range(F.col("pcm"), F.col("a"), F.col("b")).alias("part"))
     return d.select("doc_id", F.octet_length("part").cast("long").alias("bytes"), F.sha2(F.hex("part"), 256).alias("digest"))
 
 

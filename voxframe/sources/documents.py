@@ -2,15 +2,8 @@
 
 from __future__ import annotations
 
-import io
 import os
-import wave
-from collections.abc import Iterator
 
-import numpy as np
-import pandas as pd
-import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -125,145 +118,3 @@ def task_facts(spark: SparkSession, root: str) -> DataFrame:
 def allowed(codec: Column, containers: Column) -> Column:
     """Whether both the codec and one of the comma-separated containers may be analysed."""
     return (codec.isin(*CODECS) | codec.startswith("pcm_")) & F.arrays_overlap(F.split(containers, ","), F.array(*[F.lit(c) for c in CONTAINERS]))
-
-
-PROBE = "recording string, bytes bigint, sha256 string, codec string, duration_ms bigint, rate int, channels int, error string"
-
-
-def probed(spark: SparkSession, path: str, min_ms: int = 400, max_ms: int = 4 * 3600 * 1000, max_bytes: int = 1 << 30) -> DataFrame:
-    """WAV files' facts from their content, whatever they are called; error is null for files that may be analysed. Files of over
-    max_bytes are not read. Spark's source passes over empty files."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            out = []
-            for name, content, size, digest in zip(frame["path"], frame["content"], frame["length"], frame["sha256"], strict=True):
-                codec, ms, rate, channels, error = None, None, None, None, None
-                if size > max_bytes:
-                    out.append((name, size, None, None, None, None, None, "AUDIO_SIZE_LIMIT"))
-                    continue
-                try:
-                    with wave.open(io.BytesIO(content)) as w:
-                        rate, channels, codec = w.getframerate(), w.getnchannels(), "pcm_u8" if w.getsampwidth() == 1 else f"pcm_s{8 * w.getsampwidth()}le"
-                        ms = int(round(1000 * w.getnframes() / rate))
-                    error = None if min_ms <= ms <= max_ms else "AUDIO_DURATION_LIMIT"
-                except (wave.Error, EOFError):
-                    error = "AUDIO_EMPTY" if not size else "AUDIO_PROBE_FAILED"
-                out.append((name, size, digest, codec, ms, rate, channels, error))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in PROBE.split(", ")]).astype({"duration_ms": "Int64", "rate": "Int32", "channels": "Int32"})
-
-    content = F.when(F.col("length") <= max_bytes, F.col("content"))
-    files = spark.read.format("binaryFile").load(path).select("path", content.alias("content"), "length", F.sha2(content, 256).alias("sha256"))
-    return files.mapInPandas(run, PROBE)
-
-
-def wav_layout(file) -> tuple[int, int, int, int, int]:
-    """(rate, channels, bytes a sample, where the samples start, their bytes) of an open WAV file, from its chunks' headers."""
-    file.seek(0, 2)
-    end = file.tell()
-    file.seek(0)
-    head = file.read(12)
-    if head[:4] != b"RIFF" or head[8:] != b"WAVE":
-        raise ValueError("AUDIO_UNREADABLE")
-    form = None
-    while len(head := file.read(8)) == 8:
-        name, size = head[:4], int.from_bytes(head[4:], "little")
-        if name == b"fmt ":
-            body = file.read(size)
-            form = (int.from_bytes(body[4:8], "little"), int.from_bytes(body[2:4], "little"), int.from_bytes(body[14:16], "little") // 8)
-        elif name == b"data":
-            if form is None or not all(form):
-                break
-            at = file.tell()
-            return (*form, at, min(size, end - at))
-        else:
-            file.seek(size + size % 2, 1)
-    raise ValueError("AUDIO_UNREADABLE")
-
-
-def samples(raw: bytes, width: int, channels: int, own: int, rate: int) -> np.ndarray:
-    """Raw samples as mono 16-bit ones at rate: 8 and 32 bits are scaled, stereo is averaged, of more channels the first is taken."""
-    x = (np.frombuffer(raw, np.uint8).astype(np.int32) - 128) << 8 if width == 1 else np.frombuffer(raw, "<i2").astype(np.int32) if width == 2 else np.frombuffer(raw, "<i4") >> 16
-    x = x.reshape(-1, channels)
-    x = x.sum(axis=1) // 2 if channels == 2 else x[:, 0]
-    if own != rate and len(x):
-        n = int(len(x) * rate / own)
-        x = np.interp(np.arange(n) * own / rate, np.arange(len(x)), x).round()
-    return np.clip(x, -32768, 32767).astype(np.int16)
-
-
-def pcm(content: bytes, rate: int = 16_000) -> np.ndarray:
-    """A WAV file's samples, mono 16-bit at rate."""
-    with wave.open(io.BytesIO(content)) as w:
-        return samples(w.readframes(w.getnframes()), w.getsampwidth(), w.getnchannels(), w.getframerate(), rate)
-
-
-def regions(wanted: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Adds pcm (16-bit mono samples at rate) and error to wanted: path, start_ms, end_ms and more columns. Only the region's bytes
-    are read, clamped to the file; a file that is no WAV or can't be opened is AUDIO_UNREADABLE and spoils no other."""
-
-    def read(path: str, start_ms: int, end_ms: int) -> bytes:
-        system, name = fs.FileSystem.from_uri(path)
-        with system.open_input_file(name) as f:
-            own, channels, width, at, size = wav_layout(f)
-            step, last = width * channels, size // (width * channels)
-            a, b = (max(0, min(last, ms * own // 1000)) for ms in (start_ms, end_ms))
-            f.seek(at + a * step)
-            return samples(f.read(max(0, b - a) * step), width, channels, own, rate).tobytes()
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = []
-            for path, a, b in zip(frame["path"], frame["start_ms"], frame["end_ms"], strict=True):
-                try:
-                    found.append((read(path, int(a), int(b)), None))
-                except (OSError, ValueError, pa.ArrowException):
-                    found.append((None, "AUDIO_UNREADABLE"))
-            yield frame.assign(pcm=[f[0] for f in found], error=[f[1] for f in found])
-
-    kinds = ", ".join(f"`{c}` {t}" for c, t in wanted.dtypes)
-    return wanted.mapInPandas(run, f"{kinds}, pcm binary, error string")
-
-
-def wav_bytes(pcm: bytes, rate: int = 16_000) -> bytes:
-    out = io.BytesIO()
-    with wave.open(out, "wb") as w:
-        w.setnchannels(1)
-        w.setsampwidth(2)
-        w.setframerate(rate)
-        w.writeframes(pcm)
-    return out.getvalue()
-
-
-def rendered(clips: DataFrame, rate: int = 16_000) -> DataFrame:
-    """Each clip (path, start_ms, end_ms and more columns) as a WAV file of its own: content in place of pcm."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            yield frame.assign(content=[None if x is None else wav_bytes(x, rate) for x in frame["pcm"]]).drop(columns="pcm")
-
-    rows = regions(clips, rate)
-    kinds = ", ".join(f"`{c}` {t}" for c, t in rows.dtypes if c != "pcm")
-    return rows.mapInPandas(run, f"{kinds}, content binary")
-
-
-def power_frames(spark: SparkSession, path: str, frame_ms: int = 30) -> DataFrame:
-    """Mean squares of whole frames of WAV files: recording, frame_no, start_ms, power."""
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for name, content in zip(frame["path"], frame["content"], strict=True):
-                x, step = pcm(content).astype(np.float64), 16 * frame_ms
-                p = (x[: len(x) // step * step].reshape(-1, step) ** 2).mean(axis=1)
-                yield pd.DataFrame({"recording": name, "frame_no": np.arange(len(p)), "start_ms": np.arange(len(p)) * frame_ms, "power": p})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "recording string, frame_no bigint, start_ms bigint, power double")
-
-
-def pcm_range(samples: Column, start_ms: Column, end_ms: Column, rate: int = 16_000) -> Column:
-    """Bytes of 16-bit mono samples between two times, clamped to what there is."""
-    size = F.octet_length(samples)
-    at = lambda ms: F.least(size, F.greatest(F.lit(0), F.floor(ms * rate / 1000) * 2)).cast("int")
-    return F.substring(samples, at(start_ms) + 1, F.greatest(F.lit(0), at(end_ms) - at(start_ms)))
-
-
