@@ -11,17 +11,18 @@ an unbiased estimate of the sets' Jaccard similarity with a standard error of ab
 Words are runs of characters other than space and \\x09-\\x0D, with A-Z in lower case. A text is hashed in blocks of bytes
 cut between words, with the last words carried over, so its length costs no memory beyond itself.
 
-Documents are paired with the next one by a range partition over doc_id, sorted within: only what lies at the ends of
-partitions, a row or two each, is matched afterwards.
+Documents are paired with the next one in parts of the order of doc_id, sorted within; bounds come from a sample of keys
+(SAMPLE a part), and the first row of each part is sent to the part before as well. Texts are shuffled once.
 
 Defined cases: a text of fewer words than WIDTH is one shingle; one without words, or null, has the empty fingerprint,
 which is like itself (1) and nothing else (0); equal texts have equal fingerprints; a null doc_id comes first; rows
-of one doc_id are ordered by their texts' hash, and of one text in any order; a single document is its own next; an
+of one doc_id are ordered by their texts' hash, and of one text by their place; a single document is its own next; an
 empty table gives an empty result; other columns are never read.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 from collections.abc import Iterator
@@ -29,14 +30,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.shared import publish, scratch
-
 WIDTH, BINS, BITS = 5, 1024, 4
-BLOCK, ROUND, ROWS, SALT = 1 << 18, 16, 256, 64
+BLOCK, ROUND, ROWS, SAMPLE = 1 << 18, 16, 256, 50
 EMPTY = np.uint64(2**64 - 1)
 RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint binary, edited_fingerprint binary, near_edited double, near_next double"
 _BASE = 0x9E3779B97F4A7C15
@@ -199,50 +197,52 @@ def compared(doc_id: int | None, text: str, own: bytes, following: str, other: b
 
 def with_next(docs: DataFrame) -> DataFrame:
     """Every row of docs (doc_id, text) with the fingerprints of its text and of its text edited by the next document's, in
-    ascending order of doc_id, the first following the last: the columns of RESULT."""
-    spark = docs.sparkSession
-    columns = [c.split()[0] for c in RESULT.split(", ")]
-    schema = f"part int, place string, text string, {RESULT}"
-    names = ["part", "place", "text", *columns]
-    kinds = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    ascending order of doc_id, the first following the last: the columns of RESULT.
 
-    def table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    docs is read three times, twice for its keys alone, and must give the same rows each time, as a table does.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    # A third of all rows may have one doc_id, or none: their texts' hashes and, of one text, their places tell them apart.
+    rows = rows.select("doc_id", "text", F.col("doc_id").isNotNull().cast("int").alias("named"), F.coalesce("doc_id", F.lit(0)).alias("id"), F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("place"))
+    key = ["named", "id", "hash", "place"]
+    n = docs.count()
+    sample = sorted(map(tuple, rows.select(*key).sample(min(1.0, SAMPLE * parts / max(n, 1)), seed=1).collect()))
+    bounds = [sample[len(sample) * k // parts] for k in range(1, parts)] if sample else []
+
+    @F.pandas_udf("int")
+    def part(named: pd.Series, id: pd.Series, hash: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series([bisect.bisect_right(bounds, k) for k in zip(named.tolist(), id.tolist(), hash.tolist(), place.tolist(), strict=True)], dtype="int32")
+
+    dealt = rows.withColumn("part", part(*key))
+    heads = sorted((r["part"], tuple(r["head"])) for r in dealt.groupBy("part").agg(F.min(F.struct(*key)).alias("head")).collect())
+    before = {head: heads[k - 1][0] for k, (_, head) in enumerate(heads)}
+
+    @F.pandas_udf("array<int>")
+    def parts_of(part: pd.Series, named: pd.Series, id: pd.Series, hash: pd.Series, place: pd.Series) -> pd.Series:
+        keys = zip(named.tolist(), id.tolist(), hash.tolist(), place.tolist(), strict=True)
+        return pd.Series([[p, before[k]] if k in before else [p] for p, k in zip(part.tolist(), keys, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, held = TaskContext.get().partitionId(), None
-        end = lambda place, doc_id, text, own: (part, place, text, doc_id, len(text), None, own, None, None, None)
+        held = None
         for batch in batches:
-            for rows in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
+            for some in (batch.slice(i, ROWS) for i in range(0, batch.num_rows, ROWS)):
                 out = []
-                for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist(), strict=True):
+                for doc_id, text, ahead in zip(*(c.to_pylist() for c in some.columns), strict=True):
                     own = fingerprint(text)
-                    out.append((part, "inner", None, *compared(*held, text, own)) if held else end("first", doc_id, text, own))
-                    held = (doc_id, text, own)
-                yield table(out, names, kinds)
+                    if held:
+                        out.append(compared(*held, text, own))
+                    held = None if ahead else (doc_id, text, own)
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
         if held:
-            yield table([end("last", *held)], names, kinds)
-
-    # A third of all rows may have one doc_id, or none: they are dealt by their texts' hash and, of one text, by a salt.
-    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("salt").asc()]
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("hash"), (F.monotonically_increasing_id() % SALT).alias("salt"))
-    dealt = rows.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), *order).sortWithinPartitions(*order).select("doc_id", "text")
-    done = publish(dealt.mapInArrow(run, schema), scratch(spark, "fingerprints"))
-
-    # A row or two per partition: the last of each and the first of the next one that has rows.
-    first = done.filter("place = 'first'").select(F.col("part").alias("to"), F.col("text").alias("next_text"), F.col("fingerprint").alias("next_fingerprint"))
-    parts = done.filter("place = 'first'").select("part")
-    follows = parts.select("part", F.coalesce(F.lead("part").over(Window.orderBy("part")), F.min("part").over(Window.partitionBy())).alias("to"))
-    last = done.filter("place = 'last'").select("part", "doc_id", "text", "fingerprint").join(follows, "part").join(first, "to")
-
-    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                yield table([compared(*r.values()) for r in batch.to_pylist()], columns, kinds[3:])
+            raise ValueError("docs gave other rows when read again")
 
-    ends = last.select("doc_id", "text", "fingerprint", "next_text", "next_fingerprint").mapInArrow(finish, RESULT)
-    return done.filter("place = 'inner'").select(*columns).unionByName(ends)
+    names = [c.split()[0] for c in RESULT.split(", ")]
+    kinds = [pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.binary(), pa.float64(), pa.float64()]
+    # The first row of each part also goes to the part before, behind its last row.
+    sent = dealt.select("doc_id", "text", *key, F.posexplode(parts_of("part", *key)).alias("ahead", "to")).repartitionById(parts, F.col("to"))
+    return sent.sortWithinPartitions("ahead", *key).select("doc_id", "text", "ahead").mapInArrow(run, RESULT)
 
 
 def report(docs: DataFrame) -> DataFrame:
