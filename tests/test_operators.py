@@ -15,7 +15,7 @@ from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
 from voxframe.operators import assign, clusters, evaluate, intervals, models, packing, timeline, windows
 from voxframe.plans import catalogue, views
-from voxframe.sources import audio, documents, exports
+from voxframe.sources import audio, documents, exports, task_store
 from voxframe.streaming import sessions
 
 SEG = "recording_id long, input_index long, start_ms long, end_ms long, text string, confidence double"
@@ -395,8 +395,8 @@ def test_document_scan_manifest_and_paths(spark, tmp_path):
     assert [(r.input_index, r.id, r.start_ms) for r in rows] == [(0, "a", 5), (1, "b", 1)]
     (tmp_path / "m.jsonl").write_text('{"id": "1", "reference_path": "r"}\n\n{"id": "2", "reference_path": "s", "scenarios": ["overlap"]}\n')
     assert documents.manifest(spark, f"file://{tmp_path}/m.jsonl").count() == 2
-    (tmp_path / "bad.jsonl").write_text('{"id": "1"}\n')
-    with pytest.raises(Exception, match="reference_path"):
+    (tmp_path / "bad.jsonl").write_text('{"id": "1", "reference_path": "r"}\r\n \t\r\n{"id": "2", "reference_path": ""}\n')
+    with pytest.raises(Exception, match="EVALUATION_MANIFEST_INVALID: invalid manifest row 3"):
         documents.manifest(spark, f"file://{tmp_path}/bad.jsonl").collect()
     with pytest.raises(ValueError, match="OUTSIDE"):
         documents.contained(str(tmp_path), "../x")
@@ -478,7 +478,7 @@ def test_datasets_are_written_once(spark, tmp_path):
     assert exports.write_dataset(made, tags, clips, "weak_auto", root, force=True).count() == 3
     tasks = spark.createDataFrame([("0" * 32, "queued", None)], "task_id string, status string, stage string")
     exports.write_files(exports.task_files(tasks), f"file://{tmp_path}/tasks")
-    assert [(r.task_id, r.status) for r in documents.task_facts(spark, f"file://{tmp_path}/tasks").collect()] == [("0" * 32, "queued")]
+    assert [(r.task_id, r.status) for r in task_store.task_facts(spark, f"file://{tmp_path}/tasks").collect()] == [("0" * 32, "queued")]
 
 
 @pytest.mark.parametrize(("url", "want"), [

@@ -19,7 +19,7 @@ from voxframe.plans import analysis
 from voxframe.plans import task_queries
 from voxframe.plans import views as v
 from voxframe.plans.registry import oracle_sql, queries, query
-from voxframe.sources import audio, documents, exports
+from voxframe.sources import audio, documents, exports, task_store
 from voxframe.streaming import sessions
 
 NOW = 820_000_000_000
@@ -1171,14 +1171,18 @@ def manifest_rows(spark: SparkSession, sf: str) -> DataFrame:
     return documents.manifest(spark, root).select("id", "reference_path", F.array_join("scenarios", ",").alias("scenarios"), "annotation_grade")
 
 
-@query("select md5(cast(conv_id as varchar)) as task_id, case when conv_id % 2 = 0 then 'queued' else 'failed' end as status, conv_id * 1000 as created_at_ms, case when conv_id % 3 = 0 then conv_id * 1000 + 1 end as finished_at_ms from conversations where conv_id % 5 <> 0 group by conv_id")
+@query("""with t as (select md5(cast(conv_id * 1000 + turn as varchar)) as task_id, conv_id * 1000 + turn as n, text from conversations)
+select task_id, case when n % 2 = 0 then 'queued' else 'failed' end as status, n as created_at_ms, case when n % 3 = 0 then n + 1 end as finished_at_ms, sha256(coalesce(text, '')) as input_digest from t where n % 5 > 0 and n % 7 > 0""")
 def task_facts(spark: SparkSession, sf: str) -> DataFrame:
-    """Task facts written and read again; every fifth file is damaged."""
-    t = v.table(spark, sf, "conversations").select("conv_id").distinct().selectExpr("md5(cast(conv_id as string)) task_id", "if(conv_id % 2 = 0, 'queued', 'failed') status", "conv_id * 1000 created_at_ms", "if(conv_id % 3 = 0, conv_id * 1000 + 1, null) finished_at_ms")
-    damaged = F.regexp_extract(F.decode("content", "utf-8"), r'"created_at_ms":([0-9]+)', 1).cast("long") % 5000 == 0
+    """A task per turn, written and read again; some files are damaged, some lie in another task's folder."""
+    t = v.table(spark, sf, "conversations").selectExpr("conv_id * 1000 + turn n", "text").selectExpr("md5(cast(n as string)) task_id", "if(n % 2 = 0, 'queued', 'failed') status", "n created_at_ms", "if(n % 3 = 0, n + 1, null) finished_at_ms", "sha2(coalesce(text, ''), 256) input_digest")
+    n = F.regexp_extract(F.decode("content", "utf-8"), r'"created_at_ms":([0-9]+)', 1).cast("long")
     root = _folder(spark, "tasks")
-    exports.write_files(exports.task_files(t).withColumn("content", F.when(damaged, F.encode(F.lit('{"task_id": '), "utf-8")).otherwise(F.col("content"))), root)
-    return documents.task_facts(spark, root).select("task_id", "status", "created_at_ms", "finished_at_ms")
+    files = exports.task_files(t).withColumns({
+        "content": F.when(n % 5 == 0, F.encode(F.lit('{"task_id": '), "utf-8")).otherwise(F.col("content")), "path": F.when(n % 7 == 0, F.regexp_replace("path", "^.", "x")).otherwise(F.col("path")),
+    })
+    exports.write_files(files, root)
+    return task_store.task_facts(spark, root).select("task_id", "status", "created_at_ms", "finished_at_ms", "input_digest")
 
 
 WAV = """with t as (select conv_id as id, encode(string_agg(coalesce(text, ''), '' order by turn, coalesce(text, ''))) as data, encode('no audio' || cast(conv_id as varchar)) as other from conversations group by 1),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from voxframe.params import Tasks
 from voxframe.plans import views as v
 from voxframe.plans.registry import query
+from voxframe.sources import task_store
 from voxframe.streaming import sessions, tasks
 
 HOUR = 3_600_000
@@ -85,3 +86,21 @@ def stream_idempotent_creation(spark: SparkSession, sf: str) -> DataFrame:
     stream = _arriving(spark, asked.unionByName(gone), "requests", late)
     answers = tasks.idempotent_creation(stream, f"{late} milliseconds", old.drop("until"))
     return sessions.drained(answers, spark, "update", "stream_idempotent_creation").drop("at_ms")
+
+
+@query("""with t as (select md5(cast(conv_id as varchar)) as task_id, conv_id, turn + 1 as updated_at_ms, 'turn-' || cast(turn as varchar) as stage, sha256(coalesce(text, '')) as input_digest from conversations),
+l as (select task_id, conv_id, arg_max({'u': updated_at_ms, 's': stage, 'd': input_digest}, updated_at_ms) as f from t group by 1, 2)
+select task_id, f.u as updated_at_ms, f.s as stage, f.d as input_digest from l where (conv_id + f.u) % 6 > 0""")
+def stream_task_facts(spark: SparkSession, sf: str) -> DataFrame:
+    """Every turn changes its conversation's fact, from a stream through the sink; some are deleted at their last turn. What is
+    left comes back through the source."""
+    c = v.table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
+    rows = c.join(last, "conv_id").selectExpr("md5(cast(conv_id as string)) task_id", "if(turn = last and (conv_id + turn + 1) % 6 = 0, 'deleted', 'running') status", "concat('turn-', turn) stage", "turn + 1 updated_at_ms", "sha2(coalesce(text, ''), 256) input_digest")
+    root = f"{sessions.shared_root(spark)}/streams/facts-{uuid.uuid4().hex}"
+    for part in ("updated_at_ms <= 2", "updated_at_ms > 2"):
+        rows.filter(part).write.mode("append").parquet(f"{root}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")
+    task_store.kept_facts(stream, f"{root}/tasks", f"{root}/checkpoint").awaitTermination()
+    facts = task_store.changed_facts(spark, f"{root}/tasks", settle_ms=0)
+    return sessions.drained(facts, spark, "append", "stream_task_facts").select("task_id", "updated_at_ms", "stage", "input_digest")

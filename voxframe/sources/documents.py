@@ -1,4 +1,4 @@
-"""Segment documents, manifests, transcripts, audio files and task facts as DataFrames."""
+"""Segment documents, manifests and transcripts as DataFrames."""
 
 from __future__ import annotations
 
@@ -12,7 +12,6 @@ from voxframe.functions.text import clock_ms, without_overlap_suffix
 SEGMENT = "struct<id: string, start_ms: bigint, end_ms: bigint, text: string, confidence: double, speaker: string>"
 DOCUMENT = f"schema_version string, metadata map<string, string>, segments array<{SEGMENT}>"
 MANIFEST = "id string, reference_path string, result_path string, audio_path string, segments_path string, scenarios array<string>, source_recording_id string, annotation_grade string"
-TASK = "task_id string, status string, stage string, created_at_ms bigint, updated_at_ms bigint, finished_at_ms bigint, expired_at_ms bigint, cancel_requested_at_ms bigint, idempotency_key string, input_digest string, input_mode string"
 #: What may be analysed, besides codecs that begin with pcm_.
 CODECS = ("aac", "amr_nb", "amr_wb", "flac", "mp3", "opus", "vorbis")
 CONTAINERS = ("3g2", "3gp", "aac", "amr", "flac", "m4a", "matroska", "mj2", "mov", "mp3", "mp4", "ogg", "wav", "wave", "webm")
@@ -44,10 +43,15 @@ def segment_documents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of a JSONL manifest; blank lines are skipped, lines without id or reference_path raise."""
-    rows = spark.read.text(path).filter(F.col("value").rlike(r"\S")).select(F.from_json("value", MANIFEST).alias("m")).select("m.*")
-    whole = F.assert_true(F.col("id").isNotNull() & F.col("reference_path").isNotNull(), "a manifest line needs id and reference_path")
-    return rows.filter(whole.isNull())
+    """Lines of a JSONL manifest; blank lines are skipped. The first line of a file that is no JSON object, or whose id or
+    reference_path is missing or empty, is EVALUATION_MANIFEST_INVALID with the line's number."""
+    files = spark.read.option("wholetext", True).text(path)
+    lines = files.select(F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("at", "line"))
+    rows = lines.select("at", F.col("line").rlike(r"\S").alias("said"), F.json_object_keys("line").isNotNull().alias("object"), F.from_json("line", MANIFEST).alias("m"))
+    there = lambda c: F.coalesce(F.col(f"m.{c}") != "", F.lit(False))
+    message = F.concat(F.lit("EVALUATION_MANIFEST_INVALID: invalid manifest row "), (F.col("at") + 1).cast("string"))
+    fine = F.assert_true(~F.col("said") | (F.coalesce(F.col("object"), F.lit(False)) & there("id") & there("reference_path")), message)
+    return rows.filter(F.col("said") & fine.isNull()).select("m.*")
 
 
 def contained(root: str, path: str) -> str:
@@ -110,11 +114,6 @@ def flattened_flash(docs: DataFrame, column: str = "body") -> DataFrame:
     return rows.select("recording_id", F.struct("block", "at").alias("pos"), "s.*")
 
 
-def task_facts(spark: SparkSession, root: str) -> DataFrame:
-    """Every task.json below root; damaged ones are skipped."""
-    return spark.read.schema(TASK).option("mode", "DROPMALFORMED").json(f"{root}/*/task.json")
-
-
 def allowed(codec: Column, containers: Column) -> Column:
     """Whether both the codec and one of the comma-separated containers may be analysed."""
     return (codec.isin(*CODECS) | codec.startswith("pcm_")) & F.arrays_overlap(F.split(containers, ","), F.array(*[F.lit(c) for c in CONTAINERS]))
