@@ -26,7 +26,7 @@ INPUT, ROOT = "voice_analysis_input_v1", ("schema_version", "segments", "metadat
 def checked_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per JSON document: recording (the file), body, error. SEGMENTS_INVALID: no JSON object, a root key or version that
     isn't known, no segment, or a segment that breaks a rule of its own (see windows.validated for all of them by name)."""
-    rows = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("recording"), F.col("value").alias("body"))
+    rows = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("recording"), F.col("value").alias("body"))
     s = F.from_json("body", DOCUMENT)
     broken = F.exists(s["segments"], lambda x: x.isNull() | F.coalesce(x["id"] == "", F.lit(True)) | F.coalesce(x["start_ms"] < 0, F.lit(True)) | F.coalesce(x["end_ms"] <= x["start_ms"], F.lit(True)) | x["text"].isNull() | ~F.coalesce(x["confidence"].between(0, 1), F.lit(True)))
     ids = F.transform(s["segments"], lambda x: x["id"])
@@ -45,7 +45,7 @@ def segment_documents(spark: SparkSession, path: str) -> DataFrame:
 def manifest(spark: SparkSession, path: str) -> DataFrame:
     """Lines of a JSONL manifest; blank lines are skipped. The first line of a file that is no JSON object, or whose id or
     reference_path is missing or empty, is EVALUATION_MANIFEST_INVALID with the line's number."""
-    files = spark.read.option("wholetext", True).text(path)
+    files = spark.read.text(path, wholetext=True)
     lines = files.select(F.posexplode(F.split("value", r"\r\n|[\n\r]")).alias("at", "line"))
     rows = lines.select("at", F.col("line").rlike(r"\S").alias("said"), F.json_object_keys("line").isNotNull().alias("object"), F.from_json("line", MANIFEST).alias("m"))
     there = lambda c: F.coalesce(F.col(f"m.{c}") != "", F.lit(False))
