@@ -5,6 +5,7 @@ reference: recording_id, start_ms, end_ms, speaker. hypothesis: the same and lab
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,27 +53,81 @@ def cooccurrence(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Ev
     return pairs.groupBy(KEY, "label", "speaker").agg(F.sum(shared).alias("n"))
 
 
-def best_mapping(counts: dict[tuple[str, str], int], labels: list[str], speakers: list[str]) -> dict[str, str]:
-    """The mapping of min(labels, speakers) pairs that shares most frames; of equals the first in order of names.
+def assigned(cost: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A permutation of least cost of a square matrix of whole numbers, and potentials: cost[i, j] >= u[i] + v[j] everywhere, with
+    equality along the permutation. Each row in turn is added by a shortest augmenting path in reduced costs."""
+    n = len(cost)
+    u, v, row_of, column_of = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, -1), np.full(n, -1)
+    far = np.iinfo(np.int64).max
+    for start in range(n):
+        reach, via, done = np.full(n, far), np.full(n, -1), np.zeros(n, bool)
+        row, base = start, 0
+        while True:
+            step = base + cost[row] - u[row] - v
+            closer = ~done & (step < reach)
+            reach[closer], via[closer] = step[closer], row
+            column = int(np.where(done, far, reach).argmin())
+            base = reach[column]
+            if row_of[column] < 0:
+                break
+            done[column] = True
+            row = row_of[column]
+        u[start] += base
+        u[row_of[done]] += base - reach[done]
+        v[done] -= base - reach[done]
+        while True:
+            row = via[column]
+            row_of[column] = row
+            column_of[row], column = column, column_of[row]
+            if row == start:
+                break
+    return column_of, u, v
+
+
+def first_of_equals(tight: np.ndarray, column_of: np.ndarray, m: int) -> np.ndarray:
+    """Of all permutations along tight edges, of which column_of is one, the first by the columns of rows 0, 1, ...; columns from m
+    on are alike. A row moves to an earlier column if the others can make up for it by an alternating path."""
+    column_of, n = column_of.copy(), len(column_of)
+    row_of = np.argsort(column_of)
+    free = np.ones(n, bool)
+    for i in range(n):
+        own = column_of[i]
+        for j in np.flatnonzero(tight[i, : min(own, m)] & free[: min(own, m)]):
+            # The row that has j needs another column, and so on until one takes i's.
+            seen, via, rows = ~free, np.full(n, -1), [row_of[j]]
+            seen[j] = True
+            while rows and via[own] < 0:
+                new = np.flatnonzero(tight[rows[0]] & ~seen)
+                seen[new], via[new] = True, rows[0]
+                rows = [*rows[1:], *(row_of[c] for c in new if c != own)]
+            if via[own] >= 0:
+                c, stop = own, row_of[j]
+                while True:
+                    row = via[c]
+                    row_of[c] = row
+                    column_of[row], c = c, column_of[row]
+                    if row == stop:
+                        break
+                column_of[i], row_of[j] = j, i
+                break
+        free[column_of[i]] = False
+    return column_of
 
-    Exact, by sets of the speakers that are taken: labels are few.
-    """
+
+def best_mapping(counts: dict[tuple[str, str], int], labels: list[str], speakers: list[str]) -> dict[str, str]:
+    """The mapping of min(labels, speakers) pairs that shares most frames; of equals the first in order of names: the names of the
+    longer side in turn take the earliest of the shorter side that they can, or none. In cubic time."""
     if not labels or not speakers:
         return {}
     flipped = len(labels) < len(speakers)
     rows, columns = (speakers, labels) if flipped else (labels, speakers)
-    value = (lambda i, j: counts.get((columns[j], rows[i]), 0)) if flipped else (lambda i, j: counts.get((rows[i], columns[j]), 0))
-    # Each row takes a free column or none; at the end every column must be taken.
-    best: dict[int, tuple[int, tuple]] = {0: (0, ())}
-    for i in range(len(rows)):
-        new: dict[int, tuple[int, tuple]] = {}
-        for taken, (n, chosen) in best.items():
-            options = [(taken, n, (*chosen, len(columns)))] + [(taken | 1 << j, n + value(i, j), (*chosen, j)) for j in range(len(columns)) if not taken >> j & 1]
-            for key, total, path in options:
-                if key not in new or (-total, path) < (-new[key][0], new[key][1]):
-                    new[key] = (total, path)
-        best = new
-    path = best[(1 << len(columns)) - 1][1]
+    at, of = {name: k for k, name in enumerate(rows)}, {name: k for k, name in enumerate(columns)}
+    cost = np.zeros((len(rows), len(rows)), np.int64)
+    for (label, speaker), n in counts.items():
+        i, j = (speaker, label) if flipped else (label, speaker)
+        cost[at[i], of[j]] = -n
+    column_of, u, v = assigned(cost)
+    path = first_of_equals(cost == u[:, None] + v, column_of, len(columns))
     pairs = [(rows[i], columns[j]) for i, j in enumerate(path) if j < len(columns)]
     return {b: a for a, b in pairs} if flipped else dict(pairs)
 
@@ -154,10 +209,25 @@ def speaker_counts(reference: DataFrame, hypothesis: DataFrame, p: Evaluation =
     return r.join(h, KEY, "left").select(KEY, F.when(d == 0, 1.0).otherwise(0.0).alias("speaker_count_exact"), d.cast("double").alias("speaker_count_mae"))
 
 
+def error_rates(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
+    """der and jer of each recording, as der_terms and jer give them, from one pass over its activity."""
+    stretch = Window.partitionBy(KEY, "start_ms", "end_ms")
+    r, h, both = (F.sum(c).over(stretch) for c in (F.col("in_ref"), F.col("in_hyp"), F.col("in_ref") * F.col("in_hyp")))
+    rows = activity(reference, hypothesis, p).select(KEY, "start_ms", "end_ms", "name", "in_ref", "in_hyp", "frames", r.alias("r"), h.alias("h"), both.alias("both"), F.min("name").over(stretch).alias("first"))
+    once = F.when(F.col("name") == F.col("first"), F.col("frames")).otherwise(0)
+    wrong = F.abs(F.col("r") - F.col("h")) + F.least("r", "h") - F.col("both")
+    per = rows.groupBy(KEY, "name").agg(F.sum(F.col("in_ref") * F.col("in_hyp") * F.col("frames")).alias("shared"), F.sum("frames").alias("either"), F.sum(wrong * once).alias("wrong"), F.sum(F.col("r") * once).alias("total"))
+    known = reference.select(KEY, F.col("speaker").alias("name"), F.lit(True).alias("known")).distinct()
+    all_ = known.join(per, [KEY, "name"], "full").na.fill(0, ["shared", "either", "wrong", "total"])
+    missed = F.when(F.col("known"), 1 - F.col("shared") / F.greatest(F.lit(1), F.col("either")))
+    out = all_.groupBy(KEY).agg(F.round(F.sum("wrong") / F.greatest(F.lit(1), F.sum("total")), 6).alias("der"), F.round(F.avg(missed), 6).alias("jer"), F.bool_or(F.col("known")).alias("known"))
+    return out.filter("known").drop("known")
+
+
 def recording_metrics(reference: DataFrame, hypothesis: DataFrame, names: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """The seven metrics of each recording."""
     h = mapped(hypothesis, names)
-    out = der_terms(reference, h, p).select(KEY, "der").join(jer(reference, h, p), KEY).join(speaker_counts(reference, hypothesis, p), KEY)
+    out = error_rates(reference, h, p).join(speaker_counts(reference, hypothesis, p), KEY)
     return out.join(accuracy(h, reference, p).drop("segments"), KEY)
 
 

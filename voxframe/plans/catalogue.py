@@ -1138,7 +1138,7 @@ def _documents(spark: SparkSession, sf: str) -> str:
     part = F.struct("input_index", F.struct(name.alias("id"), "start_ms", end.alias("end_ms"), F.coalesce("text", F.lit("")).alias("text")).alias("s"))
     d = v.segments(spark, sf).groupBy(KEY).agg(F.to_json(F.transform(F.array_sort(F.collect_list(part)), lambda x: x["s"])).alias("segments"))
     head = F.when(F.col(KEY) % 6 == 1, '{"extra":1,').when(F.col(KEY) % 6 == 2, '{"schema_version":"other",').otherwise('{"schema_version":"voice_analysis_input_v1",')
-    body = F.concat(head, F.lit('"segments":'), "segments", F.when(F.col(KEY) % 6 == 3, "").otherwise("}"))
+    body = F.concat(head, F.lit('\n"segments":'), "segments", F.when(F.col(KEY) % 6 == 3, "").otherwise("}"))
     root = _folder(spark, "documents")
     exports.write_files(d.select(F.concat(F.col(KEY).cast("string"), F.lit(".json")).alias("path"), F.encode(body, "utf-8").alias("content")), root)
     return f"{root}/*.json"
