@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from voxframe.functions.vectors import rms_db
 from voxframe.operators.intervals import KEY, overlap_join, overlap_ms, union
+from voxframe.operators.timelines import WINDOWS, Windows
 from voxframe.params import Timeline
 
 
+ORDER = ("start_ms", "end_ms", "dom")
+
+
 def _order(over: tuple, *more: str) -> Window:
-    return Window.partitionBy(*over, *more).orderBy("start_ms", "end_ms", "dom")
+    return Window.partitionBy(*over, *more).orderBy(*ORDER)
 
 
 def _before(w: Window) -> Window:
@@ -35,34 +39,37 @@ def speaker_changes(frames: DataFrame, over: tuple = (KEY,)) -> DataFrame:
     return frames.withColumn("change", F.coalesce(change, F.lit(False)))
 
 
-def blocked(frames: DataFrame, p: Timeline = Timeline(), over: tuple = (KEY,)) -> DataFrame:
-    """Ranges that no window may touch: around overlaps, and around speaker changes over at most join_gap_ms of silence."""
+def blocked(frames: DataFrame, p: Timeline = Timeline(), over: tuple = (KEY,), by: Windows = WINDOWS) -> DataFrame:
+    """Ranges that no window may touch: around overlaps, and around speaker changes over at most join_gap_ms of silence. by: see
+    intervals.with_islands."""
     around = frames.filter("active >= 2").select(*over, (F.col("start_ms") - p.edge_trim_ms).alias("start_ms"), (F.col("end_ms") + p.edge_trim_ms).alias("end_ms"))
-    rows = frames.withColumn("stretch", F.sum((F.col("active") >= 2).cast("int")).over(_upto(_order(over))))
+    part = (*over, "stretch")
+    rows = by.running(by.deal(frames, ORDER, over), "stretch", (F.col("active") >= 2).cast("int"), "sum", ORDER, over)
     silence = F.when(F.col("active") == 0, F.greatest(F.lit(0), F.col("end_ms") - F.col("start_ms"))).otherwise(0)
-    rows = rows.withColumn("silence", F.sum(silence).over(_upto(_order(over, "stretch")))).filter("active = 1")
-    w = _order(over, "stretch")
-    rows = rows.select("*", F.lag("dom").over(w).alias("old"), F.lag("end_ms").over(w).alias("old_end"), F.lag("silence").over(w).alias("old_silence"))
-    change = rows.filter((F.col("old") != "") & (F.col("dom") != "") & (F.col("old") != F.col("dom")) & (F.col("silence") - F.col("old_silence") <= p.join_gap_ms))
-    at = F.greatest("old_end", "start_ms")
-    return union(around.unionByName(change.select(*over, (at - p.edge_trim_ms).alias("start_ms"), (at + p.edge_trim_ms).alias("end_ms"))), over).drop("island")
+    rows = by.running(rows, "silence", silence, "sum", ORDER, part).filter("active = 1")
+    rows = by.running(rows, "old", F.struct("dom", "end_ms", "silence"), "last", ORDER, part, before=True)
+    change = rows.filter((F.col("old.dom") != "") & (F.col("dom") != "") & (F.col("old.dom") != F.col("dom")) & (F.col("silence") - F.col("old.silence") <= p.join_gap_ms))
+    at = F.greatest("old.end_ms", "start_ms")
+    return union(around.unionByName(change.select(*over, (at - p.edge_trim_ms).alias("start_ms"), (at + p.edge_trim_ms).alias("end_ms"))), over, by).drop("island")
 
 
-def single_speaker_runs(frames: DataFrame, p: Timeline = Timeline(), over: tuple = (KEY,)) -> DataFrame:
-    """Runs of lone speech, parted by blocked ranges, overlaps and gaps of over join_gap_ms."""
+def single_speaker_runs(frames: DataFrame, p: Timeline = Timeline(), over: tuple = (KEY,), by: Windows = WINDOWS) -> DataFrame:
+    """Runs of lone speech, parted by blocked ranges, overlaps and gaps of over join_gap_ms. by: see intervals.with_islands."""
     # Blocked ranges are disjoint and sorted, so the last that starts before a frame's end is the only one that can meet it.
-    ranges = blocked(frames, p, over)
+    ranges = blocked(frames, p, over, by)
     marks = ranges.select(*over, F.col("start_ms").alias("at"), F.lit(0).alias("is_frame"), F.col("end_ms").alias("range_end"), *[F.lit(None).cast(t).alias(c) for c, t in (("start_ms", "long"), ("end_ms", "long"), ("active", "int"), ("dom", "string"))])
     rows = frames.select(*over, F.col("end_ms").alias("at"), F.lit(1).alias("is_frame"), F.lit(None).cast("long").alias("range_end"), F.col("start_ms").cast("long").alias("start_ms"), F.col("end_ms").cast("long").alias("end_ms"), F.col("active").cast("int").alias("active"), "dom")
-    w = Window.partitionBy(*over).orderBy("at", F.col("is_frame").desc(), "start_ms").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.unionByName(marks).withColumn("reach", F.last("range_end", ignorenulls=True).over(w)).filter("is_frame = 1")
+    rows = rows.unionByName(marks).withColumn("frame_first", -F.col("is_frame"))
+    ends = ("at", "frame_first", "start_ms")
+    rows = by.running(by.deal(rows, ends, over), "reach", F.col("range_end"), "last", ends, over).filter("is_frame = 1")
     closer = (F.coalesce(F.col("reach") > F.col("start_ms"), F.lit(False)) | (F.col("active") >= 2)).cast("int")
-    rows = rows.withColumn("closer", closer).withColumn("stretch", F.sum("closer").over(_upto(_order(over)))).filter("closer = 0")
-    w = _order(over, "stretch")
-    rows = rows.withColumn("silent_to", F.max(F.when(F.col("active") == 0, F.col("end_ms"))).over(_before(w))).filter("active = 1")
-    last = F.lag("end_ms").over(w)
+    rows = by.running(by.deal(rows.withColumn("closer", closer), ORDER, over), "stretch", F.col("closer"), "sum", ORDER, over).filter("closer = 0")
+    part = (*over, "stretch")
+    rows = by.running(rows, "silent_to", F.when(F.col("active") == 0, F.col("end_ms")), "max", ORDER, part, before=True).filter("active = 1")
+    rows = by.running(rows, "last_end", F.col("end_ms"), "last", ORDER, part, before=True)
+    last = F.col("last_end")
     rows = rows.withColumn("new", (last.isNull() | (F.greatest("start_ms", F.coalesce("silent_to", F.lit(0))) - last > p.join_gap_ms)).cast("int"))
-    rows = rows.withColumn("run", F.sum("new").over(_upto(w)))
+    rows = by.running(rows, "run", F.col("new"), "sum", ORDER, part)
     runs = rows.groupBy(*over, "stretch", "run").agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
     return runs.filter("end_ms > start_ms").select(*over, "start_ms", "end_ms")
 

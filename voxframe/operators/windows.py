@@ -6,17 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.intervals import KEY, by_time, with_islands
+from voxframe.operators.timelines import WINDOWS, Windows
 from voxframe.params import Candidates, Scoring
 
 
-def candidates(segments: DataFrame, p: Candidates = Candidates()) -> DataFrame:
+def candidates(segments: DataFrame, p: Candidates = Candidates(), by: Windows = WINDOWS) -> DataFrame:
     """Segments at most max_join_gap_ms apart as one region. The speaker column is not read.
 
-    segments: recording_id, input_index, start_ms, end_ms, text, confidence.
+    segments: recording_id, input_index, start_ms, end_ms, text, confidence. by: see with_islands.
     """
-    rows = with_islands(segments.select(KEY, "input_index", "start_ms", "end_ms", "text", "confidence"), p.max_join_gap_ms)
-    within = Window.partitionBy(KEY, "island").orderBy("start_ms", "input_index").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("gap", F.greatest(F.lit(0), F.col("start_ms") - F.max("end_ms").over(within)))
+    rows = with_islands(segments.select(KEY, "input_index", "start_ms", "end_ms", "text", "confidence"), p.max_join_gap_ms, by=by)
+    rows = by.running(rows, "within", F.col("end_ms"), "max", ("start_ms", "input_index"), (KEY, "island"), before=True)
+    rows = rows.withColumn("gap", F.greatest(F.lit(0), F.col("start_ms") - F.col("within")))
     out = rows.groupBy(KEY, "island").agg(
         F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"), F.count(F.lit(1)).alias("segment_count"),
         F.transform(F.array_sort(F.collect_list(F.struct("start_ms", "input_index"))), lambda x: x["input_index"]).alias("source_segment_indices"),

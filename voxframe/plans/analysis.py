@@ -7,7 +7,6 @@ model is called once, and a lost executor costs a re-read.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from voxframe.operators import assign, clusters, evaluate, requests, timeline, windows
 from voxframe.operators.intervals import KEY, overlap_join
 from voxframe.params import Params
-from voxframe.streaming.sessions import shared_root
+from voxframe.shared import scratch
 
 
 @dataclass(frozen=True)
@@ -72,7 +71,7 @@ def analyze(segments: DataFrame, frames: DataFrame, power: DataFrame, embed: Cal
     speakers all its segments are unknown, which is a success. Failed recordings keep their rows, as unknown.
     """
     spark = segments.sparkSession
-    work = f"{shared_root(spark)}/analysis/{uuid.uuid4().hex}"
+    work = scratch(spark, "analysis")
 
     def kept(rows: DataFrame, name: str) -> DataFrame:
         rows.write.parquet(f"{work}/{name}")

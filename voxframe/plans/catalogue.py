@@ -16,9 +16,10 @@ from voxframe.operators import assign, clusters, evaluate, intervals, packing, r
 from voxframe.operators.intervals import KEY
 from voxframe.params import Candidates, Tasks, Timeline
 from voxframe.plans import analysis
-from voxframe.plans import task_queries
+from voxframe.plans import task_queries, timeline_queries
 from voxframe.plans import views as v
 from voxframe.plans.registry import oracle_sql, queries, query
+from voxframe.shared import scratch
 from voxframe.sources import audio, documents, exports, task_store
 from voxframe.streaming import sessions
 
@@ -1128,7 +1129,7 @@ def analyzed_segments(spark: SparkSession, sf: str) -> DataFrame:
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A new folder below the shared one."""
-    return f"{sessions.shared_root(spark)}/files/{name}-{uuid.uuid4().hex}"
+    return scratch(spark, name)
 
 
 def _documents(spark: SparkSession, sf: str) -> str:
@@ -1359,4 +1360,4 @@ def stream_task_state(spark: SparkSession, sf: str) -> DataFrame:
     return sessions.drained(sessions.task_states(_task_events(stream)), spark, "update", "stream_task_state", ("task_id",))
 
 
-__all__ = ["oracle_sql", "queries", "task_queries"]
+__all__ = ["oracle_sql", "queries", "task_queries", "timeline_queries"]

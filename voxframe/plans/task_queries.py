@@ -5,14 +5,13 @@ A conversation is a task: its turns are events, hours apart.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from voxframe.params import Tasks
 from voxframe.plans import views as v
 from voxframe.plans.registry import query
+from voxframe.shared import scratch
 from voxframe.sources import task_store
 from voxframe.streaming import sessions, tasks
 
@@ -42,7 +41,7 @@ def _events(spark: SparkSession, sf: str) -> DataFrame:
 def _arriving(spark: SparkSession, rows: DataFrame, name: str, late_ms: int, slices: int = 3) -> DataFrame:
     """rows (event, at_ms and more) as a stream of files that arrive by time, slices of them, each not longer than late_ms; in the
     end a clock that has moved on to NOW."""
-    root = f"{sessions.shared_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    root = scratch(spark, name)
     for k in range(slices):
         part = F.col("at_ms") >= k * late_ms if k == slices - 1 else F.col("at_ms").between(k * late_ms, (k + 1) * late_ms - 1)
         rows.filter(part).write.mode("append").parquet(root)
@@ -97,7 +96,7 @@ def stream_task_facts(spark: SparkSession, sf: str) -> DataFrame:
     c = v.table(spark, sf, "conversations")
     last = c.groupBy("conv_id").agg(F.max("turn").alias("last"))
     rows = c.join(last, "conv_id").selectExpr("md5(cast(conv_id as string)) task_id", "if(turn = last and (conv_id + turn + 1) % 6 = 0, 'deleted', 'running') status", "concat('turn-', turn) stage", "turn + 1 updated_at_ms", "sha2(coalesce(text, ''), 256) input_digest")
-    root = f"{sessions.shared_root(spark)}/streams/facts-{uuid.uuid4().hex}"
+    root = scratch(spark, "facts")
     for part in ("updated_at_ms <= 2", "updated_at_ms > 2"):
         rows.filter(part).write.mode("append").parquet(f"{root}/in")
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 16).parquet(f"{root}/in")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -15,6 +13,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 
 from voxframe.operators.intervals import KEY
 from voxframe.params import Tasks
+from voxframe.shared import scratch
 
 
 def session_candidates(segments: DataFrame, gap_ms: int = 500) -> DataFrame:
@@ -50,7 +49,7 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str, name: str, keys:
     In complete mode the last micro-batch is the answer; in update mode the last row of each key is. A micro-batch that
     is run again replaces its own files.
     """
-    path = f"{shared_root(spark)}/streams/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{path}/out" if mode == "complete" else f"{path}/out/n={number}")
@@ -66,17 +65,6 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str, name: str, keys:
     return rows.select(*stream.columns)
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one in local mode where the session names none."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="streams-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
 #: What happens to tasks; a terminal state never changes, and a cancel request beats success.
 EVENTS = ("created", "started", "cancel_requested", "succeeded", "failed", "expired")
 STATE = "task_id string, status string, created_at_ms long, finished_at_ms long, cancel_requested boolean, n_events int"
