@@ -141,31 +141,47 @@ def test_clusters_of_separable_speakers(spark):
     assert got.sort_values(["recording_id", "vec_id"]).values.tolist() == again.sort_values(["recording_id", "vec_id"]).values.tolist()
 
 
+def strongest(x, w, k):
+    """i, j, rank, affinity of each row's k strongest neighbours, from the whole matrix."""
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    value = np.maximum(x @ x.T, 0) ** 2 * np.sqrt(np.outer(w, w))
+    np.fill_diagonal(value, -1)
+    return pd.DataFrame([(i, j, r + 1, value[i, j]) for i in range(len(x)) for r, j in enumerate(np.argsort(-value[i].round(9), kind="stable")[:k])], columns=["i", "j", "rank", "affinity"])
+
+
 def test_lanczos_agrees_with_the_dense_spectrum():
-    """Also where the least value is there several times, as in a graph of separate parts."""
+    """Also where the least value is there several times, as in a graph of separate parts, and when it begins anew."""
     rng = np.random.default_rng(0)
-    for noise in (0.1, 0.0):
-        x = np.concatenate([np.eye(32)[10 * i] + noise * rng.normal(size=(40, 32)) + 1e-3 * rng.normal(size=(40, 32)) * (np.arange(32) // 10 == i) for i in range(3)])
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        near = clusters.top_neighbours(x, np.ones(len(x)), 5)
-        dense = clusters.spectrum(*near, 6)
-        sparse = clusters.spectrum(*near, 6, params.Clusters(dense_limit=10))
-        assert np.allclose(dense[:5], sparse[:5], atol=1e-6)
+    for noise in (0.1, 0.0, 1.0):
+        x = np.concatenate([np.eye(32)[10 * i] + noise * rng.normal(size=(140, 32)) + 1e-3 * rng.normal(size=(140, 32)) * (np.arange(32) // 10 == i) for i in range(3)])
+        e = strongest(x, np.ones(len(x)), 5)
+        edges = [e[c].to_numpy() for c in ("i", "j", "affinity")]
+        dense = clusters.spectrum(*edges, len(x), 6)
+        for basis in (40, 90, 10_000):
+            sparse = clusters.spectrum(*edges, len(x), 6, params.Clusters(dense_limit=10, lanczos_basis=basis))
+            assert np.allclose(dense[:7], sparse, atol=1e-6)
         assert (dense[:3] < 1e-9).all() or noise
 
 
-def test_neighbours_and_median_by_brute_force(monkeypatch):
-    monkeypatch.setattr(clusters, "BLOCK", 7)
-    rng = np.random.default_rng(4)
-    for n in (2, 3, 30, 31):
-        x, w = rng.normal(size=(n, 6)), rng.uniform(0.2, 1, n)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        cos = x @ x.T
-        assert clusters.middle_cosine(x) == pytest.approx(np.median(cos[np.triu_indices(n, 1)]))
-        base = np.maximum(cos, 0) ** 2 * np.sqrt(w[:, None] * w)
-        np.fill_diagonal(base, 0)
-        near, value = clusters.top_neighbours(x, w, min(5, n - 1))
-        assert np.allclose(value, -np.sort(-base, axis=1)[:, : value.shape[1]]) and np.allclose(np.take_along_axis(base, near, axis=1), value)
+def test_estimates_by_the_whole_matrix(spark, monkeypatch):
+    """Blocks of vectors, ties and unusable vectors give what a dense solver gives for the whole recording."""
+    monkeypatch.setattr(clusters, "BLOCK", 16)
+    rng = np.random.default_rng(11)
+    rows = [(r, 1000 * r + 7 * i, (np.eye(12)[i % r * 3] + 0.25 * rng.normal(size=12)).tolist(), float(rng.uniform(0.2, 1))) for r, n in ((1, 1), (2, 2), (3, 60), (4, 41)) for i in range(n)]
+    rows += [(4, 9000 + i, rows[80][2], 1.0) for i in range(5)] + [(4, 9100, [0.0] * 12, 1.0), (5, 1, None, 1.0)]
+    df = spark.createDataFrame(rows, "recording_id long, vec_id long, embedding array<double>, weight double")
+    got = {r.recording_id: r for r in clusters.estimates(df).collect()}
+    assert set(got) == {1, 2, 3, 4} and (got[1].k_nme, got[1].method, got[1].median_cosine) == (1, "singleton", None)
+    for r in (2, 3, 4):
+        mine = sorted((i, e, w) for rec, i, e, w in rows if rec == r and any(e))
+        x, w = np.array([e for _, e, _ in mine]), np.array([w for *_, w in mine])
+        unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+        median = float(np.median((unit @ unit.T)[np.triu_indices(len(x), 1)]))
+        k, found = clusters.estimate_k(strongest(x, w, 8), len(x), median)
+        assert (got[r].k_nme, got[r].method) == (k, found["method"]) and got[r].median_cosine == pytest.approx(median, abs=1e-12)
+        assert np.allclose(got[r].eigenvalues, found["eigenvalues"], atol=2e-6)
+        assert np.allclose([g.score for g in got[r].gaps], [g[0] for g in found["gaps"]], atol=2e-6)
+    assert clusters.estimates(df.limit(0)).collect() == []
 
 
 def test_blocks_of_vectors_against_all_pairs(spark, monkeypatch):

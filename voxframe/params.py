@@ -65,7 +65,8 @@ class Clusters:
     max_k: int = 6
     one_speaker_cosine: float = 0.62
     dense_limit: int = 1024
-    lanczos_steps: int = 40
+    lanczos_steps: int = 200
+    lanczos_basis: int = 90
     concentration_weight: float = 0.85
     nearest_weight: float = 0.75
     intra_weight: float = 0.95
