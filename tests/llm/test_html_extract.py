@@ -4,7 +4,9 @@ from collections import Counter
 from html import unescape
 
 import pytest
+from pyspark.sql import functions as F
 from voxframe.llm import html_extract as he
+from voxframe.llm import queries
 
 SHELL = """<!DOCTYPE html><html lang="en"><head><title>T {k}</title><style>p{{margin:0}}</style><script>var t="</p>";</script></head>
 <body><nav><ul><li><a href="/a">Home</a></li><li>News</li></ul></nav><header class="site">Site name</header><!-- ad <p>no</p> -->
@@ -146,6 +148,37 @@ def test_the_tree_alone_finds_the_articles(spark):
     assert not any(he.main_text(h, marks=False) == plain(h) for h in list(html.values())[:200])
 
 
+def test_the_tree_decides_where_a_host_has_pages_enough(spark, monkeypatch):
+    """In the registered query; also when no tag says what an article is. Without the tree, marks alone don't do."""
+    df = spark.read.parquet("/root/testdata/sf0.1/pages.parquet")
+    html = {r.page_id: r.html for r in df.collect()}
+    got = queries.op5_html_extract(spark, "/root/testdata/sf0.1").collect()
+    assert len(got) == 2500 and all((r.text, r.found_by) == (plain(html[r.page_id]), "tree") for r in got)
+    nameless = df.withColumn("html", F.regexp_replace("html", "<(/?)(article|main)>", "<$1div>"))
+    assert all(r.text == plain(html[r.page_id]) for r in he.main_texts(nameless).collect())
+    monkeypatch.setattr(he, "HIGH", 2.0)
+    right = sum(r.text == plain(html[r.page_id]) for r in he.main_texts(nameless).collect())
+    assert right < 2500, right
+
+
+def test_clashing_names(spark):
+    df = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    more = df
+    for name in ("host", "low", "high", "trusted", "found_by", "text", "n_chars", "page", "found"):
+        more = more.withColumn(name, F.lit("x"))
+    assert sorted(map(tuple, he.main_texts(more).collect())) == sorted(map(tuple, he.main_texts(df).collect()))
+
+
+def test_comments_and_marks_inside_the_trees_part(spark):
+    """A reader's comments are as new on every page as the article, so their marks tell them also where the tree decides."""
+    kinds = ["<p>P{k}a</p>", "<p>P{k}b</p><p>P{k}c</p>", "<blockquote>Q{k}</blockquote>", "<h2>H{k}</h2><p>P{k}d</p>", "<p>P{k}e</p><ul><li>L{k}</ul>"]
+    bodies = ["".join(kinds[(k + j * (1 + k // 5)) % 5] for j in range(1 + k % 4)).format(k=k) for k in range(30)]
+    rows = [(k, "http://nameless.org/", site(k, f"<h1>T{k}</h1>" + bodies[k] + f"<div class=comments><p>said {k}</p></div>")) for k in range(30)]
+    got = {r.page_id: (r.text, r.found_by) for r in he.main_texts(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in range(30):
+        assert got[k] == ("\n".join([f"T{k}", *re.findall(r"[A-Z]\d+[a-e]?", bodies[k])]), "tree"), k
+
+
 def site(k, body):
     """A page whose parts have no telling names, and texts of their own in every part."""
     menu = "".join(f"<li>m{k}x{j}</li>" for j in range(3 + k % 4))

@@ -19,9 +19,11 @@ each page, whereas menus, advertisements and footers are laid out alike however
 
 Which blocks of a page stay:
 
-1. The tree finds the main part: the page's blocks in high branches, and its h1. Where an `article` or `main` holds or
-   lies in such a branch, it is taken whole; the tag also stands where it lies apart from them, and where the tree is
-   silent, as on a host of few pages or of articles that are all laid out alike.
+1. The tree finds the main part: the page's blocks in high branches, and its h1. On a host of TRUSTED pages or more it has
+   the first word: branches beside the high ones are of low importance there and go, whatever their tags. On smaller
+   hosts, and where the tree is silent, as on a host of articles that are all laid out alike, an `article` or `main` is
+   the main part: taken whole where it holds, or lies in, a high branch, and also apart from them. found_by tells which
+   it was.
 2. From it low nodes go, but no unmarked block of an article or main: copies of an article with another title, or
    articles of one title, are still articles. Without any main part all but low nodes stays; where low nodes are all of a
    page's paragraphs (without paragraphs, all but headings), all unmarked blocks stay.
@@ -61,7 +63,7 @@ from pyspark.sql import functions as F
 from voxframe.llm.shared import publish, scratch
 
 GAMMA, THRESHOLD, HIGH = 0.9, 0.2, 0.4
-SUPPORT, SHARE = 3, 0.1
+SUPPORT, SHARE, TRUSTED = 3, 0.1, 12
 PRESENTATION, CONTENT, PAGE = 0, 1, 2
 
 TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)([^>"']*(?:"[^"]*"[^>"']*|'[^']*'[^>"']*)*)>|<([a-zA-Z][^\s/>]*)([^>]*)>""", re.S)
@@ -262,8 +264,14 @@ def importance(pages: DataFrame, once: bool = False) -> DataFrame:
 
 
 def main_text(html: str | None, low: frozenset = frozenset(), high: frozenset = frozenset(), marks: bool = True) -> str:
-    """The page's text without the branches that go; low, high: nodes of low and of high importance. marks: False takes
-    the tree's word alone, so tests can tell what it finds by itself."""
+    """found() of a host whose tree isn't trusted: the text alone."""
+    return found(html, low, high, marks=marks)[0]
+
+
+def found(html: str | None, low: frozenset = frozenset(), high: frozenset = frozenset(), trusted: bool = False, marks: bool = True) -> tuple[str, str]:
+    """The page's text without the branches that go, and what told it: tree, tags or rest. low, high: nodes of low and of high
+    importance; trusted: of a host of enough pages, so that branches that lie apart from the high ones are of low importance
+    beside them. marks: False takes the tree's word alone, so tests can tell what it finds by itself."""
     blocks, _, at = read(html)
     if not marks:
         blocks = [(path, text, 0, False) for path, text, _, _ in blocks]
@@ -276,6 +284,10 @@ def main_text(html: str | None, low: frozenset = frozenset(), high: frozenset =
 
     part = [k for k in range(len(blocks)) if high and in_high(at[k])]
     held = [k for k, (_, _, marked, main) in enumerate(blocks) if main and marked < NAMED]
+    if trusted and (own := [k for k in part if blocks[k][2] < NAMED]):
+        titles = {k for k in held or range(len(blocks)) if at[k].tag == "h1" and blocks[k][2] < NAMED}
+        return "\n".join(blocks[k][1] for k in sorted({*own, *titles}) if k in titles or blocks[k][0] not in low or blocks[k][3]), "tree"
+    by = "tags" if held else "tree" if part else "rest"
     if held:  # the tree's main part as far as it is an article, and the whole article
         held = [k for k in held if not (blocks[k][2] == WEAK and blocks[k][0] in low)] or held
     else:
@@ -289,39 +301,41 @@ def main_text(html: str | None, low: frozenset = frozenset(), high: frozenset =
             held = rest
         if not rest:
             held = [k for k, (path, _, marked, _) in enumerate(blocks) if marked < TAGGED and path not in low]
-    return "\n".join(blocks[k][1] for k in held)
+    return "\n".join(blocks[k][1] for k in held), by
 
 
 def extract(marks: bool):
-    """(page_id, url, html, low, high) -> page_id, url, text, n_chars."""
+    """(page_id, url, html, low, high, trusted) -> page_id, url, text, n_chars, found_by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in (batch.slice(i, 512) for i in range(0, batch.num_rows, 512)):
-                texts, sets = [], {}
-                for html, low, high in zip(rows.column(2), rows.column(3), rows.column(4), strict=True):
+                texts, told, sets = [], [], {}
+                for html, low, high, trusted in zip(*rows.columns[2:], strict=True):
                     nodes = [sets.setdefault(key, frozenset(key)) for key in (tuple(x.as_py() or ()) for x in (low, high))]
-                    texts.append(main_text(html.as_py(), *nodes, marks))
-                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
+                    text, by = found(html.as_py(), *nodes, bool(trusted.as_py()) and marks, marks)
+                    texts.append(text)
+                    told.append(by)
+                yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64()), pa.array(told, pa.string())], ["page_id", "url", "text", "n_chars", "found_by"])
 
     return run
 
 
 def judged(trees: DataFrame) -> DataFrame:
-    """Per host that has any: its low and its high nodes. Nodes are picked before they are gathered, so a row is short."""
+    """Per host that has any: its low and its high nodes, and whether its tree is trusted. Nodes are picked before they are gathered, so a row is short."""
     most = trees.groupBy("host").agg(F.max("pages").alias("most"))
     known = trees.join(most, "host").filter((F.col("pages") >= SUPPORT) & (F.col("pages") >= SHARE * F.col("most")))
     known = known.withColumn("low", F.col("importance") < THRESHOLD).withColumn("high", F.col("style") >= HIGH).filter("low or high")
     of = lambda c: F.array_sort(F.collect_list(F.when(F.col(c), F.col("node")))).alias(c)
-    return known.groupBy("host").agg(of("low"), of("high"))
+    return known.groupBy("host").agg(of("low"), of("high"), (F.max("most") >= TRUSTED).alias("trusted"))
 
 
 def main_texts(pages: DataFrame, marks: bool = True) -> DataFrame:
-    """Per row of pages: page_id, url, text, n_chars."""
+    """Per row of pages: page_id, url, text, n_chars, found_by."""
     spark = pages.sparkSession
     host = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", host.alias("host"), "html")
     # One row per host, written first so that its size is known when Spark picks the join; a hot host's pages can be
     # split, as the other side has one row for it.
     nodes = publish(judged(importance(rows.select("host", "html"), once=True)), scratch(spark, "style-trees"))
-    return rows.join(nodes, "host", "left").select("page_id", "url", "html", "low", "high").mapInArrow(extract(marks), "page_id long, url string, text string, n_chars long")
+    return rows.join(nodes, "host", "left").select("page_id", "url", "html", "low", "high", "trusted").mapInArrow(extract(marks), "page_id long, url string, text string, n_chars long, found_by string")
