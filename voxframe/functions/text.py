@@ -105,6 +105,18 @@ def strict_object(text: Column) -> tuple[Column, Column]:
     return F.when(is_object, v), F.when(v.isNull(), "JSON_INVALID").when(~is_object, "JSON_NOT_OBJECT")
 
 
+#: The most bytes of an upload, by what it is, and the code of one that has more.
+UPLOADS = {"audio": (1 << 30, "AUDIO_TOO_LARGE"), "segments": (16 << 20, "SEGMENTS_TOO_LARGE")}
+
+
+def upload(content: Column, kind: str = "audio", most: int | None = None) -> tuple[Column, Column, Column]:
+    """(digest, bytes, error) of an upload; one of more than `most` bytes isn't digested."""
+    limit, code = UPLOADS[kind]
+    size = F.octet_length(content).cast("long")
+    fits = size <= (limit if most is None else most)
+    return F.when(fits, F.sha2(content.cast("binary"), 256)), size, F.when(~fits, code)
+
+
 def input_digest(content: Column, mode: Column, material: Column) -> Column:
     return F.sha2(F.concat_ws(":", F.sha2(content, 256), mode, material), 256)
 

@@ -167,6 +167,18 @@ def thresholds(p: Assignment = Assignment()) -> dict[str, float]:
     }
 
 
+def threshold_counts(rows: DataFrame, p: Assignment = Assignment()) -> DataFrame:
+    """The recall's limits as an audit states them, with how many rows keep to them: name, value, n (null for limits of what rows
+    don't have). rows: duration_ms, speech_ratio, loudness_std_db, loudness_db."""
+    of = {"duration_ms": "min_duration_ms", "speech_ratio": "min_speech_ratio", "loudness_std_db": "max_loudness_std_db", "loudness_db": "min_loudness_db"}
+    found = []
+    for name, value in thresholds(p).items():
+        column = next((c for c, end in of.items() if name.endswith(end)), None)
+        keeps = F.lit(None).cast("long") if column is None else F.count_if(F.col(column) <= value if "_max_" in name else F.col(column) >= value)
+        found.append(F.struct(F.lit(name).alias("name"), F.lit(float(value)).alias("value"), keeps.alias("n")))
+    return rows.agg(F.array(*found).alias("t")).select(F.inline("t"))
+
+
 def levels(rows: DataFrame) -> DataFrame:
     """How many segments got each level."""
     return rows.groupBy("level").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("level") != "unknown").alias("assigned"))

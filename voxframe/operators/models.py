@@ -17,33 +17,54 @@ from voxframe.operators.packing import inferred
 from voxframe.operators.requests import prediction_frames
 from voxframe.operators.timeline import powerset
 from voxframe.params import Packing
+from voxframe.shared import publish, scratch
 
 Model = Callable[[], Callable]
 
 
-def segmentation(chunks: DataFrame, model: Model) -> DataFrame:
-    """Activity frames of the recordings that chunks of samples belong to: recording_id, start_ms, end_ms, active, dom, confidence.
+def scored(chunks: DataFrame, model: Model) -> DataFrame:
+    """chunks with what the model says of them in place of their samples: rows (a matrix of class scores), or error, the name of
+    what it raised. Written to the shared folder, so the model is called once for frames and failures. What isn't about a
+    chunk, such as a model that can't be loaded, ends the job.
 
-    chunks: recording_id, read_start, read_end, core_start, core_end, samples. The model gives a matrix of class scores per
-    chunk; scores that aren't shares yet become so by softmax, chunk by chunk; frames count where their centre lies in
-    the chunk's core. A chunk that fails gives no frames.
+    chunks: recording_id, read_start, read_end, core_start, core_end, samples.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         call = model()
         for frame in frames:
-            out = []
+            out, errors = [], []
             for samples in frame["samples"]:
+                found = error = None
                 try:
-                    scores = np.atleast_2d(np.asarray(call(np.asarray(samples)), float))
-                    out.append(scores.tolist())
-                except Exception:  # noqa: BLE001
-                    out.append(None)
-            yield frame.drop(columns="samples").assign(rows=out)
+                    found = np.atleast_2d(np.asarray(call(np.asarray(samples)), float)).tolist()
+                except Exception as e:  # noqa: BLE001  the chunk's own failure, which is reported
+                    error = type(e).__name__
+                out.append(found)
+                errors.append(error)
+            yield frame.drop(columns="samples").assign(rows=out, error=errors)
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in chunks.dtypes if c != "samples")
-    scored = chunks.mapInPandas(run, f"{kinds}, rows array<array<double>>").filter("rows is not null")
-    rows = prediction_frames(scored, F.col("read_end") - F.col("read_start"))
+    return publish(chunks.mapInPandas(run, f"{kinds}, rows array<array<double>>, error string"), scratch(chunks.sparkSession, "scored"))
+
+
+def failures(scores: DataFrame) -> DataFrame:
+    """Chunks that scored() has no scores for: recording_id, read_start, read_end, error."""
+    return scores.filter("error is not null").select(KEY, "read_start", "read_end", "error")
+
+
+def segmentation(chunks: DataFrame, model: Model) -> DataFrame:
+    """Activity frames of chunks of samples, by the model; chunks that fail give none."""
+    return activity(scored(chunks, model))
+
+
+def activity(scores: DataFrame) -> DataFrame:
+    """Activity frames of the recordings that scored() chunks belong to: recording_id, start_ms, end_ms, active, dom, confidence.
+
+    Scores that aren't shares yet become so by softmax, chunk by chunk; frames count where their centre lies in the
+    chunk's core.
+    """
+    rows = prediction_frames(scores.filter("error is null").drop("error"), F.col("read_end") - F.col("read_start"))
     rows = softmax_rows(rows, "row", (KEY, "read_start", "core_start"))
     active, dom, confidence = powerset(F.col("row"))
     rows = rows.withColumns({"start_ms": F.col("start_ms") + F.col("read_start"), "end_ms": F.col("end_ms") + F.col("read_start"), "active": active, "dom": dom, "confidence": confidence})

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voxframe.operators.intervals import KEY, overlap_join
@@ -67,11 +67,12 @@ def client_ordered(windows: DataFrame) -> DataFrame:
     return windows.withColumn("place", F.row_number().over(w))
 
 
-def load_fixture(spark: SparkSession, long: int = 52, short: int = 10, seconds: tuple[int, int] = (4, 3)) -> DataFrame:
-    """Windows of a load test, of two lengths, one after the other: window_id, offset, length (bytes), kind."""
-    rows = spark.range(long + short).select("id", (F.when(F.col("id") < long, seconds[0]).otherwise(seconds[1]) * 32_000).cast("long").alias("length"))
-    offset = F.when(F.col("id") < long, F.col("id") * seconds[0]).otherwise(long * seconds[0] + (F.col("id") - long) * seconds[1]) * 32_000
-    return rows.select(F.concat(F.lit("window:"), F.col("id").cast("string")).alias("window_id"), offset.cast("long").alias("offset"), "length", F.when(F.col("id") % 2 == 1, "sentence").otherwise("gold").alias("kind"))
+def load_fixture(windows: DataFrame) -> DataFrame:
+    """Windows of a load test, laid one after the other: window_id, offset, length (bytes), kind. windows: recording_id (one
+    test each), place (their order, from 0), duration_ms."""
+    rows = windows.select(KEY, "place", (F.col("duration_ms") * 32).cast("long").alias("length"))
+    before = Window.partitionBy(KEY).orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.select(KEY, F.concat(F.lit("window:"), F.col("place").cast("string")).alias("window_id"), F.coalesce(F.sum("length").over(before), F.lit(0)).alias("offset"), "length", F.when(F.col("place") % 2 == 1, "sentence").otherwise("gold").alias("kind"))
 
 
 def load_report(calls: DataFrame, windows: int) -> DataFrame:

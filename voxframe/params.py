@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import copy
 import hashlib
 import json
+import os
 from dataclasses import asdict, dataclass, field, replace
 
 
@@ -157,7 +159,7 @@ def merged(base: dict, overlay: dict, locked: tuple = ()) -> dict:
     """overlay over base, key by key in nested objects; other values replace. Locked sections may not be named."""
     if bad := set(overlay) & set(locked):
         raise ValueError(f"locked: {sorted(bad)}")
-    out = dict(base)
+    out = copy.deepcopy(base)
     for k, v in overlay.items():
         out[k] = merged(out[k], v) if isinstance(v, dict) and isinstance(out.get(k), dict) else v
     return out
@@ -173,7 +175,42 @@ def load_config(base: dict, overlay: dict | None = None) -> dict:
         raise ValueError("CONFIG_INVALID")
     if extra := sorted(set(overlay or {}) - set(OVERRIDABLE)):
         raise ValueError(f"CONFIG_LOCKED_OVERRIDE: {', '.join(extra)}")
-    return merged(base, overlay or {})
+    out = merged(base, overlay or {})
+    if "runtime" in base:
+        target, hard = (float(out["runtime"].get(c) or 0.0) for c in ("memory_target_ratio", "memory_hard_limit_ratio"))
+        if {"memory_target_ratio", "memory_hard_limit_ratio"} & set(out["runtime"]) and not 0.0 < target < hard <= 1.0:
+            raise ValueError("CONFIG_INVALID: memory ratios must satisfy 0 < target < hard <= 1")
+    return out
+
+
+def read_config(path: str, overlay: str | None = None, urls: dict[str, str] | None = None) -> dict:
+    """load_config() of files, JSON or (where PyYAML is installed) YAML. A file that isn't there, can't be read or holds no object
+    is CONFIG_INVALID. urls: addresses by component, in place of the files'; addresses lose slashes at their end. A relative
+    runtime.temporary_root is one beside the file."""
+
+    def read(name: str) -> dict:
+        try:
+            with open(name, encoding="utf-8") as f:
+                text = f.read()
+            try:
+                found = json.loads(text)
+            except ValueError:
+                import yaml
+
+                found = yaml.safe_load(text)
+        except Exception as e:  # noqa: BLE001  whatever the parser raises
+            raise ValueError(f"CONFIG_INVALID: {os.path.basename(name)}: {type(e).__name__}") from e
+        if not isinstance(found, dict):
+            raise ValueError(f"CONFIG_INVALID: {os.path.basename(name)}")
+        return found
+
+    out = load_config(read(path), read(overlay) if overlay else None)
+    for name, component in out.get("components", {}).items():
+        if isinstance(component, dict) and (url := (urls or {}).get(name) or component.get("base_url")):
+            component["base_url"] = url.rstrip("/")
+    if root := out.get("runtime", {}).get("temporary_root"):
+        out["runtime"]["temporary_root"] = os.path.abspath(os.path.join(os.path.dirname(os.path.abspath(path)), root))
+    return out
 
 
 def snapshot(config: dict, public) -> dict:

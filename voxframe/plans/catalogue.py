@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
-from voxframe.operators import assign, clusters, evaluate, intervals, packing, requests, timeline, windows
+from voxframe.operators import assign, clusters, evaluate, intervals, models, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
 from voxframe.params import Candidates, Tasks, Timeline
 from voxframe.plans import analysis
@@ -348,10 +348,10 @@ def weighted_quantile_radii(spark: SparkSession, sf: str) -> DataFrame:
     return q.select(KEY, "label", F.round("q0", 6).alias("core"), F.round("q1", 6).alias("boundary"))
 
 
-@query(v.oracle("v_gold") + UNIT + CENTRES + " select recording_id, label, round(centre[1], 6) as x1, round(centre[64], 6) as x64 from ce")
+@query(v.oracle("v_gold") + UNIT + CENTRES + ", d as (select recording_id, label, unnest(range(1, 65)) as dim, centre from ce) select recording_id, label, dim - 1 as dim, round(centre[dim], 6) + 0.0e0 as x from d")
 def weighted_centroid(spark: SparkSession, sf: str) -> DataFrame:
     c = clusters.centres(clusters.usable(v.gold(spark, sf)))
-    return c.select(KEY, "label", F.round(F.col("centre")[0], 6).alias("x1"), F.round(F.col("centre")[63], 6).alias("x64"))
+    return c.select(KEY, "label", F.posexplode("centre").alias("dim", "x")).select(KEY, "label", F.col("dim").cast("long").alias("dim"), (F.round("x", 6) + 0.0).alias("x"))
 
 
 @query(v.oracle("v_gold") + UNIT + CENTRES + " select * from me")
@@ -482,9 +482,10 @@ def assignment_audit(spark: SparkSession, sf: str) -> DataFrame:
     return a.withColumn("rejected", F.array_join(F.transform(F.map_entries("rejected"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ","))
 
 
-@query("select * from (values ('medium_min_duration_ms', 2000.0e0), ('medium_min_speech_ratio', 0.45e0), ('medium_max_loudness_std_db', 18.0e0), ('min_loudness_db', -55.0e0), ('good_min_duration_ms', 5000.0e0), ('good_min_speech_ratio', 0.65e0), ('good_max_loudness_std_db', 12.0e0), ('soft_relative_margin', 0.18e0), ('soft_margin', 0.08e0), ('high_risk_relative_margin', 0.10e0), ('high_risk_margin', 0.04e0), ('accept_radius_slack', 0.08e0), ('soft_max_distance', 0.62e0), ('hard_max_distance', 0.70e0), ('risk_distance', 0.42e0)) t(name, value)")
+@query(v.oracle("v_sent") + """ select name, value, n from (select * from (values ('medium_min_duration_ms', 2000.0e0), ('medium_min_speech_ratio', 0.45e0), ('medium_max_loudness_std_db', 18.0e0), ('min_loudness_db', -55.0e0), ('good_min_duration_ms', 5000.0e0), ('good_min_speech_ratio', 0.65e0), ('good_max_loudness_std_db', 12.0e0), ('soft_relative_margin', 0.18e0), ('soft_margin', 0.08e0), ('high_risk_relative_margin', 0.10e0), ('high_risk_margin', 0.04e0), ('accept_radius_slack', 0.08e0), ('soft_max_distance', 0.62e0), ('hard_max_distance', 0.70e0), ('risk_distance', 0.42e0)) t(name, value)) t,
+lateral (select case when name like '%duration_ms' then count(*) filter (duration_ms >= value) when name like '%speech_ratio' then count(*) filter (speech_ratio >= value) when name like '%loudness_std_db' then count(*) filter (loudness_std_db <= value) when name = 'min_loudness_db' then count(*) filter (loudness_db >= value) end as n from v_sent) c""")
 def recall_thresholds(spark: SparkSession, sf: str) -> DataFrame:
-    return spark.createDataFrame([(k, float(x)) for k, x in assign.thresholds().items()], "name string, value double")
+    return assign.threshold_counts(v.sentences(spark, sf))
 
 
 @query(v.oracle("v_seg") + ", q as (select recording_id, input_index, (input_index % 10) / 10.0e0 as speech_ratio, -60.0e0 + input_index as loudness_db from v_seg where input_index % 3 <> 0) select s.recording_id, s.input_index, q.speech_ratio, q.loudness_db from v_seg s left join q using (recording_id, input_index)")
@@ -873,6 +874,44 @@ def strict_json(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("doc_id", error.alias("error"), F.try_variant_get(value, "$.id", "bigint").alias("id"))
 
 
+@query("""select doc_id, octet_length(encode(coalesce(text, ''))) as bytes, case when octet_length(encode(coalesce(text, ''))) <= 5000 then sha256(coalesce(text, '')) end as digest, case when octet_length(encode(coalesce(text, ''))) > 5000 then 'SEGMENTS_TOO_LARGE' end as error from documents""")
+def upload_digests(spark: SparkSession, sf: str) -> DataFrame:
+    digest, size, error = tx.upload(F.coalesce("text", F.lit("")), "segments", 5000)
+    return v.table(spark, sf, "documents").select("doc_id", size.alias("bytes"), digest.alias("digest"), error.alias("error"))
+
+
+SCORED = """with w as (select conv_id as recording_id, turn, list_transform(string_split(coalesce(text, ''), ' '), lambda x: length(x)) as l from conversations)"""
+
+
+def _scored(spark: SparkSession, sf: str) -> DataFrame:
+    """Turns as chunks of word lengths, and a stand-in for a model: four words a frame, whose sum tells the class. Some it refuses."""
+
+    def model():
+        def scores(samples):
+            if samples[0] % 9 == 0:
+                raise ValueError("refused")
+            return [[float(int(sum(samples[at : at + 4])) % 7 == c) for c in range(7)] for at in range(0, len(samples), 4)]
+
+        return scores
+
+    lengths = F.transform(F.split(F.coalesce("text", F.lit("")), " "), lambda x: F.length(x))
+    c = v.table(spark, sf, "conversations").select(F.col("conv_id").alias(KEY), (F.col("turn") * 1_000_000).alias("read_start"), lengths.alias("samples"))
+    end = (F.col("read_start") + F.ceil(F.size("samples") / 4) * 25).alias("read_end")
+    return models.scored(c.select(KEY, "read_start", end, F.col("read_start").alias("core_start"), end.alias("core_end"), "samples"), model)
+
+
+@query(SCORED + """, f as (select recording_id, turn, unnest(range(0, (len(l) + 3) // 4)) as k, l from w where l[1] % 9 > 0), c as (select *, cast(list_sum(l[4 * k + 1 : 4 * k + 4]) % 7 as int) + 1 as class from f)
+select recording_id, turn * 1000000 + k * 25 as start_ms, turn * 1000000 + k * 25 + 25 as end_ms, [0, 1, 1, 1, 2, 2, 2][class] as active, ['', 'speaker_0', 'speaker_1', 'speaker_2', 'speaker_0', 'speaker_0', 'speaker_1'][class] as dom, 1.0e0 as confidence from c""")
+def segmentation_frames(spark: SparkSession, sf: str) -> DataFrame:
+    return models.activity(_scored(spark, sf))
+
+
+@query(SCORED + " select recording_id, turn * 1000000 as read_start, turn * 1000000 + (len(l) + 3) // 4 * 25 as read_end, 'ValueError' as error from w where l[1] % 9 = 0")
+def segmentation_failures(spark: SparkSession, sf: str) -> DataFrame:
+    """What the model refuses is told by chunk, and spoils no other."""
+    return models.failures(_scored(spark, sf))
+
+
 @query("select doc_id, sha256(sha256(text) || ':local:' || lang) as digest from documents")
 def content_digest(spark: SparkSession, sf: str) -> DataFrame:
     return v.table(spark, sf, "documents").select("doc_id", tx.input_digest(F.col("text"), F.lit("local"), F.col("lang")).alias("digest"))
@@ -1076,9 +1115,9 @@ def client_order(spark: SparkSession, sf: str) -> DataFrame:
     return requests.client_ordered(s).select(KEY, "request_id", "place")
 
 
-@query("""with i as (select range as i, case when range < 52 then 128000 else 96000 end as length from range(62)) select 'window:' || cast(i as varchar) as window_id, cast(coalesce(sum(length) over (order by i rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", cast(length as bigint) as length, case when i % 2 = 1 then 'sentence' else 'gold' end as kind from i""")
+@query(v.oracle("v_seg") + """ select recording_id, 'window:' || cast(input_index as varchar) as window_id, cast(coalesce(sum(dur_ms * 32) over (partition by recording_id order by input_index rows between unbounded preceding and 1 preceding), 0) as bigint) as "offset", dur_ms * 32 as length, case when input_index % 2 = 1 then 'sentence' else 'gold' end as kind from v_seg""")
 def load_fixture(spark: SparkSession, sf: str) -> DataFrame:
-    return requests.load_fixture(spark)
+    return requests.load_fixture(v.segments(spark, sf).select(KEY, F.col("input_index").alias("place"), F.col("dur_ms").alias("duration_ms")))
 
 
 @query("""with c as (select user_id % 5 as run, epoch_ms(ts) as s, epoch_ms(ts) + 200 + event_id % 1800 as f, event_id % 13 <> 0 as ok from events)

@@ -127,19 +127,27 @@ def manifest_lines(made: DataFrame, scenarios: DataFrame, grade: str) -> DataFra
 
 def write_dataset(made: DataFrame, scenarios: DataFrame, clips: DataFrame, grade: str, root: str, force: bool = False) -> DataFrame:
     """Write a dataset below root: samples/<id>/input.json, reference.json and audio.wav, and a manifest. clips: sample_id,
-    content. A root that exists is an error unless force is set; gives the files that were written."""
-    system, name = fs.FileSystem.from_uri(root)
-    if system.get_file_info(name).type != fs.FileType.NotFound:
-        if not force:
-            raise ValueError(f"output already exists: {root}")
-        system.delete_dir(name)
+    content. A root that exists is an error unless force is set: then it stays until the new one is whole, and is put in its
+    place. Gives the files that were written."""
+    system, name = fs.FileSystem.from_uri(root.rstrip("/"))
+    old = system.get_file_info(name).type != fs.FileType.NotFound
+    if old and not force:
+        raise ValueError(f"output already exists: {root}")
+    mark = uuid.uuid4().hex
+    made_at, name = f"{root.rstrip('/')}.{mark}.new", name.rstrip("/")
     at = lambda end: F.concat(F.lit("samples/"), F.col("sample_id"), F.lit(f"/{end}")).alias("path")
     files = clips.select(at("audio.wav"), "content")
     for end in ("input", "reference"):
         files = files.unionByName(made.select(at(f"{end}.json"), F.encode(end, "utf-8").alias("content")))
-    written = write_files(files, root)
-    manifest_lines(made, scenarios, grade).orderBy("sample_id").select("value").coalesce(1).write.mode("overwrite").text(f"{root}/manifest")
-    return written
+    schema = write_files(files, made_at).schema
+    manifest_lines(made, scenarios, grade).orderBy("sample_id").select("value").write.mode("overwrite").text(f"{made_at}/manifest")
+    if old:
+        system.move(name, f"{name}.{mark}.old")
+    system.move(f"{name}.{mark}.new", name)
+    if old:
+        system.delete_dir(f"{name}.{mark}.old")
+    listed = next(i.path for i in system.get_file_info(fs.FileSelector(name)) if i.base_name.startswith("_written-"))
+    return files.sparkSession.read.schema(schema).parquet(f"{root.rstrip('/')}/{listed.rsplit('/', 1)[1]}")
 
 
 def write_files(files: DataFrame, root: str) -> DataFrame:

@@ -6,12 +6,13 @@ from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from voxframe.operators.intervals import KEY
+from voxframe.operators.timelines import Blocks
 from voxframe.params import Tasks
 from voxframe.shared import scratch
 
@@ -184,7 +185,8 @@ def occupancy(tasks: DataFrame, slots: int = 1) -> DataFrame:
 
 
 def recovery_order(tasks: DataFrame) -> DataFrame:
-    """The tasks that a restart runs again, one after the other: back in the queue, oldest first."""
-    again = recovery(tasks).filter("action = 'rerun'")
-    turn = F.row_number().over(Window.orderBy("created_at_ms", "task_id"))
-    return again.withColumn("status", F.lit("queued")).withColumn("turn", turn).drop("action")
+    """The tasks that a restart runs again, one after the other: back in the queue, oldest first; turn counts them, block by
+    block, so that no task of Spark's has them all."""
+    by, order = Blocks(), ("created_at_ms", "task_id")
+    again = by.deal(recovery(tasks).filter("action = 'rerun'").drop("action"), order, ())
+    return by.running(again, "turn", F.lit(1), "sum", order, ()).withColumn("status", F.lit("queued")).drop("_block")
