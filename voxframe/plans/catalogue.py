@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.functions import text as tx
 from voxframe.functions import vectors as vx
-from voxframe.operators import assign, clusters, evaluate, intervals, models, packing, requests, timeline, windows
+from voxframe.operators import assign, clusters, evaluate, intervals, kmeans, models, packing, requests, timeline, windows
 from voxframe.operators.intervals import KEY
 from voxframe.params import Candidates, Tasks, Timeline
 from voxframe.plans import analysis
@@ -401,6 +401,12 @@ def spherical_kmeans(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.speakers(v.gold(spark, sf)).select(KEY, "vec_id", "label")
 
 
+@query()
+def kmeans_in_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """What spherical_kmeans gives, by passes over all recordings' blocks at once."""
+    return kmeans.speakers(v.gold(spark, sf)).select(KEY, "vec_id", "label")
+
+
 @query()
 def k_selection(spark: SparkSession, sf: str) -> DataFrame:
     return clusters.k_candidates(v.gold(spark, sf))
