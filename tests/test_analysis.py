@@ -1,5 +1,7 @@
 """The whole way from segments to a report, on recordings whose right answer is known."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 from voxframe.plans import analysis
@@ -95,3 +97,19 @@ def test_report(found, tables, spark):
     assert r.status == "insufficient_dataset"
     assert (r.dataset.recording_count, r.dataset.scored_recording_count, r.dataset.independent_recording_count, r.dataset.scenario_counts) == (3, 1, 1, {"two_speaker": 2, "overlap": 1})
     assert r.metrics["der"] == 0 and r.metrics["assigned_accuracy"] == 1 and r.metrics["speaker_count_exact"] == 1
+
+
+def test_from_answers_to_documents(tables, spark):
+    """Recording 3 loses all vectors, 4 has no sentence, 5 one that ends before it starts, 6 is cancelled meanwhile."""
+    sentences = lambda rows: json.dumps({"flash_result": [{"channel_id": 0, "sentence_list": [{"begin_time": r.start_ms, "end_time": r.end_ms, "text": r.text} for r in rows]}]})
+    said = {k: sorted((r for r in tables[0].filter(F.col("recording_id") == k).collect()), key=lambda r: r.start_ms) for k in (1, 2, 3)}
+    answers = [(1, sentences(said[1]), '{"provider":"x"}', False), (2, sentences(said[2]), None, None), (3, sentences(said[3]), None, False), (4, json.dumps({"flash_result": []}), None, False), (6, sentences(said[1]), None, True)]
+    answers.append((5, json.dumps({"flash_result": [{"sentence_list": [{"begin_time": 9, "end_time": 5, "text": "x"}]}]}), None, False))
+    df = spark.createDataFrame(answers, "recording_id long, body string, source string, cancelled boolean")
+    rows = {r.recording_id: (r.status, r.result_status, r.content and json.loads(r.content)) for r in analysis.executed(df, tables[1], tables[2], embed).collect()}
+    assert {k: r[:2] for k, r in rows.items()} == {1: ("succeeded", "success"), 2: ("succeeded", "partial"), 3: ("failed", None), 4: ("failed", None), 5: ("failed", None), 6: ("cancelled", None)}
+    assert rows[1][2]["transcript_source"] == {"provider": "x"} and "transcript_source" not in rows[2][2] and rows[6][2] is None
+    assert [s["assignment"]["label"] for s in rows[1][2]["segments"]] == [*[f"local_spk_{t % 2}" for t in range(TURNS)], "unknown"]
+    assert {k: (rows[k][2]["error"]["code"], rows[k][2]["error"]["stage"], rows[k][2]["error"]["retryable"]) for k in (3, 4, 5)} == {
+        3: ("VOICE_EMBEDDING_ALL_WINDOWS_FAILED", "voice_embedding", True), 4: ("ASR_EMPTY_RESULT", "transcribing", False), 5: ("ASR_RESULT_INVALID", "transcribing", False),
+    }

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from voxframe.operators import assign, clusters, evaluate, requests, timeline, windows
 from voxframe.operators.intervals import KEY, overlap_join
 from voxframe.params import Params
-from voxframe.shared import scratch
+from voxframe.shared import publish, scratch
+from voxframe.sources import documents, exports
 
 
 @dataclass(frozen=True)
@@ -77,6 +78,7 @@ def analyze(segments: DataFrame, frames: DataFrame, power: DataFrame, embed: Cal
         rows.write.parquet(f"{work}/{name}")
         return spark.read.schema(rows.schema).parquet(f"{work}/{name}")
 
+    segments = kept(segments, "segments")  # read many times
     regions = kept(windows.candidates(segments, p.candidates), "candidates")
     built = timeline.built(regions, frames, power, p.timeline, kept)
     if failures is not None:
@@ -112,6 +114,49 @@ def analyze(segments: DataFrame, frames: DataFrame, power: DataFrame, embed: Cal
     return Analysis(out, anchors, scored, results, recordings.select(KEY, status.alias("status"), error.alias("error"), "failed_candidates", "failed_vectors"), assign.audit(assigned))
 
 
+#: What failure documents say, by code: stage, message, whether to try again.
+ERRORS = {
+    "ASR_EMPTY_RESULT": ("transcribing", "ASR provider returned no timed segments", False),
+    "ASR_RESULT_INVALID": ("transcribing", "ASR provider returned an invalid time line", False),
+    "WINDOW_REFINE_ALL_CANDIDATES_FAILED": ("window_refine", "all window-refine candidates failed", True),
+    "VOICE_EMBEDDING_ALL_WINDOWS_FAILED": ("voice_embedding", "all embedding windows failed", True),
+}
+
+
+def transcribed(answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(segments, errors) of recognisers' answers (recording_id, body): segments of recordings whose time line is whole, numbered in
+    order; recording_id and code of the others."""
+    columns = {"start_time": "long", "time": "long", "id": "string"}
+    flat = documents.flattened_flash(answers)
+    rows = documents.normalised_asr(flat.withColumns({c: F.lit(None).cast(t) for c, t in columns.items()}))
+    rows = publish(rows, scratch(answers.sparkSession, "transcribed"))
+    state = rows.groupBy(KEY).agg(F.max(F.col("violation")).alias("violation"))
+    errors = answers.select(KEY).join(state.withColumn("said", F.lit(True)), KEY, "left")
+    errors = errors.select(KEY, F.when(F.col("said").isNull(), "ASR_EMPTY_RESULT").otherwise(F.col("violation")).alias("code")).filter("code is not null")
+    order = Window.partitionBy(KEY).orderBy("start_ms", "end_ms", "id")
+    segments = rows.join(errors, KEY, "left_anti").select(KEY, (F.row_number().over(order) - 1).cast("long").alias("input_index"), "id", "start_ms", "end_ms", "text", F.lit(None).cast("double").alias("confidence"))
+    return segments, errors
+
+
+def executed(answers: DataFrame, frames: DataFrame, power: DataFrame, embed: Callable[[DataFrame], DataFrame], failures: DataFrame | None = None, p: Params = Params()) -> DataFrame:
+    """From recognisers' answers to what tasks end with: recording_id, status (succeeded, failed, cancelled), result_status,
+    content. A result document says where its transcript comes from; a failure document has code, stage and message; a
+    cancelled recording has neither.
+
+    answers: recording_id, body (the recogniser's JSON), source (a JSON text or null), cancelled (asked for meanwhile).
+    """
+    segments, errors = transcribed(answers)
+    found = analyze(segments, frames, power, embed, failures, p)
+    failed = errors.unionByName(found.recordings.filter("error is not null").select(KEY, F.col("error").alias("code")))
+    of = lambda k: F.element_at(F.create_map(*[F.lit(x) for code, e in ERRORS.items() for x in (code, e[k])]), F.col("code"))
+    told = exports.failures(failed.select(KEY, "code", of(0).alias("stage"), of(1).alias("message"), of(2).alias("retryable"))).withColumn("status", F.lit("failed"))
+    whole = exports.result_json(found.segments.join(failed, KEY, "left_anti"))
+    whole = exports.with_source(whole.join(answers.select(KEY, "source"), KEY), F.col("source")).select(KEY, "content", F.lit("succeeded").alias("status"))
+    rows = told.unionByName(whole).join(found.recordings.select(KEY, F.col("status").alias("result_status")), KEY, "left").join(answers.select(KEY, "cancelled"), KEY)
+    stopped = F.coalesce("cancelled", F.lit(False))
+    return rows.select(KEY, F.when(stopped, "cancelled").otherwise(F.col("status")).alias("status"), F.when(~stopped & (F.col("status") == "succeeded"), F.col("result_status")).alias("result_status"), F.when(~stopped, F.col("content")).alias("content"))
+
+
 def evaluated(manifest: DataFrame, reference: DataFrame, hypothesis: DataFrame, p: Params = Params()) -> DataFrame:
     """The report on a dataset, one row.
 
