@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from voxframe.plans import analysis
 from voxframe.sources import exports
@@ -113,3 +114,17 @@ def test_from_answers_to_documents(tables, spark):
     assert {k: (rows[k][2]["error"]["code"], rows[k][2]["error"]["stage"], rows[k][2]["error"]["retryable"]) for k in (3, 4, 5)} == {
         3: ("VOICE_EMBEDDING_ALL_WINDOWS_FAILED", "voice_embedding", True), 4: ("ASR_EMPTY_RESULT", "transcribing", False), 5: ("ASR_RESULT_INVALID", "transcribing", False),
     }
+
+
+def test_a_union_gives_each_clip_one_vector(spark):
+    """Both sides of the union come from windows over recordings, so Spark has them partitioned alike."""
+    kept = spark.conf.get("spark.sql.unionOutputPartitioning")
+    spark.conf.set("spark.sql.unionOutputPartitioning", "true")
+    try:
+        base = spark.createDataFrame([(1, 7000 * k, 7000 * k + 6000) for k in range(8)], "recording_id long, start_ms long, end_ms long")
+        numbered = lambda name: F.row_number().over(Window.partitionBy("recording_id").orderBy("start_ms")).cast("long").alias(name)
+        segments = base.select("recording_id", numbered("input_index"), "start_ms", "end_ms")
+        gold = base.select("recording_id", numbered("vec_id"), F.lit("w").alias("window_id"), "start_ms", "end_ms")
+        assert analysis.vectors_of(analysis.requested(segments, gold), embed).count() == 16
+    finally:
+        spark.conf.set("spark.sql.unionOutputPartitioning", kept)

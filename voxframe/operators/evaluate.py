@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from voxframe.operators.intervals import KEY, framed, overlap_join, overlap_ms, union
 from voxframe.params import Evaluation
+from voxframe.shared import steady
 
 #: Frames in a bucket of the joins of turns.
 BUCKET = 600
@@ -19,6 +20,7 @@ BUCKET = 600
 
 def frames(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """Frames of every recording up to its last end."""
+    steady(reference.sparkSession)
     ends = reference.select(KEY, "end_ms").unionByName(hypothesis.select(KEY, "end_ms")).groupBy(KEY).agg(F.max("end_ms").alias("duration_ms"))
     return framed(ends, p.frame_ms, F.lit(0).cast("long"), F.col("duration_ms")).select(KEY, "frame_center")
 
@@ -134,6 +136,7 @@ def best_mapping(counts: dict[tuple[str, str], int], labels: list[str], speakers
 
 def mapping(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluation()) -> DataFrame:
     """recording_id, label, speaker: the best mapping of each recording. A recording's names and counts are few."""
+    steady(reference.sparkSession)
     names = reference.select(KEY, F.lit("r").alias("side"), F.col("speaker").alias("name")).union(hypothesis.filter(F.col("label") != p.unknown).select(KEY, F.lit("h"), "label")).distinct()
     both = names.select(KEY, "side", "name", F.lit(None).cast("string").alias("other"), F.lit(0).cast("long").alias("n")).union(cooccurrence(reference, hypothesis, p).select(KEY, F.lit("n"), "label", "speaker", "n"))
 
@@ -159,6 +162,7 @@ def activity(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evalua
     h = _spans(hypothesis.filter(F.col("label") != p.unknown), p, "mapped").select(KEY, "start_ms", "end_ms", F.col("mapped").alias("name"), F.lit(0).alias("r"), F.lit(1).alias("h"))
     edge = reference.select(KEY, F.explode(F.array("start_ms", "end_ms")).alias("at")).distinct()
     collar = union(_spans(edge.select(KEY, (F.col("at") - p.collar_ms).alias("start_ms"), (F.col("at") + p.collar_ms + 1).alias("end_ms")), p)).drop("island")
+    steady(reference.sparkSession)
     turns = r.union(h)
     points = turns.select(KEY, "start_ms", "end_ms").union(collar.select(KEY, "start_ms", "end_ms")).select(KEY, F.explode(F.array("start_ms", "end_ms")).alias("start_ms")).distinct()
     pieces = points.withColumn("end_ms", F.lead("start_ms").over(Window.partitionBy(KEY).orderBy("start_ms"))).filter("end_ms is not null")

@@ -15,6 +15,7 @@ from voxframe.functions.vectors import rms_db
 from voxframe.operators.intervals import KEY, overlap_join, overlap_ms, union
 from voxframe.operators.timelines import WINDOWS, Windows
 from voxframe.params import Timeline
+from voxframe.shared import steady
 
 
 ORDER = ("start_ms", "end_ms", "dom")
@@ -50,6 +51,7 @@ def blocked(frames: DataFrame, p: Timeline = Timeline(), over: tuple = (KEY,), b
     rows = by.running(rows, "old", F.struct("dom", "end_ms", "silence"), "last", ORDER, part, before=True)
     change = rows.filter((F.col("old.dom") != "") & (F.col("dom") != "") & (F.col("old.dom") != F.col("dom")) & (F.col("silence") - F.col("old.silence") <= p.join_gap_ms))
     at = F.greatest("old.end_ms", "start_ms")
+    steady(frames.sparkSession)
     return union(around.unionByName(change.select(*over, (at - p.edge_trim_ms).alias("start_ms"), (at + p.edge_trim_ms).alias("end_ms"))), over, by).drop("island")
 
 
@@ -131,6 +133,7 @@ def built(candidates: DataFrame, frames: DataFrame, power: DataFrame | None = No
     of the audio; without it the loudness is unknown: ratio 0, no decibels, deviation 0. keep(rows, name) may write what is read
     several times and give what it wrote.
     """
+    steady(frames.sparkSession)
     own = keep(own_frames(candidates, frames), "own_frames")
     c = candidates.select(*OVER, F.col("start_ms").alias("c_start"), F.col("end_ms").alias("c_end"))
     runs = single_speaker_runs(own, p, OVER).join(c, list(OVER))

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from voxframe.operators import assign, clusters, evaluate, requests, timeline, windows
 from voxframe.operators.intervals import KEY, overlap_join
 from voxframe.params import Params
-from voxframe.shared import publish, scratch
+from voxframe.shared import publish, scratch, steady
 from voxframe.sources import documents, exports
 
 
@@ -41,6 +41,7 @@ def requested(segments: DataFrame, gold: DataFrame, p: Params = Params()) -> Dat
     sentence = sentence.select(KEY, F.concat(F.lit("sentence:"), F.col("input_index").cast("string")).alias("request"), F.lit("sentence").alias("kind"), F.col("input_index").cast("long").alias("vec_id"), "start_ms", "end_ms", F.struct(F.lit(0).alias("kind"), F.col("start_ms").alias("at"), F.col("input_index").cast("long").alias("n")).alias("place"))
     named = F.concat(F.lit("gold:"), F.col("vec_id").cast("string"), F.lit(":"), F.col("window_id"))
     window = gold.select(KEY, named.alias("request"), F.lit("gold").alias("kind"), "vec_id", "start_ms", "end_ms", F.struct(F.lit(1).alias("kind"), F.lit(0).cast("long").alias("at"), F.col("vec_id").alias("n")).alias("place"))
+    steady(segments.sparkSession)
     rows = sentence.unionByName(window)
     return rows.withColumn("clip_end", F.least("end_ms", F.col("start_ms") + p.candidates.max_clip_ms))
 
@@ -164,6 +165,7 @@ def evaluated(manifest: DataFrame, reference: DataFrame, hypothesis: DataFrame,
     start_ms, end_ms, speaker; hypothesis: segments of analyze(). A recording without a reference or a hypothesis, or whose
     provenance is given twice and unlike, is failed; it still counts for the dataset's scenarios.
     """
+    steady(manifest.sparkSession)
     known = requests.provenance(manifest.select(F.col(KEY).alias("id"), "source", "grade", "reference_source", "reference_grade"))
     present = lambda rows, name: rows.select(F.col(KEY).alias("id"), F.lit(True).alias(name)).distinct()
     rows = manifest.select(F.col(KEY).alias("id"), "scenarios", "duration_ms").join(known, "id").join(present(reference, "has_reference"), "id", "left").join(present(hypothesis, "has_hypothesis"), "id", "left")

@@ -13,9 +13,17 @@ from pyspark.sql import DataFrame, SparkSession
 SETTING = "spark.checkpoint.dir"
 
 
+def steady(spark: SparkSession) -> SparkSession:
+    """The session, with rows of a union dealt anew where a window or aggregate asks for rows of a key together. Spark 4.1 takes a
+    union of equally partitioned sides to be partitioned so, which gave rows of one key to two windows (measured)."""
+    spark.conf.set("spark.sql.unionOutputPartitioning", "false")
+    return spark
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder. Where the session names none, a temporary one is set in local mode, as in tests; on a
     cluster that would be another folder on each machine, so it is an error."""
+    steady(spark)
     root = spark.conf.get(SETTING, None)
     if not root:
         if not spark.sparkContext.master.startswith("local"):
