@@ -5,8 +5,10 @@ reference: recording_id, start_ms, end_ms, speaker. hypothesis: the same and lab
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -140,13 +142,29 @@ def mapping(reference: DataFrame, hypothesis: DataFrame, p: Evaluation = Evaluat
     names = reference.select(KEY, F.lit("r").alias("side"), F.col("speaker").alias("name")).union(hypothesis.filter(F.col("label") != p.unknown).select(KEY, F.lit("h"), "label")).distinct()
     both = names.select(KEY, "side", "name", F.lit(None).cast("string").alias("other"), F.lit(0).cast("long").alias("n")).union(cooccurrence(reference, hypothesis, p).select(KEY, F.lit("n"), "label", "speaker", "n"))
 
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        of = lambda side: sorted(group.loc[group["side"] == side, "name"])
-        counts = {(r["name"], r["other"]): int(r["n"]) for _, r in group[group["side"] == "n"].iterrows()}
-        found = best_mapping(counts, of("h"), of("r"))
-        return pd.DataFrame([(group[KEY].iloc[0], a, b) for a, b in sorted(found.items())], columns=[KEY, "label", "speaker"])
-
-    return both.groupBy(KEY).applyInPandas(run, f"{KEY} long, label string, speaker string")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, key = {}, None
+
+        def found() -> pa.RecordBatch:
+            pairs = sorted(best_mapping(held["n"], sorted(held["h"]), sorted(held["r"])).items())
+            return pa.RecordBatch.from_arrays([pa.array([key] * len(pairs), pa.int64()), pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], [KEY, "label", "speaker"])
+
+        for batch in batches:
+            for k, side, name, other, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if held and k != key:
+                    yield found()
+                    held = {}
+                if not held:
+                    held, key = {"h": [], "r": [], "n": {}}, k
+                if side == "n":
+                    held["n"][name, other] = n
+                else:
+                    held[side].append(name)
+        if held:
+            yield found()
+
+    dealt = both.select(F.col(KEY).cast("long").alias(KEY), "side", "name", "other", "n").repartition(KEY).sortWithinPartitions(KEY)
+    return dealt.mapInArrow(run, f"{KEY} long, label string, speaker string")
 
 
 def mapped(hypothesis: DataFrame, names: DataFrame) -> DataFrame:
