@@ -655,7 +655,7 @@ def eval_frames(spark: SparkSession, sf: str) -> DataFrame:
 @query(v.oracle("v_hyp") + FRAMES + " select recording_id, frame_center from col")
 def eval_collar(spark: SparkSession, sf: str) -> DataFrame:
     s = v.segments(spark, sf)
-    return evaluate.collared(s).join(evaluate.frames(s, s), [KEY, "frame_center"], "left_semi")
+    return evaluate.collared(s, within=evaluate.ends(s, s))
 
 
 @query(v.oracle("v_hyp") + FRAMES + " select * from der")
