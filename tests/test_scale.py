@@ -1,5 +1,7 @@
 """Steps whose rows must follow the input: what broke or grew beyond it on large tables."""
 
+from pyspark.sql import functions as F
+from voxframe.operators import clusters
 from voxframe.plans import catalogue
 
 
@@ -12,3 +14,14 @@ def test_collar_makes_no_frames_of_the_whole_recording(spark, monkeypatch):
     got = sorted(tuple(r) for r in catalogue.eval_collar(spark, "").collect())
     of = lambda end, *edges: [c for e in edges for c in range((e - 250) // 100 * 100 - 50, e + 400, 100) if abs(c - e) <= 250 and 50 <= c < end + 50]
     assert got == sorted({*((1, c) for c in of(last, 1000, 2000, last)), *((2, c) for c in of(130, 0, 130))})
+
+
+def _vectors(spark, recordings: int, n: int):
+    rows = [(r, r * n + i, [float((i * 7 + r + d * d) % 11 - 5) + 0.01 * i for d in range(4)], 1.0) for r in range(recordings) for i in range(n)]
+    return spark.createDataFrame(rows, "recording_id long, vec_id long, embedding array<double>, weight double")
+
+
+def test_many_small_recordings_are_clustered_by_several_tasks(spark):
+    """Their vectors are few bytes and their clustering is long; partitions put together by bytes made it one task."""
+    for found in (clusters.speakers, clusters.k_candidates, clusters.estimates):
+        assert found(_vectors(spark, 24, 3)).select(F.spark_partition_id().alias("task")).distinct().count() > 2

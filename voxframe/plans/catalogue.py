@@ -19,7 +19,7 @@ from voxframe.plans import analysis
 from voxframe.plans import task_queries, timeline_queries
 from voxframe.plans import views as v
 from voxframe.plans.registry import oracle_sql, queries, query
-from voxframe.shared import scratch
+from voxframe.shared import scratch, spread
 from voxframe.sources import audio, documents, exports, task_store
 from voxframe.streaming import sessions
 
@@ -1157,7 +1157,7 @@ def analyzed_segments(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations from segments to attributed segments; a stand-in for a model gives each window a vector of its speaker."""
     s = v.segments(spark, sf)
     frames = s.select(KEY, "start_ms", "end_ms", F.lit(1).alias("active"), F.col("speaker").alias("dom"))
-    power = s.filter("dur_ms >= 30").select(KEY, F.explode(F.sequence("start_ms", F.col("end_ms") - 30, F.lit(30).cast("long"))).alias("start_ms")).distinct().select(KEY, "start_ms", (F.col("start_ms") + 30).alias("end_ms"), F.lit(4e6).alias("power"))
+    power = spread(s.filter("dur_ms >= 30").select(KEY, "start_ms", "end_ms"), KEY).select(KEY, F.explode(F.sequence("start_ms", F.col("end_ms") - 30, F.lit(30).cast("long"))).alias("start_ms")).distinct().select(KEY, "start_ms", (F.col("start_ms") + 30).alias("end_ms"), F.lit(4e6).alias("power"))
 
     def embed(asked: DataFrame) -> DataFrame:
         said = intervals.overlap_join(asked.select(KEY, "request", "start_ms", "end_ms"), s.select(KEY, "start_ms", "end_ms", "speaker"))

@@ -40,6 +40,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/work/{name}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame, *columns: str) -> DataFrame:
+    """df dealt by columns to twice as many tasks as the session shuffles to, for steps whose work is far larger than their bytes: small
+    partitions are otherwise put together by bytes, in the end to one task. (Dealt to as many, Spark would leave it out where a
+    join or window has dealt by the same columns before.)"""
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *columns)
+
+
 def publish(df: DataFrame, path: str) -> DataFrame:
     """Write df as Parquet and read it back, with its schema given so that empty tables keep theirs."""
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
