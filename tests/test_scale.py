@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from voxframe.operators import clusters
 from voxframe.plans import catalogue
+from voxframe.streaming import sessions
 
 
 def test_collar_makes_no_frames_of_the_whole_recording(spark, monkeypatch):
@@ -49,3 +50,15 @@ def test_blocks_of_several_strips_against_brute_force(spark, monkeypatch, blocks
     np.fill_diagonal(cos, -2)
     near = {(r.i, r["rank"]): r.j for r in clusters.neighbours(df, 3).collect()}
     assert near == {(i, k + 1): j for i, row in enumerate(cos) for k, j in enumerate(np.argsort(-row)[:3])}
+
+
+def test_states_of_a_stream_make_no_frame_per_task(spark, tmp_path):
+    """A pandas frame for every task took most of the time; over two micro-batches the answer is still that of the table."""
+    rows = [(f"t{i % 5}", ("created", "started", "cancel_requested", "succeeded", "failed", "expired")[i % 6], 1000 * i, i) for i in range(40)]
+    df = spark.createDataFrame(rows, "task_id string, event string, at_ms long, seq long")
+    for k in (0, 1):
+        df.filter(F.floor(F.col("seq") / 20) == k).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    states = sessions.task_states(spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    assert "InPandas" not in states._jdf.queryExecution().logical().toString()
+    got = sessions.drained(states, spark, "update", "states", ("task_id",))
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sessions.task_states_batch(df).select(*got.columns).collect()))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from voxframe.operators.intervals import KEY
@@ -69,6 +68,9 @@ def drained(stream: DataFrame, spark: SparkSession, mode: str, name: str, keys:
 #: What happens to tasks; a terminal state never changes, and a cancel request beats success.
 EVENTS = ("created", "started", "cancel_requested", "succeeded", "failed", "expired")
 STATE = "task_id string, status string, created_at_ms long, finished_at_ms long, cancel_requested boolean, n_events int"
+CHANGED = Row(*[c.split()[0] for c in STATE.split(", ")])
+NAMES = CHANGED[1:]
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def next_state(state: dict[str, Any] | None, event: str, at_ms: int, p: Tasks = Tasks()) -> dict[str, Any]:
@@ -92,23 +94,36 @@ def next_state(state: dict[str, Any] | None, event: str, at_ms: int, p: Tasks =
     return s
 
 
+class States(StatefulProcessor):
+    """Keeps a task's state; rows of a micro-batch are applied in order of time and seq."""
+
+    def __init__(self, p: Tasks):
+        self.p = p
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.kept = handle.getValueState("kept", ", ".join(STATE.split(", ")[1:]))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        kept = self.kept.get()
+        now = dict(zip(NAMES, kept, strict=True)) if kept is not None else None
+        for at, _, event in sorted(((r["at_ms"], r["seq"], r["event"]) for r in rows), key=lambda r: r[:2]):
+            now = next_state(now, event, at, self.p)
+        state = tuple(now[n] for n in NAMES)
+        self.kept.update(state)
+        yield CHANGED(key[0], *state)
+
+    def close(self) -> None:
+        pass
+
+
 def task_states(events: DataFrame, p: Tasks = Tasks()) -> DataFrame:
-    """State of each task in a stream of (task_id, event, at_ms, seq): updates by micro-batch, state kept per task.
+    """State of each task in a stream of (task_id, event, at_ms, seq): updates by micro-batch, state kept per task in RocksDB.
 
     Within a batch events are taken in order of time and seq.
     """
-    names = [c.split()[0] for c in STATE.split(", ")][1:]
-
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        now = dict(zip(names, state.get, strict=True)) if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["at_ms", "seq"])
-        for event, at in zip(rows["event"], rows["at_ms"], strict=True):
-            now = next_state(now, event, int(at), p)
-        state.update(tuple(now[n] for n in names))
-        yield pd.DataFrame([(key[0], *[now[n] for n in names])], columns=["task_id", *names]).astype({"finished_at_ms": "Int64"})
-
-    kind = ", ".join(STATE.split(", ")[1:])
-    return events.groupBy("task_id").applyInPandasWithState(run, STATE, kind, "update", GroupStateTimeout.NoTimeout)
+    events.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = events.select("task_id", "event", F.col("at_ms").cast("long").alias("at_ms"), F.col("seq").cast("long").alias("seq"))
+    return rows.groupBy("task_id").transformWithState(States(p), STATE, "update", "None")
 
 
 def task_states_batch(events: DataFrame, p: Tasks = Tasks()) -> DataFrame:
