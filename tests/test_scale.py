@@ -1,10 +1,14 @@
 """Steps whose rows must follow the input: what broke or grew beyond it on large tables."""
 
+import json
+
 import numpy as np
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 from voxframe.operators import clusters
 from voxframe.plans import catalogue
+from voxframe.sources import task_store
 from voxframe.streaming import sessions
 
 
@@ -62,3 +66,14 @@ def test_states_of_a_stream_make_no_frame_per_task(spark, tmp_path):
     assert "InPandas" not in states._jdf.queryExecution().logical().toString()
     got = sessions.drained(states, spark, "update", "states", ("task_id",))
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, sessions.task_states_batch(df).select(*got.columns).collect()))
+
+
+def test_a_sink_writes_only_the_newest_of_a_tasks_rows(tmp_path):
+    """Each row was a file of its own, replaced by the next; deletions still count, and what is older than they are stays away."""
+    a, b = "a" * 32, "b" * 32
+    rows = [Row(task_id=a, status="running", updated_at_ms=k) for k in range(1, 50)]
+    rows += [Row(task_id=b, status="running", updated_at_ms=2), Row(task_id=b, status="deleted", updated_at_ms=3), Row(task_id=b, status="running", updated_at_ms=1)]
+    done = task_store.TaskWriter({"path": f"file://{tmp_path}"}).write(iter(rows))
+    assert (done.written, done.kept) == (1, 51)
+    assert [p.name for p in tmp_path.iterdir()] == [a]
+    assert json.loads((tmp_path / a / "task.json").read_text())["updated_at_ms"] == 49

@@ -22,6 +22,7 @@ import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from typing import Any
 
 from pyarrow import fs
@@ -29,7 +30,11 @@ from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, InputPartition, WriterCommitMessage
 from pyspark.sql.streaming import StreamingQuery
 
+from voxframe.shared import spread
+
 FILES = 1000
+#: Rows of a sink's task that are looked through at once for those that a newer one outdoes.
+HELD = 50_000
 LEGAL = re.compile(r"[0-9a-f]{32}")
 FACT = "task_id string, status string, stage string, created_at_ms bigint, updated_at_ms bigint, finished_at_ms bigint, expired_at_ms bigint, cancel_requested_at_ms bigint, idempotency_key string, input_digest string, input_mode string"
 KINDS = [(n, str if t == "string" else int) for n, t in (c.split() for c in FACT.split(", "))]
@@ -123,6 +128,16 @@ class TaskStreamReader(Folder, DataSourceStreamReader):
         pass
 
 
+def _held(facts: Iterator[dict]) -> Iterator[Iterator[tuple[dict, bool]]]:
+    """Facts, HELD at a time, and whether a newer one of the same task is among these, so that nothing would stay of it. Deleted and
+    expired ones count always, as they remove files."""
+    while held := list(islice(facts, HELD)):
+        newest = {}
+        for f in held:
+            newest[f.get("task_id")] = max(f.get("updated_at_ms") or 0, newest.get(f.get("task_id"), 0))
+        yield ((f, f.get("status") not in ("deleted", "expired") and (f.get("updated_at_ms") or 0) < newest[f.get("task_id")]) for f in held)
+
+
 class TaskWriter(DataSourceStreamWriter):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/")
@@ -130,9 +145,12 @@ class TaskWriter(DataSourceStreamWriter):
     def write(self, iterator: Iterator[Row]) -> Written:
         system, root = fs.FileSystem.from_uri(self.root)
         written, kept, gone = 0, 0, {}
-        for row in iterator:
-            fact = {k: x for k, x in row.asDict(recursive=True).items() if x is not None}
+        facts = ({k: x for k, x in row.asDict(recursive=True).items() if x is not None} for row in iterator)
+        for fact, outdone in (f for held in _held(facts) for f in held):
             task, at = fact.get("task_id"), fact.get("updated_at_ms") or 0
+            if outdone and LEGAL.fullmatch(task or ""):
+                kept += 1
+                continue
             if fact.get("status") == "deleted":
                 gone[task] = max(at, gone.get(task, at))
             elif at <= gone.get(task, at - 1):  # older than a deletion that came before it
@@ -219,5 +237,5 @@ def changed_facts(spark: SparkSession, root: str, settle_ms: int = 1000) -> Data
 def kept_facts(facts: DataFrame, root: str, checkpoint: str, mode: str = "append", trigger: dict | None = None) -> StreamingQuery:
     """A running query that keeps a stream of facts below root; the rows of a task are written by one Spark task."""
     facts.sparkSession.dataSource.register(TaskFacts)
-    out = facts.repartition("task_id").writeStream.format("task_facts").outputMode(mode)
+    out = spread(facts, "task_id").writeStream.format("task_facts").outputMode(mode)
     return out.option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start(root)
