@@ -1,11 +1,14 @@
+import weakref
+
 import corpus_pipeline
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_near_dedup import brute as near
 from test_exact_dedup import brute as equal
 from texts import clashing, frame, rows
 from tokenizers import Tokenizer
-from voxframe.llm import mixing, packing, quality
+from voxframe.llm import mixing, near_dedup, packing, quality, shared, token_store
 from voxframe.llm.shared import publish, scratch
 
 SF = "/root/testdata/sf0.01"
@@ -97,3 +100,16 @@ def test_stages_with_an_empty_table(spark, name, stage):
     docs = frame(spark, [])
     out = stage(spark, docs, SF)
     assert out.collect() == [] and (name == "packing" or out.columns == docs.columns)
+
+
+def test_a_worker_lets_go_of_what_earlier_stages_kept():
+    encoder = token_store.encoder(packing.TOKENIZER, packing.END)
+    assert encoder is token_store.encoder(packing.TOKENIZER, packing.END)
+    left = weakref.ref(encoder)
+    del encoder
+    assert len(near_dedup.shingles("a b c d e f")) == 2
+    assert left() is None
+    left = weakref.ref(shared.kept("near_dedup", near_dedup.Words))
+    assert left()
+    list(quality.passages(pa.array(["a b c"])))
+    assert left() is None

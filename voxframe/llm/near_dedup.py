@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from voxframe.llm.shared import publish, remove, scratch
+from voxframe.llm.shared import kept, publish, remove, scratch
 
 ROWS, BANDS, SEED = 7, 56, 20240229
 TILE = 2048
@@ -62,15 +62,12 @@ class Words(dict):
         return h
 
 
-WORDS = Words()
-
-
 def shingles(text: str | None, width: int = 5) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = (text or "").encode("utf-8", "surrogatepass").translate(LOWER).split()  # bytes.split() parts at [\x20\x09-\x0D]
     if not words:
         return np.empty(0, np.uint64)
-    h = np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
+    h = np.fromiter(map(kept("near_dedup", Words).__getitem__, words), np.uint64, len(words))
     n = max(1, len(h) - width + 1)
     mixed = np.full(n, min(width, len(h)), np.uint64)
     for k in range(min(width, len(h))):

@@ -26,6 +26,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from voxframe.llm.shared import kept
+
 WORDS, PART, SAMPLE, PASSAGES, THRESHOLD = 64, 1 << 20, 2000, 512, 0.7
 HIDDEN, ATTENTION, STEPS, RATE, DECAY, SEED = 16, 8, 300, 0.02, 1e-3, 7
 SPACE, LOWER, UPPER, DIGIT, SYMBOL, BAR, CALL, POINT, OTHER = range(9)
@@ -107,6 +109,7 @@ def measures(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 def passages(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(features, index of the text) of the texts in groups; a text's passages are never parted between groups."""
+    kept("quality", tuple)  # nothing; what another operator has left would stand beside the features
     texts = pc.fill_null(texts, "")
     if pa.types.is_large_string(texts.type):
         texts = texts.cast(pa.string())

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from voxframe.llm.shared import publish, scratch
+from voxframe.llm.shared import kept, publish, scratch
 
 MAGIC, CHUNK, BLOCK, FILE = b"IDLEVEL1", 8, 512, 16 << 20
 TOKENIZER, END = public_tokenizers.path("word_bpe_49k.json"), 2
@@ -234,14 +234,9 @@ def write(docs: DataFrame, path: str, tokenizer: str = TOKENIZER, end: int = END
     return publish(ordered.mapInArrow(run, "part long, file long, n_docs long, n_ids long, url string"), f"{path}-files")
 
 
-_ENCODERS: dict = {}
-
-
 def encoder(path: str, end: int) -> Encoder:
-    """One for each Python worker, so that what it keeps serves later tasks."""
-    if (path, end) not in _ENCODERS:
-        _ENCODERS[path, end] = Encoder(path, end)
-    return _ENCODERS[path, end]
+    """One for each Python worker, so that what it keeps serves later tasks, until the worker serves another operator's."""
+    return kept(("token_store", path, end), lambda: Encoder(path, end))
 
 
 def documents(files: DataFrame) -> DataFrame:
