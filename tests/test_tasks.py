@@ -149,6 +149,12 @@ def test_creation_however_it_is_cut(few, tmp_path, restart):
     assert all(want[b["seq"]] == (b["outcome"], b["found_task"]) for b in batch if b["at_ms"] < 1130)
 
 
+def test_requests_without_a_key_wait_for_nothing(few, tmp_path):
+    data = [(None, "requested", 1000 + k, k, f"n{k}", "1") for k in range(40)] + [("k", "requested", 1000, 100, "n", "1"), (None, "requested", 1000, None, "x", "1")]
+    got = drain(few, lambda s: tasks.idempotent_creation(s, "20 seconds"), REQUEST, [data], f"file://{tmp_path}")
+    assert sorted((r[0], r[1], r[2]) for r in got) == [(k, "created", None) for k in range(40)]
+
+
 def test_times_that_are_absent(spark):
     now, day = 10 * 86_400_000, 86_400_000
     data = [("a", "succeeded", None, None, None), ("b", "succeeded", 0, None, now - day), ("c", "failed", now - day, None, None), ("d", "expired", None, None, 1), ("e", "expired", 1, 0, 1), ("f", "expired", None, now - 2 * day, None), ("g", "cancelled", now - day + 1, None, 1), ("h", "running", 1, None, 1)]

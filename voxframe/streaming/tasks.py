@@ -23,6 +23,8 @@ EVENTS = ("created", "started", "cancel_requested", "succeeded", "failed")
 LIFE = "task_id string, status string, at_ms long, created_at_ms long, finished_at_ms long, expired_at_ms long, version int"
 ANSWERS = "request_id long, outcome string, found_task string, at_ms long"
 CHANGE, ANSWER = (Row(*[c.split()[0] for c in kind.split(", ")]) for kind in (LIFE, ANSWERS))
+#: Groups of requests without a key.
+KEYLESS = 1024
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -46,7 +48,7 @@ class InOrder(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         now = timerValues.getCurrentWatermarkInMs()
-        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2]) if self.waiting.exists() else []
+        held = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: r[:2])  # none if there is no list
         before = self.load()
         kept, out = before, []
         for row in (r for r in held if r[0] <= now):
@@ -104,7 +106,8 @@ class Life(InOrder):
         self.kept = handle.getValueState("kept", self.keeps)
 
     def load(self) -> tuple | None:
-        return tuple(self.kept.get()) if self.kept.exists() else None
+        kept = self.kept.get()
+        return tuple(kept) if kept is not None else None
 
     def save(self, before: tuple | None, kept: tuple | None) -> None:
         self.kept.clear() if kept is None else self.kept.update(kept)
@@ -155,8 +158,13 @@ class FirstWriter(InOrder):
     def handleInitialState(self, key: tuple, initialState: Row, timerValues: Any) -> None:
         self.live.updateValue((initialState["task_id"],), (initialState["created_at_ms"], initialState["input_digest"]))
 
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
+        if key[0][0] == "k":
+            return super().handleInputRows(key, rows, timerValues)
+        return (ANSWER(r["seq"], "created", None, r["at_ms"]) for r in rows)
+
     def load(self) -> dict | None:
-        return {k[0]: tuple(x) for k, x in self.live.iterator()} if self.live.exists() else {}
+        return {k[0]: tuple(x) for k, x in self.live.iterator()}
 
     def save(self, before: dict, kept: dict) -> None:
         for task in before.keys() - kept.keys():
@@ -220,10 +228,10 @@ def idempotent_creation(rows: DataFrame, late: str = "1 minute", tasks: DataFram
     event `requested`: seq is the request's id, task_id the one that it would create. While the key has a live task, the
     first of them answers: replayed if its input is the same, conflict if not; otherwise the request creates its task.
     event `expired`: that task of the key is no longer live. tasks: those live before the stream begins, if any
-    (task_id, idempotency_key, input_digest, status, created_at_ms). A request without a key always creates, and nothing
-    is kept of it. Rows without a time are ignored, as are expiries without a key.
+    (task_id, idempotency_key, input_digest, status, created_at_ms). A request without a key always creates, at once, and
+    nothing is kept of it: such requests share KEYLESS groups, as each group costs calls of its own. Rows without a time are ignored, as are expiries without a key.
     """
-    key = F.when(F.col("idempotency_key").isNotNull(), F.concat(F.lit("k"), "idempotency_key")).when(F.col("event") == "requested", F.concat(F.lit("r"), F.col("seq").cast("string")))
+    key = F.when(F.col("idempotency_key").isNotNull(), F.concat(F.lit("k"), "idempotency_key")).when((F.col("event") == "requested") & F.col("seq").isNotNull(), F.concat(F.lit("r"), F.pmod(F.xxhash64("seq"), F.lit(KEYLESS)).cast("string")))
     rows = rows.select(key.alias("owner"), "event", "at_ms", "seq", "task_id", "input_digest")
     rows = _timed(rows, late, F.col("event").isin("requested", "expired") & F.col("owner").isNotNull())
     known = None
